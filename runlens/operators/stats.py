@@ -67,23 +67,25 @@ def best_group(report: DataFrame) -> DataFrame:
             .withColumn("best_among_all", flag("success_rate_among_all")))
 
 
-def status_histogram(events: DataFrame, status: str, item: str,
-                     skip: tuple[str, ...] = ("built", "exists")) -> DataFrame:
+def status_histogram(events: DataFrame, status: str, item: str) -> DataFrame:
     """Count by status prefix (cut at the first ``(`` then the first
-    ``:``), most common first (ties by key); the items whose prefix is not
-    in ``skip`` are listed (sorted)."""
-    prefix = F.trim(F.split_part(F.split_part(F.col(status), F.lit("("), F.lit(1)),
-                                 F.lit(":"), F.lit(1)))
+    ``:``), most common first (ties by key, not by first appearance)."""
+    prefix = F.split_part(F.split_part(F.col(status), F.lit("("), F.lit(1)), F.lit(":"), F.lit(1))
     g = events.withColumn("prefix", prefix).groupBy("prefix").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(F.col(item)).alias("n_items"))
     w = Window.orderBy(F.col("n").desc(), F.col("prefix"))
-    return (g.withColumn("listed", ~F.col("prefix").isin(*skip))
-            .withColumn("rank", F.row_number().over(w).cast("bigint")))
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def fallback_items(events: DataFrame, status: str, item: str,
+                   ok: tuple[str, ...] = ("built", "exists")) -> DataFrame:
+    """The items whose status is not one of ``ok`` (sort on output)."""
+    return events.where(~F.col(status).isin(*ok)).select(item, status)
 
 
 def status_items(events: DataFrame, status: str, item: str) -> DataFrame:
-    """A06 alternative: prefix -> items, one row per (prefix, item)."""
-    prefix = F.trim(F.split_part(F.split_part(F.col(status), F.lit("("), F.lit(1)),
-                                 F.lit(":"), F.lit(1)))
+    """A06 alternative: status cut at the first ``:`` -> items, one row per
+    (prefix, item)."""
+    prefix = F.split_part(F.col(status), F.lit(":"), F.lit(1))
     return events.select(prefix.alias("prefix"), F.col(item).alias("item")).distinct()
