@@ -7,7 +7,7 @@ import importlib
 
 # Subject modules, each exporting QUERIES (key -> fn(spark, sf_dir)) and
 # ORACLE (key -> DuckDB SQL; absent for keys checked by golden tests only).
-SUBJECTS = ["selection", "steps", "testruns", "patches", "replies", "documents", "symbols", "instances"]
+SUBJECTS = ["selection", "steps", "testruns", "patches", "replies", "documents", "symbols", "instances", "live"]
 
 
 def _modules():
