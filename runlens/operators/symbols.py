@@ -91,6 +91,27 @@ SYMBOL_SCHEMA = ("file_path string, kind string, name string, start_line bigint,
                  "body string, methods string, error string")
 
 
+def _params_text(lines: list[str], node) -> str:
+    """The parameter list of a def as written, brackets included."""
+    text = "\n".join(lines[node.lineno - 1:node.body[0].lineno])
+    i = text.find("(", text.find("def ") + 4)
+    depth, quote = 0, None
+    for j in range(i, len(text)):
+        ch = text[j]
+        if quote:
+            if ch == quote and text[j - 1] != "\\":
+                quote = None
+        elif ch in "'\"":
+            quote = ch
+        elif ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth -= 1
+            if depth == 0:
+                return text[i:j + 1]
+    return "()"
+
+
 def _symbols_of(path: str, src: str) -> list[dict]:
     try:
         tree = ast.parse(src)
@@ -112,11 +133,10 @@ def _symbols_of(path: str, src: str) -> list[dict]:
             ms = []
             for ch in n.body:
                 if isinstance(ch, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    args = ast.get_source_segment(src, ch.args) or ""
                     # a decorated method reports no return type (the wrapper node has none)
                     ret = (f" -> {ast.get_source_segment(src, ch.returns)}"
                            if ch.returns and not ch.decorator_list else "")
-                    ms.append(f"- {ch.name}({args}){ret}")
+                    ms.append(f"- {ch.name}{_params_text(lines, ch)}{ret}")
             out.append(dict(file_path=path, kind="class", name=n.name, start_line=n.lineno,
                             end_line=n.end_lineno, body=seg(n), methods="\n".join(ms) or None, error=None))
     return out

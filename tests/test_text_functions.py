@@ -1,0 +1,192 @@
+"""Golden values for patch, reply, log, JSON and document functions."""
+
+from pyspark.sql import functions as F
+
+from runlens.functions import jsonpath as J
+from runlens.functions import patch as P
+from runlens.functions import replies as R
+from runlens.operators import docedit as E
+from runlens.operators import instances as I
+from runlens.operators import testlogs as T
+
+DIFF_A = """diff --git a/m.py b/m.py
+--- a/m.py
++++ b/m.py
+@@ -1,2 +1,2 @@
+ ctx = 0
+-x = 1
++x  =  2   # tweak
++
++# whole-line comment
++s = "#not a comment"
+"""
+DIFF_B = """diff --git a/m.py b/m.py
+--- a/m.py
++++ b/m.py
+@@ -1,2 +1,2 @@
+ ctx = 0
+-x = 1
++x = 2
++s = "#not a comment"  # trailing
+"""
+
+
+def _one(spark, col, *vals, schema="v string"):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in vals], schema).select(col).collect()]
+
+
+def test_clean_patch_equal_up_to_whitespace_and_comments(spark):
+    df = spark.createDataFrame([(1, DIFF_A), (2, DIFF_B)], "id int, patch string")
+    keys = {r.id: r.cleaned for r in P.with_clean_patch(df).collect()}
+    assert keys[1] == keys[2] == '-x=1+x=2+s="#notacomment"'
+    assert keys[1] == P.normalize_key(DIFF_A)
+
+
+def test_drop_test_files_golden(spark):
+    diff = ("diff --git a/tests/test_example.py b/tests/test_example.py\n--- a/tests/test_example.py\n"
+            "+++ b/tests/test_example.py\n@@ -1 +1 @@\n-a\n+b\n")
+    kept, = _one(spark, P.drop_test_files(F.col("v")), diff)
+    assert kept == ""
+    mixed = "preamble\n" + diff.replace("tests/test_example.py", "src/app.py") + diff
+    kept, = _one(spark, P.drop_test_files(F.col("v")), mixed)
+    assert kept == "preamble\n" + diff.replace("tests/test_example.py", "src/app.py")
+
+
+def test_index_selection_golden(spark):
+    got, = _one(spark, R.parse_index_selection(F.col("v"), 20), "[0, 17, 42, 17, 99")
+    assert got == [0, 17]
+    got, = _one(spark, R.parse_index_selection(F.col("v"), 20), "[3, 99999999999999")
+    assert got == [3]
+
+
+def test_selection_reply(spark):
+    vals = ["### Status: succeed\n### Result: Patch-2\n### Analysis: fine",
+            "Status: success\nResult: Patch-9\nAnalysis: x", "no decision",
+            "Status: successful\nResult: Patch-2\nmore words\nAnalysis: split"]
+    got = _one(spark, R.selection_choice(F.col("v"), 3), *vals)
+    assert got == [2, 1, None, None]
+
+
+def test_split_tool_output(spark):
+    got, = _one(spark, R.split_tool_output(F.col("v")), "a\nTool Call Status: -1\nb")
+    assert (got.content, got.success) == ("a\nb", False)
+    # the status line is found after stripping but compared raw
+    got, = _one(spark, R.split_tool_output(F.col("v")), "a\n  Tool Call Status: -1\nb")
+    assert (got.content, got.success) == ("a\nb", True)
+    got, = _one(spark, R.split_tool_output(F.col("v")), "a\nb")
+    assert (got.content, got.success) == ("a\nb", True)
+    codes = _one(spark, R.exit_code(F.col("v")), " 12 \nx\n3", "none")
+    assert codes == [3, None]
+
+
+def test_step_tags(spark):
+    got = _one(spark, R.step_label(R.step_tags(F.col("v"))),
+               "<tags>WRITE_FIX, VERIFY_FIX</tags>", "<tags>THINK,BOGUS</tags>", "nothing")
+    assert got == ["📝WRITE_FIX · 🔥VERIFY_FIX", "", ""]
+    d, = _one(spark, R.task_description(F.col("v")), "fix it</task><details>why</details>")
+    assert (d.task, d.details) == ("fix it", "[italic]why[/italic]")
+
+
+def test_sympy_log_golden(spark):
+    lines = ["sympy/a/test_x.py[3]", "test_a ok", "test_b F", "sympy/b/test_y.py[1]", "test_a s"]
+    df = spark.createDataFrame([("L", i + 1, l) for i, l in enumerate(lines)], "log_id string, line_no long, line string")
+    got = {r.test: r.status for r in T.parse_grouped_log(df).collect()}
+    assert got == {"sympy/a/test_x.py::test_a": "PASSED", "sympy/a/test_x.py::test_b": "FAILED",
+                   "sympy/b/test_y.py::test_a": "SKIPPED"}
+
+
+def test_django_log_golden(spark):
+    lines = ["test_a (m.C) ... ok", "test_b (m.C)", "Doc text ... ok", "", "Orphan doc ... FAIL",
+             "Applying x...test_c (m.C) ... ok", "test_d (m.C) ... skipped 'r'", "FAIL: test_a (m.C)"]
+    df = spark.createDataFrame([("L", i + 1, l) for i, l in enumerate(lines)], "log_id string, line_no long, line string")
+    got = {r.test: r.status for r in T.parse_docstring_log(df).collect()}
+    assert got == {"test_a (m.C)": "FAILED", "test_b (m.C)": "PASSED", "Doc text": "PASSED",
+                   "Orphan doc": "FAILED", "test_c (m.C)": "PASSED", "test_d (m.C)": "SKIPPED"}
+
+
+def test_forward_fill_across_chunks(spark):
+    rows = [("L", i, f"h{i}" if i % 7 == 0 else None) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "k string, n long, v string")
+    got = {r.n: r.f for r in T.forward_fill(df, "k", "n", "v", "f", chunk=10).collect()}
+    for i in range(1, 200):
+        assert got[i] == (None if i < 7 else f"h{7 * (i // 7)}")
+
+
+def test_test_selector_golden(spark):
+    rows = [("i", "django/django", 1, "test_x (a.b.C)"), ("i", "django/django", 2, "--version is equivalent"),
+            ("j", "pylint-dev/pylint", 1, "t.py::f[/c]"), ("j", "pylint-dev/pylint", 2, "t.py::f[/d]")]
+    df = spark.createDataFrame(rows, "instance_id string, repo string, pos long, name string")
+    got = sorted((r.instance_id, r.ord, r.directive) for r in T.test_selector(df).collect())
+    assert got == [("i", 1, "a.b.C.test_x"), ("i", 2, "--version is equivalent"), ("j", 1, "t.py::f")]
+
+
+def test_join_issue_text_golden(spark):
+    df = spark.createDataFrame([([("T1", "B1"), ("T2", None)],)], "issues array<struct<title:string,body:string>>")
+    got = df.select(I.join_issue_text(F.col("issues"))).collect()[0][0]
+    assert got == "T1\nB1\nT2\n"
+
+
+DOC = '{"users":[{"id":1,"name":"Alice"},{"id":2,"name":"Bob"}],"config":{"enabled":true}}'
+
+
+def test_json_edits_golden():
+    import json
+    d, _, n, e = J.edit(DOC, "$.config.enabled", "set", "false")
+    assert e is None and json.loads(d)["config"]["enabled"] is False
+    d, _, _, _ = J.edit(DOC, "$.users[0].name", "set", '"Alicia"')
+    assert json.loads(d)["users"][0]["name"] == "Alicia"
+    d, _, _, _ = J.edit(DOC, "$.users[2]", "add", '{"id":3,"name":"Cy"}')
+    assert len(json.loads(d)["users"]) == 3
+    d, _, _, _ = J.edit(DOC, "$.config.version", "add", '"1.0"')
+    assert json.loads(d)["config"]["version"] == "1.0"
+    d, _, _, _ = J.edit(DOC, "$.users[0]", "remove", None)
+    assert json.loads(d)["users"][0]["name"] == "Bob"
+    d, _, _, _ = J.edit(DOC, "$.config.enabled", "remove", None)
+    assert "enabled" not in json.loads(d)["config"]
+    _, v, _, _ = J.edit(DOC, "$.users[0]", "view", None)
+    assert json.loads(v) == {"id": 1, "name": "Alice"}
+    _, v, n, _ = J.edit(DOC, "$..name", "view", None)
+    assert json.loads(v) == ["Alice", "Bob"] and n == 2
+    _, v, _, _ = J.edit(DOC, "$.users[0:1]", "view", None)
+    assert json.loads(v) == {"id": 1, "name": "Alice"}
+    d, _, _, e = J.edit(DOC, "$.nope", "set", "1")
+    assert e == "No matches found for JSONPath: $.nope" and d == DOC
+
+
+def test_json_udf_on_spark(spark):
+    df = spark.createDataFrame([(DOC,)], "doc string")
+    r = df.select(J.json_remove(F.col("doc"), F.lit("$.users[*]")).alias("r")).collect()[0].r
+    assert r.matches == 2 and '"users": []' in r.doc
+
+
+def _docs(spark, *contents):
+    return spark.createDataFrame([(f"p{i}", c) for i, c in enumerate(contents)], "path string, content string")
+
+
+def test_replace_unique_golden(spark):
+    docs = _docs(spark, "dup\ndup\nline3", "old_content\nline2")
+    edits = spark.createDataFrame([("p0", "dup", "x"), ("p1", "old_content", "new_content")],
+                                  "path string, old string, new string")
+    got = {r.path: r for r in E.replace_unique(docs, edits).collect()}
+    assert "in lines [1, 2]" in got["p0"].error and got["p0"].content == "dup\ndup\nline3"
+    assert got["p1"].error is None and got["p1"].content == "new_content\nline2"
+    assert got["p1"].snippet.startswith("     1\tnew_content")
+
+
+def test_insert_and_view_golden(spark):
+    docs = _docs(spark, "line1\nline3")
+    ins = spark.createDataFrame([("p0", 1, "line2")], "path string, line int, text string")
+    r = E.insert_lines(docs, ins).collect()[0]
+    assert r.content == "line1\nline2\nline3" and r.error is None
+    views = spark.createDataFrame([("p0", None, None), ("p0", 0, 1)], "path string, start int, end int")
+    got = E.view_lines(_docs(spark, "line1\nline2\nline3"), views).collect()
+    whole = [g for g in got if g.start is None][0]
+    assert whole.output == "     1\tline1\n     2\tline2\n     3\tline3"
+    bad = [g for g in got if g.start == 0][0]
+    assert bad.error.startswith("Invalid `view_range`: [0, 1]. Its first element `0`")
+
+
+def test_expand_tabs_matches_python(spark):
+    vals = ["a\tb", "\t\tx", "abcdefgh\ti", "no tabs", "x\ty\n\tz"]
+    got = _one(spark, E.expand_tabs(F.col("v")), *vals)
+    assert got == [v.expandtabs() for v in vals]
