@@ -88,18 +88,24 @@ def propagate_to_duplicates(cands: DataFrame, reps: DataFrame,
 
 
 # -- A05 ---------------------------------------------------------------------
+def label_flag_aggs(label: str = "success_id") -> list[Column]:
+    """Aggregates behind A05 (usable inside a larger ``agg``)."""
+    lab = F.col(label)
+    return [(~F.bool_or(lab == 1)).alias("all_failed"), F.bool_and(lab == 1).alias("all_success"),
+            F.bool_or(lab.isin(0, 1)).alias("known")]
+
+
+def skip_flag() -> Column:
+    return F.col("known") & (F.col("all_failed") | F.col("all_success"))
+
+
 def label_short_circuit(cands: DataFrame, group: Sequence[str] | str = ("instance_id", "grp"),
                         label: str = "success_id") -> DataFrame:
     """Per candidate group: skip selection iff some label is known (0/1) and
     either no label is 1 (all failed) or every label is 1 (all success).
     A skipped group selects candidate 0."""
     g = _cols(group)
-    lab = F.col(label)
-    return (cands.groupBy(*g).agg(
-        (~F.bool_or(lab == 1)).alias("all_failed"),
-        F.bool_and(lab == 1).alias("all_success"),
-        F.bool_or(lab.isin(0, 1)).alias("known"))
-        .withColumn("skip", F.col("known") & (F.col("all_failed") | F.col("all_success"))))
+    return cands.groupBy(*g).agg(*label_flag_aggs(label)).withColumn("skip", skip_flag())
 
 
 # -- A09 ---------------------------------------------------------------------

@@ -39,8 +39,9 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     probes the bucket of its first line, so even one huge file is spread over
     many join keys instead of one."""
     fn = spans.where(F.col("kind") == "function")
+    keep = ["file_path", "sid", "name", "start_line", "end_line"]
     if rule == "none":
-        return fn.select("file_path", "sid", "name", F.lit(None).cast("string").alias("parent_function"),
+        return fn.select(*keep, F.lit(None).cast("string").alias("parent_function"),
                          F.lit(None).cast("string").alias("parent_class"))
     parents = spans.select(
         "file_path", F.col("sid").alias("p_sid"), F.col("name").alias("p_name"),
@@ -48,19 +49,25 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
         F.col("end_line").alias("p_end"),
         F.explode(F.sequence(F.floor(F.col("start_line") / bucket).cast("bigint"),
                              F.floor(F.col("end_line") / bucket).cast("bigint"))).alias("bucket"))
-    kids = fn.select("file_path", "sid", "name", "start_line", "end_line",
-                     F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
+    kids = fn.select(*keep, F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
     pairs = kids.join(parents, ["file_path", "bucket"]).where(
         (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line"))
-        & (F.col("p_sid") != F.col("sid")))
+        & (F.col("p_sid") != F.col("sid"))).drop("bucket")
+    # every function also enters the aggregate once with no container, so
+    # parentless functions come out of the same aggregate (no join back)
+    alone = kids.drop("bucket").select(
+        *keep, *[F.lit(None).cast(t).alias(c) for c, t in
+                 [("p_sid", "bigint"), ("p_name", "string"), ("p_kind", "string"),
+                  ("p_start", "bigint"), ("p_end", "bigint")]])
     rank = F.struct(F.col("p_start"), -F.col("p_end"), -F.col("p_sid"))
     info = F.struct(F.col("p_name").alias("name"), F.col("p_start").alias("s"), F.col("p_end").alias("e"))
-    best = pairs.groupBy("file_path", "sid").agg(
+    best = pairs.unionByName(alone).groupBy("file_path", "sid").agg(
+        F.first("name").alias("name"), F.first("start_line").alias("start_line"),
+        F.first("end_line").alias("end_line"),
         F.max_by(F.when(F.col("p_kind") == "function", info),
                  F.when(F.col("p_kind") == "function", rank)).alias("f"),
         F.max_by(F.when(F.col("p_kind") == "class", info),
                  F.when(F.col("p_kind") == "class", rank)).alias("c"))
-    out = fn.select("file_path", "sid", "name").join(best, ["file_path", "sid"], "left")
     f, c = F.col("f"), F.col("c")
     if rule == "nearest_class":
         pf, pc = F.lit(None).cast("string"), c["name"]
@@ -68,7 +75,7 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
         f_in_c = (f["s"] >= c["s"]) & (f["e"] <= c["e"])
         pf = F.when(f.isNotNull() & c.isNotNull(), F.when(f_in_c, f["name"])).otherwise(f["name"])
         pc = F.when(f.isNotNull() & c.isNotNull(), F.when(~f_in_c, c["name"])).otherwise(c["name"])
-    return out.select("file_path", "sid", "name", pf.alias("parent_function"), pc.alias("parent_class"))
+    return best.select(*keep, pf.alias("parent_function"), pc.alias("parent_class"))
 
 
 # -- P11 ---------------------------------------------------------------------

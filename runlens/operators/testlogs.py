@@ -52,25 +52,25 @@ def forward_fill(df: DataFrame, key: str, order: str, value: str, out: str,
     """``out`` = last non-null ``value`` at or before each row, per ``key``
     ordered by the integer ``order``.
 
-    Skew-safe: rows are cut into chunks of ``chunk`` consecutive positions;
-    the fill runs per (key, chunk) and the value carried into a chunk comes
-    from a small per-chunk table (last value of each earlier chunk), so no
-    task ever holds a whole hot key."""
+    Skew-safe: rows are cut into chunks of ``chunk`` consecutive positions
+    and the fill runs per (key, chunk), so no task ever holds a whole hot
+    key.  The same window pass also yields each chunk's last value; those
+    few rows (one per chunk) give the value carried into later chunks, and
+    are joined back on (key, chunk), the partitioning the big side already
+    has, so only the small carry table moves."""
     c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    w = (Window.partitionBy(key, "_chunk").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = c.withColumn("_local", F.last(F.col(value), ignorenulls=True).over(w))
-    last_per_chunk = (c.where(F.col(value).isNotNull()).groupBy(key, "_chunk")
-                      .agg(F.max_by(F.col(value), F.col(order)).alias("_v")))
-    wc = (Window.partitionBy(key).orderBy("_chunk")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (c.select(key, "_chunk").distinct()
-             .join(last_per_chunk, [key, "_chunk"], "left")
-             .withColumn("_carry", F.last("_v", ignorenulls=True).over(wc))
-             .select(key, "_chunk", "_carry"))
+    w = Window.partitionBy(key, "_chunk").orderBy(order)
+    local = (c.withColumn("_local", F.last(F.col(value), ignorenulls=True)
+                          .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_end", F.last(F.col(value), ignorenulls=True)
+                         .over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    per_chunk = local.groupBy(key, "_chunk").agg(F.first("_end", ignorenulls=True).alias("_v"))
+    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (per_chunk.withColumn("_carry", F.last("_v", ignorenulls=True).over(wc))
+             .where(F.col("_carry").isNotNull()).select(key, "_chunk", "_carry"))
     return (local.join(carry, [key, "_chunk"], "left")
             .withColumn(out, F.coalesce("_local", "_carry"))
-            .drop("_chunk", "_local", "_carry"))
+            .drop("_chunk", "_local", "_end", "_carry"))
 
 
 # -- W04 ---------------------------------------------------------------------
@@ -110,40 +110,49 @@ def parse_docstring_log(lines: DataFrame) -> DataFrame:
     ``...`` or a trailing id; if it still is not an id, the status is also
     credited to the previous line when that line was a bare id.  A blank
     line resets the previous id.  Last wins."""
-    s = strip(F.col("line"))
-    status = F.lit(None).cast("string")
-    name = F.lit(None).cast("string")
+    s = F.col("line_s")
+    cases_st, cases_nm = None, None
     for suf, st in DJANGO_SUFFIXES:
-        hit = F.endswith(s, F.lit(suf)) & status.isNull()
-        name = F.when(hit, F.expr(f"substring(line_s, 1, length(line_s) - {len(suf)})")).otherwise(name)
-        status = F.when(hit, F.lit(st)).otherwise(status)
-    skip_hit = status.isNull() & F.contains(s, F.lit(" ... skipped"))
-    name = F.when(skip_hit, F.split_part(s, F.lit(" ... skipped"), F.lit(1))).otherwise(name)
-    status = F.when(skip_hit, F.lit("SKIPPED")).otherwise(status)
-    fail_hit = status.isNull() & (F.startswith(s, F.lit("FAIL:")) | F.startswith(s, F.lit("ERROR:")))
+        hit = F.endswith(s, F.lit(suf))
+        nm = F.expr(f"substring(line_s, 1, length(line_s) - {len(suf)})")
+        cases_st = F.when(hit, F.lit(st)) if cases_st is None else cases_st.when(hit, F.lit(st))
+        cases_nm = F.when(hit, nm) if cases_nm is None else cases_nm.when(hit, nm)
+    skip_hit = F.contains(s, F.lit(" ... skipped"))
+    fail_hit = F.startswith(s, F.lit("FAIL:")) | F.startswith(s, F.lit("ERROR:"))
+    status = (cases_st.when(skip_hit, F.lit("SKIPPED"))
+              .when(F.startswith(s, F.lit("FAIL:")), F.lit("FAILED"))
+              .when(F.startswith(s, F.lit("ERROR:")), F.lit("ERROR")))
     after = strip(F.expr("substring(line_s, instr(line_s, ':') + 1)"))
     fail_name = F.when(_is_name(after), after).otherwise(F.split_part(after, F.lit(" "), F.lit(1)))
-    fail_status = F.when(F.startswith(s, F.lit("FAIL:")), "FAILED").otherwise("ERROR")
-
-    x = lines.withColumn("line_s", s).select(
-        "log_id", "line_no", "line_s",
-        F.when(fail_hit, fail_name).otherwise(name).alias("_name"),
-        F.when(fail_hit, fail_status).otherwise(status).alias("_status"),
-        fail_hit.alias("_fail_line"))
-    # previous bare id: the previous line fell through every rule and is an id
-    bare = x["_status"].isNull() & (x["line_s"] != "") & _is_name(x["line_s"])
-    w = Window.partitionBy("log_id").orderBy("line_no")
-    x = x.withColumn("_prev", F.lag(F.when(bare, F.col("line_s"))).over(w))
-    # repair a put() name
-    n0 = strip(F.col("_name"))
-    cand = strip(F.substring_index(n0, "...", -1))
-    n1 = F.when(~_is_name(n0) & F.contains(n0, F.lit("...")) & _is_name(cand), cand).otherwise(n0)
-    tail = F.regexp_extract(n1, DJANGO_TAIL_ID_RE, 1)
-    n2 = F.when(~_is_name(n1) & (tail != "") & _is_name(tail), tail).otherwise(n1)
-    put = x.where(F.col("_status").isNotNull())
-    named = put.select(
+    suffix_or_skip = F.lit(False)
+    for suf, _ in DJANGO_SUFFIXES:
+        suffix_or_skip = suffix_or_skip | F.endswith(s, F.lit(suf))
+    suffix_or_skip = suffix_or_skip | skip_hit
+    name = (cases_nm.when(skip_hit, F.split_part(s, F.lit(" ... skipped"), F.lit(1)))
+            .when(fail_hit, fail_name))
+
+    x = lines.withColumn("line_s", strip(F.col("line"))).select(
+        "log_id", "line_no", "line_s", name.alias("_name"), status.alias("_status"),
+        (~suffix_or_skip & fail_hit).alias("_fail_line"))
+    # Previous bare id: the previous line fell through every rule and is an
+    # id.  Line numbers are contiguous, so "previous line" is an equi-join on
+    # (log, line_no - 1) between the status lines and the bare-id lines: unique
+    # keys (no hot partition however long a log is) and only two small
+    # subsets of the log move.
+    bare = x.where(x["_status"].isNull() & (x["line_s"] != "") & _is_name(x["line_s"])).select(
+        "log_id", (F.col("line_no") + 1).alias("line_no"), F.col("line_s").alias("_prev"))
+    x = x.where(F.col("_status").isNotNull()).join(bare, ["log_id", "line_no"], "left")
+    # repair a put() name, one step per column so each regex runs once
+    x = x.withColumn("_n0", strip(F.col("_name")))
+    x = x.withColumn("_cand", strip(F.substring_index(F.col("_n0"), "...", -1)))
+    x = x.withColumn("_n1", F.when(~_is_name(F.col("_n0")) & F.contains(F.col("_n0"), F.lit("..."))
+                                   & _is_name(F.col("_cand")), F.col("_cand")).otherwise(F.col("_n0")))
+    x = x.withColumn("_tail", F.regexp_extract(F.col("_n1"), DJANGO_TAIL_ID_RE, 1))
+    x = x.withColumn("_n2", F.when(~_is_name(F.col("_n1")) & (F.col("_tail") != "") & _is_name(F.col("_tail")),
+                                   F.col("_tail")).otherwise(F.col("_n1")))
+    named = x.select(
         "log_id", "line_no", "_status", "_fail_line", "_prev",
-        F.when(F.col("_fail_line"), F.col("_name")).otherwise(n2).alias("_n"))
+        F.when(F.col("_fail_line"), F.col("_name")).otherwise(F.col("_n2")).alias("_n"))
     credit_prev = (~F.col("_fail_line")) & ~_is_name(F.col("_n")) & F.col("_prev").isNotNull()
     out = named.select(
         "log_id", "line_no", F.col("_status").alias("status"),
@@ -276,12 +285,12 @@ def first_n_per_instance(tests: DataFrame, n: int = 300, instance: str = "instan
 
 # -- U02 ---------------------------------------------------------------------
 def covering_files(tests: DataFrame, test: str = "test") -> DataFrame:
-    """Distinct covering files and distinct test names of ``file::test`` ids."""
-    f = tests.select(F.lit("file").alias("kind"),
-                     F.split_part(F.col(test), F.lit("::"), F.lit(1)).alias("value"))
-    t = tests.select(F.lit("test").alias("kind"),
-                     F.split_part(F.col(test), F.lit("::"), F.lit(2)).alias("value"))
-    return f.unionByName(t).distinct()
+    """Distinct covering files and distinct test names of ``file::test`` ids
+    (one pass: each id yields both parts, one distinct)."""
+    parts = F.array(
+        F.struct(F.lit("file").alias("kind"), F.split_part(F.col(test), F.lit("::"), F.lit(1)).alias("value")),
+        F.struct(F.lit("test").alias("kind"), F.split_part(F.col(test), F.lit("::"), F.lit(2)).alias("value")))
+    return tests.select(F.inline(parts)).distinct()
 
 
 # -- P08 ---------------------------------------------------------------------
@@ -320,3 +329,26 @@ def test_selector(names: DataFrame, key: str = "instance_id", pos: str = "pos")
     order = F.when(F.col("repo") == "sympy/sympy", F.col("directive")).otherwise(F.lit(None))
     w = Window.partitionBy(key).orderBy(order, F.col("pos"))
     return both.select(key, "repo", F.row_number().over(w).cast("bigint").alias("ord"), "directive")
+
+
+# -- one-pass form of A08 + J07-J09 --------------------------------------------
+def status_matrix(status: DataFrame, keys: Sequence[str] = ("instance_id",), test: str = "test",
+                  seq: str = "seq", latest: dict[str, str] | None = None,
+                  earliest: dict[str, str] | None = None) -> DataFrame:
+    """One row per (keys, test) with one status column per phase: the latest
+    (``max_by`` over ``seq``) for ``latest`` phases, the first for
+    ``earliest`` phases.  When all phases live in one status table this
+    replaces one aggregate per phase plus the joins between them with a
+    single aggregate (one scan, one shuffle, map-side combine)."""
+    latest = latest or {"pristine": "find_passing", "patched": "validate"}
+    earliest = earliest or {}
+    ph, st, sq = F.col("phase"), F.col("status"), F.col(seq)
+    aggs = [F.max_by(F.when(ph == p, st), F.when(ph == p, sq)).alias(n) for n, p in latest.items()]
+    aggs += [F.min_by(F.when(ph == p, st), F.when(ph == p, sq)).alias(n) for n, p in earliest.items()]
+    return status.groupBy(*keys, test).agg(*aggs)
+
+
+def failed_from_matrix(m: DataFrame, selected: str = "pristine", run: str = "patched") -> DataFrame:
+    """J07 on a status matrix: selected (passing in ``selected``) and not
+    passing in ``run`` (missing counts as failed)."""
+    return m.where((F.col(selected) == "PASSED") & ~F.col(run).eqNullSafe(F.lit("PASSED")))

@@ -47,3 +47,14 @@ def majority_vote(votes: DataFrame, ballot: str = "ballot", voted: str = "voted"
         F.coalesce(F.col("k"), F.col("w.cnt")).cast("bigint").alias("winner_votes"),
         F.coalesce(F.col("stop_idx") + 1, F.col("total")).cast("bigint").alias("votes_cast"),
         F.col("w.first_idx").cast("bigint").alias("winner_first_vote"))
+
+
+def majority_winner(votes: DataFrame, ballot: str = "ballot", voted: str = "voted",
+                    idx: str = "vote_idx") -> DataFrame:
+    """Only the winner of each ballot (no ``votes_cast``): two partial
+    aggregates, no window.  An id past n/2 has the most votes, so the
+    early stop never changes the winner."""
+    counts = votes.groupBy(F.col(ballot).alias("ballot"), F.col(voted).alias("voted")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(idx).alias("first_idx"))
+    return counts.groupBy("ballot").agg(
+        F.max_by("voted", F.struct(F.col("cnt"), -F.col("first_idx"))).alias("winner"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import stats as S
-from ..operators.votes import majority_vote
+from ..operators.votes import majority_vote, majority_winner
 from ..sources.fixtures import fx_candidates, fx_prefix, fx_stats, fx_votes, with_fx
 
 GROUP_SIZE = 4
@@ -19,25 +19,34 @@ GROUP_SIZE = 4
 
 def selection_outcomes(cands: DataFrame, votes: DataFrame, group_size: int = GROUP_SIZE) -> DataFrame:
     """One statistics row per (instance, group): what the selector picked and
-    whether it was right.  Short-circuited groups pick candidate 0."""
+    whether it was right.  Short-circuited groups pick candidate 0.
+
+    Plan: one aggregate per (instance, group) gives the label flags and
+    whether any non-blank candidate passed its regression tests (W02); one
+    join brings those back; the vote winner comes from two partial
+    aggregates; one more aggregate picks.  Deduplication (W01) is not a
+    separate step here because it cannot change the pick: the first
+    candidate overall and the first candidate with the winning key are both
+    the first of their key, so both survive deduplication."""
     g = ["instance_id", "grp"]
-    flags = C.label_short_circuit(cands, g)
+    nonblank = F.col("patch").rlike(r"\S")
+    flags = (cands.groupBy(*g)
+             .agg(*C.label_flag_aggs(), F.bool_or(F.col("ok") & nonblank).alias("any_ok"))
+             .withColumn("skip", C.skip_flag()))
+    gid = F.concat(F.lit("group_"), F.col("grp").cast("string")).alias("group_id")
     skipped = flags.where("skip").select(
-        F.concat(F.lit("group_"), F.col("grp").cast("string")).alias("group_id"),
-        "instance_id", F.lit(0).cast("bigint").alias("patch_id"),
+        gid, "instance_id", F.lit(0).cast("bigint").alias("patch_id"),
         F.when(F.col("all_success"), 1).otherwise(0).cast("bigint").alias("is_success"),
         F.col("all_success").alias("is_all_success"),
         (~F.col("all_success")).alias("is_all_failed"))
-    live = cands.join(flags.where(~F.col("skip")).select(*g), g, "left_semi")
-    survivors = C.dedup_candidates(C.prune_or_keep_all(C.keep_candidates(live), g), g)
-    winners = majority_vote(votes).select(F.col("ballot").alias("instance_id"), "winner")
-    pick = (survivors.join(winners, "instance_id", "left")
-            .groupBy(*g).agg(F.min_by(F.struct("idx", "success_id"),
-                                      F.struct((F.col("cleaned") != F.coalesce(F.col("winner"), F.lit("")))
-                                               .alias("miss"), F.col("idx"))).alias("p")))
+    live = (cands.where(nonblank).join(flags.where(~F.col("skip")).select(*g, "any_ok"), g)
+            .where(F.col("ok") | ~F.col("any_ok")))
+    winners = majority_winner(votes).withColumnRenamed("ballot", "instance_id")
+    miss = F.col("cleaned") != F.coalesce(F.col("winner"), F.lit(""))
+    pick = (live.join(winners, "instance_id", "left").groupBy(*g)
+            .agg(F.min_by(F.struct("idx", "success_id"), F.struct(miss.alias("miss"), F.col("idx"))).alias("p")))
     chosen = pick.select(
-        F.concat(F.lit("group_"), F.col("grp").cast("string")).alias("group_id"),
-        "instance_id", (F.col("p.idx") - F.col("grp") * group_size).cast("bigint").alias("patch_id"),
+        gid, "instance_id", (F.col("p.idx") - F.col("grp") * group_size).cast("bigint").alias("patch_id"),
         F.when(F.col("p.success_id") == 1, 1).otherwise(0).cast("bigint").alias("is_success"),
         F.lit(False).alias("is_all_success"), F.lit(False).alias("is_all_failed"))
     return skipped.unionByName(chosen)

@@ -12,7 +12,8 @@ from ..sources.tables import table
 
 
 def q_enclosing_symbol(spark, d):
-    return Y.enclosing_symbol(fx_spans(spark, d))
+    return Y.enclosing_symbol(fx_spans(spark, d)).select(
+        "file_path", "sid", "name", "parent_function", "parent_class")
 
 
 def q_enclosing_class(spark, d):
@@ -21,8 +22,7 @@ def q_enclosing_class(spark, d):
 
 def q_symbol_lookup(spark, d):
     spans = fx_spans(spark, d)
-    funcs = Y.enclosing_symbol(spans).join(spans.select("file_path", "sid", "start_line", "end_line"),
-                                           ["file_path", "sid"])
+    funcs = Y.enclosing_symbol(spans)
     classes = spans.where(F.col("kind") == "class")
     p = table(spark, d, "part").where(F.col("p_partkey") % 50 == 0)
     lookups = p.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("identifier"),

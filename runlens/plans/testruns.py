@@ -11,30 +11,35 @@ from ..sources.fixtures import fx_log, fx_prefix, fx_status, with_fx
 from ..sources.tables import table
 
 
-def _latest(spark, d, phase, earliest=False):
-    s = fx_status(spark, d).where(F.col("phase") == phase)
-    return T.latest_status(s, ["instance_id"], earliest=earliest)
-
-
 def q_passing_tests(spark, d):
     return T.passing_tests(fx_status(spark, d))
 
 
+def _matrix(spark, d):
+    """find_passing latest (pristine), validate latest (patched) and validate
+    first (the retry / isolated run) per (instance, test), in one pass."""
+    return T.status_matrix(fx_status(spark, d), earliest={"retry": "validate"})
+
+
 def _failed(spark, d):
-    return T.failed_regressions(T.passing_tests(fx_status(spark, d)), _latest(spark, d, "validate"))
+    return T.failed_from_matrix(_matrix(spark, d))
 
 
 def q_failed_regressions(spark, d):
-    return _failed(spark, d)
+    return _failed(spark, d).select("instance_id", "test")
 
 
 def q_confirm_failures(spark, d):
-    return T.confirm_failures(_failed(spark, d), _latest(spark, d, "validate", earliest=True))
+    f = _failed(spark, d)
+    retry = f.select("instance_id", "test", F.col("retry").alias("status"))
+    return T.confirm_failures(f.select("instance_id", "test"), retry)
 
 
 def q_differential_regressions(spark, d):
-    return T.differential_regressions(_failed(spark, d), _latest(spark, d, "validate", earliest=True),
-                                      _latest(spark, d, "find_passing"))
+    f = _failed(spark, d)
+    return (f.where(~F.coalesce(F.col("retry") == "PASSED", F.lit(False))
+                    & F.coalesce(F.col("pristine") == "PASSED", F.lit(False)))
+            .select("instance_id", "test"))
 
 
 def q_first_n_per_instance(spark, d):
