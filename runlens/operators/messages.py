@@ -2,8 +2,8 @@
 prompt prefix sizes (W06), step text for labelling (F09) and completion
 flags (F10).
 
-Windows here are partitioned by run/conversation and use running frames;
-prefix *sizes* are computed as running sums instead of collecting prefixes,
+Per-conversation running aggregates go through the chunked scan of
+``scan.running``; prefix *sizes* are running sums instead of collected prefixes,
 which would be quadratic per conversation.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 # Phrases that mark a finished task in the default agent.
 COMPLETION_PHRASES = ["task completed", "task finished", "done",
                       "completed successfully", "finished successfully"]
@@ -122,17 +124,20 @@ def prompt_prefix(msgs: DataFrame, run: str = "run_id", order: str = "step",
                   reuse_history: bool = True) -> DataFrame:
     """Per turn: how many messages and characters are sent, and the length of
     the system prompt in force (last system message so far).  With history
-    reuse every earlier message is resent; otherwise only the new one."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    reuse every earlier message is resent; otherwise only the new one.
+    Running sums, not collected prefixes, and chunked per conversation (see
+    :func:`runlens.operators.scan.running`); ``order`` is an integer turn."""
     ln = F.coalesce(F.length("content"), F.lit(0)).cast("bigint")
+    sys_msg = F.when(F.col("role") == "system", F.col("content"))
     if reuse_history:
-        n, chars = F.count(F.lit(1)).over(w), F.sum(ln).over(w)
+        out = running(msgs, run, order, {"prompt_messages": ("count", F.lit(1)),
+                                         "prompt_chars": ("sum", ln), "_sys": ("last", sys_msg)})
     else:
-        n, chars = F.lit(1).cast("bigint"), ln
-    sys_now = F.last(F.when(F.col("role") == "system", F.col("content")), ignorenulls=True).over(w)
-    return msgs.select("*", n.cast("bigint").alias("prompt_messages"),
-                       chars.cast("bigint").alias("prompt_chars"),
-                       F.length(sys_now).cast("bigint").alias("system_chars"))
+        out = running(msgs, run, order, {"_sys": ("last", sys_msg)}).select(
+            "*", F.lit(1).cast("bigint").alias("prompt_messages"), ln.alias("prompt_chars"))
+    return (out.withColumn("prompt_messages", F.col("prompt_messages").cast("bigint"))
+            .withColumn("prompt_chars", F.col("prompt_chars").cast("bigint"))
+            .withColumn("system_chars", F.length("_sys").cast("bigint")).drop("_sys"))
 
 
 # -- F09 ---------------------------------------------------------------------
@@ -150,18 +155,17 @@ def assemble_step_text(steps: DataFrame, run: str = "run_id", order: str = "step
                        limit: int = STEP_CONTEXT_LIMIT) -> DataFrame:
     """Per step: the ``<step id="i">..</step>`` block and the size of all
     blocks so far joined by blank lines; labelling is skipped when that size
-    exceeds ``limit``.  Sizes are running sums, the text itself is only
-    built per step."""
-    w = Window.partitionBy(run).orderBy(order)
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    i = F.row_number().over(w)
-    block = F.concat(F.lit('<step id="'), i.cast("string"), F.lit('">\n'),
+    exceeds ``limit``.  Sizes are running sums (chunked per run, so a long
+    run is not one task); the text itself is only built per step.  The block
+    id ``i`` is the 1-based position, which needs ``order`` to be an integer
+    step."""
+    idx = running(steps, run, order, {"_i": ("count", F.lit(1))})
+    block = F.concat(F.lit('<step id="'), F.col("_i").cast("string"), F.lit('">\n'),
                      strip(F.col("step_text")), F.lit("\n</step>"))
-    out = steps.withColumn("block", block)
-    blen = F.length("block").cast("bigint")
-    total = F.sum(blen).over(wr) + 2 * (F.count(F.lit(1)).over(wr) - 1)
-    return (out.withColumn("context_chars", total.cast("bigint"))
-            .withColumn("skip_tagging", F.col("context_chars") > limit))
+    out = idx.withColumn("block", block).withColumn("_blen", F.length("block").cast("bigint"))
+    out = running(out, run, order, {"_sum": ("sum", "_blen")})
+    return (out.withColumn("context_chars", (F.col("_sum") + 2 * (F.col("_i") - 1)).cast("bigint"))
+            .withColumn("skip_tagging", F.col("context_chars") > limit).drop("_i", "_blen", "_sum"))
 
 
 # -- F10 ---------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .messages import strip
+from .scan import running
 
 # Patterns of the two addressable log formats.
 SYMPY_FILE_RE = r"^(sympy/[\w./]+\.py)\[\d+\]"
@@ -50,27 +51,8 @@ def read_log_lines(spark, path: str) -> DataFrame:
 def forward_fill(df: DataFrame, key: str, order: str, value: str, out: str,
                  chunk: int = 65536) -> DataFrame:
     """``out`` = last non-null ``value`` at or before each row, per ``key``
-    ordered by the integer ``order``.
-
-    Skew-safe: rows are cut into chunks of ``chunk`` consecutive positions
-    and the fill runs per (key, chunk), so no task ever holds a whole hot
-    key.  The same window pass also yields each chunk's last value; those
-    few rows (one per chunk) give the value carried into later chunks, and
-    are joined back on (key, chunk), the partitioning the big side already
-    has, so only the small carry table moves."""
-    c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    w = Window.partitionBy(key, "_chunk").orderBy(order)
-    local = (c.withColumn("_local", F.last(F.col(value), ignorenulls=True)
-                          .over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("_end", F.last(F.col(value), ignorenulls=True)
-                         .over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    per_chunk = local.groupBy(key, "_chunk").agg(F.first("_end", ignorenulls=True).alias("_v"))
-    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (per_chunk.withColumn("_carry", F.last("_v", ignorenulls=True).over(wc))
-             .where(F.col("_carry").isNotNull()).select(key, "_chunk", "_carry"))
-    return (local.join(carry, [key, "_chunk"], "left")
-            .withColumn(out, F.coalesce("_local", "_carry"))
-            .drop("_chunk", "_local", "_end", "_carry"))
+    ordered by the integer ``order`` (skew-safe, see :mod:`runlens.operators.scan`)."""
+    return running(df, key, order, {out: ("last", value)}, chunk=chunk)
 
 
 # -- W04 ---------------------------------------------------------------------

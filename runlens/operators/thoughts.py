@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def validate_thoughts(t: DataFrame) -> DataFrame:
     """One ``error`` per bad record (first failing rule), good records
@@ -42,12 +44,14 @@ def thought_branches(t: DataFrame, session: str = "session_id", pos: str = "pos"
 
 
 def thought_history(t: DataFrame, session: str = "session_id", pos: str = "pos") -> DataFrame:
-    """Per valid thought: history length so far and distinct branches so far."""
+    """Per valid thought: history length so far and distinct branches so far
+    (first thought of each branch found by a partial aggregate; running
+    counts chunked per session)."""
     v = validate_thoughts(t).where(F.col("error").isNull())
-    w = Window.partitionBy(session).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     is_br = F.col("branch_from_norm").isNotNull() & F.col("branch_id").isNotNull()
-    first_of_branch = F.row_number().over(Window.partitionBy(session, F.when(is_br, F.col("branch_id")))
-                                          .orderBy(pos)) == 1
-    return (v.withColumn("_new", (is_br & first_of_branch).cast("int"))
-            .select(session, pos, F.count(F.lit(1)).over(w).alias("history_length"),
-                    F.sum("_new").over(w).cast("bigint").alias("branches")))
+    firsts = (v.where(is_br).groupBy(session, "branch_id").agg(F.min(pos).alias(pos))
+              .select(session, pos, F.lit(1).alias("_new")).groupBy(session, pos).agg(F.sum("_new").alias("_new")))
+    x = v.select(session, pos).join(firsts, [session, pos], "left")
+    out = running(x, session, pos, {"history_length": ("count", F.lit(1)), "branches": ("sum", "_new")})
+    return out.select(session, pos, F.col("history_length").cast("bigint").alias("history_length"),
+                      F.col("branches").cast("bigint").alias("branches"))
