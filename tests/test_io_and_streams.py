@@ -194,3 +194,29 @@ def test_stream_vote_equals_batch(spark):
     s = {r.ballot: r.winner for r in q_stream_majority_vote(spark, SF).collect()}
     b = {r.ballot: r.winner for r in majority_vote(fx_votes(spark, SF)).collect()}
     assert s == b and len(s) == table(spark, SF, "orders").select("o_custkey").distinct().count()
+
+
+def test_run_timings_and_instances_array(spark, tmp):
+    p = os.path.join(tmp, "timings.jsonl")
+    with open(p, "w") as f:
+        f.write(json.dumps({"ts_start": 1.0, "ts_end": 3.5, "wall_s": 2.5, "cpu_s": None, "phase": "validate",
+                            "instance_id": "i", "n_tests": 4, "command": "pytest", "exit_code": 0,
+                            "stdout_sha256": "ab", "image_id": "x", "image_ref": "y"}) + "\n")
+        f.write(json.dumps({"ts_start": 0.0, "ts_end": 1.0, "wall_s": 1.0, "stage": "select",
+                            "instance_id": "i", "kind": "setup"}) + "\n")
+    t = {r.record: r for r in R.read_run_timings(spark, p).collect()}
+    assert t["test_run"].wall_s == 2.5 and t["test_run"].cpu_s is None and t["container"].stage == "select"
+    a = os.path.join(tmp, "inst.json")
+    with open(a, "w") as f:
+        json.dump([{"instance_id": "x", "repo": "r", "PASS_TO_PASS": '["t1", "t2"]'},
+                   {"repo": "no id"}], f)
+    inst = R.read_instances(spark, a, fmt="json")
+    assert inst.count() == 1
+    assert sorted(r.test for r in R.pass_to_pass(inst).collect()) == ["t1", "t2"]
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as e
+    df = e.entry(spark)
+    rows = df.collect()
+    assert len(rows) > 0 and "success_rate_among_all" in df.columns
