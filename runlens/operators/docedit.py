@@ -11,13 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Snippet context, output truncation limit and notice, and the
+# edit tool's messages (printf-style formats, in the order the checks run).
 SNIPPET_LINES = 4
-# Output truncation limit and notice.
 MAX_RESPONSE_LEN = 16000
 TRUNCATED_MESSAGE = ("<response clipped><NOTE>To save on context only part of this file has been "
                      "shown to you. You should retry this tool after you have searched inside the "
                      "file with `grep -n` in order to find the line numbers of what you are looking "
                      "for.</NOTE>")
+MSG = {
+    "not_found": "No replacement was performed, old_str `%s` did not appear verbatim in %s.",
+    "not_unique": ("No replacement was performed. Multiple occurrences of old_str `%s` in lines [%s]. "
+                   "Please ensure it is unique"),
+    "bad_insert": ("Invalid `insert_line` parameter: %d. It should be within the range of lines of the "
+                   "file: [0, %d]"),
+    "exists": "File already exists at: %s. Cannot overwrite files using command `create`.",
+    "range_first": ("Invalid `view_range`: %s. Its first element `%d` should be within the range of lines "
+                    "of the file: [1, %d]"),
+    "range_second": ("Invalid `view_range`: %s. Its second element `%d` should be smaller than the number "
+                     "of lines in the file: `%d`"),
+    "range_order": ("Invalid `view_range`: %s. Its second element `%d` should be larger or equal than its "
+                    "first `%d`"),
+    "no_history": "No edit history found for %s.",
+    "line_number": "%6d\t%s",
+}
 
 
 def expand_tabs(c: Column, size: int = 8) -> Column:
@@ -45,7 +62,7 @@ def numbered(c: Column, init_line: Column | int = 1) -> Column:
     """``cat -n`` style: ``%6d\\t`` + line, after truncation and tab expansion."""
     i0 = F.lit(init_line) if isinstance(init_line, int) else init_line
     lines = F.split(expand_tabs(truncate(c)), "\n", -1)
-    return F.array_join(F.transform(lines, lambda ln, i: F.format_string("%6d\t%s", i + i0, ln)), "\n")
+    return F.array_join(F.transform(lines, lambda ln, i: F.format_string(MSG["line_number"], i + i0, ln)), "\n")
 
 
 def _count(content: Column, old: Column) -> Column:
@@ -66,11 +83,10 @@ def replace_unique(docs: DataFrame, edits: DataFrame) -> DataFrame:
     lines = F.split(F.col("c"), "\n", -1)
     hit_lines = F.filter(F.transform(lines, lambda ln, i: F.when(F.contains(ln, F.col("o")), i + 1)),
                          lambda v: v.isNotNull())
-    err = (F.when(n_occ == 0, F.format_string(
-        "No replacement was performed, old_str `%s` did not appear verbatim in %s.", F.col("o"), F.col("path")))
-        .when(n_occ > 1, F.format_string(
-            "No replacement was performed. Multiple occurrences of old_str `%s` in lines [%s]. Please ensure it is unique",
-            F.col("o"), F.array_join(F.transform(hit_lines, lambda v: v.cast("string")), ", "))))
+    err = (F.when(n_occ == 0, F.format_string(MSG["not_found"], F.col("o"), F.col("path")))
+           .when(n_occ > 1, F.format_string(
+               MSG["not_unique"], F.col("o"),
+               F.array_join(F.transform(hit_lines, lambda v: v.cast("string")), ", "))))
     x = x.withColumn("error", err).withColumn(
         "new_content", F.when(F.col("error").isNull(), F.replace("c", "o", "n")).otherwise(F.col("c")))
     rl = F.size(F.split(F.expr("substring_index(c, o, 1)"), "\n", -1)) - 1
@@ -98,9 +114,7 @@ def insert_lines(docs: DataFrame, inserts: DataFrame) -> DataFrame:
     return x.select(
         "path",
         F.when(ok, F.array_join(body, "\n")).otherwise(F.col("content")).alias("content"),
-        F.when(~ok, F.format_string(
-            "Invalid `insert_line` parameter: %d. It should be within the range of lines of the file: [0, %d]",
-            F.col("line"), n)).alias("error"),
+        F.when(~ok, F.format_string(MSG["bad_insert"], F.col("line"), n)).alias("error"),
         F.when(ok, numbered(F.array_join(snip, "\n"), F.greatest(F.lit(1), lo + 1))).alias("snippet"))
 
 
@@ -112,8 +126,7 @@ def create_if_absent(docs: DataFrame, creates: DataFrame) -> DataFrame:
         "path", "content", F.lit(True).alias("created"), F.lit(None).cast("string").alias("error"))
     dup = creates.join(docs.select("path"), "path", "left_semi").select(
         "path", "content", F.lit(False).alias("created"),
-        F.format_string("File already exists at: %s. Cannot overwrite files using command `create`.",
-                        F.col("path")).alias("error"))
+        F.format_string(MSG["exists"], F.col("path")).alias("error"))
     return new.unionByName(dup)
 
 
@@ -127,15 +140,9 @@ def view_lines(docs: DataFrame, views: DataFrame) -> DataFrame:
     s, e = F.col("start"), F.col("end")
     rng = F.format_string("[%d, %d]", s, e)
     has = s.isNotNull()
-    err = (F.when(has & ((s < 1) | (s > n)), F.format_string(
-        "Invalid `view_range`: %s. Its first element `%d` should be within the range of lines of the file: [1, %d]",
-        rng, s, n))
-        .when(has & (e > n), F.format_string(
-            "Invalid `view_range`: %s. Its second element `%d` should be smaller than the number of lines in the file: `%d`",
-            rng, e, n))
-        .when(has & (e != -1) & (e < s), F.format_string(
-            "Invalid `view_range`: %s. Its second element `%d` should be larger or equal than its first `%d`",
-            rng, e, s)))
+    err = (F.when(has & ((s < 1) | (s > n)), F.format_string(MSG["range_first"], rng, s, n))
+           .when(has & (e > n), F.format_string(MSG["range_second"], rng, e, n))
+           .when(has & (e != -1) & (e < s), F.format_string(MSG["range_order"], rng, e, s)))
     part = (F.when(~has, F.col("content"))
             .when(e == -1, F.array_join(F.expr("slice(l, start, size(l) - start + 1)"), "\n"))
             .otherwise(F.array_join(F.expr("slice(l, start, end - start + 1)"), "\n")))
@@ -184,5 +191,5 @@ def undo_last_edit(versions: DataFrame, path: str = "path", version: str = "vers
     return g.select(
         path, F.when(F.col("_n") == 2, F.col("v." + version)).alias("restored_version"),
         F.when(F.col("_n") == 2, F.col("v.content")).alias("content"),
-        F.when(F.col("_n") < 2, F.format_string("No edit history found for %s.", F.col(path).cast("string")))
+        F.when(F.col("_n") < 2, F.format_string(MSG["no_history"], F.col(path).cast("string")))
         .alias("error"))

@@ -17,8 +17,13 @@ from .scan import running
 # Phrases that mark a finished task in the default agent.
 COMPLETION_PHRASES = ["task completed", "task finished", "done",
                       "completed successfully", "finished successfully"]
-# Default text for a failed tool result without details.
+# Default text for a failed tool result without details, the
+# two ways tool errors are appended to results, and message errors.
 SILENT_FAILURE_TEXT = "Tool execution failed without providing error details."
+ERROR_SUFFIX_OPENAI = "\nError: "
+ERROR_PREFIX_CHAT = "Tool call failed with error:\n"
+CONTENT_REQUIRED = "Message content is required"
+INVALID_ROLE = "Invalid message role: "
 STEP_CONTEXT_LIMIT = 300_000
 
 
@@ -39,10 +44,10 @@ def tool_result_text(res: Column, style: str) -> Column:
     r, e = res["result"], res["error"]
     if style == "openai":
         txt = F.concat(F.coalesce(r, F.lit("")),
-                       F.when(F.length(e) > 0, F.concat(F.lit("\nError: "), e)).otherwise(F.lit("")))
+                       F.when(F.length(e) > 0, F.concat(F.lit(ERROR_SUFFIX_OPENAI), e)).otherwise(F.lit("")))
     else:
         txt = F.concat(F.when(F.length(r) > 0, F.concat(r, F.lit("\n"))).otherwise(F.lit("")),
-                       F.when(F.length(e) > 0, F.concat(F.lit("Tool call failed with error:\n"), e))
+                       F.when(F.length(e) > 0, F.concat(F.lit(ERROR_PREFIX_CHAT), e))
                         .otherwise(F.lit("")))
     txt = strip(txt)
     if style == "anthropic":
@@ -75,8 +80,8 @@ def to_chat_messages(msgs: DataFrame, provider: str) -> DataFrame:
         chat_content = (F.when(is_sys, content).when(tr.isNotNull(), tool_result_text(tr, "anthropic"))
                         .when(tc.isNotNull(), tc["arguments"]).otherwise(content))
         error = (F.when(is_sys | tr.isNotNull() | tc.isNotNull(), F.lit(None))
-                 .when(~role.isin("user", "assistant"), F.concat(F.lit("Invalid message role: "), role))
-                 .when(empty, F.lit("Message content is required")))
+                 .when(~role.isin("user", "assistant"), F.concat(F.lit(INVALID_ROLE), role))
+                 .when(empty, F.lit(CONTENT_REQUIRED)))
     elif p in ("openai", "compatible"):
         is_sys = F.lit(False)
         if p == "openai":
@@ -96,9 +101,9 @@ def to_chat_messages(msgs: DataFrame, provider: str) -> DataFrame:
                         .otherwise(content))
         error = (F.when(tr.isNotNull() | tc.isNotNull(), F.lit(None))
                  .when(empty & role.isin("system", "user", "assistant"),
-                       F.lit("Message content is required"))
+                       F.lit(CONTENT_REQUIRED))
                  .when(~role.isin("system", "user", "assistant"),
-                       F.concat(F.lit("Invalid message role: "), role)))
+                       F.concat(F.lit(INVALID_ROLE), role)))
     else:
         raise ValueError(f"unknown provider style {provider!r}")
     return msgs.select("*", chat_role.alias("chat_role"), chat_content.alias("chat_content"),

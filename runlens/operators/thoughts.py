@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from .scan import running
 
+# Validation messages, in the order the checks run.
+MSG = {
+    "thought": "Invalid thought: must be a string",
+    "thought_number": "Invalid thought_number: must be a number",
+    "total_thoughts": "Invalid total_thoughts: must be a number",
+    "next_thought_needed": "Invalid next_thought_needed: must be a boolean",
+    "number_min": "thought_number must be at least 1",
+    "total_min": "total_thoughts must be at least 1",
+    "revises_thought": "revises_thought must be a positive integer",
+    "branch_from_thought": "branch_from_thought must be a positive integer",
+}
+
 
 def validate_thoughts(t: DataFrame) -> DataFrame:
     """One ``error`` per bad record (first failing rule), good records
@@ -16,16 +28,16 @@ def validate_thoughts(t: DataFrame) -> DataFrame:
         v = F.col(c) if c in t.columns else F.lit(None).cast("bigint")
         return v, F.when(v.isNotNull() & (v != 0) & (v < 1), F.lit(msg))
 
-    rev, rev_err = opt("revises_thought", "revises_thought must be a positive integer")
-    br, br_err = opt("branch_from_thought", "branch_from_thought must be a positive integer")
+    rev, rev_err = opt("revises_thought", MSG["revises_thought"])
+    br, br_err = opt("branch_from_thought", MSG["branch_from_thought"])
     n, tot = F.col("thought_number"), F.col("total_thoughts")
     err = F.coalesce(
-        F.when(F.col("thought").isNull(), F.lit("Invalid thought: must be a string")),
-        F.when(n.isNull(), F.lit("Invalid thought_number: must be a number")),
-        F.when(tot.isNull(), F.lit("Invalid total_thoughts: must be a number")),
-        F.when(F.col("next_thought_needed").isNull(), F.lit("Invalid next_thought_needed: must be a boolean")),
-        F.when(n < 1, F.lit("thought_number must be at least 1")),
-        F.when(tot < 1, F.lit("total_thoughts must be at least 1")),
+        F.when(F.col("thought").isNull(), F.lit(MSG["thought"])),
+        F.when(n.isNull(), F.lit(MSG["thought_number"])),
+        F.when(tot.isNull(), F.lit(MSG["total_thoughts"])),
+        F.when(F.col("next_thought_needed").isNull(), F.lit(MSG["next_thought_needed"])),
+        F.when(n < 1, F.lit(MSG["number_min"])),
+        F.when(tot < 1, F.lit(MSG["total_min"])),
         rev_err, br_err)
     return t.select(
         "*", err.alias("error"),

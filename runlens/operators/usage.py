@@ -12,6 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Exit code and output markers of a test command that never ran.
+EXEC_FAILED_CODE = 255
+EXEC_FAILED_TEXT = "argument list too long"
+EXEC_FAILED_PREFIX = "exec "
+
 USAGE_FIELDS = ["input_tokens", "output_tokens", "cache_creation_input_tokens",
                 "cache_read_input_tokens", "reasoning_tokens"]
 
@@ -149,8 +154,8 @@ def attach_step_summary(steps: DataFrame, summaries: DataFrame, run: str = "run_
 def exec_failed(exit_code: str = "exit_code", output: str = "output") -> Column:
     """The test command never ran: exit 255 and an exec diagnostic."""
     o = F.col(output)
-    return (F.col(exit_code) == 255) & (F.contains(o, F.lit("argument list too long"))
-                                        | F.startswith(o, F.lit("exec ")))
+    return (F.col(exit_code) == EXEC_FAILED_CODE) & (F.contains(o, F.lit(EXEC_FAILED_TEXT))
+                                                     | F.startswith(o, F.lit(EXEC_FAILED_PREFIX)))
 
 
 def failed_exec_runs(runs: DataFrame, key: Sequence[str] = ("run_id",)) -> DataFrame:
