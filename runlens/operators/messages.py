@@ -9,7 +9,7 @@ which would be quadratic per conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import running
@@ -119,9 +119,10 @@ def system_prompt(msgs: DataFrame, run: str = "run_id", order: str = "step") ->
 # -- W03 ---------------------------------------------------------------------
 def previous_step(msgs: DataFrame, run: str = "run_id", order: str = "step",
                   text: str = "content") -> DataFrame:
-    """Text of the preceding step, ``(none)`` for the first one."""
-    w = Window.partitionBy(run).orderBy(order)
-    return msgs.withColumn("previous", F.coalesce(F.lag(text).over(w), F.lit("(none)")))
+    """Text of the preceding step, ``(none)`` for the first one (chunked lag,
+    so one very long run is not one task; ``order`` is an integer step)."""
+    out = running(msgs, run, order, {"_prev": ("lag", text)})
+    return out.withColumn("previous", F.coalesce(F.col("_prev"), F.lit("(none)"))).drop("_prev")
 
 
 # -- W06 ---------------------------------------------------------------------

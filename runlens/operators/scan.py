@@ -21,8 +21,9 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
             chunk: int = CHUNK) -> DataFrame:
     """Add one column per ``out -> (kind, expr)``: ``sum`` / ``count`` (of
     non-null values) / ``last`` (last non-null), over all rows of the key with
-    ``order`` at or before the current row.  ``order`` must be an integer
-    position (ties are fine only for ``sum``/``count`` of equal rows)."""
+    ``order`` at or before the current row, or ``lag`` (the value on the
+    previous row, null or not; null on the key's first row).  ``order`` must
+    be an integer position, unique per key."""
     c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     w = Window.partitionBy(key, "_chunk").orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -37,6 +38,13 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
         elif kind == "last":
             c = (c.withColumn(f"_l_{out}", F.last(col, ignorenulls=True).over(upto))
                  .withColumn(f"_t_{out}", F.last(col, ignorenulls=True).over(whole)))
+        elif kind == "lag":
+            # inside a chunk an ordinary lag; a chunk's first row takes the last
+            # row of the nearest earlier chunk (wrapped so a null value still
+            # counts as "a row was there")
+            first_row = F.row_number().over(w) == 1
+            c = (c.withColumn(f"_l_{out}", F.when(~first_row, F.struct(F.lag(col).over(w).alias("v"))))
+                 .withColumn(f"_t_{out}", F.last(F.struct(col.alias("v"))).over(whole)))
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
         tot_aggs.append(F.first(f"_t_{out}").alias(f"_t_{out}"))
@@ -44,12 +52,16 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for out, (kind, _) in specs.items():
         t = F.col(f"_t_{out}")
-        agg = F.last(t, ignorenulls=True) if kind == "last" else F.sum(t)
+        agg = (F.last(t, ignorenulls=True) if kind in ("last", "lag") else F.sum(t))
         per_chunk = per_chunk.withColumn(f"_c_{out}", agg.over(before))
         carry_cols.append(f"_c_{out}")
         loc, car = F.col(f"_l_{out}"), F.col(f"_c_{out}")
-        final[out] = (F.coalesce(loc, car) if kind == "last"
-                      else (F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))))
+        if kind == "last":
+            final[out] = F.coalesce(loc, car)
+        elif kind == "lag":
+            final[out] = F.coalesce(loc, car)["v"]
+        else:
+            final[out] = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
     carry = per_chunk.select(key, "_chunk", *carry_cols)
     out_df = c.join(carry, [key, "_chunk"], "left")
     for out, e in final.items():

@@ -190,3 +190,19 @@ def test_expand_tabs_matches_python(spark):
     vals = ["a\tb", "\t\tx", "abcdefgh\ti", "no tabs", "x\ty\n\tz"]
     got = _one(spark, E.expand_tabs(F.col("v")), *vals)
     assert got == [v.expandtabs() for v in vals]
+
+
+def test_running_scan_matches_windows(spark):
+    from pyspark.sql import Window
+    from runlens.operators.scan import running
+    rows = [("A" if i % 3 else "B", i, (None if i % 4 == 0 else f"v{i}"), i % 5) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "k string, n long, v string, x long")
+    got = running(df, "k", "n", {"lag": ("lag", "v"), "last": ("last", "v"), "s": ("sum", "x"),
+                                 "c": ("count", "v")}, chunk=7)
+    w = Window.partitionBy("k").orderBy("n")
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", "n", F.lag("v").over(w).alias("lag"), F.last("v", True).over(wr).alias("last"),
+                    F.sum("x").over(wr).alias("s"), F.count("v").over(wr).alias("c"))
+    a = sorted(tuple(r) for r in got.select("k", "n", "lag", "last", "s", "c").collect())
+    b = sorted(tuple(r) for r in ref.collect())
+    assert a == b
