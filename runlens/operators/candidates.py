@@ -169,6 +169,16 @@ def seeded_sample(items: DataFrame, key: Sequence[str] | str, item: str, k: int,
     return items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+# -- U01 ---------------------------------------------------------------------
+def union_batches(*selections: DataFrame) -> DataFrame:
+    """Union-all of per-batch selections (no dedup across batches; the cap
+    and sample come after)."""
+    out = selections[0]
+    for s in selections[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 # -- J04 / K02 ---------------------------------------------------------------
 def pending_instances(wanted: DataFrame, done: DataFrame, key: str = "instance_id",
                       complete: Column | None = None) -> DataFrame:

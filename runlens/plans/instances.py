@@ -185,6 +185,29 @@ SELECT DISTINCT split_part(status, ':', 1) AS prefix, instance_id AS item FROM b
     "json_view": with_fx("""
 SELECT doc_id, coalesce(CAST(json_extract(doc, '$.k') AS VARCHAR), 'No matches found for JSONPath: $.k') AS value,
        coalesce(CAST(json_extract(doc, '$.missing') AS VARCHAR), 'No matches found for JSONPath: $.missing') AS missing
+FROM fx_json""", "fx_json"),
+    # Python json.dumps spacing from DuckDB's compact JSON: valid here because
+    # the documents hold only numbers (no ':' or ',' inside strings).
+    "json_set": with_fx("""
+SELECT doc_id,
+       CASE WHEN json_extract(doc, '$.k') IS NOT NULL
+            THEN replace(replace(CAST(json_merge_patch(doc, '{"k":0}') AS VARCHAR), ':', ': '), ',', ', ')
+            ELSE doc END AS doc,
+       CAST(CASE WHEN json_extract(doc, '$.k') IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS matches,
+       CASE WHEN json_extract(doc, '$.k') IS NULL THEN 'No matches found for JSONPath: $.k' END AS error
+FROM fx_json""", "fx_json"),
+    "json_add": with_fx("""
+SELECT doc_id,
+       replace(replace(CAST(json_merge_patch(doc, '{"seen":true}') AS VARCHAR), ':', ': '), ',', ', ') AS doc,
+       CAST(NULL AS VARCHAR) AS error
+FROM fx_json""", "fx_json"),
+    "json_remove": with_fx("""
+SELECT doc_id,
+       CASE WHEN json_extract(doc, '$.k') IS NOT NULL
+            THEN replace(replace(CAST(json_merge_patch(doc, '{"k":null}') AS VARCHAR), ':', ': '), ',', ', ')
+            ELSE doc END AS doc,
+       CAST(CASE WHEN json_extract(doc, '$.k') IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS matches,
+       CASE WHEN json_extract(doc, '$.k') IS NULL THEN 'No matches found for JSONPath: $.k' END AS error
 FROM fx_json""", "fx_json"),
     "json_view_recursive": with_fx("""
 SELECT doc_id, coalesce(CAST(json_extract(doc, '$.k') AS VARCHAR), 'No matches found for JSONPath: $..k') AS value

@@ -68,7 +68,7 @@ def q_union_batches(spark, d):
     head = b.where(F.col("pos") - F.col("batch") * 20 < 5).select("instance_id", "batch", "test")
     samp = C.seeded_sample(b, ["instance_id", "batch"], "test", k=3, seed="s").select(
         "instance_id", "batch", "test")
-    return head.unionByName(samp)
+    return C.union_batches(head, samp)
 
 
 def q_parse_grouped_log(spark, d):
