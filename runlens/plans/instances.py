@@ -145,6 +145,8 @@ _BUILD = f"""bs AS (SELECT event_id AS instance_id,
        WHEN 'error' THEN 'error(exit ' || CAST({_K} AS VARCHAR(20)) || '): boom'
        WHEN 'purchase' THEN 'failed: exit ' || CAST({_K} AS VARCHAR(20)) ELSE 'skipped: no tests' END AS status
   FROM events)"""
+_PRETTY = ("CASE WHEN {x} = '{{}}' THEN '{{}}' ELSE replace(replace(replace(replace({x}, '{{', '{{' || chr(10) || '  '), "
+           "',', ',' || chr(10) || '  '), ':', ': '), '}}', chr(10) || '}}') END")
 _PYTEST = "(" + ", ".join(f"'{r}'" for r in I.PYTEST_REPOS) + ")"
 
 ORACLE = {
@@ -186,25 +188,25 @@ SELECT DISTINCT split_part(status, ':', 1) AS prefix, instance_id AS item FROM b
 SELECT doc_id, coalesce(CAST(json_extract(doc, '$.k') AS VARCHAR), 'No matches found for JSONPath: $.k') AS value,
        coalesce(CAST(json_extract(doc, '$.missing') AS VARCHAR), 'No matches found for JSONPath: $.missing') AS missing
 FROM fx_json""", "fx_json"),
-    # Python json.dumps spacing from DuckDB's compact JSON: valid here because
-    # the documents hold only numbers (no ':' or ',' inside strings).
-    "json_set": with_fx("""
+    # 2-space indented JSON (as the edit tool writes files) from DuckDB's
+    # compact JSON: valid here because the documents are flat objects of
+    # numbers and booleans (no ':', ',', braces inside strings).
+    "json_set": with_fx(f"""
 SELECT doc_id,
        CASE WHEN json_extract(doc, '$.k') IS NOT NULL
-            THEN replace(replace(CAST(json_merge_patch(doc, '{"k":0}') AS VARCHAR), ':', ': '), ',', ', ')
+            THEN {_PRETTY.format(x="CAST(json_merge_patch(doc, '{\"k\":0}') AS VARCHAR)")}
             ELSE doc END AS doc,
        CAST(CASE WHEN json_extract(doc, '$.k') IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS matches,
        CASE WHEN json_extract(doc, '$.k') IS NULL THEN 'No matches found for JSONPath: $.k' END AS error
 FROM fx_json""", "fx_json"),
-    "json_add": with_fx("""
-SELECT doc_id,
-       replace(replace(CAST(json_merge_patch(doc, '{"seen":true}') AS VARCHAR), ':', ': '), ',', ', ') AS doc,
+    "json_add": with_fx(f"""
+SELECT doc_id, {_PRETTY.format(x="CAST(json_merge_patch(doc, '{\"seen\":true}') AS VARCHAR)")} AS doc,
        CAST(NULL AS VARCHAR) AS error
 FROM fx_json""", "fx_json"),
-    "json_remove": with_fx("""
+    "json_remove": with_fx(f"""
 SELECT doc_id,
        CASE WHEN json_extract(doc, '$.k') IS NOT NULL
-            THEN replace(replace(CAST(json_merge_patch(doc, '{"k":null}') AS VARCHAR), ':', ': '), ',', ', ')
+            THEN {_PRETTY.format(x="CAST(json_merge_patch(doc, '{\"k\":null}') AS VARCHAR)")}
             ELSE doc END AS doc,
        CAST(CASE WHEN json_extract(doc, '$.k') IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS matches,
        CASE WHEN json_extract(doc, '$.k') IS NULL THEN 'No matches found for JSONPath: $.k' END AS error
