@@ -34,6 +34,15 @@ MSG = {
                     "first `%d`"),
     "no_history": "No edit history found for %s.",
     "line_number": "%6d\t%s",
+    "cat_n": "Here's the result of running `cat -n` on %s:\n",
+    "edited": "The file %s has been edited. ",
+    "review": "Review the changes and make sure they are as expected. Edit the file again if necessary.",
+    "review_insert": ("Review the changes and make sure they are as expected (correct indentation, no duplicate "
+                      "lines, etc). Edit the file again if necessary."),
+    "snippet_of": "a snippet of %s",
+    "snippet_edited": "a snippet of the edited file",
+    "created": "File created successfully at: %s",
+    "undone": "Last edit to %s undone successfully. ",
 }
 
 
@@ -65,6 +74,11 @@ def numbered(c: Column, init_line: Column | int = 1) -> Column:
     return F.array_join(F.transform(lines, lambda ln, i: F.format_string(MSG["line_number"], i + i0, ln)), "\n")
 
 
+def make_output(text: Column, descriptor: Column, init_line: Column | int = 1) -> Column:
+    """The ``cat -n`` block the tool prints: header, numbered lines, newline."""
+    return F.concat(F.format_string(MSG["cat_n"], descriptor), numbered(text, init_line), F.lit("\n"))
+
+
 def _count(content: Column, old: Column) -> Column:
     """Non-overlapping occurrences (Python ``str.count``)."""
     return F.floor((F.length(content) - F.length(F.replace(content, old, F.lit("")))) / F.length(old))
@@ -93,8 +107,12 @@ def replace_unique(docs: DataFrame, edits: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), rl - SNIPPET_LINES)
     end = rl + SNIPPET_LINES + F.size(F.split(F.col("n"), "\n", -1)) - 1
     snippet = F.array_join(F.slice(F.split(F.col("new_content"), "\n", -1), start + 1, end - start + 1), "\n")
+    msg = F.concat(F.format_string(MSG["edited"], F.col("path")),
+                   make_output(snippet, F.format_string(MSG["snippet_of"], F.col("path")), start + 1),
+                   F.lit(MSG["review"]))
     return x.select("path", F.col("new_content").alias("content"), "error",
-                    F.when(F.col("error").isNull(), numbered(snippet, start + 1)).alias("snippet"))
+                    F.when(F.col("error").isNull(), numbered(snippet, start + 1)).alias("snippet"),
+                    F.when(F.col("error").isNull(), msg).alias("message"))
 
 
 # -- F12 ---------------------------------------------------------------------
@@ -115,7 +133,11 @@ def insert_lines(docs: DataFrame, inserts: DataFrame) -> DataFrame:
         "path",
         F.when(ok, F.array_join(body, "\n")).otherwise(F.col("content")).alias("content"),
         F.when(~ok, F.format_string(MSG["bad_insert"], F.col("line"), n)).alias("error"),
-        F.when(ok, numbered(F.array_join(snip, "\n"), F.greatest(F.lit(1), lo + 1))).alias("snippet"))
+        F.when(ok, numbered(F.array_join(snip, "\n"), F.greatest(F.lit(1), lo + 1))).alias("snippet"),
+        F.when(ok, F.concat(F.format_string(MSG["edited"], F.col("path")),
+                            make_output(F.array_join(snip, "\n"), F.lit(MSG["snippet_edited"]),
+                                        F.greatest(F.lit(1), lo + 1)),
+                            F.lit(MSG["review_insert"]))).alias("message"))
 
 
 # -- F13 ---------------------------------------------------------------------
@@ -123,10 +145,12 @@ def create_if_absent(docs: DataFrame, creates: DataFrame) -> DataFrame:
     """Rows to add (path is new) and error rows (path exists), with a
     ``created`` flag; the caller appends the created rows."""
     new = creates.join(docs.select("path"), "path", "left_anti").select(
-        "path", "content", F.lit(True).alias("created"), F.lit(None).cast("string").alias("error"))
+        "path", "content", F.lit(True).alias("created"), F.lit(None).cast("string").alias("error"),
+        F.format_string(MSG["created"], F.col("path")).alias("message"))
     dup = creates.join(docs.select("path"), "path", "left_semi").select(
         "path", "content", F.lit(False).alias("created"),
-        F.format_string(MSG["exists"], F.col("path")).alias("error"))
+        F.format_string(MSG["exists"], F.col("path")).alias("error"),
+        F.lit(None).cast("string").alias("message"))
     return new.unionByName(dup)
 
 
@@ -147,7 +171,8 @@ def view_lines(docs: DataFrame, views: DataFrame) -> DataFrame:
             .when(e == -1, F.array_join(F.expr("slice(l, start, size(l) - start + 1)"), "\n"))
             .otherwise(F.array_join(F.expr("slice(l, start, end - start + 1)"), "\n")))
     return x.select("path", "start", "end", err.alias("error"),
-                    F.when(err.isNull(), numbered(part, F.coalesce(s, F.lit(1)))).alias("output"))
+                    F.when(err.isNull(), make_output(part, F.col("path"), F.coalesce(s, F.lit(1))))
+                    .alias("output"))
 
 
 # -- W07 ---------------------------------------------------------------------
@@ -192,4 +217,7 @@ def undo_last_edit(versions: DataFrame, path: str = "path", version: str = "vers
         path, F.when(F.col("_n") == 2, F.col("v." + version)).alias("restored_version"),
         F.when(F.col("_n") == 2, F.col("v.content")).alias("content"),
         F.when(F.col("_n") < 2, F.format_string(MSG["no_history"], F.col(path).cast("string")))
-        .alias("error"))
+        .alias("error"),
+        F.when(F.col("_n") == 2, F.concat(F.format_string(MSG["undone"], F.col(path).cast("string")),
+                                          make_output(F.col("v.content"), F.col(path).cast("string"))))
+        .alias("message"))

@@ -21,7 +21,7 @@ def q_replace_unique(spark, d):
                       .otherwise(F.substring("content", 1, 12)).alias("old"),
                       F.lit("REPLACED\ttext").alias("new"))
     out = E.replace_unique(dd.select("path", "content"), edits)
-    return out.select("path", "error", F.md5("content").alias("content_md5"), "snippet")
+    return out.select("path", "error", F.md5("content").alias("content_md5"), "snippet", "message")
 
 
 def q_insert_lines(spark, d):
@@ -29,7 +29,7 @@ def q_insert_lines(spark, d):
     ins = dd.select("path", (F.col("doc_id") % 5).cast("int").alias("line"),
                     F.lit("inserted line\nsecond").alias("text"))
     out = E.insert_lines(dd.select("path", "content"), ins)
-    return out.select("path", "error", F.md5("content").alias("content_md5"), "snippet")
+    return out.select("path", "error", F.md5("content").alias("content_md5"), "snippet", "message")
 
 
 def q_create_if_absent(spark, d):
@@ -38,7 +38,7 @@ def q_create_if_absent(spark, d):
         F.when(F.col("doc_id") % 8 == 0, F.col("path"))
         .otherwise(F.concat(F.lit("new/"), F.col("doc_id").cast("string"))).alias("path"),
         F.lit("fresh").alias("content"))
-    return E.create_if_absent(dd.select("path", "content"), cr).select("path", "created", "error")
+    return E.create_if_absent(dd.select("path", "content"), cr).select("path", "created", "error", "message")
 
 
 def q_view_lines(spark, d):
@@ -74,7 +74,8 @@ def q_undo_last_edit(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("version"),
                                                 F.col("text").alias("content"))
     out = E.undo_last_edit(c)
-    return out.select("path", "restored_version", F.md5("content").alias("content_md5"), "error")
+    return out.select("path", "restored_version", F.md5("content").alias("content_md5"), "error",
+                      F.md5("message").alias("message_md5"))
 
 
 QUERIES = {
@@ -116,8 +117,12 @@ z AS (SELECT *, CASE WHEN error IS NULL THEN replace(c, o, n) ELSE c END AS nc,
         len(string_split(split_part(c, o, 1), chr(10))) - 1 + 4 + len(string_split(n, chr(10))) - 1 AS en
       FROM y)
 SELECT path, error, md5(nc) AS content_md5,
-       CASE WHEN error IS NULL THEN {_num("array_to_string(list_slice(string_split(nc, chr(10)), st + 1, en + 1), chr(10))", "st + 1")} END AS snippet
-FROM z""",
+       CASE WHEN error IS NULL THEN sn END AS snippet,
+       CASE WHEN error IS NULL THEN 'The file ' || path || ' has been edited. Here''s the result of running `cat -n` on '
+            || 'a snippet of ' || path || ':' || chr(10) || sn || chr(10)
+            || 'Review the changes and make sure they are as expected. Edit the file again if necessary.' END AS message
+FROM (SELECT *, {_num("array_to_string(list_slice(string_split(nc, chr(10)), st + 1, en + 1), chr(10))", "st + 1")} AS sn
+      FROM z)""",
     "insert_lines": "WITH " + _DOCS + f""",
 x AS (SELECT path, content, CAST(doc_id % 5 AS INTEGER) AS line, string_split(content, chr(10)) AS l,
              ['inserted line', 'second'] AS t FROM docs),
@@ -127,14 +132,19 @@ SELECT path,
        '. It should be within the range of lines of the file: [0, ' || CAST(len(l) AS VARCHAR) || ']' END AS error,
   md5(CASE WHEN ok THEN array_to_string(list_concat(list_concat(l[1:line], t), l[line + 1:]), chr(10)) ELSE content END)
     AS content_md5,
-  CASE WHEN ok THEN {_num("array_to_string(list_concat(list_concat(l[greatest(line - 4, 0) + 1:line], t), l[line + 1:line + 4]), chr(10))", "greatest(1, greatest(0, line - 4) + 1)")} END AS snippet
-FROM y""",
+  CASE WHEN ok THEN sn END AS snippet,
+  CASE WHEN ok THEN 'The file ' || path || ' has been edited. Here''s the result of running `cat -n` on a snippet of '
+       || 'the edited file:' || chr(10) || sn || chr(10) || 'Review the changes and make sure they are as expected '
+       || '(correct indentation, no duplicate lines, etc). Edit the file again if necessary.' END AS message
+FROM (SELECT *, {_num("array_to_string(list_concat(list_concat(l[greatest(line - 4, 0) + 1:line], t), l[line + 1:line + 4]), chr(10))", "greatest(1, greatest(0, line - 4) + 1)")} AS sn
+      FROM y)""",
     "create_if_absent": "WITH " + _DOCS + """,
 cr AS (SELECT CASE WHEN doc_id % 8 = 0 THEN path ELSE 'new/' || CAST(doc_id AS VARCHAR(20)) END AS path FROM docs
        WHERE doc_id % 4 = 0)
 SELECT cr.path, d.path IS NULL AS created,
        CASE WHEN d.path IS NOT NULL THEN 'File already exists at: ' || cr.path ||
-            '. Cannot overwrite files using command `create`.' END AS error
+            '. Cannot overwrite files using command `create`.' END AS error,
+       CASE WHEN d.path IS NULL THEN 'File created successfully at: ' || cr.path END AS message
 FROM cr LEFT JOIN (SELECT DISTINCT path FROM docs) d ON cr.path = d.path""",
     "view_lines": "WITH " + _DOCS + f""",
 v AS (SELECT path, content, string_split(content, chr(10)) AS l,
@@ -154,7 +164,8 @@ r AS (SELECT *, '[' || CAST(s AS VARCHAR) || ', ' || CAST(e AS VARCHAR) || ']' A
 p AS (SELECT *, CASE WHEN s IS NULL THEN content WHEN e = -1 THEN array_to_string(l[s:], chr(10))
                      ELSE array_to_string(l[s:e], chr(10)) END AS part FROM r)
 SELECT path, error, md5(o) AS output_md5, CAST(length(o) AS BIGINT) AS output_chars
-FROM (SELECT path, error, CASE WHEN error IS NULL THEN {_num("part", "coalesce(s, 1)")} END AS o FROM p)""",
+FROM (SELECT path, error, CASE WHEN error IS NULL THEN 'Here''s the result of running `cat -n` on ' || path || ':'
+                                  || chr(10) || {_num("part", "coalesce(s, 1)")} || chr(10) END AS o FROM p)""",
     "char_budget": "WITH " + _DOCS + """,
 en AS (SELECT source, doc_id,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
@@ -171,9 +182,12 @@ SELECT source, doc_id, i, CAST(cum_chars AS BIGINT) AS cum_chars,
                  ELSE 0 END AS BIGINT) AS remaining,
        max(cum_chars) OVER (PARTITION BY source) > 16000 AS clipped
 FROM kept""",
-    "undo_last_edit": """
+    "undo_last_edit": f"""
 SELECT path, CASE WHEN n >= 2 THEN v2 END AS restored_version, CASE WHEN n >= 2 THEN md5(c2) END AS content_md5,
-       CASE WHEN n < 2 THEN 'No edit history found for ' || CAST(path AS VARCHAR) || '.' END AS error
+       CASE WHEN n < 2 THEN 'No edit history found for ' || CAST(path AS VARCHAR) || '.' END AS error,
+       CASE WHEN n >= 2 THEN md5('Last edit to ' || CAST(path AS VARCHAR) || ' undone successfully. '
+            || 'Here''s the result of running `cat -n` on ' || CAST(path AS VARCHAR) || ':' || chr(10)
+            || {_num("c2", "1")} || chr(10)) END AS message_md5
 FROM (SELECT conv_id AS path, count(*) AS n,
              max(turn) FILTER (WHERE r = 2) AS v2, max(text) FILTER (WHERE r = 2) AS c2
       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)

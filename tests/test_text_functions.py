@@ -171,6 +171,8 @@ def test_replace_unique_golden(spark):
     assert "in lines [1, 2]" in got["p0"].error and got["p0"].content == "dup\ndup\nline3"
     assert got["p1"].error is None and got["p1"].content == "new_content\nline2"
     assert got["p1"].snippet.startswith("     1\tnew_content")
+    assert got["p1"].message.startswith("The file p1 has been edited. Here's the result of running `cat -n` on "
+                                        "a snippet of p1:\n     1\tnew_content")
 
 
 def test_insert_and_view_golden(spark):
@@ -181,7 +183,8 @@ def test_insert_and_view_golden(spark):
     views = spark.createDataFrame([("p0", None, None), ("p0", 0, 1)], "path string, start int, end int")
     got = E.view_lines(_docs(spark, "line1\nline2\nline3"), views).collect()
     whole = [g for g in got if g.start is None][0]
-    assert whole.output == "     1\tline1\n     2\tline2\n     3\tline3"
+    assert whole.output == ("Here's the result of running `cat -n` on p0:\n"
+                            "     1\tline1\n     2\tline2\n     3\tline3\n")
     bad = [g for g in got if g.start == 0][0]
     assert bad.error.startswith("Invalid `view_range`: [0, 1]. Its first element `0`")
 
