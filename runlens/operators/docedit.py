@@ -43,6 +43,7 @@ MSG = {
     "snippet_edited": "a snippet of the edited file",
     "created": "File created successfully at: %s",
     "undone": "Last edit to %s undone successfully. ",
+    "clipped": "\n<response clipped> %d more entries not shown",
 }
 
 
@@ -205,6 +206,25 @@ def char_budget(entries: DataFrame, key: str, order: list[str], text, header,
             .withColumn("clipped", crossed).drop("_len", "_hdr"))
 
 
+def budget_report(entries: DataFrame, key: str, order: list[str], text, header,
+                  budget: int = MAX_RESPONSE_LEN, min_entry_len: int = 1) -> DataFrame:
+    """The rendered report per key: ``header(n)`` and the shown entries,
+    cut at ``budget`` characters with a note of how many entries were not
+    shown.  Only the shown entries are gathered, each cut to ``budget``
+    characters, so a key's text is bounded by twice the budget however many
+    entries the key has."""
+    kept = char_budget(entries, key, order, text, header, budget, min_entry_len)
+    piece = F.substring(text(F.col("i")), 1, budget)
+    g = kept.groupBy(key).agg(
+        F.first(header(F.col("n"))).alias("_h"), F.max("remaining").alias("remaining"),
+        F.max("clipped").alias("clipped"),
+        F.array_sort(F.collect_list(F.struct(F.col("i"), piece.alias("t")))).alias("_l"))
+    body = F.concat(F.col("_h"), F.array_join(F.transform("_l", lambda x: x["t"]), ""))
+    out = F.when(F.col("clipped"), F.concat(F.substring(body, 1, budget),
+                                           F.format_string(MSG["clipped"], F.col("remaining"))))
+    return g.select(key, "remaining", "clipped", F.coalesce(out, body).alias("output"))
+
+
 # -- W09 ---------------------------------------------------------------------
 def undo_last_edit(versions: DataFrame, path: str = "path", version: str = "version") -> DataFrame:
     """The version before the latest one; an error row when a path has no

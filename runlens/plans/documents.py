@@ -70,6 +70,27 @@ def q_char_budget(spark, d):
                       "clipped")
 
 
+def _budget_parts(spark, d):
+    dd = docs(spark, d).withColumn("n_lines", F.size(F.split("content", "\n", -1)))
+
+    def text(i):
+        return F.concat(i.cast("string"), F.lit(". "), F.col("path"), F.lit(":1-"),
+                        F.col("n_lines").cast("string"), F.lit("\n"), F.col("content"), F.lit("\n\n"))
+
+    def header(n):
+        return F.concat(F.lit("Found "), n.cast("string"), F.lit(" functions named "), F.col("source"),
+                        F.lit(":\n"))
+
+    return dd, text, header
+
+
+def q_char_budget_report(spark, d):
+    dd, text, header = _budget_parts(spark, d)
+    out = E.budget_report(dd, "source", ["doc_id"], text, header, min_entry_len=11)
+    return out.select("source", "remaining", "clipped", F.md5("output").alias("output_md5"),
+                      F.length("output").cast("bigint").alias("output_chars"))
+
+
 def q_undo_last_edit(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("version"),
                                                 F.col("text").alias("content"))
@@ -84,6 +105,7 @@ QUERIES = {
     "create_if_absent": q_create_if_absent,
     "view_lines": q_view_lines,
     "char_budget": q_char_budget,
+    "char_budget_report": q_char_budget_report,
     "undo_last_edit": q_undo_last_edit,
 }
 
@@ -182,6 +204,23 @@ SELECT source, doc_id, i, CAST(cum_chars AS BIGINT) AS cum_chars,
                  ELSE 0 END AS BIGINT) AS remaining,
        max(cum_chars) OVER (PARTITION BY source) > 16000 AS clipped
 FROM kept""",
+    "char_budget_report": "WITH " + _DOCS + """,
+en AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
+         count(*) OVER (PARTITION BY source) AS n, content, path,
+         len(string_split(content, chr(10))) AS n_lines FROM docs),
+tx AS (SELECT *, CAST(i AS VARCHAR) || '. ' || path || ':1-' || CAST(n_lines AS VARCHAR) || chr(10) || content
+                 || chr(10) || chr(10) AS t,
+              'Found ' || CAST(n AS VARCHAR) || ' functions named ' || source || ':' || chr(10) AS h FROM en),
+cu AS (SELECT *, length(h) + sum(length(t)) OVER (PARTITION BY source ORDER BY i
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM tx),
+kept AS (SELECT * FROM cu WHERE cum - length(t) <= 16000),
+agg AS (SELECT source, max(n) AS n, max(i) AS last_i, max(cum) > 16000 AS clipped, min(h) AS h,
+               string_agg(t, '' ORDER BY i) AS body FROM kept GROUP BY source)
+SELECT source, CAST(CASE WHEN clipped THEN n - last_i ELSE 0 END AS BIGINT) AS remaining, clipped,
+       md5(o) AS output_md5, CAST(length(o) AS BIGINT) AS output_chars
+FROM (SELECT *, CASE WHEN clipped THEN substr(h || body, 1, 16000) || chr(10) || '<response clipped> '
+                       || CAST(n - last_i AS VARCHAR) || ' more entries not shown'
+                     ELSE h || body END AS o FROM agg)""",
     "undo_last_edit": f"""
 SELECT path, CASE WHEN n >= 2 THEN v2 END AS restored_version, CASE WHEN n >= 2 THEN md5(c2) END AS content_md5,
        CASE WHEN n < 2 THEN 'No edit history found for ' || CAST(path AS VARCHAR) || '.' END AS error,

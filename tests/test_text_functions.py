@@ -209,3 +209,49 @@ def test_running_scan_matches_windows(spark):
     a = sorted(tuple(r) for r in got.select("k", "n", "lag", "last", "s", "c").collect())
     b = sorted(tuple(r) for r in ref.collect())
     assert a == b
+
+
+def test_tool_result_rendering_per_provider(spark):
+    from runlens.operators import messages as M
+    schema = ("role string, content string, "
+              "tool_call struct<call_id:string,name:string,arguments:string>, "
+              "tool_result struct<call_id:string,success:boolean,result:string,error:string>")
+    rows = [("user", None, None, ("c1", False, "ok", "boom")),
+            ("user", None, None, ("c2", False, "", None)),
+            ("assistant", "", None, None),
+            ("tool", "x", None, None)]
+    df = spark.createDataFrame(rows, schema)
+    compat = [r.chat_content for r in M.to_chat_messages(df, "compatible").collect()]
+    assert compat[0] == "ok\nTool call failed with error:\nboom" and compat[1] == ""
+    openai = [r.chat_content for r in M.to_chat_messages(df, "openai").collect()]
+    assert openai[0] == "ok\nError: boom"
+    anth = M.to_chat_messages(df, "anthropic").collect()
+    assert anth[1].chat_content == "Tool execution failed without providing error details."
+    assert anth[1].chat_role == "user" and anth[2].error == "Message content is required"
+    assert anth[3].error == "Invalid message role: tool"
+    google = M.to_chat_messages(df, "google").collect()
+    assert [g.chat_role for g in google] == ["tool", "tool", "model", "model"]
+
+
+def test_step_text_with_tool_calls(spark):
+    from runlens.operators import messages as M
+    df = spark.createDataFrame(
+        [("  thinking  ", [("bash", '{"cmd": "ls"}'), ("task_done", "{}")]), ("plain", None)],
+        "content string, calls array<struct<name:string,arguments:string>>")
+    got = [r[0] for r in df.select(M.step_text(F.col("content"), F.col("calls"))).collect()]
+    assert got == ['thinking\n\nTool calls:\n[`bash`] `{"cmd": "ls"}`\n[`task_done`] `{}`', "plain"]
+    done = [r[0] for r in df.select(M.completion_task_done(F.col("calls"))).collect()]
+    assert done == [True, False]
+
+
+def test_budget_report_clips(spark):
+    rows = [("k", i, "x" * 30) for i in range(1, 8)] + [("j", 1, "short")]
+    df = spark.createDataFrame(rows, "key string, i0 long, body string")
+    text = lambda i: F.concat(i.cast("string"), F.lit(". "), F.col("body"), F.lit("\n"))
+    header = lambda n: F.concat(F.lit("Found "), n.cast("string"), F.lit(":\n"))
+    got = {r.key: r for r in E.budget_report(df, "key", ["i0"], text, header, budget=100,
+                                             min_entry_len=4).collect()}
+    full = "Found 7:\n" + "".join(f"{i}. {'x' * 30}\n" for i in range(1, 8))
+    # entries 1..3 end at 9 + 3*34 = 111 > 100: the third is the crossing one, 4 remain
+    assert got["k"].output == full[:100] + "\n<response clipped> 4 more entries not shown"
+    assert got["k"].remaining == 4 and got["j"].output == "Found 1:\n1. short\n"
