@@ -1,0 +1,60 @@
+"""Smaller operators not reached by the registered queries."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from runlens.operators import candidates as C
+from runlens.operators import messages as M
+from runlens.operators import symbols as Y
+from runlens.operators import testlogs as T
+
+
+def test_scan_source_files_and_changes(spark, tmp):
+    layout = {"a/x.py": "def f(): pass\n", "a/.hidden.py": "x", ".git/y.py": "x", "a/b/z.ts": "let a",
+              "a/readme.md": "hi", "a/c.cc": "int x;"}
+    for rel, body in layout.items():
+        p = os.path.join(tmp, rel)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w") as f:
+            f.write(body)
+    got = {os.path.relpath(r.path.replace("file:", ""), tmp): r.language
+           for r in Y.scan_source_files(spark, tmp).collect()}
+    assert got == {"a/x.py": "python", "a/b/z.ts": "typescript", "a/c.cc": "cpp"}
+    old = Y.scan_source_files(spark, tmp).withColumn("root", F.lit("r"))
+    new = old.withColumn("size", F.when(F.col("path").endswith("x.py"), F.col("size") + 1).otherwise(F.col("size")))
+    assert [r.path.endswith("x.py") for r in Y.changed_files(old, new).collect()] == [True]
+    fa = Y.snapshot_fingerprint(old).collect()[0].fingerprint
+    fb = Y.snapshot_fingerprint(new).collect()[0].fingerprint
+    assert fa != fb and Y.snapshot_fingerprint(old.orderBy(F.desc("path"))).collect()[0].fingerprint == fa
+
+
+def test_status_events_and_retry_lines(spark):
+    ev = spark.createDataFrame([("call", "passed"), ("call", "failed"), ("setup", "skipped"),
+                                ("setup", "failed"), ("teardown", "failed"), ("setup", "passed")],
+                               "when string, outcome string")
+    got = [r[0] for r in ev.select(T.report_status(F.col("when"), F.col("outcome"))).collect()]
+    assert got == ["PASSED", "FAILED", "SKIPPED", "ERROR", None, None]
+    lines = spark.createDataFrame([("L", 1, "RPASS::t1"), ("L", 2, "noise"), ("L", 3, "RPASS::t3")],
+                                  "log_id string, line_no long, line string")
+    req = spark.createDataFrame([("L", "t1"), ("L", "t2")], "log_id string, test string")
+    got = {r.test: r.passed for r in T.retry_passes(lines, req).collect()}
+    assert got == {"t1": True, "t2": False}
+
+
+def test_prompt_prefix_without_history_and_system(spark):
+    rows = [("r", 0, "system", "S1"), ("r", 1, "user", "hello"), ("r", 2, "system", "S22"),
+            ("r", 3, "assistant", "ok")]
+    df = spark.createDataFrame(rows, "run_id string, step long, role string, content string")
+    got = {r.step: (r.prompt_messages, r.prompt_chars, r.system_chars)
+           for r in M.prompt_prefix(df, reuse_history=False).collect()}
+    assert got == {0: (1, 2, 2), 1: (1, 5, 2), 2: (1, 3, 3), 3: (1, 2, 3)}
+    full = {r.step: (r.prompt_messages, r.prompt_chars) for r in M.prompt_prefix(df).collect()}
+    assert full[3] == (4, 12)
+    assert M.system_prompt(df).collect()[0].system == "S22"
+
+
+def test_missing_candidates(spark):
+    inst = spark.createDataFrame([("a",), ("b",)], "instance_id string")
+    cands = spark.createDataFrame([("a", 0)], "instance_id string, idx long")
+    assert [r.instance_id for r in C.missing_candidates(inst, cands).collect()] == ["b"]
