@@ -11,7 +11,7 @@ from ..sources.tables import table
 def docs(spark, d):
     t = table(spark, d, "documents")
     return t.select(F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"),
-                             F.lit(".txt")).alias("path"), "doc_id", "source",
+                             F.lit(".txt")).alias("path"), "doc_id", "source", "lang",
                     F.col("text").alias("content"))
 
 
@@ -34,8 +34,8 @@ def q_insert_lines(spark, d):
 
 def q_create_if_absent(spark, d):
     dd = docs(spark, d)
-    cr = dd.where(F.col("doc_id") % 4 == 0).select(
-        F.when(F.col("doc_id") % 8 == 0, F.col("path"))
+    cr = dd.select(
+        F.when(F.col("lang") == "en", F.col("path"))
         .otherwise(F.concat(F.lit("new/"), F.col("doc_id").cast("string"))).alias("path"),
         F.lit("fresh").alias("content"))
     return E.create_if_absent(dd.select("path", "content"), cr).select("path", "created", "error", "message")
@@ -109,7 +109,7 @@ QUERIES = {
     "undo_last_edit": q_undo_last_edit,
 }
 
-_DOCS = """docs AS (SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS path, doc_id, source,
+_DOCS = """docs AS (SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS path, doc_id, source, lang,
                  text AS content FROM documents)"""
 _TRUNC = ("CASE WHEN length({x}) <= 16000 THEN {x} ELSE substr({x}, 1, 16000) || '<response clipped><NOTE>To save on "
           "context only part of this file has been shown to you. You should retry this tool after you have searched "
@@ -161,8 +161,7 @@ SELECT path,
 FROM (SELECT *, {_num("array_to_string(list_concat(list_concat(l[greatest(line - 4, 0) + 1:line], t), l[line + 1:line + 4]), chr(10))", "greatest(1, greatest(0, line - 4) + 1)")} AS sn
       FROM y)""",
     "create_if_absent": "WITH " + _DOCS + """,
-cr AS (SELECT CASE WHEN doc_id % 8 = 0 THEN path ELSE 'new/' || CAST(doc_id AS VARCHAR(20)) END AS path FROM docs
-       WHERE doc_id % 4 = 0)
+cr AS (SELECT CASE WHEN lang = 'en' THEN path ELSE 'new/' || CAST(doc_id AS VARCHAR(20)) END AS path FROM docs)
 SELECT cr.path, d.path IS NULL AS created,
        CASE WHEN d.path IS NOT NULL THEN 'File already exists at: ' || cr.path ||
             '. Cannot overwrite files using command `create`.' END AS error,

@@ -24,10 +24,11 @@ def q_symbol_lookup(spark, d):
     spans = fx_spans(spark, d)
     funcs = Y.enclosing_symbol(spans)
     classes = spans.where(F.col("kind") == "class")
-    p = table(spark, d, "part").where(F.col("p_partkey") % 50 == 0)
+    # one lookup per part name, each with one of the three entry types
+    p = table(spark, d, "part")
     lookups = p.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("identifier"),
                        F.element_at(F.array(F.lit("function"), F.lit("class_method"), F.lit("class")),
-                                    (F.col("p_partkey") / 50 % 3 + 1).cast("int")).alias("entry_type"))
+                                    (F.col("p_partkey") % 3 + 1).cast("int")).alias("entry_type"))
     return Y.symbol_lookup(funcs, classes, lookups)
 
 
@@ -106,8 +107,8 @@ ORACLE = {
     "enclosing_class": _sp("SELECT file_path, sid, nearest_class AS parent_class FROM funcs"),
     "symbol_lookup": _sp("""
 , lk AS (SELECT 'n' || CAST(p_partkey AS VARCHAR(20)) AS identifier,
-                (['function', 'class_method', 'class'])[CAST(p_partkey / 50 % 3 AS INTEGER) + 1] AS entry_type
-         FROM part WHERE p_partkey % 50 = 0)
+                (['function', 'class_method', 'class'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS entry_type
+         FROM part)
 SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line
 FROM lk JOIN funcs f ON f.name = lk.identifier
   AND lk.entry_type = CASE WHEN f.parent_class IS NULL THEN 'function' ELSE 'class_method' END
