@@ -212,3 +212,18 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     ones to re-extract."""
     k = ["path", "mtime", "size"]
     return new.join(old.select(*k), k, "left_anti")
+
+
+def snapshot_key(commit: Column, status_text: Column, fingerprint: Column) -> Column:
+    """Rebuild key of a source tree: ``git-clean-<commit>`` when the working
+    tree is clean, ``git-dirty-<commit>-<md5(status)[:8]>`` when not, and
+    ``metadata-<fingerprint>`` without git (commit null)."""
+    dirty = F.coalesce(F.length(F.trim(status_text)), F.lit(0)) > 0
+    return (F.when(commit.isNull(), F.concat(F.lit("metadata-"), fingerprint))
+            .when(~dirty, F.concat(F.lit("git-clean-"), commit))
+            .otherwise(F.concat(F.lit("git-dirty-"), commit, F.lit("-"), F.substring(F.md5(status_text), 1, 8))))
+
+
+def output_digest(text: Column) -> Column:
+    """sha256 of a run's output (UTF-8), to tell whether two runs printed the same."""
+    return F.sha2(text, 256)

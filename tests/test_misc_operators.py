@@ -58,3 +58,13 @@ def test_missing_candidates(spark):
     inst = spark.createDataFrame([("a",), ("b",)], "instance_id string")
     cands = spark.createDataFrame([("a", 0)], "instance_id string, idx long")
     assert [r.instance_id for r in C.missing_candidates(inst, cands).collect()] == ["b"]
+
+
+def test_snapshot_key_and_digest(spark):
+    import hashlib
+    df = spark.createDataFrame([("abc", "", "fp"), ("abc", " M x.py\n", "fp"), (None, None, "fp")],
+                               "commit string, status string, fp string")
+    got = [r[0] for r in df.select(Y.snapshot_key(F.col("commit"), F.col("status"), F.col("fp"))).collect()]
+    assert got == ["git-clean-abc", "git-dirty-abc-" + hashlib.md5(b" M x.py\n").hexdigest()[:8], "metadata-fp"]
+    d = spark.createDataFrame([("héllo",)], "t string").select(Y.output_digest(F.col("t"))).collect()[0][0]
+    assert d == hashlib.sha256("héllo".encode()).hexdigest()
