@@ -19,13 +19,13 @@ def _src(spark, d, name):
             .option("pathGlobFilter", f"{name}.parquet").parquet(d.rstrip("/")))
 
 
-def _run(spark, start, name):
+def _run(spark, start, name, view):
     out = checkpoint_path(spark, f"out-{name}-{uuid.uuid4().hex[:8]}")
     q = start(out)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    return view(out)
 
 
 def q_stream_test_status(spark, d):
@@ -38,7 +38,8 @@ def q_stream_test_status(spark, d):
          .otherwise("ERROR").alias("status"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag").alias("seq"))
     name = f"test_status_{uuid.uuid4().hex[:8]}"
-    return _run(spark, lambda out: L.stream_test_status(spark, st, out, name=name), name)
+    return _run(spark, lambda out: L.stream_test_status(spark, st, out, name=name), name,
+                lambda out: L.latest_view(spark, out, ["instance_id", "phase", "test"]))
 
 
 def q_stream_token_totals(spark, d):
@@ -47,7 +48,8 @@ def q_stream_token_totals(spark, d):
         F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)").alias("input_tokens"),
         F.floor("value").cast("bigint").alias("output_tokens"))
     name = f"token_totals_{uuid.uuid4().hex[:8]}"
-    return _run(spark, lambda out: L.stream_token_totals(spark, ev, out, name=name), name)
+    return _run(spark, lambda out: L.stream_token_totals(spark, ev, out, name=name), name,
+                lambda out: L.latest_view(spark, out, ["run_id"]))
 
 
 def q_stream_majority_vote(spark, d):
@@ -57,13 +59,15 @@ def q_stream_majority_vote(spark, d):
     ballots = (spark.read.parquet(f"{d.rstrip('/')}/orders.parquet").groupBy(F.col("o_custkey").alias("ballot"))
                .agg(F.count(F.lit(1)).alias("n")))
     name = f"majority_vote_{uuid.uuid4().hex[:8]}"
-    return _run(spark, lambda out: L.stream_majority_vote(spark, votes, ballots, out, name=name), name)
+    return _run(spark, lambda out: L.stream_majority_vote(spark, votes, ballots, out, name=name), name,
+                lambda out: L.vote_decisions(spark, out))
 
 
 def q_stream_pending(spark, d):
     c = _src(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"))
     name = f"pending_{uuid.uuid4().hex[:8]}"
-    return _run(spark, lambda out: L.stream_pending(spark, c, out, name=name), name)
+    return _run(spark, lambda out: L.stream_pending(spark, c, out, name=name), name,
+                lambda out: spark.read.parquet(out).select("instance_id"))
 
 
 QUERIES = {

@@ -1,15 +1,22 @@
 """Live versions of the main aggregates on Structured Streaming.
 
 Streams read files as they land (status lines, usage records, votes,
-candidate sets).  Aggregates keep their state in the state store, results go
-out through ``foreachBatch`` as Spark writes into a folder under the shared
-``spark.checkpoint.dir`` (never collected to the driver), and every query
-has a checkpoint there, so a restarted or retried job resumes without
-double counting.
+candidate sets).  Aggregates keep their state in the state store and run in
+``update`` mode: each micro-batch emits only the keys it changed.  Those rows
+go out through ``foreachBatch`` into a change log, one ``epoch=<id>`` folder
+per micro-batch under the shared ``spark.checkpoint.dir``; the current
+result is the newest row per key (:func:`latest_view`, a partial
+aggregate).  Nothing is collected to the driver, no trigger rewrites the
+whole result, and a retried micro-batch overwrites its own epoch folder, so
+the sinks are idempotent; the query checkpoint makes restarts resume
+without double counting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,11 +25,30 @@ from ..operators.testlogs import STATUS_LINE_RE
 from ..session import checkpoint_path
 
 
-def _overwrite(out: str):
-    def write(batch: DataFrame, _epoch: int) -> None:
-        # complete mode: every micro-batch carries the whole result; a retried
-        # batch rewrites the same folder, so the sink is idempotent
-        batch.write.mode("overwrite").parquet(out)
+def _epoch_dir(out: str, epoch: int) -> str:
+    return f"{out.rstrip('/')}/epoch={epoch}"
+
+
+def _read_log(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
+    """The change log written so far (optionally only epochs < ``before``)."""
+    try:
+        df = spark.read.parquet(out)
+    except AnalysisException:
+        return None
+    return df if before is None else df.where(F.col("epoch") < before)
+
+
+def latest_view(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Current result of an update-mode stream: the newest row per key."""
+    log = spark.read.parquet(out)
+    vals = [c for c in log.columns if c not in keys and c != "epoch"]
+    return (log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("_v"))
+            .select(*keys, "_v.*"))
+
+
+def _log_writer(out: str):
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(_epoch_dir(out, epoch))
     return write
 
 
@@ -43,30 +69,29 @@ def status_from_lines(lines: DataFrame, log_id: str = "log_id") -> DataFrame:
 def stream_test_status(spark: SparkSession, stream: DataFrame, out: str, name: str = "test_status",
                        keys=("instance_id", "phase", "test"), available_now: bool = True) -> StreamingQuery:
     """Latest status per (instance, phase, test) from status rows carrying a
-    ``seq``; a run killed half way still yields its passes so far."""
+    ``seq``; a run killed half way still yields its passes so far.  Read
+    the result with ``latest_view(spark, out, keys)``."""
     agg = stream.groupBy(*keys).agg(F.max_by("status", "seq").alias("status"))
-    return _start(agg, name, "complete", _overwrite(out), available_now)
+    return _start(agg, name, "update", _log_writer(out), available_now)
 
 
 # -- R02 ---------------------------------------------------------------------
 def stream_token_totals(spark: SparkSession, stream: DataFrame, out: str, run: str = "run_id",
                         fields=("input_tokens", "output_tokens"), name: str = "token_totals",
                         available_now: bool = True) -> StreamingQuery:
+    """Running token totals per run (read with ``latest_view(spark, out, [run])``)."""
     agg = stream.groupBy(run).agg(*[F.sum(f).cast("bigint").alias(f) for f in fields])
-    return _start(agg, name, "complete", _overwrite(out), available_now)
+    return _start(agg, name, "update", _log_writer(out), available_now)
 
 
 # -- R03 ---------------------------------------------------------------------
 def decide_winners(counts: DataFrame, n: DataFrame | None = None) -> DataFrame:
     """Winner rule of A04 on (ballot, voted, cnt, first_idx) counts: an id
-    past n/2 wins; otherwise most votes, ties to the first seen.  ``n`` per
-    ballot defaults to the votes counted so far."""
+    past n/2 wins; otherwise, once all n votes are in, most votes with ties
+    to the first seen.  ``n`` per ballot defaults to the votes counted."""
     tot = counts.groupBy("ballot").agg(F.sum("cnt").alias("n_cast"))
     c = counts.join(tot, "ballot")
-    if n is not None:
-        c = c.join(n, "ballot")
-    else:
-        c = c.withColumn("n", F.col("n_cast"))
+    c = c.join(n, "ballot") if n is not None else c.withColumn("n", F.col("n_cast"))
     best = c.groupBy("ballot").agg(
         F.max_by(F.struct("voted", "cnt"), F.struct("cnt", -F.col("first_idx"))).alias("w"),
         F.max("n").alias("n"), F.max("n_cast").alias("n_cast"))
@@ -78,36 +103,46 @@ def stream_majority_vote(spark: SparkSession, votes: DataFrame, ballots: DataFra
                          name: str = "majority_vote", available_now: bool = True) -> StreamingQuery:
     """Emit one decision per ballot once an id passes n/2 or all n votes are
     in; later votes are ignored.  ``ballots`` is a static (ballot, n) table.
-    Decisions already written are anti-joined away, so each ballot is
-    emitted once even across restarts."""
+
+    Each micro-batch logs the (ballot, id) counts it changed under
+    ``out/counts``, re-decides only the ballots it touched (their full counts
+    come from the count log), and appends decisions for ballots not decided
+    in an earlier epoch under ``out/decisions``.  The winner does not depend
+    on vote order (see A04), so late or unordered votes are safe."""
     counts = votes.groupBy("ballot", "voted").agg(F.count(F.lit(1)).alias("cnt"),
                                                  F.min("vote_idx").alias("first_idx"))
+    count_log, decision_log = f"{out.rstrip('/')}/counts", f"{out.rstrip('/')}/decisions"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        batch.write.mode("overwrite").parquet(_epoch_dir(count_log, epoch))
+        touched = batch.select("ballot").distinct()
+        full = latest_view(s, count_log, ["ballot", "voted"]).join(touched, "ballot", "left_semi")
+        dec = decide_winners(full, ballots.join(touched, "ballot", "left_semi"))
+        done = _read_log(s, decision_log, before=epoch)
+        if done is not None:
+            dec = dec.join(done.select("ballot"), "ballot", "left_anti")
+        dec.write.mode("overwrite").parquet(_epoch_dir(decision_log, epoch))
+
+    return _start(counts, name, "update", write, available_now)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        dec = decide_winners(batch, ballots)
-        try:
-            done = batch.sparkSession.read.parquet(out).select("ballot")
-            dec = dec.join(done, "ballot", "left_anti")
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pass
-        dec.write.mode("append").parquet(out)
 
-    return _start(counts, name, "complete", write, available_now)
+def vote_decisions(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out.rstrip('/')}/decisions").select("ballot", "winner")
 
 
 # -- R04 ---------------------------------------------------------------------
 def stream_pending(spark: SparkSession, stream: DataFrame, out: str, key: str = "instance_id",
                    name: str = "pending", available_now: bool = True) -> StreamingQuery:
     """Process each instance once across restarts: streaming dedup on the
-    key (state in the checkpoint) and an idempotent merge into ``out``."""
+    key (state in the checkpoint) plus an anti-join against keys written by
+    earlier epochs, so the output holds every key exactly once."""
     d = stream.dropDuplicates([key])
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        try:
-            seen = batch.sparkSession.read.parquet(out).select(key)
-            batch = batch.join(seen, key, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch
-            pass
-        batch.write.mode("append").parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        seen = _read_log(batch.sparkSession, out, before=epoch)
+        if seen is not None:
+            batch = batch.join(seen.select(key), key, "left_anti")
+        batch.write.mode("overwrite").parquet(_epoch_dir(out, epoch))
 
     return _start(d, name, "append", write, available_now)

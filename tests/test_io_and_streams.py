@@ -184,6 +184,8 @@ def test_stream_pending_survives_restart(spark, tmp):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
     L.stream_pending(spark, stream, out, name=name).awaitTermination()
     assert sorted(r.instance_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    # replaying an epoch (a retried micro-batch) rewrites only that epoch's folder
+    assert sorted(os.listdir(out))[:2] == ["epoch=0", "epoch=1"]
 
 
 def test_stream_vote_equals_batch(spark):
@@ -220,3 +222,23 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     rows = df.collect()
     assert len(rows) > 0 and "success_rate_among_all" in df.columns
+
+
+def test_stream_vote_multi_epoch(spark, tmp):
+    import uuid
+    src = os.path.join(tmp, "votes")
+    out = os.path.join(tmp, "decisions")
+    schema = "ballot string, voted string, vote_idx long"
+    # ballot x (n=3): a, a decided in epoch 0 (2 > 1.5); its late vote b is ignored
+    # ballot y (n=3): a, b in epoch 0 (undecided), b in epoch 1 -> b wins by majority
+    spark.createDataFrame([("x", "a", 0), ("x", "a", 1), ("y", "a", 0), ("y", "b", 1)], schema) \
+        .coalesce(1).write.parquet(os.path.join(src, "p1"))
+    spark.createDataFrame([("x", "b", 2), ("y", "b", 2)], schema).coalesce(1).write.parquet(os.path.join(src, "p2"))
+    ballots = spark.createDataFrame([("x", 3), ("y", 3)], "ballot string, n long")
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(src))
+    q = L.stream_majority_vote(spark, stream, ballots, out, name="votes_" + uuid.uuid4().hex[:8])
+    q.awaitTermination()
+    dec = spark.read.parquet(os.path.join(out, "decisions"))
+    got = sorted((r.ballot, r.winner, r.epoch) for r in dec.collect())
+    assert got == [("x", "a", 0), ("y", "b", 1)]
