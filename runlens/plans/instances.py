@@ -92,14 +92,12 @@ def q_status_items(spark, d):
 
 
 def q_json_view(spark, d):
-    j = fx_json(spark, d)
-    return j.select("doc_id", J.json_view(F.col("doc"), "$.k").alias("value"),
-                    J.json_view(F.col("doc"), "$.missing").alias("missing"))
+    j = J.with_json_view(fx_json(spark, d), "doc", "$.k", "value")
+    return J.with_json_view(j, "doc", "$.missing", "missing").select("doc_id", "value", "missing")
 
 
 def q_json_view_recursive(spark, d):
-    j = fx_json(spark, d)
-    return j.select("doc_id", J.json_view(F.col("doc"), "$..k").alias("value"))
+    return J.with_json_view(fx_json(spark, d), "doc", "$..k", "value").select("doc_id", "value")
 
 
 def q_json_set(spark, d):

@@ -255,3 +255,13 @@ def test_budget_report_clips(spark):
     # entries 1..3 end at 9 + 3*34 = 111 > 100: the third is the crossing one, 4 remain
     assert got["k"].output == full[:100] + "\n<response clipped> 4 more entries not shown"
     assert got["k"].remaining == 4 and got["j"].output == "Found 1:\n1. short\n"
+
+
+def test_json_view_prints_like_the_tool(spark):
+    df = spark.createDataFrame([(1, DOC)], "id int, doc string")
+    r = J.with_json_view(df, "doc", "$.users[0]", "v").collect()[0]
+    assert '"id": 1' in r.v and '"name": "Alice"' in r.v and r.v.startswith("{\n  ")
+    r = J.with_json_view(df, "doc", "$.users[1].name", "v").collect()[0]
+    assert r.v == '"Bob"'
+    r = J.with_json_view(df, "doc", "$.nope", "v").collect()[0]
+    assert r.v == "No matches found for JSONPath: $.nope"
