@@ -131,11 +131,9 @@ def test_log_lines_and_parse(spark, tmp):
     p = os.path.join(tmp, "sympy.log")
     with open(p, "w") as f:
         f.write("noise\nsympy/a/test_x.py[2]\ntest_a ok\r\ntest_b E\n")
-    lines = R.__dict__.get("read_log_lines")
     from runlens.operators.testlogs import read_log_lines
     got = {r.test: r.status for r in parse_grouped_log(read_log_lines(spark, p)).collect()}
     assert got == {"sympy/a/test_x.py::test_a": "PASSED", "sympy/a/test_x.py::test_b": "FAILED"}
-    del lines
 
 
 def test_extract_symbols_and_parents(spark):

@@ -68,3 +68,12 @@ def test_snapshot_key_and_digest(spark):
     assert got == ["git-clean-abc", "git-dirty-abc-" + hashlib.md5(b" M x.py\n").hexdigest()[:8], "metadata-fp"]
     d = spark.createDataFrame([("héllo",)], "t string").select(Y.output_digest(F.col("t"))).collect()[0][0]
     assert d == hashlib.sha256("héllo".encode()).hexdigest()
+
+
+def test_create_if_absent_messages(spark):
+    from runlens.operators import docedit as E
+    docs = spark.createDataFrame([("a", "x")], "path string, content string")
+    creates = spark.createDataFrame([("a", "y"), ("b", "new content")], "path string, content string")
+    got = {r.path: r for r in E.create_if_absent(docs, creates).collect()}
+    assert got["b"].created and "created successfully" in got["b"].message
+    assert not got["a"].created and got["a"].error.startswith("File already exists at: a.")
