@@ -35,16 +35,27 @@ def log_lines(logs: DataFrame, log_id: str = "log_id", text: str = "value") -> D
     """Whole-text logs -> ordered lines; ``line_no`` is 1-based and
     deterministic (Python ``splitlines`` on ``\\n`` / ``\\r\\n``)."""
     return logs.select(F.col(log_id).alias("log_id"),
-                       F.posexplode(F.split(F.regexp_replace(F.col(text), r"\r?\n$", ""),
+                       F.posexplode(F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""),
                                             r"\r?\n")).alias("pos", "line")
                        ).select("log_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def read_log_lines(spark, path: str) -> DataFrame:
-    """One log per file, ``log_id`` = file path."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("log_id"), "value")
-    return log_lines(raw)
+def read_log_lines(spark, path: str, whole_text: bool = True) -> DataFrame:
+    """One log per file, ``log_id`` = file path, contiguous 1-based
+    ``line_no``.  ``whole_text`` reads each file as one row and splits it
+    (simple, one file per task); for logs of hundreds of MB use
+    ``whole_text=False``: lines are read split by split, ordered by
+    (file, row id) and numbered with a chunked running count, so no file is
+    ever held by one task."""
+    if whole_text:
+        raw = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("log_id"), "value")
+        return log_lines(raw)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("log_id"),
+                                       F.col("value").alias("line"),
+                                       F.monotonically_increasing_id().alias("_id"))
+    out = running(raw, "log_id", "_id", {"line_no": ("count", F.lit(1))})
+    return out.select("log_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
 # -- forward fill ----------------------------------------------------------

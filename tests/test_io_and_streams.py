@@ -240,3 +240,18 @@ def test_stream_vote_multi_epoch(spark, tmp):
     dec = spark.read.parquet(os.path.join(out, "decisions"))
     got = sorted((r.ballot, r.winner, r.epoch) for r in dec.collect())
     assert got == [("x", "a", 0), ("y", "b", 1)]
+
+
+def test_log_lines_line_mode_matches_whole_text(spark, tmp):
+    from runlens.operators.testlogs import parse_docstring_log, read_log_lines
+    p = os.path.join(tmp, "django.log")
+    lines = []
+    for i in range(3000):
+        lines += [f"test_{i} (m.C)", f"Doc {i} ... ok" if i % 2 else f"test_{i} (m.C) ... FAIL", ""]
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    a = read_log_lines(spark, p)
+    b = read_log_lines(spark, p, whole_text=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    pa = sorted(map(tuple, parse_docstring_log(a).collect()))
+    assert pa == sorted(map(tuple, parse_docstring_log(b).collect())) and len(pa) > 3000
