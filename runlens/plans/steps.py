@@ -26,7 +26,9 @@ def _raw_usage(steps):
 def q_add_durations(spark, d):
     s = fx_steps(spark, d)
     s = s.select("run_id", "step_number",
-                 (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("started_at_ns"),
+                 # epoch of a zone-less timestamp: no session time zone involved
+                 (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 1000)
+                 .alias("started_at_ns"),
                  F.col("latency_s"), F.col("success"), F.col("input_tokens"), F.col("output_tokens"))
     s = (s.withColumn("ended_at_ns", F.col("started_at_ns") + F.round(F.col("latency_s") * 1e9).cast("bigint"))
          .withColumn("cpu0", F.when(F.col("success"), F.col("input_tokens") * 1000))
