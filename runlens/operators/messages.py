@@ -157,21 +157,29 @@ def step_text(content: Column, tool_calls: Column | None = None) -> Column:
     return F.when(tool_calls.isNull(), c).otherwise(F.concat(c, F.lit("\n\nTool calls:\n"), lines))
 
 
+def _digit_sum(k: Column) -> Column:
+    """Total number of decimal digits of 1..k: (k+1)*D - (10^D - 1)/9 with D
+    the digit count of k (0 for k = 0)."""
+    d = F.length(k.cast("string"))
+    return F.when(k <= 0, F.lit(0)).otherwise(
+        ((k + 1) * d - (F.pow(F.lit(10), d).cast("bigint") - 1) / 9).cast("bigint"))
+
+
 def assemble_step_text(steps: DataFrame, run: str = "run_id", order: str = "step",
                        limit: int = STEP_CONTEXT_LIMIT) -> DataFrame:
     """Per step: the ``<step id="i">..</step>`` block and the size of all
     blocks so far joined by blank lines; labelling is skipped when that size
-    exceeds ``limit``.  Sizes are running sums (chunked per run, so a long
-    run is not one task); the text itself is only built per step.  The block
-    id ``i`` is the 1-based position, which needs ``order`` to be an integer
-    step."""
-    idx = running(steps, run, order, {"_i": ("count", F.lit(1))})
-    block = F.concat(F.lit('<step id="'), F.col("_i").cast("string"), F.lit('">\n'),
-                     strip(F.col("step_text")), F.lit("\n</step>"))
-    out = idx.withColumn("block", block).withColumn("_blen", F.length("block").cast("bigint"))
-    out = running(out, run, order, {"_sum": ("sum", "_blen")})
-    return (out.withColumn("context_chars", (F.col("_sum") + 2 * (F.col("_i") - 1)).cast("bigint"))
-            .withColumn("skip_tagging", F.col("context_chars") > limit).drop("_i", "_blen", "_sum"))
+    exceeds ``limit``.  One chunked running scan (a long run is not one task)
+    gives the position i and the running text length; the id digits of
+    blocks 1..i are summed in closed form.  ``order`` is an integer step."""
+    body = strip(F.col("step_text"))
+    out = running(steps, run, order, {"_i": ("count", F.lit(1)),
+                                      "_text": ("sum", F.length(body).cast("bigint"))})
+    block = F.concat(F.lit('<step id="'), F.col("_i").cast("string"), F.lit('">\n'), body, F.lit("\n</step>"))
+    fixed = len('<step id="') + len('">\n') + len("\n</step>")
+    total = F.col("_text") + fixed * F.col("_i") + _digit_sum(F.col("_i")) + 2 * (F.col("_i") - 1)
+    return (out.withColumn("block", block).withColumn("context_chars", total.cast("bigint"))
+            .withColumn("skip_tagging", F.col("context_chars") > limit).drop("_i", "_text"))
 
 
 # -- F10 ---------------------------------------------------------------------

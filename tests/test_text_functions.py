@@ -265,3 +265,13 @@ def test_json_view_prints_like_the_tool(spark):
     assert r.v == '"Bob"'
     r = J.with_json_view(df, "doc", "$.nope", "v").collect()[0]
     assert r.v == "No matches found for JSONPath: $.nope"
+
+
+def test_assemble_step_text_matches_python(spark):
+    from runlens.operators import messages as M
+    texts = [f" step {i} " + "x" * (i % 7) for i in range(120)]
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "run_id string, step long, step_text string")
+    got = {r.step: (r.block, r.context_chars) for r in M.assemble_step_text(df, limit=10).collect()}
+    blocks = [f'<step id="{i + 1}">\n{t.strip()}\n</step>' for i, t in enumerate(texts)]
+    for i in range(120):
+        assert got[i] == (blocks[i], len("\n\n".join(blocks[: i + 1])))
