@@ -61,8 +61,9 @@ def thought_history(t: DataFrame, session: str = "session_id", pos: str = "pos")
     counts chunked per session)."""
     v = validate_thoughts(t).where(F.col("error").isNull())
     is_br = F.col("branch_from_norm").isNotNull() & F.col("branch_id").isNotNull()
+    # one thought per (session, pos), so first-of-branch rows are unique per position
     firsts = (v.where(is_br).groupBy(session, "branch_id").agg(F.min(pos).alias(pos))
-              .select(session, pos, F.lit(1).alias("_new")).groupBy(session, pos).agg(F.sum("_new").alias("_new")))
+              .select(session, pos, F.lit(1).alias("_new")))
     x = v.select(session, pos).join(firsts, [session, pos], "left")
     out = running(x, session, pos, {"history_length": ("count", F.lit(1)), "branches": ("sum", "_new")})
     return out.select(session, pos, F.col("history_length").cast("bigint").alias("history_length"),

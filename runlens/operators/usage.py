@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Exit code and output markers of a test command that never ran.
@@ -142,10 +142,13 @@ def attach_step_summary(steps: DataFrame, summaries: DataFrame, run: str = "run_
     """Set ``col`` on the first step (lowest ``order``) with each step number;
     other rows keep their old value."""
     k = [run, step]
-    first = steps.groupBy(*k).agg(F.min(order).alias("_first"))
+    # a (run, step) group is one step (a retried step at most a few rows), so
+    # a window min over it is cheap, and its output is already partitioned
+    # on (run, step): only the summaries move for the join
+    first = F.min(order).over(Window.partitionBy(*k))
     s = summaries.select(*k, F.col(col).alias("_new"))
     old = F.col(col) if col in steps.columns else F.lit(None).cast("string")
-    j = steps.join(first, k, "left").join(s, k, "left")
+    j = steps.withColumn("_first", first).join(s, k, "left")
     return j.withColumn(col, F.when(F.col(order) == F.col("_first"), F.coalesce("_new", old))
                         .otherwise(old)).drop("_first", "_new")
 
