@@ -4,9 +4,10 @@ counts, batching and resumable work lists.
 A candidate row carries ``instance_id``, its index ``idx`` inside the
 instance, the normalised patch key (``cleaned``), its label ``success_id``
 (1 right, 0 wrong, -1 unknown) and ``ok`` (no failed regression test).
-Group-level flags are computed with a partial aggregate and joined back, so a
-hot group is pre-aggregated map-side instead of being buffered whole in one
-window task.
+Per-key results (label flags, first of each key, counts) are grouped
+aggregates, combined map-side before the shuffle, so a hot key is never
+buffered whole in one task; the one window (W02) runs over a candidate
+group, whose size the group size bounds.
 """
 
 from __future__ import annotations
@@ -57,9 +58,11 @@ def prune_or_keep_all(cands: DataFrame, group: Sequence[str] | str = ("instance_
     """Keep candidates with no failed regression test; when none in a group
     qualifies keep the whole group."""
     g = _cols(group)
-    any_ok = cands.groupBy(*g).agg(F.bool_or(F.col(ok)).alias("_any_ok"))
-    return (cands.join(any_ok, g, "inner")
-            .where(F.col(ok) | ~F.col("_any_ok")).drop("_any_ok"))
+    # a candidate group holds at most group_size / num_candidate rows, so a
+    # window over it is bounded; it needs no exchange when the candidates are
+    # already partitioned by instance
+    any_ok = F.bool_or(F.col(ok)).over(Window.partitionBy(*g))
+    return cands.withColumn("_any_ok", any_ok).where(F.col(ok) | ~F.col("_any_ok")).drop("_any_ok")
 
 
 # -- W01 ---------------------------------------------------------------------
