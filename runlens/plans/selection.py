@@ -6,7 +6,7 @@ Every query reads the whole driver tables through the ``fx_*`` views.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
@@ -21,35 +21,37 @@ def selection_outcomes(cands: DataFrame, votes: DataFrame, group_size: int = GRO
     """One statistics row per (instance, group): what the selector picked and
     whether it was right.  Short-circuited groups pick candidate 0.
 
-    Plan: one aggregate per (instance, group) gives the label flags and
-    whether any non-blank candidate passed its regression tests (W02); one
-    join brings those back; the vote winner comes from two partial
-    aggregates; one more aggregate picks.  Deduplication (W01) is not a
-    separate step here because it cannot change the pick: the first
-    candidate overall and the first candidate with the winning key are both
-    the first of their key, so both survive deduplication."""
+    Plan: a candidate group holds at most ``group_size`` candidates, so the
+    label flags (A05) and "some non-blank candidate passed its regression
+    tests" (W02) are window aggregates over the group; the vote winner comes
+    from two partial aggregates; one aggregate per group then yields either
+    the short-circuit row or the pick.  Deduplication (W01) is not a separate
+    step here because it cannot change the pick: the first candidate overall
+    and the first candidate with the winning key are both the first of their
+    key, so both survive deduplication."""
     g = ["instance_id", "grp"]
-    nonblank = F.col("patch").rlike(r"\S")
-    flags = (cands.groupBy(*g)
-             .agg(*C.label_flag_aggs(), F.bool_or(F.col("ok") & nonblank).alias("any_ok"))
-             .withColumn("skip", C.skip_flag()))
-    gid = F.concat(F.lit("group_"), F.col("grp").cast("string")).alias("group_id")
-    skipped = flags.where("skip").select(
-        gid, "instance_id", F.lit(0).cast("bigint").alias("patch_id"),
-        F.when(F.col("all_success"), 1).otherwise(0).cast("bigint").alias("is_success"),
-        F.col("all_success").alias("is_all_success"),
-        (~F.col("all_success")).alias("is_all_failed"))
-    live = (cands.where(nonblank).join(flags.where(~F.col("skip")).select(*g, "any_ok"), g)
-            .where(F.col("ok") | ~F.col("any_ok")))
+    w = Window.partitionBy(*g)
+    lab, nonblank = F.col("success_id"), F.col("patch").rlike(r"\S")
+    c = (cands.withColumn("all_failed", ~F.bool_or(lab == 1).over(w))
+         .withColumn("all_success", F.bool_and(lab == 1).over(w))
+         .withColumn("known", F.bool_or(lab.isin(0, 1)).over(w))
+         .withColumn("any_ok", F.bool_or(F.col("ok") & nonblank).over(w))
+         .withColumn("skip", C.skip_flag()))
+    eligible = ~F.col("skip") & nonblank & (F.col("ok") | ~F.col("any_ok"))
     winners = majority_winner(votes).withColumnRenamed("ballot", "instance_id")
     miss = F.col("cleaned") != F.coalesce(F.col("winner"), F.lit(""))
-    pick = (live.join(winners, "instance_id", "left").groupBy(*g)
-            .agg(F.min_by(F.struct("idx", "success_id"), F.struct(miss.alias("miss"), F.col("idx"))).alias("p")))
-    chosen = pick.select(
-        gid, "instance_id", (F.col("p.idx") - F.col("grp") * group_size).cast("bigint").alias("patch_id"),
-        F.when(F.col("p.success_id") == 1, 1).otherwise(0).cast("bigint").alias("is_success"),
-        F.lit(False).alias("is_all_success"), F.lit(False).alias("is_all_failed"))
-    return skipped.unionByName(chosen)
+    per = (c.join(winners, "instance_id", "left").groupBy(*g).agg(
+        F.first("skip").alias("skip"), F.first("all_success").alias("all_success"),
+        F.min_by(F.struct("idx", "success_id"),
+                 F.when(eligible, F.struct(miss.alias("miss"), F.col("idx")))).alias("p")))
+    skip, ok_all = F.col("skip"), F.col("all_success")
+    return per.where(skip | F.col("p").isNotNull()).select(
+        F.concat(F.lit("group_"), F.col("grp").cast("string")).alias("group_id"), "instance_id",
+        F.when(skip, F.lit(0)).otherwise(F.col("p.idx") - F.col("grp") * group_size).cast("bigint")
+        .alias("patch_id"),
+        F.when(skip, F.when(ok_all, 1).otherwise(0))
+        .otherwise(F.when(F.col("p.success_id") == 1, 1).otherwise(0)).cast("bigint").alias("is_success"),
+        (skip & ok_all).alias("is_all_success"), (skip & ~ok_all).alias("is_all_failed"))
 
 
 def selection_report(cands: DataFrame, votes: DataFrame, total_num_instances: int = 500) -> DataFrame:
