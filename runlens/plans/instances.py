@@ -9,7 +9,7 @@ from ..functions import jsonpath as J
 from ..operators import candidates as C
 from ..operators import instances as I
 from ..operators import stats as S
-from ..sources.fixtures import fx_candidates, fx_json, with_fx
+from ..sources.fixtures import fx_candidates, fx_json, fx_prefix, with_fx
 from ..sources.tables import table
 
 _REPOS = ["django/django", "sympy/sympy"] + I.PYTEST_REPOS
@@ -62,9 +62,11 @@ def q_pending_instances(spark, d):
 
 
 def q_trial_numbers(spark, d):
+    # earlier trials of a (group, instance): the in-group positions of its
+    # failing candidates (so the used numbers have gaps); new outputs: the rest
     c = fx_candidates(spark, d).withColumn("group_id", F.col("grp"))
-    existing = (c.where(~F.col("ok")).groupBy("group_id", "instance_id")
-                .agg(F.count(F.lit(1)).alias("trial")))
+    existing = c.where(~F.col("ok")).select("group_id", "instance_id",
+                                            (F.col("idx") - F.col("grp") * 4 + 1).alias("trial"))
     return I.next_trial_numbers(c.where("ok"), existing).select("group_id", "instance_id", "idx", "trial")
 
 
@@ -169,12 +171,20 @@ FROM fx_candidates c LEFT JOIN (SELECT * FROM inst WHERE org <> 'BUILDING') i ON
     "pending_instances": f"""WITH {_INST}
 SELECT instance_id FROM inst
 WHERE instance_id NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10)""",
-    "trial_numbers": with_fx("""
-SELECT c.grp AS group_id, c.instance_id, c.idx,
-       coalesce(e.mx, 0) + row_number() OVER (PARTITION BY c.grp, c.instance_id ORDER BY c.idx) AS trial
-FROM (SELECT * FROM fx_candidates WHERE ok) c
-LEFT JOIN (SELECT grp, instance_id, count(*) AS mx FROM fx_candidates WHERE NOT ok GROUP BY grp, instance_id) e
-  ON c.grp = e.grp AND c.instance_id = e.instance_id""", "fx_candidates"),
+    "trial_numbers": fx_prefix("fx_candidates") + """
+, nw AS (SELECT grp, instance_id, idx, row_number() OVER (PARTITION BY grp, instance_id ORDER BY idx) AS r
+         FROM fx_candidates WHERE ok),
+used AS (SELECT grp, instance_id, idx - grp * 4 + 1 AS t FROM fx_candidates WHERE NOT ok),
+sizes AS (SELECT n.grp, n.instance_id, max(n.r) + coalesce(max(u.k), 0) AS m
+          FROM nw n LEFT JOIN (SELECT grp, instance_id, count(*) AS k FROM used GROUP BY 1, 2) u
+            ON n.grp = u.grp AND n.instance_id = u.instance_id GROUP BY 1, 2, u.k),
+cand AS (SELECT grp, instance_id, unnest(range(1, m + 1)) AS t FROM sizes),
+free AS (SELECT c.grp, c.instance_id, c.t,
+                row_number() OVER (PARTITION BY c.grp, c.instance_id ORDER BY c.t) AS fr
+         FROM cand c LEFT JOIN used u ON c.grp = u.grp AND c.instance_id = u.instance_id AND c.t = u.t
+         WHERE u.t IS NULL)
+SELECT n.grp AS group_id, n.instance_id, n.idx, f.t AS trial
+FROM nw n JOIN free f ON n.grp = f.grp AND n.instance_id = f.instance_id AND n.r = f.fr""",
     "status_histogram": f"""WITH {_BUILD}
 SELECT prefix, count(*) AS n, count(DISTINCT instance_id) AS n_items,
        row_number() OVER (ORDER BY count(*) DESC, prefix) AS rank

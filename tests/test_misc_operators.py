@@ -77,3 +77,12 @@ def test_create_if_absent_messages(spark):
     got = {r.path: r for r in E.create_if_absent(docs, creates).collect()}
     assert got["b"].created and "created successfully" in got["b"].message
     assert not got["a"].created and got["a"].error.startswith("File already exists at: a.")
+
+
+def test_trial_numbers_refill_gaps(spark):
+    from runlens.operators.instances import next_trial_numbers
+    sel = spark.createDataFrame([("g", "i", 5), ("g", "i", 7), ("g", "j", 1)],
+                                "group_id string, instance_id string, idx long")
+    ex = spark.createDataFrame([("g", "i", 1), ("g", "i", 3)], "group_id string, instance_id string, trial long")
+    got = sorted((r.instance_id, r.idx, r.trial) for r in next_trial_numbers(sel, ex).collect())
+    assert got == [("i", 5, 2), ("i", 7, 4), ("j", 1, 1)]
