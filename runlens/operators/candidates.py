@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import positions
+
 
 def _cols(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -132,16 +134,16 @@ def batch_and_stride(items: DataFrame, key: Sequence[str] | str, order: Sequence
     (``pos div group_size``), and strided shard ``pos mod k`` with
     ``k = max(1, min(shards, #items))``."""
     k = _cols(key)
-    w = Window.partitionBy(*k).orderBy(*_cols(order))
-    out = items.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
+    # exact positions without a per-key window (see scan.positions)
+    out = positions(items, k, _cols(order))
     out = out.withColumn("batch", F.floor(F.col("pos") / batch_size).cast("bigint"))
     if group_size:
         out = (out.withColumn("group_no", F.floor(F.col("pos") / group_size).cast("bigint"))
                .withColumn("group_idx", F.pmod(F.col("pos"), F.lit(group_size)).cast("bigint")))
     if shards:
-        n = F.count(F.lit(1)).over(Window.partitionBy(*k))
-        kk = F.greatest(F.lit(1), F.least(F.lit(shards), n))
-        out = out.withColumn("shard", F.pmod(F.col("pos"), kk).cast("bigint"))
+        n = items.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+        kk = F.greatest(F.lit(1), F.least(F.lit(shards), F.col("_n")))
+        out = out.join(n, k).withColumn("shard", F.pmod(F.col("pos"), kk).cast("bigint")).drop("_n")
     return out
 
 

@@ -68,3 +68,21 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
         out_df = out_df.withColumn(out, e)
     drop = ["_chunk"] + [f"_{p}_{o}" for o in specs for p in ("l", "t", "c")]
     return out_df.drop(*drop)
+
+
+def positions(df: DataFrame, key: str | list[str], order: list[str], out: str = "pos",
+              chunk: int = CHUNK) -> DataFrame:
+    """0-based position of each row within its key, in ``order`` (any
+    sortable columns; include enough of them to make the order total).
+
+    A window ``row_number`` would hold each key in one task.  Instead the
+    rows are sorted globally (range partitioning with sampled bounds splits a
+    hot key over many partitions), given increasing ids in that order, and
+    numbered by the chunked running count, whose per-chunk table is the only
+    thing that crosses partitions."""
+    keys = [key] if isinstance(key, str) else list(key)
+    k = "_pkey"
+    s = (df.withColumn(k, F.struct(*[F.col(c) for c in keys]))
+         .orderBy(*keys, *order).withColumn("_sid", F.monotonically_increasing_id()))
+    out_df = running(s, k, "_sid", {out: ("count", F.lit(1))}, chunk=chunk)
+    return out_df.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(k, "_sid")

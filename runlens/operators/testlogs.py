@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .messages import strip
-from .scan import running
+from .scan import positions, running
 
 # Patterns of the two addressable log formats.
 SYMPY_FILE_RE = r"^(sympy/[\w./]+\.py)\[\d+\]"
@@ -319,9 +319,11 @@ def test_selector(names: DataFrame, key: str = "instance_id", pos: str = "pos")
     firsts = (d.where(F.col("repo").isin(*dedup_repos))
               .groupBy(key, "repo", "directive").agg(F.min("pos").alias("pos")))
     both = plain.unionByName(firsts.select(key, "repo", "pos", "directive"))
-    order = F.when(F.col("repo") == "sympy/sympy", F.col("directive")).otherwise(F.lit(None))
-    w = Window.partitionBy(key).orderBy(order, F.col("pos"))
-    return both.select(key, "repo", F.row_number().over(w).cast("bigint").alias("ord"), "directive")
+    # sympy lists sorted names, the others keep first-occurrence order; the
+    # ordinal is an exact position without a per-instance window
+    b = both.withColumn("_o", F.when(F.col("repo") == "sympy/sympy", F.col("directive")))
+    out = positions(b, key, ["_o", "pos", "directive"], out="ord")
+    return out.select(key, "repo", (F.col("ord") + 1).cast("bigint").alias("ord"), "directive")
 
 
 # -- one-pass form of A08 + J07-J09 --------------------------------------------

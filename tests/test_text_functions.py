@@ -275,3 +275,15 @@ def test_assemble_step_text_matches_python(spark):
     blocks = [f'<step id="{i + 1}">\n{t.strip()}\n</step>' for i, t in enumerate(texts)]
     for i in range(120):
         assert got[i] == (blocks[i], len("\n\n".join(blocks[: i + 1])))
+
+
+def test_positions_match_row_number(spark):
+    from pyspark.sql import Window
+    from runlens.operators.scan import positions
+    # one hot key with most rows, spread over many partitions
+    df = spark.range(0, 5000, numPartitions=7).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 13).cast("string")).alias("k"),
+        (F.col("id") * 7919 % 5003).alias("o"), F.col("id"))
+    got = positions(df, "k", ["o", "id"], chunk=64).select("k", "id", "pos")
+    ref = df.select("k", "id", (F.row_number().over(Window.partitionBy("k").orderBy("o", "id")) - 1).alias("pos"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
