@@ -23,6 +23,9 @@ SILENT_FAILURE_TEXT = "Tool execution failed without providing error details."
 ERROR_SUFFIX_OPENAI = "\nError: "
 ERROR_PREFIX_CHAT = "Tool call failed with error:\n"
 CONTENT_REQUIRED = "Message content is required"
+ROLE_CONTENT_REQUIRED = {"system": "System message content is required",
+                         "user": "User message content is required",
+                         "assistant": "Assistant message content is required"}
 INVALID_ROLE = "Invalid message role: "
 STEP_CONTEXT_LIMIT = 300_000
 
@@ -99,11 +102,22 @@ def to_chat_messages(msgs: DataFrame, provider: str) -> DataFrame:
                         .when(tc.isNotNull(), F.to_json(F.struct(tc["name"].alias("name"),
                                                                  tc["arguments"].alias("arguments"))))
                         .otherwise(content))
-        error = (F.when(tr.isNotNull() | tc.isNotNull(), F.lit(None))
-                 .when(empty & role.isin("system", "user", "assistant"),
-                       F.lit(CONTENT_REQUIRED))
-                 .when(~role.isin("system", "user", "assistant"),
-                       F.concat(F.lit(INVALID_ROLE), role)))
+        valid = role.isin("system", "user", "assistant")
+        if p == "openai":
+            # content is checked before the role
+            error = (F.when(tr.isNotNull() | tc.isNotNull(), F.lit(None))
+                     .when(empty, F.lit(CONTENT_REQUIRED))
+                     .when(~valid, F.concat(F.lit(INVALID_ROLE), role)))
+        else:
+            # an empty role is skipped without error (chat_role null);
+            # the content message names the role
+            by_role = F.create_map(*[x for k, v in ROLE_CONTENT_REQUIRED.items() for x in (F.lit(k), F.lit(v))])
+            error = (F.when(tr.isNotNull() | tc.isNotNull(), F.lit(None))
+                     .when(role.isNull() | (role == ""), F.lit(None))
+                     .when(~valid, F.concat(F.lit(INVALID_ROLE), role))
+                     .when(empty, F.element_at(by_role, role)))
+            chat_role = F.when(tr.isNull() & tc.isNull() & (role.isNull() | (role == "")),
+                               F.lit(None)).otherwise(chat_role)
     else:
         raise ValueError(f"unknown provider style {provider!r}")
     return msgs.select("*", chat_role.alias("chat_role"), chat_content.alias("chat_content"),

@@ -50,7 +50,8 @@ def thought_branches(t: DataFrame, session: str = "session_id", pos: str = "pos"
     """Per (session, branch): thoughts recorded in the branch (valid ones
     with both a branch origin and a branch id), first and last position."""
     v = validate_thoughts(t).where(F.col("error").isNull())
-    b = v.where(F.col("branch_from_norm").isNotNull() & F.col("branch_id").isNotNull())
+    # both must be truthy: a set branch origin and a non-empty branch id
+    b = v.where(F.col("branch_from_norm").isNotNull() & (F.coalesce(F.col("branch_id"), F.lit("")) != ""))
     return b.groupBy(session, "branch_id").agg(
         F.count(F.lit(1)).alias("n_thoughts"), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"))
 
@@ -60,7 +61,7 @@ def thought_history(t: DataFrame, session: str = "session_id", pos: str = "pos")
     (first thought of each branch found by a partial aggregate; running
     counts chunked per session)."""
     v = validate_thoughts(t).where(F.col("error").isNull())
-    is_br = F.col("branch_from_norm").isNotNull() & F.col("branch_id").isNotNull()
+    is_br = F.col("branch_from_norm").isNotNull() & (F.coalesce(F.col("branch_id"), F.lit("")) != "")
     # one thought per (session, pos), so first-of-branch rows are unique per position
     firsts = (v.where(is_br).groupBy(session, "branch_id").agg(F.min(pos).alias(pos))
               .select(session, pos, F.lit(1).alias("_new")))

@@ -86,3 +86,14 @@ def test_trial_numbers_refill_gaps(spark):
     ex = spark.createDataFrame([("g", "i", 1), ("g", "i", 3)], "group_id string, instance_id string, trial long")
     got = sorted((r.instance_id, r.idx, r.trial) for r in next_trial_numbers(sel, ex).collect())
     assert got == [("i", 5, 2), ("i", 7, 4), ("j", 1, 1)]
+
+
+def test_chat_errors_per_provider_order(spark):
+    df = spark.createDataFrame([("user", ""), ("bogus", ""), ("", "x"), ("bogus", "x")], "role string, content string")
+    o = [r.error for r in M.to_chat_messages(df, "openai").collect()]
+    assert o == ["Message content is required", "Message content is required", "Invalid message role: ",
+                 "Invalid message role: bogus"]
+    c = M.to_chat_messages(df, "compatible").collect()
+    assert [r.error for r in c] == ["User message content is required", "Invalid message role: bogus", None,
+                                    "Invalid message role: bogus"]
+    assert c[2].chat_role is None
