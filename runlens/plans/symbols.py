@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import docedit as E
 from ..operators import symbols as Y
 from ..operators import thoughts as H
 from ..sources.fixtures import fx_files, fx_spans, fx_thoughts, with_fx
@@ -32,6 +33,43 @@ def q_symbol_lookup(spark, d):
     return Y.symbol_lookup(funcs, classes, lookups)
 
 
+# Report nouns per entry type, as the code-search tool prints them.
+_NOUN = {"function": "functions", "class": "classes", "class_method": "class methods"}
+
+
+def _lookups(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("identifier"),
+                    F.element_at(F.array(F.lit("function"), F.lit("class_method"), F.lit("class")),
+                                 (F.col("p_partkey") % 3 + 1).cast("int")).alias("entry_type"))
+
+
+def q_symbol_search_report(spark, d):
+    """Lookup -> report text per (identifier, kind), locations only, cut at
+    the output budget; identifiers without a match get the tool's message."""
+    spans = fx_spans(spark, d)
+    lookups = _lookups(spark, d)
+    hits = Y.symbol_lookup(Y.enclosing_symbol(spans), spans.where(F.col("kind") == "class"), lookups)
+    noun = F.create_map(*[x for k, v in _NOUN.items() for x in (F.lit(k), F.lit(v))])
+    hits = hits.withColumn("key", F.concat_ws("|", "identifier", "entry_type"))
+
+    def text(i):
+        return F.concat(i.cast("string"), F.lit(". "), F.col("file_path"), F.lit(":"),
+                        F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
+                        F.lit("\n"))
+
+    def header(n):
+        return F.concat(F.lit("Found "), n.cast("string"), F.lit(" "), F.element_at(noun, F.col("entry_type")),
+                        F.lit(" named "), F.col("identifier"), F.lit(":\n"))
+
+    rep = E.budget_report(hits, "key", ["file_path", "start_line", "end_line"], text, header,
+                          min_entry_len=len("1. x:1-1\n"))
+    found = lookups.withColumn("key", F.concat_ws("|", "identifier", "entry_type")).join(rep, "key", "left")
+    msg = F.concat(F.lit("No "), F.element_at(noun, F.col("entry_type")), F.lit(" named "), F.col("identifier"),
+                   F.lit(" found."))
+    return found.select("identifier", "entry_type", F.coalesce("output", msg).alias("output"))
+
+
 def q_visible_files(spark, d):
     return Y.visible_files(fx_files(spark, d)).select("doc_id", "path", "language")
 
@@ -57,6 +95,7 @@ QUERIES = {
     "enclosing_symbol": q_enclosing_symbol,
     "enclosing_class": q_enclosing_class,
     "symbol_lookup": q_symbol_lookup,
+    "symbol_search_report": q_symbol_search_report,
     "visible_files": q_visible_files,
     "snapshot_fingerprint": q_snapshot_fingerprint,
     "validate_thoughts": q_validate_thoughts,
@@ -116,6 +155,35 @@ UNION ALL
 SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line
 FROM lk JOIN fx_spans c ON c.name = lk.identifier AND c.kind = 'class' AND lk.entry_type = 'class'""").replace(
         "\n, lk AS", ",\nlk AS"),
+    "symbol_search_report": _sp("""
+, lk AS (SELECT 'n' || CAST(p_partkey AS VARCHAR(20)) AS identifier,
+                (['function', 'class_method', 'class'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS entry_type
+         FROM part),
+hits AS (SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line
+         FROM lk JOIN funcs f ON f.name = lk.identifier
+           AND lk.entry_type = CASE WHEN f.parent_class IS NULL THEN 'function' ELSE 'class_method' END
+         UNION ALL
+         SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line
+         FROM lk JOIN fx_spans c ON c.name = lk.identifier AND c.kind = 'class' AND lk.entry_type = 'class'),
+en AS (SELECT *, row_number() OVER (PARTITION BY identifier, entry_type ORDER BY file_path, start_line, end_line) AS i,
+              count(*) OVER (PARTITION BY identifier, entry_type) AS n,
+              CASE entry_type WHEN 'function' THEN 'functions' WHEN 'class' THEN 'classes' ELSE 'class methods' END AS noun
+       FROM hits),
+tx AS (SELECT *, CAST(i AS VARCHAR) || '. ' || file_path || ':' || CAST(start_line AS VARCHAR) || '-'
+                 || CAST(end_line AS VARCHAR) || chr(10) AS t,
+              'Found ' || CAST(n AS VARCHAR) || ' ' || noun || ' named ' || identifier || ':' || chr(10) AS h FROM en),
+cu AS (SELECT *, length(h) + sum(length(t)) OVER (PARTITION BY identifier, entry_type ORDER BY i
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM tx),
+agg AS (SELECT identifier, entry_type, max(n) AS n, max(i) AS last_i, max(cum) > 16000 AS clipped, min(h) AS h,
+               string_agg(t, '' ORDER BY i) AS body FROM cu WHERE cum - length(t) <= 16000
+        GROUP BY identifier, entry_type)
+SELECT lk.identifier, lk.entry_type,
+       coalesce(CASE WHEN a.clipped THEN substr(a.h || a.body, 1, 16000) || chr(10) || '<response clipped> '
+                       || CAST(a.n - a.last_i AS VARCHAR) || ' more entries not shown' ELSE a.h || a.body END,
+                'No ' || CASE lk.entry_type WHEN 'function' THEN 'functions' WHEN 'class' THEN 'classes'
+                              ELSE 'class methods' END || ' named ' || lk.identifier || ' found.') AS output
+FROM lk LEFT JOIN agg a ON lk.identifier = a.identifier AND lk.entry_type = a.entry_type""").replace(
+        "\n, lk AS", ",\nlk AS"),
     "visible_files": with_fx("""
 SELECT doc_id, path, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1))
     WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.c' THEN 'c' WHEN '.cpp' THEN 'cpp'
