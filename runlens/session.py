@@ -41,14 +41,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``.  Only when it is unset (local tests) a fresh
-    scratch folder is created and set."""
+    scratch folder is created and registered with the SparkContext (core
+    settings cannot be changed through ``spark.conf`` at runtime)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
-    d = tempfile.mkdtemp(prefix="runlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:

@@ -97,3 +97,35 @@ def test_chat_errors_per_provider_order(spark):
     assert [r.error for r in c] == ["User message content is required", "Invalid message role: bogus", None,
                                     "Invalid message role: bogus"]
     assert c[2].chat_role is None
+
+
+def test_checkpoint_dir_fallback_and_cluster_setting():
+    from runlens.session import checkpoint_path, ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, v):
+            self.v = v
+
+        def get(self, k, default=None):
+            return self.v
+
+    class Ctx:
+        def __init__(self):
+            self.d = None
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d + "/uuid"
+
+    class Fake:
+        def __init__(self, v):
+            self.conf, self.sparkContext = Conf(v), Ctx()
+
+    shared = Fake("hdfs://cluster/ckpt")
+    assert ensure_checkpoint_dir(shared) == "hdfs://cluster/ckpt"
+    assert checkpoint_path(shared, "s") == "hdfs://cluster/ckpt/s"
+    local = Fake(None)
+    d = ensure_checkpoint_dir(local)
+    assert d.endswith("/uuid") and ensure_checkpoint_dir(local) == d
