@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 CHUNK = 65536
 
 
@@ -84,5 +86,12 @@ def positions(df: DataFrame, key: str | list[str], order: list[str], out: str =
     k = "_pkey"
     s = (df.withColumn(k, F.struct(*[F.col(c) for c in keys]))
          .orderBy(*keys, *order).withColumn("_sid", F.monotonically_increasing_id()))
+    # The ids depend on the range bounds, which are sampled from an input
+    # whose row order may differ between two computations of it (e.g. after a
+    # shuffle).  The running count reads the rows twice, so the sorted rows
+    # are materialised once in the shared checkpoint folder: both passes see
+    # the same ids, and the lineage is cut (a lost executor re-reads files).
+    ensure_checkpoint_dir(s.sparkSession)
+    s = s.checkpoint(eager=True)
     out_df = running(s, k, "_sid", {out: ("count", F.lit(1))}, chunk=chunk)
     return out_df.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(k, "_sid")
