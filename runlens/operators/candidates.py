@@ -210,3 +210,33 @@ def instances_with_candidates(instances: DataFrame, cands: DataFrame,
 def missing_candidates(instances: DataFrame, cands: DataFrame, key: str = "instance_id"):
     """Instances with no candidate entry (a ``KeyError`` in the reference)."""
     return instances.join(cands.select(key), key, "left_anti")
+
+
+# -- F05 + W08 + T03 + U01: regression-test selection -------------------------
+def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50, cap: int = 1000,
+                            key: str = "instance_id", item: str = "test") -> DataFrame:
+    """The tests kept for regression checking, per instance.
+
+    ``batched`` comes from :func:`batch_and_stride` (``pos``, ``batch``);
+    ``replies`` holds one model reply per (instance, batch).  A reply's
+    in-range integers pick tests of its batch (first occurrence order,
+    F05); a batch without a usable pick falls back to a seeded sample of
+    ``min(k, size)`` of its tests (T03); the per-batch selections are
+    unioned (U01) and an instance with more than ``cap`` is sampled down to
+    ``cap``.  Everything is joins and partial aggregates on (instance,
+    batch); only a batch's own tests are ever looked at together."""
+    from ..functions.replies import parse_index_selection  # local: functions import operators
+
+    b = batched.withColumn("_li", F.col("pos") - F.min("pos").over(Window.partitionBy(key, "batch")))
+    sizes = b.groupBy(key, "batch").agg(F.count(F.lit(1)).alias("_n"))
+    r = (sizes.join(replies.select(key, "batch", "reply"), [key, "batch"], "left")
+         .withColumn("_idx", F.coalesce(parse_index_selection(F.col("reply"), F.col("_n")),
+                                        F.array().cast("array<int>"))))
+    picks = r.select(key, "batch", F.explode("_idx").alias("_li"))
+    picked = b.join(picks.withColumn("_li", F.col("_li").cast("bigint")), [key, "batch", "_li"])
+    empty = r.where(F.size("_idx") == 0).select(key, "batch")
+    fallback = seeded_sample(b.join(empty, [key, "batch"], "left_semi"), [key, "batch"], item, k,
+                             seed="batch")
+    chosen = union_batches(picked.select(key, "batch", item, F.lit("reply").alias("source")),
+                           fallback.select(key, "batch", item, F.lit("fallback").alias("source")))
+    return seeded_sample(chosen, key, item, cap, seed="cap")

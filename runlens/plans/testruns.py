@@ -71,6 +71,23 @@ def q_union_batches(spark, d):
     return C.union_batches(head, samp)
 
 
+def _replies_for_batches(b):
+    """One reply per (instance, batch), derived from the keys: a truncated
+    index list, or no decision for every fifth batch."""
+    ib = b.select("instance_id", "batch").distinct()
+    x = (F.col("instance_id") * 7 + F.col("batch") * 3) % 25
+    y = (F.col("instance_id") + F.col("batch")) % 20
+    reply = F.when((F.col("instance_id") + F.col("batch")) % 5 == 0, F.lit("no idea")).otherwise(
+        F.concat(F.lit("["), x.cast("string"), F.lit(", "), y.cast("string"), F.lit(", "), x.cast("string"),
+                 F.lit(", 99999999999999")))
+    return ib.select("instance_id", "batch", reply.alias("reply"))
+
+
+def q_select_regression_tests(spark, d):
+    b = _batched(spark, d)
+    return C.select_regression_tests(b, _replies_for_batches(b), k=5, cap=12)
+
+
 def q_parse_grouped_log(spark, d):
     return T.parse_grouped_log(fx_log(spark, d))
 
@@ -171,6 +188,7 @@ QUERIES = {
     "batch_and_stride": q_batch_and_stride,
     "render_batches": q_render_batches,
     "union_batches": q_union_batches,
+    "select_regression_tests": q_select_regression_tests,
     "parse_grouped_log": q_parse_grouped_log,
     "covering_files": q_covering_files,
     "parse_status_lines": q_parse_status_lines,
@@ -330,6 +348,33 @@ SELECT instance_id, batch, test FROM (
   SELECT *, row_number() OVER (PARTITION BY instance_id, batch
             ORDER BY md5('s:' || CAST(instance_id AS VARCHAR(20)) || ':' || CAST(batch AS VARCHAR(20)) || ':' || test), test) AS r
   FROM batched) WHERE r <= 3"""),
+    "select_regression_tests": _st("""
+, rep AS (SELECT DISTINCT instance_id, batch,
+                 CASE WHEN (instance_id + batch) % 5 = 0 THEN 'no idea'
+                      ELSE '[' || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', '
+                           || CAST((instance_id + batch) % 20 AS VARCHAR) || ', '
+                           || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', 99999999999999' END AS reply
+          FROM batched),
+b AS (SELECT *, pos - min(pos) OVER (PARTITION BY instance_id, batch) AS li,
+             count(*) OVER (PARTITION BY instance_id, batch) AS n FROM batched),
+ints AS (SELECT r.instance_id, r.batch, s.n,
+                list_transform(regexp_extract_all(r.reply, '(\\d+)', 1), lambda t: TRY_CAST(t AS INTEGER)) AS xs
+         FROM rep r JOIN (SELECT DISTINCT instance_id, batch, n FROM b) s USING (instance_id, batch)),
+idx AS (SELECT instance_id, batch,
+               list_filter(xs, lambda x, i: x IS NOT NULL AND x >= 0 AND x < n AND list_position(xs, x) = i) AS ix
+        FROM ints),
+picks AS (SELECT instance_id, batch, unnest(ix) AS li FROM idx),
+picked AS (SELECT b.instance_id, b.batch, b.test, 'reply' AS source FROM b JOIN picks p USING (instance_id, batch, li)),
+fallback AS (SELECT instance_id, batch, test, 'fallback' AS source FROM (
+               SELECT b.*, row_number() OVER (PARTITION BY b.instance_id, b.batch
+                         ORDER BY md5('batch:' || CAST(b.instance_id AS VARCHAR) || ':' || CAST(b.batch AS VARCHAR)
+                                      || ':' || b.test), b.test) AS r
+               FROM b JOIN idx i USING (instance_id, batch) WHERE len(i.ix) = 0) WHERE r <= 5),
+chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM fallback)
+SELECT instance_id, batch, test, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY instance_id
+              ORDER BY md5('cap:' || CAST(instance_id AS VARCHAR) || ':' || test), test) AS r FROM chosen)
+WHERE r <= 12""").replace("\n, rep AS", ",\nrep AS"),
     "parse_grouped_log": with_fx(_W04_SQL.format(src="fx_log"), "fx_log"),
     "covering_files": with_fx(f"""
 SELECT DISTINCT 'file' AS kind, split_part(test, '::', 1) AS value FROM ({_W04_SQL.format(src='fx_log')})

@@ -80,3 +80,22 @@ def test_seeded_sample_size_and_repeatability(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     small = C.seeded_sample(df.where("k = 0").limit(7), "k", "item", 50)
     assert small.count() == 7
+
+
+def test_select_regression_tests(spark):
+    tests = spark.createDataFrame([("i", f"t{j:02d}") for j in range(8)] + [("z", "only")],
+                                  "instance_id string, test string")
+    batched = C.batch_and_stride(tests, "instance_id", "test", batch_size=3)
+    replies = spark.createDataFrame([("i", 0, "[2, 0, 2, 7"), ("i", 1, "[9, 42"), ("z", 0, "[0]")],
+                                    "instance_id string, batch long, reply string")
+    got = C.select_regression_tests(batched, replies, k=2, cap=100).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.instance_id, r.batch, r.source), []).append(r.test)
+    assert sorted(by[("i", 0, "reply")]) == ["t00", "t02"]           # in-range, deduplicated
+    assert len(by[("i", 1, "fallback")]) == 2                        # nothing in range -> sample of k
+    assert set(by[("i", 1, "fallback")]) <= {"t03", "t04", "t05"}
+    assert len(by[("i", 2, "fallback")]) == 2                        # no reply at all -> sample
+    assert by[("z", 0, "reply")] == ["only"]
+    capped = C.select_regression_tests(batched, replies, k=2, cap=3).collect()
+    assert sum(1 for r in capped if r.instance_id == "i") == 3
