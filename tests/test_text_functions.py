@@ -287,3 +287,15 @@ def test_positions_match_row_number(spark):
     got = positions(df, "k", ["o", "id"], chunk=64).select("k", "id", "pos")
     ref = df.select("k", "id", (F.row_number().over(Window.partitionBy("k").orderBy("o", "id")) - 1).alias("pos"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_json_view_matches_json_dumps(spark):
+    import json
+    docs = ['{"a": "héllo"}', '{"a": 1.0}', '{"a": 1e20}', '{"a": 12345678901234567890}', '{"a": "q\\"x"}',
+            '{"a": 0.1}', '{"a": -0.0}', '{"a": true}', '{"a": null}', '{"b": 1}', '{"a": [1, {"c": 2}]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    got = {r.id: r.v for r in J.with_json_view(df, "doc", "$.a", "v").collect()}
+    for i, d in enumerate(docs):
+        o = json.loads(d)
+        exp = json.dumps(o["a"], indent=2, ensure_ascii=False) if "a" in o else "No matches found for JSONPath: $.a"
+        assert got[i] == exp, (d, got[i], exp)
