@@ -255,3 +255,10 @@ def test_log_lines_line_mode_matches_whole_text(spark, tmp):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     pa = sorted(map(tuple, parse_docstring_log(a).collect()))
     assert pa == sorted(map(tuple, parse_docstring_log(b).collect())) and len(pa) > 3000
+
+
+def test_status_from_lines(spark):
+    lines = spark.createDataFrame([("L", "PASSED a::t", 1), ("L", "noise", 2), ("L", "FAILED a::u", 3)],
+                                  "log_id string, line string, seq long")
+    got = sorted((r.test, r.status) for r in L.status_from_lines(lines).collect())
+    assert got == [("a::t", "PASSED"), ("a::u", "FAILED")]
