@@ -32,13 +32,18 @@ FAILED_STATUS_LINE = "Tool Call Status: -1"
 
 
 # -- F05 ---------------------------------------------------------------------
+def reply_integers(reply: Column) -> Column:
+    """All integers in a free-text reply that fit an int, first occurrence
+    order, deduplicated.  A truncated array still parses; an overflowing
+    integer is dropped (``try_cast``)."""
+    ints = F.transform(F.regexp_extract_all(reply, F.lit(r"(\d+)"), 1), lambda s: s.try_cast("int"))
+    return F.array_distinct(F.filter(ints, lambda i: i.isNotNull()))
+
+
 def parse_index_selection(reply: Column, batch_size: Column | int) -> Column:
-    """All integers in a free-text reply that index into a batch of
-    ``batch_size`` names, first occurrence order, deduplicated.  A truncated
-    array still parses; an overflowing integer is dropped (``try_cast``)."""
+    """The reply's integers that index into a batch of ``batch_size`` names."""
     n = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
-    ints = F.transform(F.regexp_extract_all(reply, F.lit(r"(\d+)"), 1), lambda s: s.try_cast("int"))
-    return F.array_distinct(F.filter(ints, lambda i: i.isNotNull() & (i >= 0) & (i < n)))
+    return F.filter(reply_integers(reply), lambda i: (i >= 0) & (i < n))
 
 
 def pick_names(indexes: Column, names: Column) -> Column:

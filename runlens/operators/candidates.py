@@ -219,24 +219,29 @@ def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50,
 
     ``batched`` comes from :func:`batch_and_stride` (``pos``, ``batch``);
     ``replies`` holds one model reply per (instance, batch).  A reply's
-    in-range integers pick tests of its batch (first occurrence order,
-    F05); a batch without a usable pick falls back to a seeded sample of
-    ``min(k, size)`` of its tests (T03); the per-batch selections are
-    unioned (U01) and an instance with more than ``cap`` is sampled down to
-    ``cap``.  Everything is joins and partial aggregates on (instance,
-    batch); only a batch's own tests are ever looked at together."""
-    from ..functions.replies import parse_index_selection  # local: functions import operators
-
-    b = batched.withColumn("_li", F.col("pos") - F.min("pos").over(Window.partitionBy(key, "batch")))
-    sizes = b.groupBy(key, "batch").agg(F.count(F.lit(1)).alias("_n"))
-    r = (sizes.join(replies.select(key, "batch", "reply"), [key, "batch"], "left")
-         .withColumn("_idx", F.coalesce(parse_index_selection(F.col("reply"), F.col("_n")),
-                                        F.array().cast("array<int>"))))
-    picks = r.select(key, "batch", F.explode("_idx").alias("_li"))
-    picked = b.join(picks.withColumn("_li", F.col("_li").cast("bigint")), [key, "batch", "_li"])
-    empty = r.where(F.size("_idx") == 0).select(key, "batch")
-    fallback = seeded_sample(b.join(empty, [key, "batch"], "left_semi"), [key, "batch"], item, k,
-                             seed="batch")
-    chosen = union_batches(picked.select(key, "batch", item, F.lit("reply").alias("source")),
-                           fallback.select(key, "batch", item, F.lit("fallback").alias("source")))
+    in-range integers pick tests of its batch (F05); a batch without a
+    usable pick falls back to a seeded sample of ``min(k, size)`` of its
+    tests (T03); the per-batch selections are unioned (U01) and an instance
+    with more than ``cap`` is sampled down to ``cap``.
+
+    Plan: one window over each batch (bounded by the batch size) gives a
+    test's index in its batch and the batch size; the parsed replies join in
+    once on (instance, batch); picks and fallback are filters of that one
+    frame."""
+    from ..functions.replies import reply_integers  # local: functions import operators
+
+    wb = Window.partitionBy(key, "batch")
+    b = (batched.withColumn("_li", F.col("pos") - F.min("pos").over(wb))
+         .withColumn("_n", F.count(F.lit(1)).over(wb)))
+    # the reply is parsed once per batch, before it meets the batch's tests
+    r = replies.select(key, "batch", reply_integers(F.col("reply")).alias("_ints"))
+    x = (b.join(r, [key, "batch"], "left")
+         .withColumn("_ints", F.coalesce(F.col("_ints"), F.array().cast("array<int>"))))
+    picked = x.where(F.array_contains(F.col("_ints"), F.col("_li").cast("int"))).withColumn(
+        "source", F.lit("reply"))
+    no_pick = ~F.exists(F.col("_ints"), lambda i: i < F.col("_n"))
+    fallback = seeded_sample(x.where(no_pick), [key, "batch"], item, k, seed="batch").withColumn(
+        "source", F.lit("fallback"))
+    cols = [key, "batch", item, "source"]
+    chosen = union_batches(picked.select(*cols), fallback.select(*cols))
     return seeded_sample(chosen, key, item, cap, seed="cap")

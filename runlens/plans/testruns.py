@@ -71,10 +71,13 @@ def q_union_batches(spark, d):
     return C.union_batches(head, samp)
 
 
-def _replies_for_batches(b):
+def _replies_for_batches(passing, batch_size):
     """One reply per (instance, batch), derived from the keys: a truncated
-    index list, or no decision for every fifth batch."""
-    ib = b.select("instance_id", "batch").distinct()
+    index list, or no decision for every fifth batch.  The batches of an
+    instance are 0 .. ceil(n / batch_size) - 1."""
+    nb = passing.groupBy("instance_id").agg(F.count(F.lit(1)).alias("_n"))
+    ib = nb.select("instance_id", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), (F.ceil(F.col("_n") / batch_size) - 1).cast("bigint"))).alias("batch"))
     x = (F.col("instance_id") * 7 + F.col("batch") * 3) % 25
     y = (F.col("instance_id") + F.col("batch")) % 20
     reply = F.when((F.col("instance_id") + F.col("batch")) % 5 == 0, F.lit("no idea")).otherwise(
@@ -84,8 +87,9 @@ def _replies_for_batches(b):
 
 
 def q_select_regression_tests(spark, d):
-    b = _batched(spark, d)
-    return C.select_regression_tests(b, _replies_for_batches(b), k=5, cap=12)
+    passing = T.passing_tests(fx_status(spark, d))
+    b = C.batch_and_stride(passing, "instance_id", "test", batch_size=20)
+    return C.select_regression_tests(b, _replies_for_batches(passing, 20), k=5, cap=12)
 
 
 def q_parse_grouped_log(spark, d):
