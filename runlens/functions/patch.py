@@ -25,22 +25,18 @@ TEST_PATH_PATTERNS = ["/test/", "/tests/", "/testing/", "test_", "tox.ini"]
 
 # -- X03 ---------------------------------------------------------------------
 def strip_comment(line: str) -> str:
-    """Drop a trailing ``#`` comment that is outside string literals (the
-    tokenizer decides); if the line does not tokenize, cut at the first
-    ``#``.  Result is right-stripped."""
+    """Drop a trailing ``#`` comment that is outside string literals and
+    right-strip.  Python's tokenizer finds where the comment starts; a line
+    it cannot tokenize is cut at its first ``#`` (and left as is without
+    one)."""
     try:
-        out, prev = [], 0
         for tok in tokenize.generate_tokens(io.StringIO(line).readline):
             if tok.type == tokenize.COMMENT:
-                break
-            (srow, scol), (_, ecol) = tok.start, tok.end
-            if srow == 1 and scol > prev:
-                out.append(line[prev:scol])
-            out.append(tok.string)
-            prev = ecol
-        return "".join(out).rstrip()
+                # stop here: an unclosed bracket later on does not matter
+                return line[:tok.start[1]].rstrip()
     except (tokenize.TokenError, SyntaxError, IndentationError):
         return line.split("#", 1)[0].rstrip() if "#" in line else line
+    return line.rstrip()
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -299,3 +299,11 @@ def test_json_view_matches_json_dumps(spark):
         o = json.loads(d)
         exp = json.dumps(o["a"], indent=2, ensure_ascii=False) if "a" in o else "No matches found for JSONPath: $.a"
         assert got[i] == exp, (d, got[i], exp)
+
+
+def test_strip_comment_cases():
+    assert P.strip_comment('x = 1  # c') == "x = 1"
+    assert P.strip_comment('s = "#not"  # yes') == 's = "#not"'
+    assert P.strip_comment('f("#", x  # c') == 'f("#", x'      # comment found before the open bracket ends
+    assert P.strip_comment("t = 'abc # x") == "t = 'abc"       # does not tokenize: cut at the first '#'
+    assert P.strip_comment("t = 'abc ") == "t = 'abc "         # does not tokenize, no '#': unchanged
