@@ -227,3 +227,14 @@ def snapshot_key(commit: Column, status_text: Column, fingerprint: Column) -> Co
 def output_digest(text: Column) -> Column:
     """sha256 of a run's output (UTF-8), to tell whether two runs printed the same."""
     return F.sha2(text, 256)
+
+
+def refresh_symbol_index(index: DataFrame, old_files: DataFrame, new_files: DataFrame) -> DataFrame:
+    """Rebuild only what changed: symbols of files whose (path, mtime, size)
+    changed or that are new are extracted again, symbols of removed files
+    are dropped, and the rest of ``index`` is kept as is."""
+    changed = changed_files(old_files, new_files)
+    gone = old_files.select("path").join(new_files.select("path"), "path", "left_anti")
+    stale = changed.select("path").unionByName(gone).withColumnRenamed("path", "file_path")
+    kept = index.join(stale, "file_path", "left_anti")
+    return kept.unionByName(extract_symbols(changed), allowMissingColumns=True)

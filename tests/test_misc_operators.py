@@ -129,3 +129,21 @@ def test_checkpoint_dir_fallback_and_cluster_setting():
     local = Fake(None)
     d = ensure_checkpoint_dir(local)
     assert d.endswith("/uuid") and ensure_checkpoint_dir(local) == d
+
+
+def test_refresh_index_and_sorted_writer(spark, tmp):
+    from runlens.sinks.writers import write_symbol_index
+    old = spark.createDataFrame([("a.py", 1, 10, "def f():\n    pass\n"), ("b.py", 1, 10, "def g():\n    pass\n"),
+                                 ("c.py", 1, 10, "def h():\n    pass\n")],
+                                "path string, mtime long, size long, content string")
+    new = spark.createDataFrame([("a.py", 1, 10, "def f():\n    pass\n"), ("b.py", 2, 12, "def g2():\n    pass\n"),
+                                 ("d.py", 1, 5, "class K:\n    pass\n")],
+                                "path string, mtime long, size long, content string")
+    index = Y.extract_symbols(old)
+    fresh = Y.refresh_symbol_index(index, old, new)
+    assert sorted((r.file_path, r.name) for r in fresh.collect()) == [("a.py", "f"), ("b.py", "g2"), ("d.py", "K")]
+    out = os.path.join(tmp, "index")
+    write_symbol_index(fresh, out)
+    q = spark.read.parquet(out).where(F.col("name") == "g2")
+    assert "PushedFilters: [IsNotNull(name), EqualTo(name,g2)]" in q._jdf.queryExecution().executedPlan().toString()
+    assert [r.file_path for r in q.collect()] == ["b.py"]
