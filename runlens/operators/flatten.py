@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 
 def flatten_trajectories(traj: DataFrame) -> dict[str, DataFrame]:
-    t = traj.where(F.col("_bad").isNull()) if "_bad" in traj.columns else traj
+    if "_bad" in traj.columns:
+        # Spark refuses a raw JSON scan that ends up reading only the corrupt-
+        # record column (nested pruning can get there), so the filter also
+        # reads a data column; the second test is always true
+        t = traj.where(F.col("_bad").isNull() & (F.length(F.coalesce(F.col("task"), F.lit(""))) >= 0))
+    else:
+        t = traj
     runs = t.select("run_id", "task", "start_time", F.expr("try_cast(nullif(end_time, '') AS TIMESTAMP_NTZ)")
                     .alias("end_time"), "provider", "model", "max_steps", "success", "final_result",
                     "execution_time", F.size("agent_steps").alias("n_steps"),
@@ -46,3 +52,41 @@ def flatten_trajectories(traj: DataFrame) -> dict[str, DataFrame]:
     return {"runs": runs, "interactions": interactions, "messages": messages,
             "response_tool_calls": response_calls, "steps": steps,
             "step_tool_calls": step_calls, "step_tool_results": step_results}
+
+
+def trajectory_reports(flat: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The reports read off flattened trajectories: per-run summary (task
+    preview, success, steps, execution time, total tokens), token totals per
+    run, tool usage, model comparison, and each tool call with its first
+    result.  Every report is a grouped aggregate or an equi-join on run and
+    step keys."""
+    from .usage import calls_with_results, run_token_totals, task_preview, tool_usage
+
+    totals = run_token_totals(flat["interactions"])
+    n_steps = flat["steps"].groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
+    runs = flat["runs"]
+    summary = (runs.join(n_steps, "run_id", "left").join(totals, "run_id", "left").select(
+        "run_id", task_preview("task").alias("task_preview"), "success",
+        F.coalesce(F.col("steps"), F.lit(0)).cast("bigint").alias("steps"),
+        F.round("execution_time", 2).alias("execution_time"),
+        (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens")))
+    results = flat["step_tool_results"].select(
+        "run_id", "step_pos", "call_id", F.col("result_pos").alias("pos"), "result", "success", "duration_s")
+    calls = flat["step_tool_calls"].select("run_id", "step_pos", "call_id", F.col("name").alias("tool"))
+    with_res = calls_with_results(calls, results.select("run_id", "step_pos", "call_id", "pos", "result"),
+                                  keys=("run_id", "step_pos"))
+    outcome = results.groupBy("run_id", "step_pos", "call_id").agg(
+        F.min_by(F.struct("success", "duration_s"), F.col("pos")).alias("o"))
+    tools = tool_usage(calls.join(outcome, ["run_id", "step_pos", "call_id"], "left").select(
+        "tool", F.coalesce(F.col("o.success"), F.lit(False)).alias("success"),
+        F.col("o.duration_s").alias("duration_s")))
+    per_run = runs.select("run_id", "provider", "model", "success").join(summary.select(
+        "run_id", "steps", "total_tokens"), "run_id")
+    lat = flat["interactions"].groupBy("run_id").agg(F.avg("latency_s").alias("_lat"))
+    models = per_run.join(lat, "run_id", "left").groupBy("provider", "model").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"),
+        F.sum("steps").cast("bigint").alias("steps"), F.sum("total_tokens").cast("bigint").alias("tokens"),
+        F.round(F.avg("_lat"), 6).alias("avg_latency_s"))
+    return {"summary": summary, "token_totals": totals, "tool_usage": tools,
+            "model_comparison": models, "calls_with_results": with_res}

@@ -262,3 +262,22 @@ def test_status_from_lines(spark):
                                   "log_id string, line string, seq long")
     got = sorted((r.test, r.status) for r in L.status_from_lines(lines).collect())
     assert got == [("a::t", "PASSED"), ("a::u", "FAILED")]
+
+
+def test_trajectory_reports(spark, tmp):
+    from runlens.operators.flatten import trajectory_reports
+    t = json.loads(json.dumps(TRAJ))
+    t["agent_steps"][0]["tool_calls"] = [{"call_id": "call-1", "name": "bash", "arguments": "{}", "id": None},
+                                         {"call_id": "call-2", "name": "str_replace_based_edit_tool",
+                                          "arguments": "{}", "id": None}]
+    t["task"] = "x" * 60
+    with open(os.path.join(tmp, "r.json"), "w") as f:
+        json.dump(t, f, indent=2)
+    rep = trajectory_reports(flatten_trajectories(R.read_trajectories(spark, tmp)))
+    s = rep["summary"].collect()[0]
+    assert s.task_preview == "x" * 50 + "..." and s.steps == 1 and s.total_tokens == 10
+    calls = {r.call_id: r.result for r in rep["calls_with_results"].collect()}
+    assert calls == {"call-1": "ok", "call-2": ""}
+    tools = {r.tool: (r.calls, r.succeeded) for r in rep["tool_usage"].collect()}
+    assert tools == {"bash": (1, 1), "strreplacebasededittool": (1, 0)}
+    assert rep["model_comparison"].collect()[0].tokens == 10
