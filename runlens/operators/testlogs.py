@@ -347,3 +347,14 @@ def failed_from_matrix(m: DataFrame, selected: str = "pristine", run: str = "pat
     """J07 on a status matrix: selected (passing in ``selected``) and not
     passing in ``run`` (missing counts as failed)."""
     return m.where((F.col(selected) == "PASSED") & ~F.col(run).eqNullSafe(F.lit("PASSED")))
+
+
+def confirm_from_matrix(failed: DataFrame, keys: Sequence[str] = ("instance_id",), retry: str = "retry",
+                        cap: int = RETRY_CAP) -> DataFrame:
+    """J08 on the rows of :func:`failed_from_matrix`, whose retry status is
+    already a column: no join back to a retry table, only the per-candidate
+    failure count (a partial aggregate)."""
+    k = list(keys)
+    cnt = failed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    keep = (F.col("_n") > cap) | ~F.col(retry).eqNullSafe(F.lit("PASSED"))
+    return failed.join(cnt, k).where(keep).drop("_n")

@@ -30,9 +30,7 @@ def q_failed_regressions(spark, d):
 
 
 def q_confirm_failures(spark, d):
-    f = _failed(spark, d)
-    retry = f.select("instance_id", "test", F.col("retry").alias("status"))
-    return T.confirm_failures(f.select("instance_id", "test"), retry)
+    return T.confirm_from_matrix(_failed(spark, d)).select("instance_id", "test")
 
 
 def q_differential_regressions(spark, d):
