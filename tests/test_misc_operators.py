@@ -147,3 +147,16 @@ def test_refresh_index_and_sorted_writer(spark, tmp):
     q = spark.read.parquet(out).where(F.col("name") == "g2")
     assert "PushedFilters: [IsNotNull(name), EqualTo(name,g2)]" in q._jdf.queryExecution().executedPlan().toString()
     assert [r.file_path for r in q.collect()] == ["b.py"]
+
+
+def test_normalize_usage_per_provider(spark):
+    from runlens.operators.usage import normalize_usage
+    raw = (7, 3, 2, 5, 1)
+    rows = [(p, raw) for p in ["anthropic", "openai", "google", "compatible", "ollama"]] + [("openai", None)]
+    df = spark.createDataFrame(rows, "provider string, raw_usage struct<input:long,output:long,"
+                                     "cache_creation:long,cache_read:long,reasoning:long>")
+    cols = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
+            "reasoning_tokens"]
+    got = [tuple(r[c] for c in cols) for r in normalize_usage(df).collect()]
+    assert got == [(7, 3, 2, 5, 0), (7, 3, 0, 5, 1), (7, 3, 0, 5, 0), (7, 3, 0, 0, 0),
+                   (0, 0, None, None, None), (0, 0, None, None, None)]
