@@ -30,33 +30,29 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
     w = Window.partitionBy(key, "_chunk").orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tot_aggs, carry_cols, final = [], [], {}
+    cols, tot_aggs, carry, final = {}, [], {}, {}
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for out, (kind, e) in specs.items():
         col = F.col(e) if isinstance(e, str) else e
         if kind == "sum":
-            c = c.withColumn(f"_l_{out}", F.sum(col).over(upto)).withColumn(f"_t_{out}", F.sum(col).over(whole))
+            cols[f"_l_{out}"], cols[f"_t_{out}"] = F.sum(col).over(upto), F.sum(col).over(whole)
         elif kind == "count":
-            c = c.withColumn(f"_l_{out}", F.count(col).over(upto)).withColumn(f"_t_{out}", F.count(col).over(whole))
+            cols[f"_l_{out}"], cols[f"_t_{out}"] = F.count(col).over(upto), F.count(col).over(whole)
         elif kind == "last":
-            c = (c.withColumn(f"_l_{out}", F.last(col, ignorenulls=True).over(upto))
-                 .withColumn(f"_t_{out}", F.last(col, ignorenulls=True).over(whole)))
+            cols[f"_l_{out}"] = F.last(col, ignorenulls=True).over(upto)
+            cols[f"_t_{out}"] = F.last(col, ignorenulls=True).over(whole)
         elif kind == "lag":
             # inside a chunk an ordinary lag; a chunk's first row takes the last
             # row of the nearest earlier chunk (wrapped so a null value still
             # counts as "a row was there")
             first_row = F.row_number().over(w) == 1
-            c = (c.withColumn(f"_l_{out}", F.when(~first_row, F.struct(F.lag(col).over(w).alias("v"))))
-                 .withColumn(f"_t_{out}", F.last(F.struct(col.alias("v"))).over(whole)))
+            cols[f"_l_{out}"] = F.when(~first_row, F.struct(F.lag(col).over(w).alias("v")))
+            cols[f"_t_{out}"] = F.last(F.struct(col.alias("v"))).over(whole)
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
         tot_aggs.append(F.first(f"_t_{out}").alias(f"_t_{out}"))
-    per_chunk = c.groupBy(key, "_chunk").agg(*tot_aggs)
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    for out, (kind, _) in specs.items():
         t = F.col(f"_t_{out}")
-        agg = (F.last(t, ignorenulls=True) if kind in ("last", "lag") else F.sum(t))
-        per_chunk = per_chunk.withColumn(f"_c_{out}", agg.over(before))
-        carry_cols.append(f"_c_{out}")
+        carry[f"_c_{out}"] = (F.last(t, ignorenulls=True) if kind in ("last", "lag") else F.sum(t)).over(before)
         loc, car = F.col(f"_l_{out}"), F.col(f"_c_{out}")
         if kind == "last":
             final[out] = F.coalesce(loc, car)
@@ -64,12 +60,10 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
             final[out] = F.coalesce(loc, car)["v"]
         else:
             final[out] = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
-    carry = per_chunk.select(key, "_chunk", *carry_cols)
-    out_df = c.join(carry, [key, "_chunk"], "left")
-    for out, e in final.items():
-        out_df = out_df.withColumn(out, e)
+    c = c.withColumns(cols)
+    per_chunk = c.groupBy(key, "_chunk").agg(*tot_aggs).withColumns(carry).select(key, "_chunk", *carry)
     drop = ["_chunk"] + [f"_{p}_{o}" for o in specs for p in ("l", "t", "c")]
-    return out_df.drop(*drop)
+    return c.join(per_chunk, [key, "_chunk"], "left").withColumns(final).drop(*drop)
 
 
 def positions(df: DataFrame, key: str | list[str], order: list[str], out: str = "pos",
