@@ -144,7 +144,8 @@ def q_parse_logs(spark, d):
     dj = django_log(spark, d).where(F.col("log_id") % 3 == 1)
     st = status_log(spark, d).where(F.col("log_id") % 3 == 2)
     lines = sym.unionByName(dj).unionByName(st)
-    repos = lines.select("log_id").distinct().select(
+    # the repo of each log, straight from the users (not from the line sources)
+    repos = table(spark, d, "events").select(F.col("user_id").alias("log_id")).distinct().select(
         "log_id", F.when(F.col("log_id") % 3 == 0, "sympy/sympy")
         .when(F.col("log_id") % 3 == 1, "django/django").otherwise("pytest-dev/pytest").alias("repo"))
     return T.parse_logs(lines, repos)
