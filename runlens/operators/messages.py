@@ -9,8 +9,12 @@ which would be quadratic per conversation.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import running
 
@@ -196,6 +200,40 @@ def assemble_step_text(steps: DataFrame, run: str = "run_id", order: str = "step
             .withColumn("skip_tagging", F.col("context_chars") > limit).drop("_i", "_text"))
 
 
+def _render_calls(calls) -> list | None:
+    """``[`name`] `args``` lines with the arguments printed as the agent
+    printed them (a Python dict), falling back to the raw text."""
+    if calls is None:
+        return None
+    out = []
+    for c in calls:
+        raw = c["arguments"]
+        try:
+            args = json.loads(raw) if raw is not None else None
+        except ValueError:
+            args = raw
+        out.append(f"[`{c['name']}`] `{args}`")
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tool_call_lines(calls: pd.Series) -> pd.Series:
+    return calls.map(_render_calls)
+
+
+def with_step_text(steps: DataFrame, content: str = "content", tool_calls: str = "tool_calls",
+                   out: str = "step_text") -> DataFrame:
+    """F09 step text with tool-call arguments printed exactly as the agent
+    did.  Only steps that have tool calls cross into Python (the rows are
+    split before the UDF, which would otherwise see every row)."""
+    calls = F.col(tool_calls)
+    plain = steps.where(calls.isNull()).withColumn(out, strip(F.coalesce(F.col(content), F.lit(""))))
+    lines = strip(F.array_join(_tool_call_lines(calls), "\n"))
+    with_calls = steps.where(calls.isNotNull()).withColumn(
+        out, F.concat(strip(F.coalesce(F.col(content), F.lit(""))), F.lit("\n\nTool calls:\n"), lines))
+    return plain.unionByName(with_calls)
+
+
 # -- F10 ---------------------------------------------------------------------
 def completion_default(content: Column) -> Column:
     low = F.lower(F.coalesce(content, F.lit("")))

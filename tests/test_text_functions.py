@@ -307,3 +307,14 @@ def test_strip_comment_cases():
     assert P.strip_comment('f("#", x  # c') == 'f("#", x'      # comment found before the open bracket ends
     assert P.strip_comment("t = 'abc # x") == "t = 'abc"       # does not tokenize: cut at the first '#'
     assert P.strip_comment("t = 'abc ") == "t = 'abc "         # does not tokenize, no '#': unchanged
+
+
+def test_with_step_text_prints_python_dicts(spark):
+    from runlens.operators import messages as M
+    df = spark.createDataFrame(
+        [(1, " go ", [("bash", '{"cmd": "ls", "n": 1, "ok": true, "x": null}'), ("t", "not json")]),
+         (2, "plain", None)],
+        "id int, content string, tool_calls array<struct<name:string,arguments:string>>")
+    got = {r.id: r.step_text for r in M.with_step_text(df).collect()}
+    assert got[1] == "go\n\nTool calls:\n[`bash`] `{'cmd': 'ls', 'n': 1, 'ok': True, 'x': None}`\n[`t`] `not json`"
+    assert got[2] == "plain"
