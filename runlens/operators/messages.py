@@ -124,8 +124,38 @@ def to_chat_messages(msgs: DataFrame, provider: str) -> DataFrame:
                                F.lit(None)).otherwise(chat_role)
     else:
         raise ValueError(f"unknown provider style {provider!r}")
-    return msgs.select("*", chat_role.alias("chat_role"), chat_content.alias("chat_content"),
-                       is_sys.alias("is_system"), error.cast("string").alias("error"))
+    out = msgs.select("*", chat_role.alias("chat_role"), chat_content.alias("chat_content"),
+                      is_sys.alias("is_system"), error.cast("string").alias("error"))
+    if "tool_call" not in msgs.columns:
+        return out
+    # Tool-call rows carry the arguments as the client serialised them
+    # (json.dumps spacing).  Which rows are calls follows each client's
+    # precedence; only those rows cross into Python.
+    if p == "compatible":
+        is_call = tc.isNotNull()
+    elif p == "openai":
+        is_call = tc.isNotNull() & tr.isNull()
+    else:
+        is_call = (role != "system") & tr.isNull() & tc.isNotNull()
+    x = out.withColumn("_call", F.coalesce(is_call, F.lit(False)))
+    calls = x.where("_call").withColumn(
+        "chat_content", _dump_call_udf(p == "compatible")(tc["name"], tc["arguments"]))
+    return x.where(~F.col("_call")).unionByName(calls).drop("_call")
+
+
+def _dump_call(name: str | None, arguments: str | None, with_name: bool) -> str | None:
+    try:
+        args = json.loads(arguments) if arguments is not None else None
+    except ValueError:
+        return arguments
+    return json.dumps({"name": name, "arguments": args} if with_name else args)
+
+
+def _dump_call_udf(with_name: bool):
+    @F.pandas_udf(T.StringType())
+    def dump(names: pd.Series, args: pd.Series) -> pd.Series:
+        return pd.Series([_dump_call(n, a, with_name) for n, a in zip(names, args)])
+    return dump
 
 
 def system_prompt(msgs: DataFrame, run: str = "run_id", order: str = "step") -> DataFrame:

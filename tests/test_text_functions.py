@@ -318,3 +318,16 @@ def test_with_step_text_prints_python_dicts(spark):
     got = {r.id: r.step_text for r in M.with_step_text(df).collect()}
     assert got[1] == "go\n\nTool calls:\n[`bash`] `{'cmd': 'ls', 'n': 1, 'ok': True, 'x': None}`\n[`t`] `not json`"
     assert got[2] == "plain"
+
+
+def test_tool_call_rows_serialised_like_the_clients(spark):
+    from runlens.operators import messages as M
+    schema = ("role string, content string, tool_call struct<call_id:string,name:string,arguments:string>, "
+              "tool_result struct<call_id:string,success:boolean,result:string,error:string>")
+    df = spark.createDataFrame([("assistant", None, ("c", "bash", '{"cmd":"ls","n":1}'), None),
+                                ("user", "hi", None, None)], schema)
+    compat = {r.role: r.chat_content for r in M.to_chat_messages(df, "compatible").collect()}
+    assert compat["assistant"] == '{"name": "bash", "arguments": {"cmd": "ls", "n": 1}}'
+    assert compat["user"] == "hi"
+    anth = {r.role: r.chat_content for r in M.to_chat_messages(df, "anthropic").collect()}
+    assert anth["assistant"] == '{"cmd": "ls", "n": 1}'
