@@ -188,11 +188,18 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def parse_logs(lines: DataFrame, repo_of_log: DataFrame, default=parse_status_lines) -> DataFrame:
+def parse_logs(lines: DataFrame, repo_of_log: DataFrame | None = None,
+               default=parse_status_lines) -> DataFrame:
     """Route each log to its repo's parser (a dict of DataFrame functions)
     and union the results.  Every parser is a set of column expressions, so
-    a malformed log yields no rows rather than failing the job."""
-    lr = lines.join(repo_of_log, "log_id")
+    a malformed log yields no rows rather than failing the job.
+
+    ``lines`` either carries a ``repo`` column or gets it from
+    ``repo_of_log`` (log_id -> repo).  Stored with
+    :func:`runlens.sinks.writers.write_log_lines` (partitioned by repo),
+    each parser's repo filter prunes partitions, so every log file is read
+    by its own parser only."""
+    lr = lines if repo_of_log is None else lines.join(repo_of_log, "log_id")
     known = list(PARSERS)
     parts = [PARSERS[r](lr.where(F.col("repo") == r).drop("repo")) for r in known]
     parts.append(default(lr.where(~F.col("repo").isin(*known)).drop("repo")))

@@ -160,3 +160,18 @@ def test_normalize_usage_per_provider(spark):
     got = [tuple(r[c] for c in cols) for r in normalize_usage(df).collect()]
     assert got == [(7, 3, 2, 5, 0), (7, 3, 0, 5, 1), (7, 3, 0, 5, 0), (7, 3, 0, 0, 0),
                    (0, 0, None, None, None), (0, 0, None, None, None)]
+
+
+def test_parse_logs_from_repo_partitioned_store(spark, tmp):
+    from runlens.sinks.writers import write_log_lines
+    rows = [("s1", 1, "sympy/a/test_x.py[1]", "sympy/sympy"), ("s1", 2, "test_a ok", "sympy/sympy"),
+            ("d1", 1, "test_b (m.C) ... FAIL", "django/django"), ("p1", 1, "PASSED t.py::c", "other/repo")]
+    df = spark.createDataFrame(rows, "log_id string, line_no long, line string, repo string")
+    out = os.path.join(tmp, "logs")
+    write_log_lines(df, out)
+    stored = spark.read.parquet(out)
+    got = sorted((r.log_id, r.test, r.status) for r in T.parse_logs(stored).collect())
+    assert got == [("d1", "test_b (m.C)", "FAILED"), ("p1", "t.py::c", "PASSED"),
+                   ("s1", "sympy/a/test_x.py::test_a", "PASSED")]
+    plan = stored.where(F.col("repo") == "sympy/sympy")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repo" in plan
