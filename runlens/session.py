@@ -54,3 +54,12 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir (for stream checkpoints and
     written intermediate tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists on the cluster file system (checked
+    before reading optional outputs, so a first run logs no missing-path
+    errors)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))

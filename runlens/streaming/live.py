@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.testlogs import STATUS_LINE_RE
-from ..session import checkpoint_path
+from ..session import checkpoint_path, path_exists
 
 
 def _epoch_dir(out: str, epoch: int) -> str:
@@ -31,9 +31,11 @@ def _epoch_dir(out: str, epoch: int) -> str:
 
 def _read_log(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
     """The change log written so far (optionally only epochs < ``before``)."""
+    if not path_exists(spark, out):
+        return None
     try:
         df = spark.read.parquet(out)
-    except AnalysisException:
+    except AnalysisException:  # folder without data files yet
         return None
     return df if before is None else df.where(F.col("epoch") < before)
 
