@@ -50,24 +50,20 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
         F.explode(F.sequence(F.floor(F.col("start_line") / bucket).cast("bigint"),
                              F.floor(F.col("end_line") / bucket).cast("bigint"))).alias("bucket"))
     kids = fn.select(*keep, F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
+    # Each function also pairs with itself (it contains itself), so functions
+    # without a container still come out of the aggregate: no second pass
+    # over the functions, no join back.  Self pairs never count as parents.
     pairs = kids.join(parents, ["file_path", "bucket"]).where(
-        (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line"))
-        & (F.col("p_sid") != F.col("sid"))).drop("bucket")
-    # every function also enters the aggregate once with no container, so
-    # parentless functions come out of the same aggregate (no join back)
-    alone = kids.drop("bucket").select(
-        *keep, *[F.lit(None).cast(t).alias(c) for c, t in
-                 [("p_sid", "bigint"), ("p_name", "string"), ("p_kind", "string"),
-                  ("p_start", "bigint"), ("p_end", "bigint")]])
+        (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line")))
+    other = F.col("p_sid") != F.col("sid")
     rank = F.struct(F.col("p_start"), -F.col("p_end"), -F.col("p_sid"))
     info = F.struct(F.col("p_name").alias("name"), F.col("p_start").alias("s"), F.col("p_end").alias("e"))
-    best = pairs.unionByName(alone).groupBy("file_path", "sid").agg(
+    is_f, is_c = other & (F.col("p_kind") == "function"), other & (F.col("p_kind") == "class")
+    best = pairs.groupBy("file_path", "sid").agg(
         F.first("name").alias("name"), F.first("start_line").alias("start_line"),
         F.first("end_line").alias("end_line"),
-        F.max_by(F.when(F.col("p_kind") == "function", info),
-                 F.when(F.col("p_kind") == "function", rank)).alias("f"),
-        F.max_by(F.when(F.col("p_kind") == "class", info),
-                 F.when(F.col("p_kind") == "class", rank)).alias("c"))
+        F.max_by(F.when(is_f, info), F.when(is_f, rank)).alias("f"),
+        F.max_by(F.when(is_c, info), F.when(is_c, rank)).alias("c"))
     f, c = F.col("f"), F.col("c")
     if rule == "nearest_class":
         pf, pc = F.lit(None).cast("string"), c["name"]
