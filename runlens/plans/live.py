@@ -42,6 +42,25 @@ def q_stream_test_status(spark, d):
                 lambda out: L.latest_view(spark, out, ["instance_id", "phase", "test"]))
 
 
+def q_stream_status_lines(spark, d):
+    """R01 from raw output: streamed ``<STATUS> <nodeid>`` lines (plus noise
+    lines), parsed and reduced to the latest status per (log, test)."""
+    ev = _src(spark, d, "events")
+    k = F.expr("try_cast(get_json_object(props, '$.k') AS INT)").cast("string")
+    et = F.col("event_type")
+    status = (F.when(et == "click", "PASSED").when(et == "view", "SKIPPED")
+              .when(et == "error", "FAILED").otherwise("ERROR"))
+    node = F.concat(F.lit("tests/m"), (F.col("user_id") % 7).cast("string"), F.lit("/test_x.py::test_k"), k)
+    line = F.when(et == "signup", F.concat(F.lit("collected "), k, F.lit(" items"))).otherwise(
+        F.concat(status, F.lit(" "), node))
+    lines = ev.select(F.col("user_id").alias("log_id"), line.alias("line"),
+                      F.struct("ts", "event_id").alias("seq"))
+    name = f"status_lines_{uuid.uuid4().hex[:8]}"
+    return _run(spark, lambda out: L.stream_test_status(spark, L.status_from_lines(lines), out, name=name,
+                                                        keys=("log_id", "test")), name,
+                lambda out: L.latest_view(spark, out, ["log_id", "test"]))
+
+
 def q_stream_token_totals(spark, d):
     ev = _src(spark, d, "events").select(
         F.col("user_id").alias("run_id"),
@@ -72,6 +91,7 @@ def q_stream_pending(spark, d):
 
 QUERIES = {
     "stream_test_status": q_stream_test_status,
+    "stream_status_lines": q_stream_status_lines,
     "stream_token_totals": q_stream_token_totals,
     "stream_majority_vote": q_stream_majority_vote,
     "stream_pending": q_stream_pending,
@@ -88,6 +108,15 @@ SELECT instance_id, phase, test, status FROM (
                             ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC,
                                      l_returnflag DESC) AS r
   FROM lineitem) WHERE r = 1""",
+    "stream_status_lines": f"""
+SELECT log_id, test, status FROM (
+  SELECT user_id AS log_id,
+         'tests/m' || CAST(user_id % 7 AS VARCHAR) || '/test_x.py::test_k' || CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR) AS test,
+         CASE event_type WHEN 'click' THEN 'PASSED' WHEN 'view' THEN 'SKIPPED' WHEN 'error' THEN 'FAILED'
+                         ELSE 'ERROR' END AS status,
+         row_number() OVER (PARTITION BY user_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)
+                            ORDER BY ts DESC, event_id DESC) AS r
+  FROM events WHERE event_type <> 'signup') WHERE r = 1""",
     "stream_token_totals": f"""
 SELECT user_id AS run_id, CAST(sum({_K}) AS BIGINT) AS input_tokens,
        CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS output_tokens
