@@ -29,6 +29,11 @@ def strip_comment(line: str) -> str:
     right-strip.  Python's tokenizer finds where the comment starts; a line
     it cannot tokenize is cut at its first ``#`` (and left as is without
     one)."""
+    head = line.split("#", 1)[0]
+    if "#" in line and "'" not in head and '"' not in head:
+        # no string can be open at the first '#': that is where the comment
+        # starts (and where the fallback would cut too), no tokenizer needed
+        return head.rstrip()
     try:
         for tok in tokenize.generate_tokens(io.StringIO(line).readline):
             if tok.type == tokenize.COMMENT:
@@ -63,16 +68,16 @@ def change_lines(patch: Column) -> Column:
     lines dropped, content right-stripped."""
     lines = F.filter(hunk_lines(patch),
                      lambda x: F.startswith(x, F.lit("+")) | F.startswith(x, F.lit("-")))
-    sc = F.transform(lines, lambda x: F.struct(
-        F.substring(x, 1, 1).alias("sign"),
-        F.regexp_replace(F.regexp_replace(F.substring(x, 2, 1 << 30), r"^[+]+", ""), r"\s+$", "")
-        .alias("add"),
-        F.regexp_replace(F.regexp_replace(F.substring(x, 2, 1 << 30), r"^[-]+", ""), r"\s+$", "")
-        .alias("rem")))
-    content = F.transform(sc, lambda s: F.struct(
-        s["sign"].alias("sign"), F.when(s["sign"] == "+", s["add"]).otherwise(s["rem"]).alias("c")))
-    kept = F.filter(content, lambda s: (F.regexp_replace(s["c"], r"\s", "") != "")
-                    & ~s["c"].rlike(r"^\s*#"))
+
+    def content(x: Column) -> Column:
+        body = F.substring(x, 2, 1 << 30)
+        # only the marker of this line's own sign is stripped from the content
+        lead = F.when(F.startswith(x, F.lit("+")), F.regexp_replace(body, r"^[+]+", "")).otherwise(
+            F.regexp_replace(body, r"^[-]+", ""))
+        return F.regexp_replace(lead, r"\s+$", "")
+
+    signed = F.transform(lines, lambda x: F.struct(F.substring(x, 1, 1).alias("sign"), content(x).alias("c")))
+    kept = F.filter(signed, lambda s: s["c"].rlike(r"\S") & ~s["c"].rlike(r"^\s*#"))
     return F.transform(kept, lambda s: F.concat(s["sign"], s["c"]))
 
 
@@ -126,14 +131,26 @@ def normalize_key(text: str) -> str:
     return re.sub(r"\s+", "", "\n".join(out))
 
 
+def _cut_at_hash(line: Column) -> Column:
+    """A line's text before its first ``#``, right-stripped."""
+    return F.regexp_replace(F.substring_index(line, "#", 1), r"\s+$", "")
+
+
+def _needs_tokenizer(line: Column) -> Column:
+    """Only a quote before the first ``#`` can put that ``#`` in a string."""
+    return F.contains(line, F.lit("#")) & F.substring_index(line, "#", 1).rlike("['\"]")
+
+
 def with_clean_patch(df, patch: str = "patch", out: str = "cleaned"):
-    """DataFrame form of :func:`clean_patch`.  Python UDFs are evaluated for
-    every input row of their plan node, so rows whose change lines carry no
-    ``#`` are split off first and never cross into Python."""
+    """DataFrame form of :func:`clean_patch`.  A ``#`` with no quote before
+    it starts a comment, so such lines are cut in Spark; only rows with a
+    line where a quote precedes the first ``#`` go through the tokenizer
+    UDF (split off before it, since Python UDFs run for every row of their
+    plan node)."""
     lines = change_lines(F.col(patch))
-    x = df.withColumn("_lines", lines).withColumn(
-        "_hash", F.exists("_lines", lambda s: F.contains(s, F.lit("#"))))
-    plain = x.where(~F.col("_hash"))
-    hashed = x.where(F.col("_hash")).withColumn("_lines", strip_comments_udf(F.col("_lines")))
+    x = df.withColumn("_lines", lines).withColumn("_tok", F.exists("_lines", _needs_tokenizer))
+    plain = x.where(~F.col("_tok")).withColumn("_lines", F.transform(
+        "_lines", lambda ln: F.when(F.contains(ln, F.lit("#")), _cut_at_hash(ln)).otherwise(ln)))
+    tokenized = x.where(F.col("_tok")).withColumn("_lines", strip_comments_udf(F.col("_lines")))
     key = F.regexp_replace(F.array_join(F.col("_lines"), "\n"), r"\s+", "")
-    return plain.unionByName(hashed).withColumn(out, key).drop("_lines", "_hash")
+    return plain.unionByName(tokenized).withColumn(out, key).drop("_lines", "_tok")

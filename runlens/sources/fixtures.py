@@ -151,7 +151,8 @@ def fx_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _word() -> Column:
-    return F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]", "_")
+    # the whole document, kept on one diff line (non-letters become "_")
+    return F.regexp_replace(F.col("text"), "[^A-Za-z]", "_")
 
 
 def fx_patch(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +207,7 @@ def fx_thoughts(spark: SparkSession, d: str) -> DataFrame:
 # The same views in DuckDB SQL (for the oracle).
 # --------------------------------------------------------------------------
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)"
-_W = "regexp_replace(substr(text, 1, 20), '[^A-Za-z]', '_', 'g')"
+_W = "regexp_replace(text, '[^A-Za-z]', '_', 'g')"
 _NL = "chr(10)"
 
 FX_SQL: dict[str, str] = {
