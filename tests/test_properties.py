@@ -43,3 +43,21 @@ def test_propagate_keeps_row_count(spark):
     c = fx_candidates(spark, SF)
     reps = C.dedup_candidates(c, ["instance_id"]).select("instance_id", "cleaned", F.col("idx").alias("rep"))
     assert C.propagate_to_duplicates(c, reps, value_cols=["rep"]).count() == c.count()
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(0, 9))), min_size=1,
+                max_size=60), st.integers(1, 16), st.integers(1, 5))
+def test_running_scan_equals_windows(spark, rows, chunk, gap):
+    from pyspark.sql import Window
+    from runlens.operators.scan import running
+    data = [(k, i * gap, v) for i, (k, v) in enumerate(rows)]   # positions with gaps
+    df = spark.createDataFrame(data, "k string, n long, v long")
+    got = running(df, "k", "n", {"s": ("sum", "v"), "c": ("count", "v"), "l": ("last", "v"),
+                                 "p": ("lag", "v")}, chunk=chunk)
+    w = Window.partitionBy("k").orderBy("n")
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", "n", F.coalesce(F.sum("v").over(wr), F.lit(0)).alias("s"), F.count("v").over(wr).alias("c"),
+                    F.last("v", True).over(wr).alias("l"), F.lag("v").over(w).alias("p"))
+    assert sorted(map(tuple, got.select("k", "n", "s", "c", "l", "p").collect())) == \
+        sorted(map(tuple, ref.collect()))
