@@ -81,8 +81,11 @@ def make_output(text: Column, descriptor: Column, init_line: Column | int = 1) -
 
 
 def _count(content: Column, old: Column) -> Column:
-    """Non-overlapping occurrences (Python ``str.count``)."""
-    return F.floor((F.length(content) - F.length(F.replace(content, old, F.lit("")))) / F.length(old))
+    """Non-overlapping occurrences (Python ``str.count``; the empty string
+    occurs ``len + 1`` times)."""
+    n = F.length(old)
+    return F.when(n == 0, F.length(content) + 1).otherwise(
+        F.floor((F.length(content) - F.length(F.replace(content, old, F.lit("")))) / n))
 
 
 # -- F11 ---------------------------------------------------------------------

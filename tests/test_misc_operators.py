@@ -175,3 +175,12 @@ def test_parse_logs_from_repo_partitioned_store(spark, tmp):
                    ("s1", "sympy/a/test_x.py::test_a", "PASSED")]
     plan = stored.where(F.col("repo") == "sympy/sympy")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(repo" in plan
+
+
+def test_replace_unique_empty_old(spark):
+    from runlens.operators import docedit as E
+    docs = spark.createDataFrame([("p", "ab\ncd")], "path string, content string")
+    edits = spark.createDataFrame([("p", "", "x")], "path string, old string, new string")
+    r = E.replace_unique(docs, edits).collect()[0]
+    assert r.error.startswith("No replacement was performed. Multiple occurrences of old_str ``")
+    assert r.content == "ab\ncd"
