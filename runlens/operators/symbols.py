@@ -47,8 +47,11 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
         "file_path", F.col("sid").alias("p_sid"), F.col("name").alias("p_name"),
         F.col("kind").alias("p_kind"), F.col("start_line").alias("p_start"),
         F.col("end_line").alias("p_end"),
+        # a malformed span (end before start) must not fail the job: its
+        # bucket range is clamped, and it still contains nothing but itself
         F.explode(F.sequence(F.floor(F.col("start_line") / bucket).cast("bigint"),
-                             F.floor(F.col("end_line") / bucket).cast("bigint"))).alias("bucket"))
+                             F.greatest(F.floor(F.col("start_line") / bucket),
+                                        F.floor(F.col("end_line") / bucket)).cast("bigint"))).alias("bucket"))
     kids = fn.select(*keep, F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
     # Each function also pairs with itself (it contains itself), so functions
     # without a container still come out of the aggregate: no second pass

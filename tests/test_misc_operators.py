@@ -184,3 +184,11 @@ def test_replace_unique_empty_old(spark):
     r = E.replace_unique(docs, edits).collect()[0]
     assert r.error.startswith("No replacement was performed. Multiple occurrences of old_str ``")
     assert r.content == "ab\ncd"
+
+
+def test_enclosing_symbol_tolerates_bad_spans(spark):
+    rows = [("f", 1, "A", "class", 1, 100), ("f", 2, "m", "function", 10, 20), ("f", 3, "bad", "function", 50, 40)]
+    spans = spark.createDataFrame(rows, "file_path string, sid long, name string, kind string, "
+                                        "start_line long, end_line long")
+    got = {r.name: (r.parent_function, r.parent_class) for r in Y.enclosing_symbol(spans).collect()}
+    assert got["m"] == (None, "A") and got["bad"] == (None, "A")
