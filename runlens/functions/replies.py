@@ -48,7 +48,8 @@ def parse_index_selection(reply: Column, batch_size: Column | int) -> Column:
 
 def pick_names(indexes: Column, names: Column) -> Column:
     """Map 0-based indexes to the batch's names."""
-    return F.transform(indexes, lambda i: F.element_at(names, i + 1))
+    # try_: an index past a short name list gives null instead of failing (ANSI)
+    return F.transform(indexes, lambda i: F.try_element_at(names, i + 1))
 
 
 # -- F06 ---------------------------------------------------------------------
