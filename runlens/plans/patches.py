@@ -21,13 +21,11 @@ def q_drop_test_files(spark, d):
 
 def q_dedup_patches(spark, d):
     """F01 then W01: per language, the first document of each normalised
-    patch and how many documents share it."""
-    from ..operators.candidates import dedup_candidates
+    patch and how many documents share it (one aggregate gives both)."""
     from ..sources.fixtures import fx_patch
     c = P.with_clean_patch(fx_patch(spark, d)).select("lang", "doc_id", "cleaned")
-    copies = c.groupBy("lang", "cleaned").agg(F.count(F.lit(1)).alias("copies"))
-    reps = dedup_candidates(c, ["lang"], key="cleaned", order="doc_id")
-    return reps.join(copies, ["lang", "cleaned"]).select("lang", "doc_id", "copies")
+    return c.groupBy("lang", "cleaned").agg(F.min("doc_id").alias("doc_id"),
+                                             F.count(F.lit(1)).alias("copies")).select("lang", "doc_id", "copies")
 
 
 QUERIES = {"clean_patch": q_clean_patch, "drop_test_files": q_drop_test_files,
