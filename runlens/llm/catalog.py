@@ -6,7 +6,7 @@ import importlib
 
 from ..session import ship_package
 
-SUBJECTS = ["simhash"]
+SUBJECTS = ["simhash", "langid", "linededup", "decontam", "chat", "packing"]
 
 
 def _shipped(fn):
