@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .common import bounded_batches, cut, read
 CAPACITY = 1024
 END_ID = 0
 MEMORY_WORDS = 400_000
+PART_BYTES = 4 << 20
+SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 BUCKET_PIECES = 50_000
 SLOT_ROWS = 200_000  # slots of at most this many kinds are sent to every executor
 
@@ -39,6 +42,8 @@ class SpacedEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
@@ -50,43 +55,76 @@ class SpacedEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that begin with a space, and how many each has.
+        They are encoded as one text, in which a word begins at every id that
+        begins with a space."""
+        ids = np.array(self.tokenizer.encode("".join(words), add_special_tokens=False).ids, np.int32)
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(words):
+            raise ValueError("the tokenizer joins words over spaces")
+        return ids, np.diff(np.r_[begins, len(ids)])
+
     def learn(self, words: list[str]) -> None:
-        got = self._encode(words)
-        need = self.used + sum(map(len, got))
-        while need > len(self.ids):
+        if words[0][0] == " ":
+            ids, sizes = self._encode_words(words)
+        else:
+            got = self._encode([w[1:] for w in words])
+            ids, sizes = np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.place) + len(words) > len(self.starts):
+        k = len(self.place)
+        while k + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for w, ids in zip(words, got):
-            k = self.place[w] = len(self.place)
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as the tokenizer gives them."""
+        self.place.update(zip(words, range(k, k + len(words))))
+        self.sizes[k:k + len(words)] = sizes
+        self.starts[k:k + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Places of the words in memory; unknown words are learned.  Words
+        begin with their space, or all with a mark if they open texts."""
+        new = dict.fromkeys(w for w in words if w not in self.place)
+        if new:
+            self.learn(list(new))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty, as the tokenizer gives them."""
         if len(self.place) > MEMORY_WORDS:
             self.forget()
-        split: list[list[str] | None] = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            plain = all(rest) and not any(w[0].isspace() for w in rest)
-            split.append([first, *[" " + w for w in rest]] if plain else None)
-        new = list(dict.fromkeys(w for words in split if words for w in words if w not in self.place))
-        if new:
-            self.learn(new)
-        whole = iter(self._encode([t for t, words in zip(texts, split) if words is None]))
-        out = []
-        get = self.place.__getitem__
-        for words in split:
-            if words is None:
-                out.append(np.array(next(whole), np.int32))
-                continue
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + sizes, sizes)])
-        return out
+        texts = texts.cast(pa.large_string()).fill_null("")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten()
+        count = np.asarray(split.value_lengths())
+        first = np.cumsum(count) - count
+        coded = words.dictionary_encode()
+        code, kinds = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        odd = np.fromiter((not w or w[0].isspace() for w in kinds), bool, len(kinds))[code]
+        odd[first] = False  # no space stands before a text's first word
+        whole = np.logical_or.reduceat(odd, first) if len(first) else odd
+        at = self.rows([" " + w if w and not w[0].isspace() else " x" for w in kinds])[code]
+        opening = words.take(pa.array(first)).dictionary_encode()
+        at[first] = self.rows(["\0" + w for w in opening.dictionary.to_pylist()])[np.asarray(opening.indices)]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+        cuts = np.r_[0, ends][np.r_[first, len(at)]].tolist() if len(first) else [0]
+        other = iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
+        for k, alone in enumerate(whole.tolist()):
+            yield np.array(next(other), np.int32) if alone else ids[cuts[k]:cuts[k + 1]]
+
+
+def encoded(model: SpacedEncoder, column: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text of an Arrow column, some texts at a time: split
+    texts take many times their size."""
+    size = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)))
+    part = size // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield from model.encode(column.slice(a, b - a))
 
 
 _ENCODERS: dict[str, SpacedEncoder] = {}
@@ -117,8 +155,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: s
         model = encoder(tokenizer_path(tokenizer))
         for batch in batches:
             found: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, got in enumerate(model.encode(texts)):
+            for k, got in enumerate(encoded(model, batch.column(1))):
                 got = np.append(got, END_ID).astype("<u4")
                 for start in range(0, len(got), capacity):
                     piece = got[start:start + capacity]
