@@ -6,7 +6,7 @@ import importlib
 
 from ..session import ship_package
 
-SUBJECTS = ["embedding", "simhash", "langid", "linededup", "decontam", "chat", "packing"]
+SUBJECTS = ["embedding", "simhash", "langid", "lm", "pii", "linededup", "decontam", "chat", "packing"]
 
 
 def _shipped(fn):
