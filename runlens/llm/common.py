@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
 # Bytes of one Arrow batch handed to Python: with long texts, rows alone
 # do not bound a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+# Bytes of text that are worked on at a time, where that takes many times
+# their size.
+PART_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +57,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     return offsets, memoryview(data) if data is not None else memoryview(b"")
 
 
+def parts(column: pa.Array, size: int = PART_BYTES) -> Iterator[pa.Array]:
+    """Slices of a string column of about ``size`` bytes, one row at least."""
+    part = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)), dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield column.slice(a, b - a)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal ``keys`` out of a sorted stream
     of batches; a group may go over several batches.  Keys are not null."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, read
+from .common import bounded_batches, free_name, parts, read
 
 SPAN = 512
 LETTERS = 62  # most frequent letters of the sample, each a symbol of its own
@@ -59,14 +59,14 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: str =
               .where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * (1 << 30))
               .select("lang", draw.alias("draw"), F.col("text").substr(F.pmod(F.xxhash64("order", F.lit("from")), room).cast("int") + 1, F.lit(piece_chars)).alias("piece")))
     most = min(chars_per_language, total_chars // len(seen))
-    parts: dict[str, dict[str, None]] = {}
+    chosen: dict[str, dict[str, None]] = {}
     size: dict[str, int] = {}
     for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["draw"], r["piece"])):
-        got = parts.setdefault(r["lang"], {})
+        got = chosen.setdefault(r["lang"], {})
         if r["piece"] not in got and size.get(r["lang"], 0) + len(r["piece"]) <= most:
             got[r["piece"]] = None
             size[r["lang"]] = size.get(r["lang"], 0) + len(r["piece"])
-    samples = tuple((k, "\n".join(parts[k])) for k in sorted(parts) if any(map(str.isalpha, "".join(parts[k]))))
+    samples = tuple((k, "\n".join(chosen[k])) for k in sorted(chosen) if any(map(str.isalpha, "".join(chosen[k]))))
     return LanguageModel(samples)
 
 
@@ -191,8 +191,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", to: str
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, sure = score_texts(shipped.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=names)
+            found = [score_texts(shipped.value, part.to_pylist()) for part in parts(batch.column(at))]
+            langs = pa.array([x for langs, _ in found for x in langs], pa.string())
+            sure = pa.array(np.concatenate([s for _, s in found]) if found else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, sure], names=names)
 
     return docs.mapInArrow(each, out)
 

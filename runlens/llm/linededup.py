@@ -8,15 +8,17 @@ Lines are counted as two 64-bit hashes, so that the shuffle carries 16 bytes a
 line and not its text, and map-side combining makes a hot line one row a task.
 The lines a host drops fit beside a page: their frequencies add up to at most
 the lines of all its pages, so there are at most (mean lines a page) / ratio of
-them; they come back to the pages by host, and the texts are never dealt out
-by line."""
+them.  Host totals and dropped lines are written first, so Spark knows their
+size: while they are small they are sent to the pages, which are then not
+shuffled at all; beyond the broadcast threshold they are joined by host, where
+adaptive execution splits a hot host."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, read
+from .common import cut, free_name, read
 
 RATIO, MIN_PAGES = 0.1, 3
 
@@ -33,10 +35,10 @@ def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages
     """(host, dropped): the keys of the lines that each host drops."""
     keys = F.array_distinct(F.transform(F.filter(F.col(lines), lambda x: ~_blank(x)), _key))
     rows = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), keys.alias("keys"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = cut(pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages")), "hosts")
     held = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return (held.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
-            .groupBy("host").agg(F.collect_list("key").alias("dropped")))
+    return cut(held.join(totals, "host").where(F.col("n") > F.col("pages") * ratio)
+               .groupBy("host").agg(F.collect_list("key").alias("dropped")), "boilerplate")
 
 
 def drop_site_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,

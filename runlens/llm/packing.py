@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, read
+from .common import PART_BYTES, bounded_batches, cut, parts, read
 
 CAPACITY = 1024
 END_ID = 0
 MEMORY_WORDS = 400_000
-PART_BYTES = 4 << 20
+LINE_WORDS = 500
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 BUCKET_PIECES = 50_000
 SLOT_ROWS = 200_000  # slots of at most this many kinds are sent to every executor
@@ -49,47 +50,32 @@ class SpacedEncoder:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of words that begin with a space, and how many each has.
-        They are encoded as one text, in which a word begins at every id that
-        begins with a space."""
-        ids = np.array(self.tokenizer.encode("".join(words), add_special_tokens=False).ids, np.int32)
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words behind a space.  They are encoded many at
+        a time, as one text, in which a word begins at every id that begins
+        with a space."""
+        lines = [" " + " ".join(words[i:i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)]
+        ids = np.array([i for line in self._encode(lines) for i in line], np.int32)
         begins = np.flatnonzero(self.spaced[ids])
         if len(begins) != len(words):
             raise ValueError("the tokenizer joins words over spaces")
-        return ids, np.diff(np.r_[begins, len(ids)])
-
-    def learn(self, words: list[str]) -> None:
-        if words[0][0] == " ":
-            ids, sizes = self._encode_words(words)
-        else:
-            got = self._encode([w[1:] for w in words])
-            ids, sizes = np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         k = len(self.place)
         while k + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.place.update(zip(words, range(k, k + len(words))))
-        self.sizes[k:k + len(words)] = sizes
-        self.starts[k:k + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[k:k + len(words)] = np.diff(np.r_[begins, len(ids)])
+        self.starts[k:k + len(words)] = self.used + begins
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Places of the words in memory; unknown words are learned.  Words
-        begin with their space, or all with a mark if they open texts."""
-        new = dict.fromkeys(w for w in words if w not in self.place)
-        if new:
-            self.learn(list(new))
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, null as empty, as the tokenizer gives them."""
         if len(self.place) > MEMORY_WORDS:
@@ -100,31 +86,28 @@ class SpacedEncoder:
         count = np.asarray(split.value_lengths())
         first = np.cumsum(count) - count
         coded = words.dictionary_encode()
-        code, kinds = np.asarray(coded.indices), coded.dictionary.to_pylist()
-        odd = np.fromiter((not w or w[0].isspace() for w in kinds), bool, len(kinds))[code]
-        odd[first] = False  # no space stands before a text's first word
-        whole = np.logical_or.reduceat(odd, first) if len(first) else odd
-        at = self.rows([" " + w if w and not w[0].isspace() else " x" for w in kinds])[code]
-        opening = words.take(pa.array(first)).dictionary_encode()
-        at[first] = self.rows(["\0" + w for w in opening.dictionary.to_pylist()])[np.asarray(opening.indices)]
+        code, kinds = np.asarray(coded.indices), coded.dictionary
+        head = pc.utf8_slice_codeunits(kinds, 0, 1).dictionary_encode()
+        odd = np.array([not h or h.isspace() for h in head.dictionary.to_pylist()], bool)[np.asarray(head.indices)]
+        odd_at = odd[code]
+        odd_at[first] = False  # no space stands before a text's first word
+        whole = np.logical_or.reduceat(odd_at, first) if len(first) else odd_at
+        kinds = kinds.to_pylist()
+        at = np.fromiter(map(self.place.get, kinds, repeat(-1)), np.int32, len(kinds))
+        new = np.flatnonzero((at < 0) & ~odd)
+        if len(new):
+            at[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._learn([kinds[i] for i in new.tolist()])
+        at = at[code]
         sizes = self.sizes[at]
+        sizes[first] = 0
         ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)]
-        cuts = np.r_[0, ends][np.r_[first, len(at)]].tolist() if len(first) else [0]
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.starts[at] - (ends - sizes).astype(np.int32), sizes)]
+        cuts = np.r_[0, ends][np.r_[first, len(at)]].tolist()
+        opening = self._encode(words.take(pa.array(first)).to_pylist())
         other = iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
         for k, alone in enumerate(whole.tolist()):
-            yield np.array(next(other), np.int32) if alone else ids[cuts[k]:cuts[k + 1]]
-
-
-def encoded(model: SpacedEncoder, column: pa.Array) -> Iterator[np.ndarray]:
-    """The ids of each text of an Arrow column, some texts at a time: split
-    texts take many times their size."""
-    size = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)))
-    part = size // PART_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield from model.encode(column.slice(a, b - a))
+            yield np.array(next(other), np.int32) if alone else np.concatenate([np.array(opening[k], np.int32), ids[cuts[k]:cuts[k + 1]]])
 
 
 _ENCODERS: dict[str, SpacedEncoder] = {}
@@ -155,14 +138,15 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: s
         model = encoder(tokenizer_path(tokenizer))
         for batch in batches:
             found: list[tuple] = []
-            for k, got in enumerate(encoded(model, batch.column(1))):
+            for k, got in enumerate(ids_ for part in parts(batch.column(1), 4 * PART_BYTES) for ids_ in model.encode(part)):
                 got = np.append(got, END_ID).astype("<u4")
                 for start in range(0, len(got), capacity):
                     piece = got[start:start + capacity]
-                    found.append((k, start, len(piece), zlib.crc32(piece), len(got), piece.astype(np.int32)))
+                    found.append((k, start, len(piece), zlib.crc32(piece), len(got), piece.astype(np.int32) if ids else None))
             k, *rest = zip(*found) if found else [()] * 6
             columns = [batch.column(0).take(pa.array(k, pa.int64())), *[pa.array(c, pa.int64()) for c in rest[:4]]]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(rest[4], pa.list_(pa.int32()))] if ids else []), names=names)
+        model.forget()  # the worker may go on to other work
 
     return rows.mapInArrow(each, schema)
 
@@ -187,13 +171,13 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return [p for room in sorted(open_) for p in open_[room]]
 
 
-def ranked(parts: DataFrame) -> DataFrame:
-    """``parts`` with ``rank``, from 0 among the pieces of its length.  Pieces
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank``, from 0 among the pieces of its length.  Pieces
     are numbered within buckets of a hash; a bucket's first number is the sum
     of the buckets before it."""
-    total = parts.count()
+    total = rows.count()
     buckets = max(1, -(-total // BUCKET_PIECES))
-    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
@@ -210,8 +194,8 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     gives an empty table.  ``ids=False`` leaves the ids out (their checksum
     stays)."""
     spark = docs.sparkSession
-    parts = cut(pieces(docs, id, text, tokenizer, capacity, ids), "pieces")
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    cut_pieces = cut(pieces(docs, id, text, tokenizer, capacity, ids), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots: list[tuple[int, int, int, int, int]] = []
     first, taken = 0, dict.fromkeys(histogram, 0)
     for count, pack_ in patterns(histogram, capacity):
@@ -224,8 +208,8 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     table = spark.createDataFrame(slots, "length long, low long, high long, first long, offset long")
     if len(slots) <= SLOT_ROWS:
         table = F.broadcast(table)
-    placed = ranked(parts).alias("p").join(table.alias("s"), F.expr("p.length = s.length and p.rank >= s.low and p.rank < s.high"))
-    return placed.select(*[F.col(f"p.{c}") for c in parts.columns], F.expr("s.first + p.rank - s.low").alias("sequence_id"), F.col("s.offset"))
+    placed = ranked(cut_pieces).alias("p").join(table.alias("s"), F.expr("p.length = s.length and p.rank >= s.low and p.rank < s.high"))
+    return placed.select(*[F.col(f"p.{c}") for c in cut_pieces.columns], F.expr("s.first + p.rank - s.low").alias("sequence_id"), F.col("s.offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

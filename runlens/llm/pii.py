@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, read
+from .common import bounded_batches, free_name, parts, read
 from .pii_patterns import KINDS, NOT_DIGIT, base_spans, luhn
 
 # The labelled table: [kind:span] marks personal data, all else is outside.
@@ -116,7 +116,7 @@ CUES = {"at": "at", "[at]": "at", "(at)": "at", "dot": "dot", "[dot]": "dot", "(
 CALLS = {"call", "phone", "tel", "telefon", "fax", "mobile", "dial", "number", "line", "ring", "contact"}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[str, ...]:
     """Features of a word's shape: letters as x, upper case as X, digits as
     d, other characters as they are."""
@@ -369,12 +369,15 @@ def find_pii(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
     names, at = [*docs.columns, to], docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
+    def both(part: pa.Array) -> Iterator[tuple[str, list]]:
+        pool = part.cast(pa.large_string()).fill_null("")
+        texts = pool.to_pylist()
+        return zip(texts, added_spans(shared.value, texts, pool))
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pool = batch.column(at).cast(pa.large_string()).fill_null("")
-            texts = pool.to_pylist()
             rows = []
-            for t, more in zip(texts, added_spans(shared.value, texts, pool)):
+            for t, more in ((t, more) for part in parts(batch.column(at)) for t, more in both(part)):
                 base = base_spans(t)
                 new = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
                 spans = [(KINDS.index(k), a, b, True) for k, a, b in base] + [(KINDS.index(k), a, b, False) for k, a, b in new]

@@ -1,0 +1,240 @@
+"""Language ID, LM scoring, PII, line dedup and decontamination."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from runlens.llm import decontam, langid, linededup, lm, pii, pii_patterns
+
+from . import brute
+
+
+def longest_parse(text, sample):
+    """Phrases of the greedy parse of ``text`` into strings of ``sample``."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i:i + k + 1] in sample:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+def test_cross_parsing_matches_brute_force():
+    samples = (("aa", "the cat sat on the mat and the dog"), ("bb", "la gata se sienta en la mesa con el perro"))
+    model = langid.LanguageModel(samples)
+    code, tables = langid._parsers(model)
+    for text in ["the dog sat on the mat", "el gato en la mesa", "zzz", "a", "mat the on", "the  cat!! 12 sat"]:
+        flat = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+        expect = [longest_parse(flat, s) * math.log2(len(s)) for _, s in samples]
+        langs, score = langid.score_texts(model, [text])
+        assert langs == [samples[int(np.argmin(expect))][0]]
+        assert abs(score[0] - (1 - min(expect) / max(expect))) < 1e-9
+
+
+def test_language_of_held_out_documents(spark, rows):
+    docs = spark.createDataFrame(rows("documents", "doc_id, text, lang", "doc_id"), "doc_id long, text string, lang string")
+    model = langid.train(docs.where(~langid.held_out("doc_id")))
+    got = langid.identify(docs, model).where(langid.held_out("doc_id")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) and len(got) > 20
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_awkward_rows(spark, odd_docs):
+    model = langid.train(odd_docs)
+    got = langid.identify(odd_docs, model)
+    assert got.columns == [*odd_docs.columns, "lang_pred_", "score_"]
+    by = {r["doc_id"]: r["lang_pred_"] for r in got.collect()}
+    assert {i for i, x in by.items() if x == "und"} == {4, 5, 6, 9}
+    kept = langid.accepted(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == 8
+    empty = odd_docs.where("false")
+    assert langid.train(empty).samples == () and langid.accepted(empty).collect() == []
+    assert {r["lang_pred_"] for r in langid.identify(odd_docs, langid.train(empty)).collect()} == {"und"}
+    long = "the dog and " * 20000  # goes over many pieces
+    assert langid.score_texts(langid.LanguageModel((("en", "the dog and"), ("xx", "qq ww"))), [long])[0] == ["en"]
+
+
+def test_lm_base_and_gain(spark, rows):
+    docs = rows("documents", "doc_id, text", "doc_id")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(df, training=~lm.held_out("doc_id")).collect()}
+    tokens = {i: [*brute.words(t), None] for i, t in docs}
+    held = {i for i, _ in docs if brute.crc(i) % 7 == 2}
+    count = Counter(w for i, t in tokens.items() if i not in held for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, t in tokens.items():
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
+        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(t), sum(count[w] > 0 for w in t), n)
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all known words and the unknown word of each class, and the end."""
+    rng = np.random.default_rng(0)
+    words = pa.array(["one", "two", "three", "four"])
+    model = lm.Model({"ne": 1, "wo": 2}, np.array([3.0, 5, 4, *[0] * 28, 6]), np.array([1.0, 1, 1, *[0] * 28, 2]), rng.normal(size=32).astype(np.float32),
+                     rng.normal(size=(lm.ROWS, 32)).astype(np.float32), 18, 5, 3)
+    count = np.array([5, 4, 2, 4])
+
+    def p(*text):
+        all_ = [*words.to_pylist(), *sorted(set(text) - set(words.to_pylist()))]
+        n = np.r_[count, np.zeros(len(all_) - 4, int)]
+        return 10 ** lm.score_block(model, np.array([all_.index(w) for w in text], np.int32), np.array([len(text)]), pa.array(all_), n)["score"][0]
+    # texts "w end" and "w x end" share the step to w: compare "w" steps through
+    # the classes of their unknown words
+    classes, hashes = lm._coded(words, model.endings)
+    rows = lm._features([np.array([5]), np.array([5]), np.array([5])], classes, hashes)
+    x = lm._logits(model.bias, model.weights, rows)[0].astype(float)
+    share = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    of = classes[:5].astype(int)
+    inside = np.bincount(of, (np.r_[count, 3] + 1) / (model.class_words[of] + model.class_known[of] + 1), 32)
+    unknown = 1 / (model.class_words + model.class_known + 1)
+    assert abs((share * (inside + np.where(model.class_known > 0, unknown, unknown))).sum() - 1) < 1e-6
+    assert 0 < p("one") < 1 and p("one", "two") < p("one") * 10
+
+
+def test_lm_awkward_rows(spark, odd_docs):
+    got = lm.score(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by = {r["doc_id"]: r for r in got}
+    assert [by[i]["n_tokens"] for i in (4, 5, 6, 7)] == [1, 1, 1, 2] and all(r["score"] < 0 for r in got)
+    none = {r["doc_id"]: r for r in lm.score(odd_docs, training=F.lit(False)).collect()}
+    assert none[7]["train_tokens"] == 0 and none[7]["n_known"] == 0 and none[7]["base_score"] == 0
+    assert lm.score(odd_docs.where("false")).collect() == []
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 16 <= len(digits) <= 19 and pii_patterns.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_patterns():
+    rng = np.random.default_rng(6)
+    alphabet = list("0123456789999..@@+- ()ab_%é\n")
+    texts = ["".join(rng.choice(alphabet, 200)) for _ in range(400)]
+    texts += ["a@b.c", "a@@b.c", "x@y.z.w@q.r", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "+1 (268) 555-6289.", "a@b.c_d@e.f", "001.02.3.255", "٣.1.1.1.1"]
+    for t in texts:
+        assert pii_patterns.base_spans(t) == plain_spans(t), t
+    pii_patterns.base_spans("1" * 200_000)
+    pii_patterns.base_spans("a" * 200_000 + "@" + "b" * 200_000)
+
+
+def test_field_decodes_its_table_and_finds_more():
+    field = pii.trained()
+    lines = pii.labelled_lines()
+    texts = ["reach me under (268) 555-7788 today", "please mail anna.b at mail dot org now", "nothing to see in 1999 or on page 12 of 300", "host 2001:db8:0:0:1:0:0:1 is up\nsecond line (779) 555-0207."]
+    got = pii.added_spans(field, texts, pa.array(texts, pa.large_string()))
+    assert [[t[a:b] for _, a, b in s] for t, s in zip(texts, got)] == [["(268) 555-7788"], ["anna.b at mail dot org"], [], ["2001:db8:0:0:1:0:0:1", "(779) 555-0207"]]
+    right = total = 0
+    for words, labels in lines:
+        own, after, before = field.emissions(words)
+        e = own.copy()
+        e[1:] += after[:-1]
+        e[:-1] += before[1:]
+        right += sum(np.array(labels) == pii.viterbi(field, e, np.array([0]), np.array([len(words)])))
+        total += len(labels)
+    assert right >= 0.98 * total
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+    field = pii.trained()
+    rng = np.random.default_rng(8)
+    sizes = np.array([3, 1, 4, 2])
+    e = rng.normal(size=(sizes.sum(), len(pii.LABELS))) * 5
+    starts = np.cumsum(sizes) - sizes
+    got = pii.viterbi(field, e, starts, sizes)
+    p = field.pairs + field.allowed
+    for s, n in zip(starts, sizes):
+        value = lambda path: p[-1, path[0]] + sum(e[s + t, x] for t, x in enumerate(path)) + sum(p[a, b] for a, b in zip(path, path[1:]))  # noqa: E731,B023
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=int(n)), key=value)
+        assert got[s:s + n].tolist() == list(best)
+
+
+def test_pii_query(spark, rows):
+    docs = rows("documents", "doc_id, text", "doc_id") + [(10_000, "write to a.b@c.example.com or +1 (268) 555-6289, 4111 1111 1111 1111"), (10_001, None)]
+    found = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"))
+    text = dict(docs)
+    for r in found.collect():
+        base = [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["base"]]
+        assert base == plain_spans(text[r["doc_id"]] or "")
+    red = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert red[10_000] == "write to <email> or <phone>, <card>" and red[10_001] is None
+
+
+def test_pii_awkward_rows(spark, odd_docs):
+    got = pii.find_pii(odd_docs)
+    assert got.columns == [*odd_docs.columns, "pii_"] and got.count() == odd_docs.count()
+    assert all(r["pii_"] == [] for r in got.collect())
+    assert pii.find_pii(odd_docs.where("false")).collect() == []
+    assert pii.redact(odd_docs).columns == odd_docs.columns
+
+
+def test_site_lines(spark):
+    data = [(i, "h", "menu\nonly %d\n\nmenu" % i) for i in range(10)] + [(20, None, "menu\nx"), (21, "h", None), (22, "h", ""), (23, "other", "menu"), (24, "other", "a\\|b")]
+    df = spark.createDataFrame(data, "page_id long, host string, text string").selectExpr("*", "1 AS n_lines", "2 AS site_lines", "3 AS site_dropped")
+    got = {r["page_id"]: r for r in linededup.drop_site_lines(df, "host", detail=True).collect()}
+    assert got[3]["text"] == "only 3\n" and (got[3]["n_lines_"], got[3]["n_dropped"]) == (3, 2)
+    assert got[20]["text"] == "menu\nx" and got[21]["text"] is None and got[22]["text"] == "" and got[23]["text"] == "menu" and got[24]["text"] == "a\\|b"
+    assert (got[21]["n_lines_"], got[21]["n_dropped"], got[22]["n_lines_"]) == (0, 0, 0)
+    assert linededup.drop_site_lines(df.where("false"), "host").collect() == []
+    plan = linededup.drop_site_lines(df, "host")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_decontamination_against_brute_force(spark, rows):
+    items = rows("benchmark", "item_id, text", "item_id") + [(900, "Short one here"), (901, ""), (902, None), (903, "!!"), (904, "Short one here"), (905, "ab ab ab ab ab ab ab ab ab ab ab ab")]
+    docs = rows("documents", "doc_id, text", "doc_id")
+    docs += [(10_000, "so SHORT, one-here. " + items[3][1] + " tail"), (10_001, "short one"), (10_002, None), (10_003, "ab " * 30), (10_004, " ".join(items[5][1].split()[:9]))]
+    found, names = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    parts, _ = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=2000)
+    text = dict(docs)
+    for got in (found.collect(), parts.collect()):
+        assert len(got) == len(docs)
+        for r in got:
+            w, hit, ids = brute.contamination(text[r["doc_id"]], items)
+            flags = [False] * len(w)
+            for h in r["hits"]:
+                flags[h["start"]:h["end"]] = [True] * (h["end"] - h["start"])
+            assert (r["n_words"], flags, r["items"]) == (len(w), hit, ids)
+
+
+def test_passages_are_cut_and_clean_documents_stay(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = [(1, f"Before, {item.upper()}! after it, " + "x y " * 10), (2, "clean text"), (3, item), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS hits", "2 AS items")
+    got = {r["doc_id"]: r for r in decontam.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 4} and got[1]["text"] == "Before, ! after it, " + "x y " * 10 and got[2]["text"] == "clean text" and got[4]["text"] is None
+    assert got[1]["hits"] == 1
+
+
+def test_decontamination_awkward_rows(spark, odd_docs):
+    bench = spark.createDataFrame([(1, "word0 and other0 word1 and other1 word2 and other2 word3"), (None, "x")], "item_id long, text string")
+    found, names = decontam.find(odd_docs, bench)
+    assert names == {"n_words": "n_words_", "hits": "hits_", "items": "items"}
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert by[1]["items"] == ["1"] and by[7]["items"] == [] and by[5]["n_words_"] == 0
+    assert decontam.decontaminate(odd_docs, bench.where("false")).count() == odd_docs.count()
+    assert decontam.decontaminate(odd_docs.where("false"), bench).collect() == []
+
+
+def test_query_digests(spark):
+    from .conftest import SF
+    got = decontam.q_op7(spark, SF).where("n_items = 0").first()
+    assert got["items_sha256"] == hashlib.sha256(b"").hexdigest() and got["n_hit"] == 0 and got["contaminated"] is False
