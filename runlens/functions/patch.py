@@ -11,7 +11,6 @@ that have a ``#`` on a changed line.
 from __future__ import annotations
 
 import io
-import re
 import tokenize
 
 import pandas as pd
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Path fragments that mark a test file in a diff target.
+HUNK_RE = r"\A@@ -\d+(?:,(\d+))? \+\d+(?:,\d+)? @@"
+NEXT_FILE_RE = r"\n--- [^\n]*\n\+\+\+ [^\n]*\n?\z"
 TEST_PATH_PATTERNS = ["/test/", "/tests/", "/testing/", "test_", "tox.ini"]
 
 
@@ -59,7 +60,19 @@ def hunk_lines(patch: Column) -> Column:
     line is the hunk header)."""
     pieces = F.split(patch, r"(?m)^(?=@@|diff --git )")
     hunks = F.filter(pieces, lambda p: F.startswith(p, F.lit("@@")))
-    return F.flatten(F.transform(hunks, lambda h: F.slice(F.split(h, "\n"), 2, 1 << 30)))
+    return F.flatten(F.transform(hunks, lambda h: _body(F.split(F.regexp_replace(h, r"\n\z", ""), "\n"), h)))
+
+
+def _body(lines: Column, hunk: Column) -> Column:
+    """A hunk's lines without its header and without the header of the next
+    file of a plain diff.  That header's two lines look like a removed and an
+    added line; the counts in the hunk's own header tell which they are."""
+    size = F.regexp_extract(hunk, HUNK_RE, 1)
+    old = F.when(size == "", F.lit(1)).otherwise(size.try_cast("int"))
+    rest = F.slice(lines, 2, 1 << 30)
+    found = F.size(F.filter(rest, lambda x: (x == "") | F.startswith(x, F.lit(" ")) | F.startswith(x, F.lit("-"))))
+    header = hunk.rlike(NEXT_FILE_RE) & hunk.rlike(HUNK_RE) & (found > old)
+    return F.when(header, F.slice(rest, 1, F.greatest(F.size(rest) - 2, F.lit(0)))).otherwise(rest)
 
 
 def change_lines(patch: Column) -> Column:
@@ -114,21 +127,9 @@ def non_empty(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "") != ""
 
 
-def normalize_key(text: str) -> str:
-    """Python twin of :func:`clean_patch` for tests and small fixtures."""
-    out, in_hunk = [], False
-    for ln in text.split("\n"):
-        if ln.startswith("diff --git "):
-            in_hunk = False
-            continue
-        if ln.startswith("@@"):
-            in_hunk = True
-            continue
-        if in_hunk and ln[:1] in "+-" and ln:
-            c = ln[1:].lstrip(ln[0])
-            if c.strip() and not re.match(r"^\s*#", c):
-                out.append(ln[0] + strip_comment(c.rstrip()))
-    return re.sub(r"\s+", "", "\n".join(out))
+def readable(patch: Column) -> Column:
+    """Whether a patch has a hunk, or nothing at all."""
+    return patch.rlike(r"(?m)^@@") | ~non_empty(patch)
 
 
 def _cut_at_hash(line: Column) -> Column:
@@ -142,15 +143,14 @@ def _needs_tokenizer(line: Column) -> Column:
 
 
 def with_clean_patch(df, patch: str = "patch", out: str = "cleaned"):
-    """DataFrame form of :func:`clean_patch`.  A ``#`` with no quote before
-    it starts a comment, so such lines are cut in Spark; only rows with a
-    line where a quote precedes the first ``#`` go through the tokenizer
-    UDF (split off before it, since Python UDFs run for every row of their
-    plan node)."""
-    lines = change_lines(F.col(patch))
-    x = df.withColumn("_lines", lines).withColumn("_tok", F.exists("_lines", _needs_tokenizer))
-    plain = x.where(~F.col("_tok")).withColumn("_lines", F.transform(
-        "_lines", lambda ln: F.when(F.contains(ln, F.lit("#")), _cut_at_hash(ln)).otherwise(ln)))
-    tokenized = x.where(F.col("_tok")).withColumn("_lines", strip_comments_udf(F.col("_lines")))
-    key = F.regexp_replace(F.array_join(F.col("_lines"), "\n"), r"\s+", "")
-    return plain.unionByName(tokenized).withColumn(out, key).drop("_lines", "_tok")
+    """DataFrame form of :func:`clean_patch`; null where the text has content
+    but no hunk (such a patch is a class of its own, see W01).  A ``#`` with no
+    quote before it starts a comment, so such lines are cut in Spark.  Rows
+    with a line where a quote precedes the first ``#`` take the tokenizer's
+    answer; for all other rows the UDF gets a null.  The table is read once."""
+    x = df.withColumn("_lines", change_lines(F.col(patch)))
+    tokenized = strip_comments_udf(F.when(F.exists("_lines", _needs_tokenizer), F.col("_lines")))
+    x = x.withColumn("_tok", tokenized)
+    plain = F.transform("_lines", lambda ln: F.when(F.contains(ln, F.lit("#")), _cut_at_hash(ln)).otherwise(ln))
+    key = F.regexp_replace(F.array_join(F.coalesce("_tok", plain), "\n"), r"\s+", "")
+    return x.withColumn(out, F.when(readable(F.col(patch)), key)).drop("_lines", "_tok")

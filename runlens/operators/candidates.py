@@ -46,12 +46,15 @@ def explode_candidates(sets: DataFrame, num_candidate: int | None = None,
 
 
 def keep_candidates(cands: DataFrame, num_candidate: int | None = None) -> DataFrame:
-    """Row-level half of P06: truncate to ``num_candidate`` by index and drop
-    whitespace-only patches (Python ``str.strip() == ''``)."""
+    """Row-level half of P06: drop whitespace-only patches (Python
+    ``str.strip() == ''``).  With ``num_candidate`` the set is cut at that
+    index first, and ``dropped`` says how many of the instance that cut off."""
     c = cands
     if num_candidate is not None:
-        c = c.where(F.col("idx") < F.lit(num_candidate))
-    return c.where(F.col("patch").rlike(r"\S"))
+        id_col = c.columns[0]
+        past = F.greatest(F.max("idx") + 1 - num_candidate, F.lit(0)).cast("bigint").alias("dropped")
+        c = c.where(F.col("idx") < F.lit(num_candidate)).join(c.groupBy(id_col).agg(past), id_col)
+    return c.where(F.col("patch").rlike(r"(?U)[^\s\x1C-\x1F]"))
 
 
 # -- W02 ---------------------------------------------------------------------
@@ -70,26 +73,39 @@ def prune_or_keep_all(cands: DataFrame, group: Sequence[str] | str = ("instance_
 # -- W01 ---------------------------------------------------------------------
 def dedup_candidates(cands: DataFrame, group: Sequence[str] | str = ("instance_id", "grp"),
                      key: str = "cleaned", order: str = "idx") -> DataFrame:
-    """Keep the first candidate (lowest ``order``) per normalised key.
+    """Keep the first candidate (lowest ``order``) per normalised key; a
+    candidate without a key (its patch could not be read) is a class of its
+    own.
 
     Written as ``min_by`` in a grouped aggregate: Spark combines partial
     minima map-side, so a hot key never lands whole in one task."""
     g = _cols(group) + [key]
+    own = F.when(F.col(key).isNull(), F.col(order)).alias("_own")
     rest = [c for c in cands.columns if c not in g]
-    agg = cands.groupBy(*g).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
+    agg = cands.groupBy(*g, own).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
     return agg.select(*g, "_r.*").select(*cands.columns)
 
 
 # -- J01 ---------------------------------------------------------------------
 def propagate_to_duplicates(cands: DataFrame, reps: DataFrame,
                             keys: Sequence[str] = ("instance_id",), key: str = "cleaned",
-                            value_cols: Sequence[str] = ("failed",)) -> DataFrame:
+                            value_cols: Sequence[str] = ("failed",), order: str = "idx") -> DataFrame:
     """Every candidate inherits the result columns of the representative of
     its normalised key (representatives come from ``dedup_candidates`` and
-    were the only ones tested).  Row count of ``cands`` is kept."""
+    were the only ones tested).  A candidate without a key has its own result,
+    found by ``order``.  Row count of ``cands`` is kept."""
     k = list(keys) + [key]
-    r = reps.select(*k, *value_cols)
-    return cands.join(r, k, "left")
+    if order not in cands.columns or order not in reps.columns:
+        return cands.join(reps.select(*k, *value_cols), k, "left")
+    # one equi-join for both: the key, or the place of a candidate without one
+    own = F.when(F.col(key).isNull(), F.col(order))
+    r = reps.select(*[F.col(c).alias(f"_r_{c}") for c in k], own.alias("_r_own"), *value_cols)
+    c = cands.withColumn("_own", own)
+    same = F.lit(True)
+    for x in k:
+        same = same & F.col(x).eqNullSafe(F.col(f"_r_{x}"))
+    j = c.join(r, same & F.col("_own").eqNullSafe(F.col("_r_own")), "left")
+    return j.drop("_own", "_r_own", *[f"_r_{x}" for x in k])
 
 
 # -- A05 ---------------------------------------------------------------------
@@ -163,15 +179,23 @@ def render_batches(items: DataFrame, key: Sequence[str] | str, name: str = "name
 
 # -- T03 ---------------------------------------------------------------------
 def seeded_sample(items: DataFrame, key: Sequence[str] | str, item: str, k: int,
-                  seed: str = "0") -> DataFrame:
+                  seed: str = "0", dropped: str | None = None) -> DataFrame:
     """Exactly ``min(k, n)`` items per key, stable for a seed: rank items by
     ``md5(seed || key || item)`` (ties by item) and keep the first k.  The
-    window group limit lets Spark cut each partition to k before the sort."""
+    window group limit lets Spark cut each partition to k before the sort.
+    ``dropped`` names a column for the number of items of the key left out."""
     kc = _cols(key)
     h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in kc],
                           F.col(item).cast("string")))
     w = Window.partitionBy(*kc).orderBy(h, F.col(item))
-    return items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    kept = items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return kept if dropped is None else with_dropped(kept, items, kc, k, dropped)
+
+
+def with_dropped(kept: DataFrame, items: DataFrame, key: Sequence[str], k: int, out: str) -> DataFrame:
+    """How many of the key's items a limit of ``k`` left out."""
+    n = items.groupBy(*key).agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0)).cast("bigint").alias(out))
+    return kept.join(n, list(key))
 
 
 # -- U01 ---------------------------------------------------------------------
@@ -213,7 +237,7 @@ def missing_candidates(instances: DataFrame, cands: DataFrame, key: str = "insta
 
 
 # -- F05 + W08 + T03 + U01: regression-test selection -------------------------
-def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50, cap: int = 1000,
+def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50, cap: int | None = None,
                             key: str = "instance_id", item: str = "test") -> DataFrame:
     """The tests kept for regression checking, per instance.
 
@@ -221,8 +245,9 @@ def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50,
     ``replies`` holds one model reply per (instance, batch).  A reply's
     in-range integers pick tests of its batch (F05); a batch without a
     usable pick falls back to a seeded sample of ``min(k, size)`` of its
-    tests (T03); the per-batch selections are unioned (U01) and an instance
-    with more than ``cap`` is sampled down to ``cap``.
+    tests (T03); the per-batch selections are unioned (U01).  With ``cap`` an
+    instance with more tests is sampled down to ``cap``, and ``dropped`` says
+    how many that left out.
 
     Plan: one window over each batch (bounded by the batch size) gives a
     test's index in its batch and the batch size; the parsed replies join in
@@ -244,4 +269,4 @@ def select_regression_tests(batched: DataFrame, replies: DataFrame, k: int = 50,
         "source", F.lit("fallback"))
     cols = [key, "batch", item, "source"]
     chosen = union_batches(picked.select(*cols), fallback.select(*cols))
-    return seeded_sample(chosen, key, item, cap, seed="cap")
+    return chosen if cap is None else seeded_sample(chosen, key, item, cap, seed="cap", dropped="dropped")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import positions
+
 # Snippet context, output truncation limit and notice, and the
 # edit tool's messages (printf-style formats, in the order the checks run).
 SNIPPET_LINES = 4
@@ -180,52 +182,54 @@ def view_lines(docs: DataFrame, views: DataFrame) -> DataFrame:
 
 
 # -- W07 ---------------------------------------------------------------------
-def char_budget(entries: DataFrame, key: str, order: list[str], text, header,
-                budget: int = MAX_RESPONSE_LEN, min_entry_len: int = 1) -> DataFrame:
-    """Emit entries in order until the report (``header(n)`` followed by
-    ``text(i)`` for entries i = 1, 2, ...) exceeds ``budget`` characters; the
-    crossing entry is included, and the entries after it are counted in
-    ``remaining``.
-
-    Every entry is at least ``min_entry_len`` characters, so no more than
-    ``budget // min_entry_len + 1`` entries can ever be shown: that exact
-    bound is applied first as a window group limit, which trims each key
-    map-side before the running sum, so a hot key never reaches one task
-    whole."""
+def char_budget(entries: DataFrame, key: str, order: list[str], body: Column, header,
+                budget: int = MAX_RESPONSE_LEN, min_entry_len: int = 1, payload: list[str] = ()) -> DataFrame:
+    """Emit entries ``i. body`` in order until the report (``header(n)``, then
+    the entries) exceeds ``budget`` characters; the crossing entry is
+    included, and the entries after it are counted in ``remaining``.
+
+    Lengths are taken first and the ``payload`` columns (the long texts) left
+    behind: what is numbered and summed is (key, order, length) and the short
+    columns.  Entries get their number without a window over the key
+    (``scan.positions``); an entry has at least ``min_entry_len`` characters, so
+    only the first ``budget // min_entry_len + 1`` of a key can be shown, and
+    the running sum is over those.  The payload of the shown entries is joined
+    back on (key, order), which must tell entries apart if there is one."""
     k_max = budget // max(1, min_entry_len) + 1
-    w = Window.partitionBy(key).orderBy(*order)
+    light = entries.withColumn("_body", F.length(body)).drop(*payload)
     totals = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = entries.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k_max)
+    top = positions(light, key, list(order), out="i").withColumn("i", F.col("i") + 1).where(F.col("i") <= k_max)
     top = (top.join(totals, key)
-           .withColumn("_len", F.length(text(F.col("i"))).cast("bigint"))
+           .withColumn("_len", (F.length(F.col("i").cast("string")) + 2 + F.col("_body")).cast("bigint"))
            .withColumn("_hdr", F.length(header(F.col("n"))).cast("bigint")))
     wr = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     top = top.withColumn("cum_chars", F.col("_hdr") + F.sum("_len").over(wr))
     kept = top.where(F.col("cum_chars") - F.col("_len") <= budget)
     wl = Window.partitionBy(key)
     crossed = F.max("cum_chars").over(wl) > budget
-    return (kept.withColumn("remaining", F.when(crossed, F.col("n") - F.max("i").over(wl))
+    kept = (kept.withColumn("remaining", F.when(crossed, F.col("n") - F.max("i").over(wl))
                             .otherwise(F.lit(0)).cast("bigint"))
-            .withColumn("clipped", crossed).drop("_len", "_hdr"))
+            .withColumn("clipped", crossed).drop("_len", "_hdr", "_body"))
+    return kept.join(entries.select(key, *order, *payload), [key, *order]) if payload else kept
 
 
-def budget_report(entries: DataFrame, key: str, order: list[str], text, header,
-                  budget: int = MAX_RESPONSE_LEN, min_entry_len: int = 1) -> DataFrame:
+def budget_report(entries: DataFrame, key: str, order: list[str], body: Column, header,
+                  budget: int = MAX_RESPONSE_LEN, min_entry_len: int = 1, payload: list[str] = ()) -> DataFrame:
     """The rendered report per key: ``header(n)`` and the shown entries,
     cut at ``budget`` characters with a note of how many entries were not
-    shown.  Only the shown entries are gathered, each cut to ``budget``
-    characters, so a key's text is bounded by twice the budget however many
-    entries the key has."""
-    kept = char_budget(entries, key, order, text, header, budget, min_entry_len)
-    piece = F.substring(text(F.col("i")), 1, budget)
+    shown; ``report_chars`` is its length before the cut.  Only the shown
+    entries are gathered, each cut to ``budget`` characters, so a key's text is
+    bounded by twice the budget however many entries the key has."""
+    kept = char_budget(entries, key, order, body, header, budget, min_entry_len, payload)
+    piece = F.substring(F.concat(F.col("i").cast("string"), F.lit(". "), body), 1, budget)
     g = kept.groupBy(key).agg(
         F.first(header(F.col("n"))).alias("_h"), F.max("remaining").alias("remaining"),
-        F.max("clipped").alias("clipped"),
+        F.max("clipped").alias("clipped"), F.max("cum_chars").cast("bigint").alias("report_chars"),
         F.array_sort(F.collect_list(F.struct(F.col("i"), piece.alias("t")))).alias("_l"))
-    body = F.concat(F.col("_h"), F.array_join(F.transform("_l", lambda x: x["t"]), ""))
-    out = F.when(F.col("clipped"), F.concat(F.substring(body, 1, budget),
+    out = F.concat(F.col("_h"), F.array_join(F.transform("_l", lambda x: x["t"]), ""))
+    cut = F.when(F.col("clipped"), F.concat(F.substring(out, 1, budget),
                                            F.format_string(MSG["clipped"], F.col("remaining"))))
-    return g.select(key, "remaining", "clipped", F.coalesce(out, body).alias("output"))
+    return g.select(key, "remaining", "clipped", "report_chars", F.coalesce(cut, out).alias("output"))
 
 
 # -- W09 ---------------------------------------------------------------------

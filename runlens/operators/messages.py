@@ -36,7 +36,7 @@ STEP_CONTEXT_LIMIT = 300_000
 
 def strip(c: Column) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def _opt(df: DataFrame, name: str, ddl: str) -> Column:

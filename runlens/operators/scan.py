@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
 CHUNK = 65536
+RANGES = 64
 
 
 def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str | Column]],
@@ -67,25 +66,29 @@ def running(df: DataFrame, key: str, order: str, specs: dict[str, tuple[str, str
 
 
 def positions(df: DataFrame, key: str | list[str], order: list[str], out: str = "pos",
-              chunk: int = CHUNK) -> DataFrame:
+              chunk: int = 32) -> DataFrame:
     """0-based position of each row within its key, in ``order`` (any
     sortable columns; include enough of them to make the order total).
 
-    A window ``row_number`` would hold each key in one task.  Instead the
-    rows are sorted globally (range partitioning with sampled bounds splits a
-    hot key over many partitions), given increasing ids in that order, and
-    numbered by the chunked running count, whose per-chunk table is the only
-    thing that crosses partitions."""
+    A window ``row_number`` would hold each key in one task.  Instead a key's
+    rows are cut into ranges of the order, numbered within (key, range), and
+    moved up by the sizes of the ranges before.  The cuts are rows of the key:
+    of one row in ``chunk``, chosen by a hash of the order columns, those with the
+    least hash in each of ``RANGES`` hash classes.  They depend on nothing but
+    the data, so every pass over the plan finds the same ranges; there are at
+    most ``RANGES`` of them, map-side combined; nothing runs or is written
+    while the plan is built."""
     keys = [key] if isinstance(key, str) else list(key)
-    k = "_pkey"
-    s = (df.withColumn(k, F.struct(*[F.col(c) for c in keys]))
-         .orderBy(*keys, *order).withColumn("_sid", F.monotonically_increasing_id()))
-    # The ids depend on the range bounds, which are sampled from an input
-    # whose row order may differ between two computations of it (e.g. after a
-    # shuffle).  The running count reads the rows twice, so the sorted rows
-    # are materialised once in the shared checkpoint folder: both passes see
-    # the same ids, and the lineage is cut (a lost executor re-reads files).
-    ensure_checkpoint_dir(s.sparkSession)
-    s = s.checkpoint(eager=True)
-    out_df = running(s, k, "_sid", {out: ("count", F.lit(1))}, chunk=chunk)
-    return out_df.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(k, "_sid")
+    x = df.withColumn("_pkey", F.struct(*[F.col(c) for c in keys])).withColumn("_porder", F.struct(*[F.col(c) for c in order]))
+    h = F.xxhash64("_porder", F.lit("cut"))
+    drawn = x.select("_pkey", "_porder", h.alias("_h")).where(F.pmod("_h", F.lit(chunk)) == 0)
+    least = drawn.groupBy("_pkey", F.pmod(F.xxhash64("_h"), F.lit(RANGES)).alias("_class")).agg(F.min(F.struct("_h", "_porder")).alias("_m"))
+    cuts = least.groupBy("_pkey").agg(F.collect_list("_m._porder").alias("_cuts"))
+    x = x.join(cuts, "_pkey", "left").withColumn(
+        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_porder"))), F.lit(0))).drop("_cuts")
+    sizes = x.groupBy("_pkey", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_pkey").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_pkey", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_pkey", "_range").orderBy("_porder")) - 1
+    return (x.withColumn(out, within).join(sizes, ["_pkey", "_range"])
+            .withColumn(out, (F.col(out) + F.col("_before")).cast("bigint")).drop("_pkey", "_range", "_before", "_porder"))

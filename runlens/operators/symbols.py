@@ -22,7 +22,8 @@ LINE_BUCKET = 64
 
 
 # -- J10 ---------------------------------------------------------------------
-def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_BUCKET) -> DataFrame:
+def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_BUCKET,
+                     functions: DataFrame | None = None) -> DataFrame:
     """Parent of every function span by containment inside its file.
 
     ``spans``: file_path, sid (unique per file), name, kind
@@ -37,8 +38,9 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     Join plan: equi-join on (file_path, line bucket) with the range test as
     residual.  A container is replicated to every bucket it covers, a child
     probes the bucket of its first line, so even one huge file is spread over
-    many join keys instead of one."""
-    fn = spans.where(F.col("kind") == "function")
+    many join keys instead of one.  ``functions`` limits the work to some of
+    the functions of ``spans``."""
+    fn = spans.where(F.col("kind") == "function") if functions is None else functions
     keep = ["file_path", "sid", "name", "start_line", "end_line"]
     if rule == "none":
         return fn.select(*keep, F.lit(None).cast("string").alias("parent_function"),
@@ -81,17 +83,30 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
 def symbol_lookup(functions: DataFrame, classes: DataFrame, lookups: DataFrame) -> DataFrame:
     """Exact-name lookups ``(identifier, entry_type)``: ``function`` =
     functions without a parent class (nested functions count),
-    ``class_method`` = functions with one, ``class`` = the class table."""
+    ``class_method`` = functions with one, with it in ``parent_class``;
+    ``class`` = the class table, with its ``fields`` and ``methods``."""
     fl = lookups.where(F.col("entry_type").isin("function", "class_method"))
+    none = F.lit(None).cast("string")
     f = functions.select(F.col("name").alias("identifier"), "file_path", "start_line", "end_line",
                          F.when(F.col("parent_class").isNull(), "function").otherwise("class_method")
-                         .alias("entry_type"))
+                         .alias("entry_type"), "parent_class", none.alias("fields"), none.alias("methods"))
     c = classes.select(F.col("name").alias("identifier"), "file_path", "start_line", "end_line",
-                       F.lit("class").alias("entry_type"))
+                       F.lit("class").alias("entry_type"), none.alias("parent_class"),
+                       *[(F.col(x) if x in classes.columns else none).alias(x) for x in ("fields", "methods")])
     return (fl.join(f, ["identifier", "entry_type"])
             .unionByName(lookups.where(F.col("entry_type") == "class").join(c, ["identifier", "entry_type"])))
 
 
+def lookup_in_spans(spans: DataFrame, lookups: DataFrame, rule: str = "python") -> DataFrame:
+    """:func:`symbol_lookup` straight from spans: only functions that some
+    lookup names get their parents, and only from the spans of their files."""
+    names = lookups.where(F.col("entry_type").isin("function", "class_method")).select(F.col("identifier").alias("name")).distinct()
+    wanted = spans.where(F.col("kind") == "function").join(names, "name", "left_semi")
+    around = spans.join(wanted.select("file_path").distinct(), "file_path", "left_semi")
+    found = enclosing_symbol(around, rule, functions=wanted)
+    return symbol_lookup(found, spans.where(F.col("kind") == "class"), lookups)
+
+
 # -- X02 ---------------------------------------------------------------------
 SYMBOL_SCHEMA = ("file_path string, kind string, name string, start_line bigint, end_line bigint, "
                  "body string, methods string, error string")
@@ -163,7 +178,7 @@ def extract_symbols(files: DataFrame, path: str = "path", content: str = "conten
 
 # -- S06 / P10 ---------------------------------------------------------------
 def language_of(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    ext = F.regexp_extract(path, r"(\.[^./]+)$", 1)
     m = F.create_map(*[x for k, v in EXTENSION_LANGUAGE.items() for x in (F.lit(k), F.lit(v))])
     return F.element_at(m, ext)
 
@@ -182,15 +197,28 @@ def visible_files(files: DataFrame, path: str = "path") -> DataFrame:
             .where(visible(F.col(path)) & F.col("language").isNotNull()))
 
 
-def scan_source_files(spark, root: str) -> DataFrame:
-    """Recursive scan of a source tree as (path, mtime, size, content)."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+def scan_source_files(spark, root: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Recursive scan of a source tree as (path, mtime, size, content).
+    Files without a known extension are left out of the listing and files over
+    ``max_bytes`` are skipped by their length, so neither is ever opened
+    (:func:`oversized_files` lists the latter)."""
+    raw = _source_listing(spark, root).where(F.col("length") <= max_bytes)
     df = raw.select(F.col("path"), F.unix_timestamp("modificationTime").cast("bigint").alias("mtime"),
                     F.col("length").alias("size"),
                     F.col("content").cast("string").alias("content"))
     return visible_files(df)
 
 
+def _source_listing(spark, root: str) -> DataFrame:
+    glob = "*{" + ",".join(EXTENSION_LANGUAGE) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+
+
+def oversized_files(spark, root: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """What ``scan_source_files`` skips: (path, size), contents not read."""
+    return visible_files(_source_listing(spark, root).where(F.col("length") > max_bytes).select("path", F.col("length").alias("size")))
+
+
 # -- A10 ---------------------------------------------------------------------
 def snapshot_fingerprint(files: DataFrame, root: str = "root") -> DataFrame:
     """Order-independent content fingerprint of each file set from (path,

@@ -15,47 +15,58 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .candidates import with_dropped
 from .messages import strip
 from .scan import positions, running
 
 # Patterns of the two addressable log formats.
-SYMPY_FILE_RE = r"^(sympy/[\w./]+\.py)\[\d+\]"
-SYMPY_RESULT_RE = r"^(test_\w+)\s+(ok|F|E|Skipped|s)\b"
-DJANGO_NAME_RE = r"^(\S+)\s+\(([\w.]+)\)$"
-DJANGO_TAIL_ID_RE = r"(\S+ \([\w.]+\))$"
+SYMPY_FILE_RE = r"(?U)^(sympy/[\w./]+\.py)\[\d+\]"
+SYMPY_RESULT_RE = r"(?U)^(test_\w+)\s+(ok|F|E|Skipped|s)\b"
+DJANGO_NAME_RE = r"(?U)^(\S+)\s+\(([\w.]+)\)$"
+DJANGO_TAIL_ID_RE = r"(?U)(\S+ \([\w.]+\))$"
+# What ends a line (\r\n is one end).
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 STATUS_LINE_RE = r"^(PASSED|FAILED|ERROR|SKIPPED) (.+)$"
 # Django status suffixes, in the order they are tried.
 DJANGO_SUFFIXES = [(" ... ok", "PASSED"), (" ... OK", "PASSED"), (" ...  OK", "PASSED"),
                    (" ... FAIL", "FAILED"), (" ... ERROR", "ERROR")]
-RETRY_CAP = 100
 
 
 # -- S08 ---------------------------------------------------------------------
 def log_lines(logs: DataFrame, log_id: str = "log_id", text: str = "value") -> DataFrame:
     """Whole-text logs -> ordered lines; ``line_no`` is 1-based and
-    deterministic (Python ``splitlines`` on ``\\n`` / ``\\r\\n``)."""
-    return logs.select(F.col(log_id).alias("log_id"),
-                       F.posexplode(F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""),
-                                            r"\r?\n")).alias("pos", "line")
+    deterministic (lines end where Python's ``splitlines`` ends them)."""
+    return logs.select(F.col(log_id).alias("log_id"), F.posexplode(split_lines(F.col(text))).alias("pos", "line")
                        ).select("log_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def read_log_lines(spark, path: str, whole_text: bool = True) -> DataFrame:
+def split_lines(text: Column) -> Column:
+    """Python ``str.splitlines``: an end at the end of the text opens no
+    further line, and an empty text has no line."""
+    body = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
+
+
+def read_log_lines(spark, path: str, whole_text: bool = False) -> DataFrame:
     """One log per file, ``log_id`` = file path, contiguous 1-based
-    ``line_no``.  ``whole_text`` reads each file as one row and splits it
-    (simple, one file per task); for logs of hundreds of MB use
-    ``whole_text=False``: lines are read split by split, ordered by
-    (file, row id) and numbered with a chunked running count, so no file is
-    ever held by one task."""
+    ``line_no``.  Lines are read split by split, ordered by (file, row id) and
+    numbered with a chunked running count, so no file is ever held by one task;
+    a row that holds further line ends (the reader ends rows at line feeds) is
+    split again, so both modes number the same lines.  ``whole_text`` reads each
+    file as one row instead (for many small files)."""
     if whole_text:
         raw = spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("log_id"), "value")
         return log_lines(raw)
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("log_id"),
-                                       F.col("value").alias("line"),
-                                       F.monotonically_increasing_id().alias("_id"))
-    out = running(raw, "log_id", "_id", {"line_no": ("count", F.lit(1))})
-    return out.select("log_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("log_id"), F.regexp_replace("value", r"\r\z", "").alias("value"),
+        F.monotonically_increasing_id().alias("_id"))
+    parts = F.when(F.col("value") == "", F.array(F.lit(""))).otherwise(F.split("value", LINE_END))
+    rows = raw.select("log_id", "_id", parts.alias("_parts"))
+    # lines before a row: the running sum of line counts, less its own
+    out = running(rows, "log_id", "_id", {"_upto": ("sum", F.size("_parts"))})
+    return (out.select("log_id", (F.col("_upto") - F.size("_parts")).alias("_before"), F.posexplode("_parts").alias("_k", "line"))
+            .select("log_id", (F.col("_before") + F.col("_k") + 1).cast("bigint").alias("line_no"), "line"))
 
 
 # -- forward fill ----------------------------------------------------------
@@ -71,20 +82,24 @@ def parse_grouped_log(lines: DataFrame) -> DataFrame:
     """sympy verbose logs: a ``sympy/..py[N]`` header sets the current file,
     ``test_x ok|F|E|Skipped|s`` lines become ``file::test_x``; results before
     any header are dropped; the last result of a name wins."""
-    s = strip(F.col("line"))
-    h = F.regexp_extract(s, SYMPY_FILE_RE, 1)
-    t = F.regexp_extract(s, SYMPY_RESULT_RE, 1)
-    v = F.regexp_extract(s, SYMPY_RESULT_RE, 2)
-    x = lines.select("log_id", "line_no", F.when(h != "", h).alias("_hdr"),
-                     F.when((h == "") & (t != ""), t).alias("_test"), v.alias("_v"))
+    hdr, test, verdict = _grouped_columns(strip(F.col("line")))
+    x = lines.select("log_id", "line_no", hdr.alias("_hdr"), test.alias("_test"), verdict.alias("_v"))
     x = forward_fill(x, "log_id", "line_no", "_hdr", "_file")
     res = x.where(F.col("_test").isNotNull() & F.col("_file").isNotNull()).select(
-        "log_id", "line_no", F.concat(F.col("_file"), F.lit("::"), F.col("_test")).alias("test"),
-        F.when(F.col("_v") == "ok", "PASSED").when(F.col("_v").isin("s", "Skipped"), "SKIPPED")
-         .otherwise("FAILED").alias("status"))
+        "log_id", "line_no", F.concat(F.col("_file"), F.lit("::"), F.col("_test")).alias("test"), F.col("_v").alias("status"))
     return last_wins(res)
 
 
+def _grouped_columns(s: Column) -> tuple[Column, Column, Column]:
+    """File header, test name and status of a stripped line, null where it
+    has none."""
+    h = F.regexp_extract(s, SYMPY_FILE_RE, 1)
+    t = F.regexp_extract(s, SYMPY_RESULT_RE, 1)
+    v = F.regexp_extract(s, SYMPY_RESULT_RE, 2)
+    status = F.when(v == "ok", "PASSED").when(v.isin("s", "Skipped"), "SKIPPED").otherwise("FAILED")
+    return F.when(h != "", h), F.when((h == "") & (t != ""), t), status
+
+
 def last_wins(results: DataFrame, keys: Sequence[str] = ("log_id",), test: str = "test",
               seq: str = "line_no") -> DataFrame:
     """Latest status per (keys, test)."""
@@ -103,13 +118,32 @@ def parse_docstring_log(lines: DataFrame) -> DataFrame:
     ``...`` or a trailing id; if it still is not an id, the status is also
     credited to the previous line when that line was a bare id.  A blank
     line resets the previous id.  Last wins."""
+    status, name, fail_line, bare = _docstring_columns()
+    x = lines.withColumn("line_s", strip(F.col("line"))).select(
+        "log_id", "line_no", "line_s", name.alias("_name"), status.alias("_status"), fail_line.alias("_fail_line"), bare.alias("_bare"))
+    # Previous bare id: the previous line fell through every rule and is an
+    # id.  Line numbers are contiguous, so "previous line" is an equi-join on
+    # (log, line_no - 1) between the status lines and the bare-id lines: unique
+    # keys (no hot partition however long a log is) and only two small
+    # subsets of the log move.
+    before = x.where(F.col("_bare").isNotNull()).select(
+        "log_id", (F.col("line_no") + 1).alias("line_no"), F.col("_bare").alias("_prev"))
+    x = _named(x.where(F.col("_status").isNotNull()).join(before, ["log_id", "line_no"], "left"))
+    out = x.select("log_id", "line_no", F.col("_status").alias("status"), F.explode("_tests").alias("test"))
+    return last_wins(out)
+
+
+def _docstring_columns() -> tuple[Column, Column, Column, Column]:
+    """Status, raw name, whether it is a FAIL:/ERROR: line, and the line
+    itself where it is a bare id, of the stripped line ``line_s``."""
     s = F.col("line_s")
-    cases_st, cases_nm = None, None
+    cases_st, cases_nm, suffix_or_skip = None, None, F.lit(False)
     for suf, st in DJANGO_SUFFIXES:
         hit = F.endswith(s, F.lit(suf))
         nm = F.expr(f"substring(line_s, 1, length(line_s) - {len(suf)})")
         cases_st = F.when(hit, F.lit(st)) if cases_st is None else cases_st.when(hit, F.lit(st))
         cases_nm = F.when(hit, nm) if cases_nm is None else cases_nm.when(hit, nm)
+        suffix_or_skip = suffix_or_skip | hit
     skip_hit = F.contains(s, F.lit(" ... skipped"))
     fail_hit = F.startswith(s, F.lit("FAIL:")) | F.startswith(s, F.lit("ERROR:"))
     status = (cases_st.when(skip_hit, F.lit("SKIPPED"))
@@ -117,25 +151,14 @@ def parse_docstring_log(lines: DataFrame) -> DataFrame:
               .when(F.startswith(s, F.lit("ERROR:")), F.lit("ERROR")))
     after = strip(F.expr("substring(line_s, instr(line_s, ':') + 1)"))
     fail_name = F.when(_is_name(after), after).otherwise(F.split_part(after, F.lit(" "), F.lit(1)))
-    suffix_or_skip = F.lit(False)
-    for suf, _ in DJANGO_SUFFIXES:
-        suffix_or_skip = suffix_or_skip | F.endswith(s, F.lit(suf))
-    suffix_or_skip = suffix_or_skip | skip_hit
     name = (cases_nm.when(skip_hit, F.split_part(s, F.lit(" ... skipped"), F.lit(1)))
             .when(fail_hit, fail_name))
+    return status, name, ~(suffix_or_skip | skip_hit) & fail_hit, F.when(status.isNull() & (s != "") & _is_name(s), s)
 
-    x = lines.withColumn("line_s", strip(F.col("line"))).select(
-        "log_id", "line_no", "line_s", name.alias("_name"), status.alias("_status"),
-        (~suffix_or_skip & fail_hit).alias("_fail_line"))
-    # Previous bare id: the previous line fell through every rule and is an
-    # id.  Line numbers are contiguous, so "previous line" is an equi-join on
-    # (log, line_no - 1) between the status lines and the bare-id lines: unique
-    # keys (no hot partition however long a log is) and only two small
-    # subsets of the log move.
-    bare = x.where(x["_status"].isNull() & (x["line_s"] != "") & _is_name(x["line_s"])).select(
-        "log_id", (F.col("line_no") + 1).alias("line_no"), F.col("line_s").alias("_prev"))
-    x = x.where(F.col("_status").isNotNull()).join(bare, ["log_id", "line_no"], "left")
-    # repair a put() name, one step per column so each regex runs once
+
+def _named(x: DataFrame) -> DataFrame:
+    """``_tests``: the ids a status line credits, from ``_name``,
+    ``_fail_line`` and ``_prev``; one step per column so each regex runs once."""
     x = x.withColumn("_n0", strip(F.col("_name")))
     x = x.withColumn("_cand", strip(F.substring_index(F.col("_n0"), "...", -1)))
     x = x.withColumn("_n1", F.when(~_is_name(F.col("_n0")) & F.contains(F.col("_n0"), F.lit("..."))
@@ -143,15 +166,9 @@ def parse_docstring_log(lines: DataFrame) -> DataFrame:
     x = x.withColumn("_tail", F.regexp_extract(F.col("_n1"), DJANGO_TAIL_ID_RE, 1))
     x = x.withColumn("_n2", F.when(~_is_name(F.col("_n1")) & (F.col("_tail") != "") & _is_name(F.col("_tail")),
                                    F.col("_tail")).otherwise(F.col("_n1")))
-    named = x.select(
-        "log_id", "line_no", "_status", "_fail_line", "_prev",
-        F.when(F.col("_fail_line"), F.col("_name")).otherwise(F.col("_n2")).alias("_n"))
+    x = x.withColumn("_n", F.when(F.col("_fail_line"), F.col("_name")).otherwise(F.col("_n2")))
     credit_prev = (~F.col("_fail_line")) & ~_is_name(F.col("_n")) & F.col("_prev").isNotNull()
-    out = named.select(
-        "log_id", "line_no", F.col("_status").alias("status"),
-        F.explode(F.when(credit_prev, F.array(F.col("_prev"), F.col("_n")))
-                  .otherwise(F.array(F.col("_n")))).alias("test"))
-    return last_wins(out)
+    return x.withColumn("_tests", F.when(credit_prev, F.array(F.col("_prev"), F.col("_n"))).otherwise(F.array(F.col("_n"))))
 
 
 # -- F04 ---------------------------------------------------------------------
@@ -188,25 +205,31 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def parse_logs(lines: DataFrame, repo_of_log: DataFrame | None = None,
-               default=parse_status_lines) -> DataFrame:
-    """Route each log to its repo's parser (a dict of DataFrame functions)
-    and union the results.  Every parser is a set of column expressions, so
-    a malformed log yields no rows rather than failing the job.
+def parse_logs(lines: DataFrame, repo_of_log: DataFrame | None = None) -> DataFrame:
+    """Every log by its repo's rules (see ``PARSERS``; other repos print status
+    lines), in one pass: the rules are column expressions chosen by ``repo``,
+    the state a line needs (current file header, previous bare id) comes from
+    one chunked running scan, and one aggregate keeps the last status of each
+    name.  A malformed log yields no rows rather than failing the job.
 
     ``lines`` either carries a ``repo`` column or gets it from
-    ``repo_of_log`` (log_id -> repo).  Stored with
-    :func:`runlens.sinks.writers.write_log_lines` (partitioned by repo),
-    each parser's repo filter prunes partitions, so every log file is read
-    by its own parser only."""
+    ``repo_of_log`` (log_id -> repo)."""
     lr = lines if repo_of_log is None else lines.join(repo_of_log, "log_id")
-    known = list(PARSERS)
-    parts = [PARSERS[r](lr.where(F.col("repo") == r).drop("repo")) for r in known]
-    parts.append(default(lr.where(~F.col("repo").isin(*known)).drop("repo")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    grouped, docstring = (F.col("repo") == r for r in PARSERS)
+    hdr, test, verdict = _grouped_columns(F.col("line_s"))
+    status, name, fail_line, bare = _docstring_columns()
+    plain = F.regexp_extract("line", STATUS_LINE_RE, 1)
+    x = lr.withColumn("line_s", strip(F.col("line"))).select(
+        "log_id", "line_no", "repo", F.when(grouped, hdr).alias("_hdr"), F.when(grouped, test).alias("_test"),
+        F.when(grouped, verdict).when(docstring, status).when(plain != "", plain).alias("_status"),
+        F.when(docstring, name).alias("_name"), F.when(docstring, fail_line).alias("_fail_line"), F.when(docstring, bare).alias("_bare"),
+        F.when(~(grouped | docstring) & (plain != ""), F.regexp_extract("line", STATUS_LINE_RE, 2)).alias("_plain"))
+    x = running(x, "log_id", "line_no", {"_file": ("last", "_hdr"), "_prev": ("lag", "_bare")})
+    x = _named(x.where(F.col("_status").isNotNull()))
+    tests = (F.when(grouped, F.array(F.concat(F.col("_file"), F.lit("::"), F.col("_test"))))
+             .when(docstring, F.col("_tests")).otherwise(F.array("_plain")))
+    rows = x.select("log_id", "line_no", F.col("_status").alias("status"), F.explode(tests).alias("test"))
+    return last_wins(rows.where(F.col("test").isNotNull()))
 
 
 # -- A08 ---------------------------------------------------------------------
@@ -245,10 +268,14 @@ def failed_regressions(selected: DataFrame, status: DataFrame,
 # -- J08 ---------------------------------------------------------------------
 def confirm_failures(failed: DataFrame, retry_status: DataFrame,
                      keys: Sequence[str] = ("instance_id",), test: str = "test",
-                     cap: int = RETRY_CAP) -> DataFrame:
-    """When a candidate has 1..cap failures, keep only tests that still do
-    not pass on retry; larger failure sets are real breakage, kept as is."""
+                     cap: int | None = None) -> DataFrame:
+    """Keep only tests that still do not pass on retry.  With ``cap``, a
+    candidate with more failures than that is taken as broken and keeps them
+    all without a retry."""
     k = list(keys)
+    if cap is None:
+        r = retry_status.select(*k, test, F.col("status").alias("_rs"))
+        return failed.join(r, k + [test], "left").where(~F.col("_rs").eqNullSafe(F.lit("PASSED"))).drop("_rs")
     cnt = failed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     r = retry_status.select(*k, test, F.col("status").alias("_rs"))
     j = failed.join(cnt, k).join(r, k + [test], "left")
@@ -275,12 +302,14 @@ def differential_regressions(failing: DataFrame, patched: DataFrame, pristine: D
 
 
 # -- T02 ---------------------------------------------------------------------
-def first_n_per_instance(tests: DataFrame, n: int = 300, instance: str = "instance_id",
-                         order: Sequence[str] = ("test",)) -> DataFrame:
+def first_n_per_instance(tests: DataFrame, n: int, instance: str = "instance_id",
+                         order: Sequence[str] = ("test",), dropped: str | None = None) -> DataFrame:
     """First ``n`` tests per instance in order (window group limit prunes
-    each partition to n rows before the sort completes)."""
+    each partition to n rows before the sort completes).  ``dropped`` names a
+    column for the number of the instance's tests left out."""
     w = Window.partitionBy(instance).orderBy(*order)
-    return tests.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    kept = tests.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return kept if dropped is None else with_dropped(kept, tests, [instance], n, dropped)
 
 
 # -- U02 ---------------------------------------------------------------------
@@ -357,11 +386,13 @@ def failed_from_matrix(m: DataFrame, selected: str = "pristine", run: str = "pat
 
 
 def confirm_from_matrix(failed: DataFrame, keys: Sequence[str] = ("instance_id",), retry: str = "retry",
-                        cap: int = RETRY_CAP) -> DataFrame:
+                        cap: int | None = None) -> DataFrame:
     """J08 on the rows of :func:`failed_from_matrix`, whose retry status is
-    already a column: no join back to a retry table, only the per-candidate
-    failure count (a partial aggregate)."""
+    already a column: no join back to a retry table, and with ``cap`` only the
+    per-candidate failure count (a partial aggregate)."""
     k = list(keys)
+    if cap is None:
+        return failed.where(~F.col(retry).eqNullSafe(F.lit("PASSED")))
     cnt = failed.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     keep = (F.col("_n") > cap) | ~F.col(retry).eqNullSafe(F.lit("PASSED"))
     return failed.join(cnt, k).where(keep).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import running
+from .scan import positions, running
 
 # Validation messages, in the order the checks run.
 MSG = {
@@ -56,6 +56,14 @@ def thought_branches(t: DataFrame, session: str = "session_id", pos: str = "pos"
         F.count(F.lit(1)).alias("n_thoughts"), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"))
 
 
+def branch_thoughts(t: DataFrame, session: str = "session_id", pos: str = "pos") -> DataFrame:
+    """The thoughts of every branch in order, one row each (``ord`` from 1)."""
+    v = validate_thoughts(t).where(F.col("error").isNull())
+    b = v.where(F.col("branch_from_norm").isNotNull() & (F.coalesce(F.col("branch_id"), F.lit("")) != ""))
+    out = positions(b.select(session, "branch_id", pos, "thought"), [session, "branch_id"], [pos], out="ord")
+    return out.withColumn("ord", F.col("ord") + 1)
+
+
 def thought_history(t: DataFrame, session: str = "session_id", pos: str = "pos") -> DataFrame:
     """Per valid thought: history length so far and distinct branches so far
     (first thought of each branch found by a partial aggregate; running

@@ -138,15 +138,17 @@ def calls_with_results(calls: DataFrame, results: DataFrame,
 # -- J06 ---------------------------------------------------------------------
 def attach_step_summary(steps: DataFrame, summaries: DataFrame, run: str = "run_id",
                         step: str = "step_number", order: str = "pos",
-                        col: str = "lakeview_summary") -> DataFrame:
+                        col: str = "lakeview_summary", seq: str | None = None) -> DataFrame:
     """Set ``col`` on the first step (lowest ``order``) with each step number;
-    other rows keep their old value."""
+    other rows keep their old value.  Of several summaries of a step the last
+    by ``seq`` counts (without ``seq``, the greatest text)."""
     k = [run, step]
     # a (run, step) group is one step (a retried step at most a few rows), so
     # a window min over it is cheap, and its output is already partitioned
     # on (run, step): only the summaries move for the join
     first = F.min(order).over(Window.partitionBy(*k))
-    s = summaries.select(*k, F.col(col).alias("_new"))
+    last = F.max_by(F.col(col), F.col(seq)) if seq else F.max(F.col(col))
+    s = summaries.groupBy(*k).agg(last.alias("_new"))
     old = F.col(col) if col in steps.columns else F.lit(None).cast("string")
     j = steps.withColumn("_first", first).join(s, k, "left")
     return j.withColumn(col, F.when(F.col(order) == F.col("_first"), F.coalesce("_new", old))

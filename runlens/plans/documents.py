@@ -17,8 +17,10 @@ def docs(spark, d):
 
 def q_replace_unique(spark, d):
     dd = docs(spark, d)
-    edits = dd.select("path", F.when(F.col("doc_id") % 7 == 0, F.reverse(F.substring("content", 1, 12)))
-                      .otherwise(F.substring("content", 1, 12)).alias("old"),
+    # old text: the document's last line, its whole text, or that reversed
+    last = F.element_at(F.split("content", "\n", -1), -1)
+    edits = dd.select("path", F.when(F.col("doc_id") % 7 == 0, F.reverse("content")).when(F.col("doc_id") % 7 == 1, F.col("content"))
+                      .otherwise(last).alias("old"),
                       F.lit("REPLACED\ttext").alias("new"))
     out = E.replace_unique(dd.select("path", "content"), edits)
     return out.select("path", "error", F.md5("content").alias("content_md5"), "snippet", "message")
@@ -54,39 +56,27 @@ def q_view_lines(spark, d):
                       F.length("output").cast("bigint").alias("output_chars"))
 
 
-def q_char_budget(spark, d):
+def _budget_parts(spark, d):
+    """Documents as entries of a report per source: body after the number,
+    and header."""
     dd = docs(spark, d).withColumn("n_lines", F.size(F.split("content", "\n", -1)))
-
-    def text(i):
-        return F.concat(i.cast("string"), F.lit(". "), F.col("path"), F.lit(":1-"),
-                        F.col("n_lines").cast("string"), F.lit("\n"), F.col("content"), F.lit("\n\n"))
+    body = F.concat(F.col("path"), F.lit(":1-"), F.col("n_lines").cast("string"), F.lit("\n"), F.col("content"), F.lit("\n\n"))
 
     def header(n):
-        return F.concat(F.lit("Found "), n.cast("string"), F.lit(" functions named "), F.col("source"),
-                        F.lit(":\n"))
-
-    out = E.char_budget(dd, "source", ["doc_id"], text, header, min_entry_len=11)
-    return out.select("source", "doc_id", F.col("i").cast("bigint").alias("i"), "cum_chars", "remaining",
-                      "clipped")
-
+        return F.concat(F.lit("Found "), n.cast("string"), F.lit(" functions named "), F.col("source"), F.lit(":\n"))
 
-def _budget_parts(spark, d):
-    dd = docs(spark, d).withColumn("n_lines", F.size(F.split("content", "\n", -1)))
+    return dd, body, header
 
-    def text(i):
-        return F.concat(i.cast("string"), F.lit(". "), F.col("path"), F.lit(":1-"),
-                        F.col("n_lines").cast("string"), F.lit("\n"), F.col("content"), F.lit("\n\n"))
 
-    def header(n):
-        return F.concat(F.lit("Found "), n.cast("string"), F.lit(" functions named "), F.col("source"),
-                        F.lit(":\n"))
-
-    return dd, text, header
+def q_char_budget(spark, d):
+    dd, body, header = _budget_parts(spark, d)
+    out = E.char_budget(dd, "source", ["doc_id"], body, header, min_entry_len=11, payload=["content"])
+    return out.select("source", "doc_id", F.col("i").cast("bigint").alias("i"), "cum_chars", "remaining", "clipped")
 
 
 def q_char_budget_report(spark, d):
-    dd, text, header = _budget_parts(spark, d)
-    out = E.budget_report(dd, "source", ["doc_id"], text, header, min_entry_len=11)
+    dd, body, header = _budget_parts(spark, d)
+    out = E.budget_report(dd, "source", ["doc_id"], body, header, min_entry_len=11, payload=["content"])
     return out.select("source", "remaining", "clipped", F.md5("output").alias("output_md5"),
                       F.length("output").cast("bigint").alias("output_chars"))
 
@@ -125,9 +115,9 @@ def _num(x: str, init: str) -> str:
 ORACLE = {
     "replace_unique": "WITH " + _DOCS + f""",
 e AS (SELECT path, content AS c,
-        CASE WHEN doc_id % 7 = 0 THEN reverse(substr(content, 1, 12)) ELSE substr(content, 1, 12) END AS o,
+        CASE doc_id % 7 WHEN 0 THEN reverse(content) WHEN 1 THEN content ELSE string_split(content, chr(10))[-1] END AS o,
         'REPLACED' || '        ' || 'text' AS n FROM docs),
-x AS (SELECT *, (length(c) - length(replace(c, o, ''))) // length(o) AS occ FROM e),
+x AS (SELECT *, CASE WHEN length(o) = 0 THEN length(c) + 1 ELSE (length(c) - length(replace(c, o, ''))) // length(o) END AS occ FROM e),
 y AS (SELECT *,
   CASE WHEN occ = 0 THEN 'No replacement was performed, old_str `' || o || '` did not appear verbatim in ' || path || '.'
        WHEN occ > 1 THEN 'No replacement was performed. Multiple occurrences of old_str `' || o || '` in lines ['

@@ -30,8 +30,7 @@ def q_join_issue_text(spark, d):
 
 
 def q_repo_subset(spark, d):
-    req = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_custkey").alias("instance_id"))
+    req = table(spark, d, "orders").select(F.col("o_custkey").alias("instance_id"))
     return I.repo_subset(_instances(spark, d), requested=req).select("instance_id", "repo")
 
 
@@ -39,18 +38,21 @@ def q_submission_join(spark, d):
     preds = table(spark, d, "orders").select(
         F.col("o_custkey").alias("instance_id"),
         F.concat(F.lit("patch "), F.col("o_orderkey").cast("string")).alias("model_patch"))
-    # the instance map covers one benchmark subset; other predictions keep nulls
-    inst = _instances(spark, d).where(F.col("org") != "MACHINERY")
-    return I.submission_join(preds, inst)
+    # predictions by supplier key too: beyond the last customer they find no
+    # instance and keep nulls
+    more = table(spark, d, "lineitem").select(
+        (F.col("l_partkey") + F.col("l_suppkey")).alias("instance_id"),
+        F.concat(F.lit("patch "), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("model_patch"))
+    return I.submission_join(preds.unionByName(more), _instances(spark, d))
 
 
 def q_instances_with_candidates(spark, d):
-    inst = _instances(spark, d).where(F.col("org") != "BUILDING")
-    return C.instances_with_candidates(inst, fx_candidates(spark, d)).select("instance_id", "idx", "repo")
+    return C.instances_with_candidates(_instances(spark, d), fx_candidates(spark, d)).select("instance_id", "idx", "repo")
 
 
 def q_candidates_passthrough(spark, d):
-    inst = _instances(spark, d).where(F.col("org") != "BUILDING")
+    # suppliers are the known instances: customers beyond them pass through
+    inst = table(spark, d, "supplier").select(F.col("s_suppkey").alias("instance_id"))
     return C.instances_with_candidates(inst, fx_candidates(spark, d), passthrough=True).select(
         "instance_id", "idx", "supported")
 
@@ -156,18 +158,20 @@ SELECT p_partkey, coalesce(p_name, '') || chr(10) || coalesce(p_type, '') || chr
        AS problem_statement FROM part""",
     "repo_subset": f"""WITH {_INST}
 SELECT instance_id, repo FROM inst WHERE repo IN {_PYTEST}
-  AND instance_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+  AND instance_id IN (SELECT o_custkey FROM orders)""",
     "submission_join": f"""WITH {_INST}
 SELECT i.org, i.repo, i.number, 'patch ' || CAST(o.o_orderkey AS VARCHAR(20)) AS fix_patch
-FROM orders o LEFT JOIN (SELECT * FROM inst WHERE org <> 'MACHINERY') i ON o.o_custkey = i.instance_id""",
+FROM orders o LEFT JOIN inst i ON o.o_custkey = i.instance_id
+UNION ALL
+SELECT i.org, i.repo, i.number, 'patch ' || CAST(l.l_orderkey AS VARCHAR(20)) || '.' || CAST(l.l_linenumber AS VARCHAR(20))
+FROM lineitem l LEFT JOIN inst i ON l.l_partkey + l.l_suppkey = i.instance_id""",
     "instances_with_candidates": f"""WITH {_INST}, """ + with_fx("SELECT 1", "fx_candidates")[5:].rsplit("\nSELECT 1", 1)[0]
     + """
-SELECT c.instance_id, c.idx, i.repo FROM fx_candidates c JOIN inst i ON c.instance_id = i.instance_id
-WHERE i.org <> 'BUILDING'""",
+SELECT c.instance_id, c.idx, i.repo FROM fx_candidates c JOIN inst i ON c.instance_id = i.instance_id""",
     "candidates_passthrough": f"""WITH {_INST}, """ + with_fx("SELECT 1", "fx_candidates")[5:].rsplit("\nSELECT 1", 1)[0]
     + """
-SELECT c.instance_id, c.idx, i.instance_id IS NOT NULL AS supported
-FROM fx_candidates c LEFT JOIN (SELECT * FROM inst WHERE org <> 'BUILDING') i ON c.instance_id = i.instance_id""",
+SELECT c.instance_id, c.idx, s.s_suppkey IS NOT NULL AS supported
+FROM fx_candidates c LEFT JOIN supplier s ON c.instance_id = s.s_suppkey""",
     "pending_instances": f"""WITH {_INST}
 SELECT instance_id FROM inst
 WHERE instance_id NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10)""",

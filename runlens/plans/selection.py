@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import stats as S
+from ..functions.replies import selection_choice
+from ..operators import testlogs as T
 from ..operators.votes import majority_vote, majority_winner
-from ..sources.fixtures import fx_candidates, fx_prefix, fx_stats, fx_votes, with_fx
+from ..sources.fixtures import fx_candidates, fx_prefix, fx_stats, fx_status, fx_votes, with_fx
 
 GROUP_SIZE = 4
 
@@ -50,7 +52,7 @@ def selection_outcomes(cands: DataFrame, votes: DataFrame, group_size: int = GRO
         F.when(skip, F.lit(0)).otherwise(F.col("p.idx") - F.col("grp") * group_size).cast("bigint")
         .alias("patch_id"),
         F.when(skip, F.when(ok_all, 1).otherwise(0))
-        .otherwise(F.when(F.col("p.success_id") == 1, 1).otherwise(0)).cast("bigint").alias("is_success"),
+        .otherwise(F.col("p.success_id")).cast("bigint").alias("is_success"),
         (skip & ok_all).alias("is_all_success"), (skip & ~ok_all).alias("is_all_failed"))
 
 
@@ -99,8 +101,14 @@ def q_rank_groups(spark, d):
 
 
 def q_explode_candidates(spark, d):
-    return C.keep_candidates(fx_candidates(spark, d), num_candidate=10).select(
-        "instance_id", "idx", "ok")
+    """P06 over arrays: candidate sets as the files hold them, exploded with
+    their indexes, blank patches dropped, none cut off."""
+    c = fx_candidates(spark, d)
+    at = lambda f: F.transform(F.array_sort(F.collect_list(F.struct("idx", "patch", "success_id", F.col("ok").alias("good")))), f)
+    sets = c.groupBy("instance_id").agg(
+        at(lambda x: x["patch"]).alias("patches"), at(lambda x: x["success_id"]).alias("success_id"),
+        at(lambda x: F.when(x["good"], F.array().cast("array<string>")).otherwise(F.array(F.lit("t")))).alias("regressions"))
+    return C.explode_candidates(sets).select("instance_id", "idx", "success_id", "ok")
 
 
 def q_candidate_counts(spark, d):
@@ -116,7 +124,61 @@ def q_propagate_to_duplicates(spark, d):
         "instance_id", "idx", "rep_idx", "failed")
 
 
+def pruning(cands: DataFrame, selected: DataFrame, runs: DataFrame) -> DataFrame:
+    """The regression-pruning pipeline: copies by normalised key, failed tests
+    of each representative (all of them where its patch did not apply), the
+    counts handed on to its copies, and per group the candidates without a
+    failure, or all where none is without."""
+    k = ["instance_id", "idx"]
+    reps = C.dedup_candidates(cands, ["instance_id"])
+    tests = reps.select(*k).join(selected, "instance_id")
+    failed = T.failed_regressions(tests, runs, k, apply_failed=reps.where(~F.col("ok")))
+    counts = failed.groupBy(*k).agg(F.count(F.lit(1)).alias("failed"))
+    done = reps.join(counts, k, "left").select("instance_id", "idx", "cleaned", F.coalesce("failed", F.lit(0)).alias("failed"))
+    out = C.propagate_to_duplicates(cands, done).withColumn("ok", F.col("failed") == 0)
+    return C.prune_or_keep_all(out)
+
+
+def q_regression_pruning(spark, d):
+    st = fx_status(spark, d)
+    latest = T.latest_status(st.where(F.col("phase") == "validate"), ["instance_id"])
+    cands = fx_candidates(spark, d)
+    # every representative runs the tests: those of odd index recover from errors
+    reps = C.dedup_candidates(cands, ["instance_id"]).select("instance_id", "idx")
+    better = F.when((F.col("idx") % 2 == 1) & (F.col("status") == "ERROR"), "PASSED").otherwise(F.col("status"))
+    runs = reps.join(latest, "instance_id").withColumn("status", better)
+    return pruning(cands, T.passing_tests(st), runs).select("instance_id", "grp", "idx", "failed")
+
+
+def select_by_replies(cands: DataFrame, replies: DataFrame) -> DataFrame:
+    """Selection inside each candidate group: a reply's ``Patch-x`` is the x-th
+    candidate of the group's pruned and deduplicated list (out of range: the
+    first), the most chosen one wins (ties: the one chosen first), and a group
+    without a decided reply keeps the first of its list.
+
+    ``replies``: instance_id, grp, vote_idx, reply."""
+    g = ["instance_id", "grp"]
+    listed = C.dedup_candidates(C.prune_or_keep_all(cands))
+    listed = listed.withColumn("place", F.row_number().over(Window.partitionBy(*g).orderBy("idx")))
+    sizes = listed.groupBy(*g).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    votes = (replies.join(sizes, g).withColumn("voted", selection_choice(F.col("reply"), F.col("size")))
+             .where(F.col("voted").isNotNull()).withColumn("ballot", F.struct(*g)))
+    winners = majority_winner(votes).select("ballot.*", "winner")
+    return (listed.join(winners, g, "left").where(F.col("place") == F.coalesce("winner", F.lit(1)))
+            .select(*g, "idx", "place", F.col("winner").isNotNull().alias("decided")))
+
+
+def q_selection_by_replies(spark, d):
+    c = fx_candidates(spark, d)
+    k = F.col("order_key")
+    text = F.when(k % 4 == 0, F.lit("no decision")).otherwise(F.concat(
+        F.lit("### Status: succeed\n### Result: Patch-"), (k % 6).cast("string"), F.lit("\n### Analysis: ok")))
+    return select_by_replies(c, c.select("instance_id", "grp", F.col("idx").alias("vote_idx"), text.alias("reply")))
+
+
 QUERIES = {
+    "regression_pruning": q_regression_pruning,
+    "selection_by_replies": q_selection_by_replies,
     "selection_report": q_selection_report,
     "dedup_candidates": q_dedup_candidates,
     "prune_or_keep_all": q_prune_or_keep_all,
@@ -197,13 +259,40 @@ outcomes AS (
   FROM flags WHERE skip
   UNION ALL
   SELECT 'group_' || CAST(grp AS VARCHAR(20)), instance_id, idx - grp * 4,
-         CAST(CASE WHEN success_id = 1 THEN 1 ELSE 0 END AS BIGINT), false, false
+         success_id, false, false
   FROM pick),
 rep AS ({_GROUP_STATS_SQL.format(src='outcomes')}),
 best AS ({_BEST_SQL.format(src='rep')})
 SELECT *, row_number() OVER (ORDER BY success_rate_among_all DESC, group_id) AS rank FROM best"""
 
 ORACLE = {
+    "regression_pruning": fx_prefix("fx_candidates", "fx_status") + """,
+lst AS (SELECT instance_id, test, phase, arg_max(status, (s_d, s_o, s_l, s_p, s_f)) AS status FROM fx_status GROUP BY ALL),
+sel AS (SELECT instance_id, test FROM lst WHERE phase = 'find_passing' AND status = 'PASSED'),
+reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, cleaned ORDER BY idx) AS r
+                        FROM fx_candidates) WHERE r = 1),
+fails AS (SELECT r.instance_id, r.cleaned, count(*) FILTER (WHERE s.test IS NOT NULL AND (NOT r.ok
+            OR CASE WHEN r.idx % 2 = 1 AND v.status = 'ERROR' THEN 'PASSED' ELSE v.status END IS DISTINCT FROM 'PASSED')) AS failed
+          FROM reps r LEFT JOIN sel s ON r.instance_id = s.instance_id
+          LEFT JOIN lst v ON v.phase = 'validate' AND v.instance_id = s.instance_id AND v.test = s.test
+          GROUP BY r.instance_id, r.cleaned),
+all_ AS (SELECT c.instance_id, c.grp, c.idx, f.failed FROM fx_candidates c JOIN fails f USING (instance_id, cleaned))
+SELECT instance_id, grp, idx, failed
+FROM (SELECT *, bool_or(failed = 0) OVER (PARTITION BY instance_id, grp) AS any_ok FROM all_) WHERE failed = 0 OR NOT any_ok""",
+    "selection_by_replies": fx_prefix("fx_candidates") + """,
+pruned AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY instance_id, grp) AS any_ok FROM fx_candidates)
+           WHERE ok OR NOT any_ok),
+listed AS (SELECT *, row_number() OVER (PARTITION BY instance_id, grp ORDER BY idx) AS place,
+                  count(*) OVER (PARTITION BY instance_id, grp) AS size
+           FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, grp, cleaned ORDER BY idx) AS r FROM pruned) WHERE r = 1),
+sizes AS (SELECT DISTINCT instance_id, grp, size FROM listed),
+votes AS (SELECT c.instance_id, c.grp, c.idx, CASE WHEN c.order_key % 6 BETWEEN 1 AND s.size THEN c.order_key % 6 ELSE 1 END AS v
+          FROM fx_candidates c JOIN sizes s USING (instance_id, grp) WHERE c.order_key % 4 <> 0),
+won AS (SELECT instance_id, grp, v FROM (
+          SELECT *, row_number() OVER (PARTITION BY instance_id, grp ORDER BY n DESC, f) AS r
+          FROM (SELECT instance_id, grp, v, count(*) AS n, min(idx) AS f FROM votes GROUP BY ALL)) WHERE r = 1)
+SELECT l.instance_id, l.grp, l.idx, l.place, w.v IS NOT NULL AS decided
+FROM listed l LEFT JOIN won w USING (instance_id, grp) WHERE l.place = coalesce(w.v, 1)""",
     "selection_report": fx_prefix("fx_candidates", "fx_votes") + _SELECTION_SQL,
     "dedup_candidates": with_fx("""
 SELECT instance_id, grp, idx, cleaned FROM (
@@ -229,8 +318,8 @@ SELECT group_id, success_rate_among_all,
        row_number() OVER (ORDER BY success_rate_among_all DESC, group_id) AS rank
 FROM ({_GROUP_STATS_SQL.format(src='fx_stats')})""", "fx_stats"),
     "explode_candidates": with_fx("""
-SELECT instance_id, idx, ok FROM fx_candidates
-WHERE idx < 10 AND regexp_matches(patch, '\\S')""", "fx_candidates"),
+SELECT instance_id, idx, success_id, ok FROM fx_candidates
+WHERE regexp_matches(patch, '\\S')""", "fx_candidates"),
     "candidate_counts": with_fx("""
 SELECT instance_id, count(*) AS candidates, count(DISTINCT cleaned) AS unique_candidates,
        count(*) FILTER (WHERE ok) AS passing, count(*) FILTER (WHERE NOT ok) AS failing

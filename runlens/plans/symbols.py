@@ -21,16 +21,17 @@ def q_enclosing_class(spark, d):
     return Y.enclosing_symbol(fx_spans(spark, d), rule="nearest_class").select("file_path", "sid", "parent_class")
 
 
+def _members(spans):
+    """Field and method lists of the classes, as the extractor writes them;
+    every second class has fields, every third methods."""
+    sid = F.col("sid").cast("string")
+    cls = F.col("kind") == "class"
+    return (spans.withColumn("fields", F.when(cls & (F.col("sid") % 2 == 0), F.concat(F.lit("- x"), sid)))
+            .withColumn("methods", F.when(cls & (F.col("sid") % 3 == 0), F.concat(F.lit("- m"), sid, F.lit("(self)")))))
+
+
 def q_symbol_lookup(spark, d):
-    spans = fx_spans(spark, d)
-    funcs = Y.enclosing_symbol(spans)
-    classes = spans.where(F.col("kind") == "class")
-    # one lookup per part name, each with one of the three entry types
-    p = table(spark, d, "part")
-    lookups = p.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("identifier"),
-                       F.element_at(F.array(F.lit("function"), F.lit("class_method"), F.lit("class")),
-                                    (F.col("p_partkey") % 3 + 1).cast("int")).alias("entry_type"))
-    return Y.symbol_lookup(funcs, classes, lookups)
+    return Y.lookup_in_spans(_members(fx_spans(spark, d)), _lookups(spark, d))
 
 
 # Report nouns per entry type, as the code-search tool prints them.
@@ -47,22 +48,21 @@ def _lookups(spark, d):
 def q_symbol_search_report(spark, d):
     """Lookup -> report text per (identifier, kind), locations only, cut at
     the output budget; identifiers without a match get the tool's message."""
-    spans = fx_spans(spark, d)
     lookups = _lookups(spark, d)
-    hits = Y.symbol_lookup(Y.enclosing_symbol(spans), spans.where(F.col("kind") == "class"), lookups)
+    hits = Y.lookup_in_spans(_members(fx_spans(spark, d)), lookups)
     noun = F.create_map(*[x for k, v in _NOUN.items() for x in (F.lit(k), F.lit(v))])
     hits = hits.withColumn("key", F.concat_ws("|", "identifier", "entry_type"))
 
-    def text(i):
-        return F.concat(i.cast("string"), F.lit(". "), F.col("file_path"), F.lit(":"),
-                        F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
-                        F.lit("\n"))
+    line = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label), c, F.lit("\n"))).otherwise(F.lit(""))
+    body = F.concat(F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
+                    F.when(F.col("entry_type") == "class_method", F.concat(F.lit(" within class "), F.col("parent_class"))).otherwise(F.lit("")),
+                    F.lit("\n"), line("Fields:\n", F.col("fields")), line("Methods:\n", F.col("methods")))
 
     def header(n):
         return F.concat(F.lit("Found "), n.cast("string"), F.lit(" "), F.element_at(noun, F.col("entry_type")),
                         F.lit(" named "), F.col("identifier"), F.lit(":\n"))
 
-    rep = E.budget_report(hits, "key", ["file_path", "start_line", "end_line"], text, header,
+    rep = E.budget_report(hits, "key", ["file_path", "start_line", "end_line", "parent_class", "fields", "methods"], body, header,
                           min_entry_len=len("1. x:1-1\n"))
     found = lookups.withColumn("key", F.concat_ws("|", "identifier", "entry_type")).join(rep, "key", "left")
     msg = F.concat(F.lit("No "), F.element_at(noun, F.col("entry_type")), F.lit(" named "), F.col("identifier"),
@@ -87,6 +87,10 @@ def q_thought_branches(spark, d):
     return H.thought_branches(fx_thoughts(spark, d))
 
 
+def q_branch_thoughts(spark, d):
+    return H.branch_thoughts(fx_thoughts(spark, d)).select("session_id", "branch_id", "ord", "pos", "thought")
+
+
 def q_thought_history(spark, d):
     return H.thought_history(fx_thoughts(spark, d))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "snapshot_fingerprint": q_snapshot_fingerprint,
     "validate_thoughts": q_validate_thoughts,
     "thought_branches": q_thought_branches,
+    "branch_thoughts": q_branch_thoughts,
     "thought_history": q_thought_history,
 }
 
@@ -148,29 +153,33 @@ ORACLE = {
 , lk AS (SELECT 'n' || CAST(p_partkey AS VARCHAR(20)) AS identifier,
                 (['function', 'class_method', 'class'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS entry_type
          FROM part)
-SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line
+SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line, f.parent_class, NULL AS fields, NULL AS methods
 FROM lk JOIN funcs f ON f.name = lk.identifier
   AND lk.entry_type = CASE WHEN f.parent_class IS NULL THEN 'function' ELSE 'class_method' END
 UNION ALL
-SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line
+SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line, NULL AS parent_class,
+       CASE WHEN c.sid % 2 = 0 THEN '- x' || CAST(c.sid AS VARCHAR(20)) END AS fields, CASE WHEN c.sid % 3 = 0 THEN '- m' || CAST(c.sid AS VARCHAR(20)) || '(self)' END AS methods
 FROM lk JOIN fx_spans c ON c.name = lk.identifier AND c.kind = 'class' AND lk.entry_type = 'class'""").replace(
         "\n, lk AS", ",\nlk AS"),
     "symbol_search_report": _sp("""
 , lk AS (SELECT 'n' || CAST(p_partkey AS VARCHAR(20)) AS identifier,
                 (['function', 'class_method', 'class'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS entry_type
          FROM part),
-hits AS (SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line
+hits AS (SELECT lk.identifier, lk.entry_type, f.file_path, f.start_line, f.end_line, f.parent_class, NULL AS fields, NULL AS methods
          FROM lk JOIN funcs f ON f.name = lk.identifier
            AND lk.entry_type = CASE WHEN f.parent_class IS NULL THEN 'function' ELSE 'class_method' END
          UNION ALL
-         SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line
+         SELECT lk.identifier, lk.entry_type, c.file_path, c.start_line, c.end_line, NULL AS parent_class,
+       CASE WHEN c.sid % 2 = 0 THEN '- x' || CAST(c.sid AS VARCHAR(20)) END AS fields, CASE WHEN c.sid % 3 = 0 THEN '- m' || CAST(c.sid AS VARCHAR(20)) || '(self)' END AS methods
          FROM lk JOIN fx_spans c ON c.name = lk.identifier AND c.kind = 'class' AND lk.entry_type = 'class'),
-en AS (SELECT *, row_number() OVER (PARTITION BY identifier, entry_type ORDER BY file_path, start_line, end_line) AS i,
+en AS (SELECT *, row_number() OVER (PARTITION BY identifier, entry_type ORDER BY file_path, start_line, end_line, parent_class NULLS FIRST, fields NULLS FIRST, methods NULLS FIRST) AS i,
               count(*) OVER (PARTITION BY identifier, entry_type) AS n,
               CASE entry_type WHEN 'function' THEN 'functions' WHEN 'class' THEN 'classes' ELSE 'class methods' END AS noun
        FROM hits),
 tx AS (SELECT *, CAST(i AS VARCHAR) || '. ' || file_path || ':' || CAST(start_line AS VARCHAR) || '-'
-                 || CAST(end_line AS VARCHAR) || chr(10) AS t,
+                 || CAST(end_line AS VARCHAR) || CASE WHEN entry_type = 'class_method' THEN ' within class ' || parent_class ELSE '' END || chr(10)
+                 || CASE WHEN fields <> '' THEN 'Fields:' || chr(10) || fields || chr(10) ELSE '' END
+                 || CASE WHEN methods <> '' THEN 'Methods:' || chr(10) || methods || chr(10) ELSE '' END AS t,
               'Found ' || CAST(n AS VARCHAR) || ' ' || noun || ' named ' || identifier || ':' || chr(10) AS h FROM en),
 cu AS (SELECT *, length(h) + sum(length(t)) OVER (PARTITION BY identifier, entry_type ORDER BY i
                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM tx),
@@ -185,12 +194,12 @@ SELECT lk.identifier, lk.entry_type,
 FROM lk LEFT JOIN agg a ON lk.identifier = a.identifier AND lk.entry_type = a.entry_type""").replace(
         "\n, lk AS", ",\nlk AS"),
     "visible_files": with_fx("""
-SELECT doc_id, path, CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1))
+SELECT doc_id, path, CASE regexp_extract(path, '(\\.[^./]+)$', 1)
     WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.c' THEN 'c' WHEN '.cpp' THEN 'cpp'
     WHEN '.ts' THEN 'typescript' END AS language
 FROM fx_files
 WHERE NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.') AND NOT contains(path, '/.')
-  AND lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.py', '.java', '.c', '.cpp', '.ts')""", "fx_files"),
+  AND regexp_extract(path, '(\\.[^./]+)$', 1) IN ('.py', '.java', '.c', '.cpp', '.ts')""", "fx_files"),
     "snapshot_fingerprint": with_fx("""
 SELECT root, count(*) AS files,
   CAST(count(*) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR)
@@ -205,6 +214,9 @@ FROM ({_VALID})""", "fx_thoughts"),
 SELECT session_id, branch_id, count(*) AS n_thoughts, min(pos) AS first_pos, max(pos) AS last_pos
 FROM ({_VALID}) WHERE error IS NULL AND nullif(branch_from_thought, 0) IS NOT NULL AND branch_id IS NOT NULL
 GROUP BY session_id, branch_id""", "fx_thoughts"),
+    "branch_thoughts": with_fx(f"""
+SELECT session_id, branch_id, row_number() OVER (PARTITION BY session_id, branch_id ORDER BY pos) AS ord, pos, thought
+FROM ({_VALID}) WHERE error IS NULL AND nullif(branch_from_thought, 0) IS NOT NULL AND branch_id IS NOT NULL""", "fx_thoughts"),
     "thought_history": with_fx(f"""
 SELECT session_id, pos,
   count(*) OVER w AS history_length,

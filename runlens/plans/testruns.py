@@ -33,6 +33,40 @@ def q_confirm_failures(spark, d):
     return T.confirm_from_matrix(_failed(spark, d)).select("instance_id", "test")
 
 
+def q_confirm_failures_capped(spark, d):
+    """As the reference runs it: more than 100 failures are not retried."""
+    return T.confirm_from_matrix(_failed(spark, d), cap=100).select("instance_id", "test")
+
+
+def _run_tables(spark, d):
+    """Selected tests, latest run, and isolated retry as tables of their own,
+    and the instances whose patch did not apply (suppliers in debt)."""
+    st = fx_status(spark, d)
+    va = st.where(F.col("phase") == "validate")
+    latest = T.latest_status(va, ["instance_id"])
+    retry = T.latest_status(va, ["instance_id"], earliest=True)
+    bad = table(spark, d, "supplier").where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("instance_id"))
+    return T.passing_tests(st), latest, retry, bad
+
+
+def q_failed_regressions_joined(spark, d):
+    selected, latest, _, bad = _run_tables(spark, d)
+    return T.failed_regressions(selected, latest, apply_failed=bad).select("instance_id", "test")
+
+
+def q_confirm_failures_joined(spark, d):
+    selected, latest, retry, bad = _run_tables(spark, d)
+    failed = T.failed_regressions(selected, latest, apply_failed=bad)
+    return T.confirm_failures(failed, retry).select("instance_id", "test")
+
+
+def q_differential_joined(spark, d):
+    selected, latest, retry, bad = _run_tables(spark, d)
+    failed = T.failed_regressions(selected, latest, apply_failed=bad)
+    pristine = T.latest_status(fx_status(spark, d).where(F.col("phase") == "find_passing"), ["instance_id"])
+    return T.differential_regressions(failed, retry, pristine, apply_failed=bad).select("instance_id", "test")
+
+
 def q_differential_regressions(spark, d):
     f = _failed(spark, d)
     return (f.where(~F.coalesce(F.col("retry") == "PASSED", F.lit(False))
@@ -41,11 +75,11 @@ def q_differential_regressions(spark, d):
 
 
 def q_first_n_per_instance(spark, d):
-    return T.first_n_per_instance(T.passing_tests(fx_status(spark, d)), n=50)
+    return T.first_n_per_instance(T.passing_tests(fx_status(spark, d)), n=50, dropped="dropped")
 
 
 def q_seeded_sample(spark, d):
-    return C.seeded_sample(T.passing_tests(fx_status(spark, d)), "instance_id", "test", k=50, seed="0")
+    return C.seeded_sample(T.passing_tests(fx_status(spark, d)), "instance_id", "test", k=50, seed="0", dropped="dropped")
 
 
 def _batched(spark, d):
@@ -63,10 +97,10 @@ def q_render_batches(spark, d):
 
 def q_union_batches(spark, d):
     b = _batched(spark, d)
-    head = b.where(F.col("pos") - F.col("batch") * 20 < 5).select("instance_id", "batch", "test")
+    whole = b.select("instance_id", "batch", "test")
     samp = C.seeded_sample(b, ["instance_id", "batch"], "test", k=3, seed="s").select(
         "instance_id", "batch", "test")
-    return C.union_batches(head, samp)
+    return C.union_batches(whole, samp)
 
 
 def _replies_for_batches(passing, batch_size):
@@ -85,6 +119,12 @@ def _replies_for_batches(passing, batch_size):
 
 
 def q_select_regression_tests(spark, d):
+    passing = T.passing_tests(fx_status(spark, d))
+    b = C.batch_and_stride(passing, "instance_id", "test", batch_size=20)
+    return C.select_regression_tests(b, _replies_for_batches(passing, 20), k=5)
+
+
+def q_select_regression_tests_capped(spark, d):
     passing = T.passing_tests(fx_status(spark, d))
     b = C.batch_and_stride(passing, "instance_id", "test", batch_size=20)
     return C.select_regression_tests(b, _replies_for_batches(passing, 20), k=5, cap=12)
@@ -140,15 +180,11 @@ def q_parse_docstring_log(spark, d):
 
 
 def q_parse_logs(spark, d):
-    sym = fx_log(spark, d).where(F.col("log_id") % 3 == 0)
-    dj = django_log(spark, d).where(F.col("log_id") % 3 == 1)
-    st = status_log(spark, d).where(F.col("log_id") % 3 == 2)
-    lines = sym.unionByName(dj).unionByName(st)
-    # the repo of each log, straight from the users (not from the line sources)
-    repos = table(spark, d, "events").select(F.col("user_id").alias("log_id")).distinct().select(
-        "log_id", F.when(F.col("log_id") % 3 == 0, "sympy/sympy")
-        .when(F.col("log_id") % 3 == 1, "django/django").otherwise("pytest-dev/pytest").alias("repo"))
-    return T.parse_logs(lines, repos)
+    """Every user has a log in each of the three formats."""
+    logs = [("sympy/sympy", fx_log), ("django/django", django_log), ("pytest-dev/pytest", status_log)]
+    parts = [f(spark, d).select((F.col("log_id") * 3 + k).alias("log_id"), "line_no", "line", F.lit(repo).alias("repo"))
+             for k, (repo, f) in enumerate(logs)]
+    return T.parse_logs(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def test_names(spark, d) -> DataFrame:
@@ -185,6 +221,10 @@ QUERIES = {
     "passing_tests": q_passing_tests,
     "failed_regressions": q_failed_regressions,
     "confirm_failures": q_confirm_failures,
+    "confirm_failures_capped": q_confirm_failures_capped,
+    "failed_regressions_joined": q_failed_regressions_joined,
+    "confirm_failures_joined": q_confirm_failures_joined,
+    "differential_joined": q_differential_joined,
     "differential_regressions": q_differential_regressions,
     "first_n_per_instance": q_first_n_per_instance,
     "seeded_sample": q_seeded_sample,
@@ -192,6 +232,7 @@ QUERIES = {
     "render_batches": q_render_batches,
     "union_batches": q_union_batches,
     "select_regression_tests": q_select_regression_tests,
+    "select_regression_tests_capped": q_select_regression_tests_capped,
     "parse_grouped_log": q_parse_grouped_log,
     "covering_files": q_covering_files,
     "parse_status_lines": q_parse_status_lines,
@@ -223,7 +264,8 @@ _STATUS_CTES = ",\n".join([
 
 
 def _st(body: str) -> str:
-    return fx_prefix("fx_status") + ",\n" + _STATUS_CTES + "\n" + body.strip()
+    body = body.strip()
+    return fx_prefix("fx_status") + ",\n" + _STATUS_CTES + ("" if body.startswith(",") else "\n") + body
 
 
 _W04_SQL = f"""
@@ -318,10 +360,51 @@ names AS (SELECT user_id AS instance_id,
     ELSE 'tests/t.py::test_' || event_type || '[' || ks || ']' END AS name
   FROM (SELECT *, CAST({_K} AS VARCHAR(20)) AS ks FROM events))"""
 
+_CHOSEN = """
+, rep AS (SELECT DISTINCT instance_id, batch,
+                 CASE WHEN (instance_id + batch) % 5 = 0 THEN 'no idea'
+                      ELSE '[' || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', '
+                           || CAST((instance_id + batch) % 20 AS VARCHAR) || ', '
+                           || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', 99999999999999' END AS reply
+          FROM batched),
+b AS (SELECT *, pos - min(pos) OVER (PARTITION BY instance_id, batch) AS li,
+             count(*) OVER (PARTITION BY instance_id, batch) AS n FROM batched),
+ints AS (SELECT r.instance_id, r.batch, s.n,
+                list_transform(regexp_extract_all(r.reply, '(\\d+)', 1), lambda t: TRY_CAST(t AS INTEGER)) AS xs
+         FROM rep r JOIN (SELECT DISTINCT instance_id, batch, n FROM b) s USING (instance_id, batch)),
+idx AS (SELECT instance_id, batch,
+               list_filter(xs, lambda x, i: x IS NOT NULL AND x >= 0 AND x < n AND list_position(xs, x) = i) AS ix
+        FROM ints),
+picks AS (SELECT instance_id, batch, unnest(ix) AS li FROM idx),
+picked AS (SELECT b.instance_id, b.batch, b.test, 'reply' AS source FROM b JOIN picks p USING (instance_id, batch, li)),
+fallback AS (SELECT instance_id, batch, test, 'fallback' AS source FROM (
+               SELECT b.*, row_number() OVER (PARTITION BY b.instance_id, b.batch
+                         ORDER BY md5('batch:' || CAST(b.instance_id AS VARCHAR) || ':' || CAST(b.batch AS VARCHAR)
+                                      || ':' || b.test), b.test) AS r
+               FROM b JOIN idx i USING (instance_id, batch) WHERE len(i.ix) = 0) WHERE r <= 5),
+chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM fallback)"""
+_JOINED = """
+, bad AS (SELECT s_suppkey AS instance_id FROM supplier WHERE s_acctbal < 0),
+failed2 AS (SELECT p.instance_id, p.test FROM passing p LEFT JOIN va v USING (instance_id, test)
+            WHERE v.status IS DISTINCT FROM 'PASSED' OR p.instance_id IN (SELECT * FROM bad))
+"""
+
 ORACLE = {
     "passing_tests": _st("SELECT * FROM passing"),
     "failed_regressions": _st("SELECT * FROM failed"),
     "confirm_failures": _st("""
+SELECT f.instance_id, f.test FROM failed f LEFT JOIN va_first r USING (instance_id, test)
+WHERE r.status IS DISTINCT FROM 'PASSED'"""),
+    "failed_regressions_joined": _st(_JOINED + "SELECT * FROM failed2"),
+    "confirm_failures_joined": _st(_JOINED + """
+SELECT f.instance_id, f.test FROM failed2 f LEFT JOIN va_first r USING (instance_id, test)
+WHERE r.status IS DISTINCT FROM 'PASSED'"""),
+    "differential_joined": _st(_JOINED + """
+SELECT f.instance_id, f.test FROM failed2 f
+LEFT JOIN va_first p USING (instance_id, test) LEFT JOIN fp q USING (instance_id, test)
+WHERE f.instance_id IN (SELECT * FROM bad)
+   OR (NOT coalesce(p.status = 'PASSED', false) AND coalesce(q.status = 'PASSED', false))"""),
+    "confirm_failures_capped": _st("""
 SELECT f.instance_id, f.test FROM failed f
 JOIN (SELECT instance_id, count(*) AS n FROM failed GROUP BY instance_id) c USING (instance_id)
 LEFT JOIN va_first r USING (instance_id, test)
@@ -331,11 +414,12 @@ SELECT f.instance_id, f.test FROM failed f
 LEFT JOIN va_first p USING (instance_id, test) LEFT JOIN fp q USING (instance_id, test)
 WHERE NOT coalesce(p.status = 'PASSED', false) AND coalesce(q.status = 'PASSED', false)"""),
     "first_n_per_instance": _st("""
-SELECT instance_id, test FROM (
-  SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY test) AS r FROM passing) WHERE r <= 50"""),
+SELECT instance_id, test, greatest(n - 50, 0) AS dropped FROM (
+  SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY test) AS r,
+         count(*) OVER (PARTITION BY instance_id) AS n FROM passing) WHERE r <= 50"""),
     "seeded_sample": _st("""
-SELECT instance_id, test FROM (
-  SELECT *, row_number() OVER (PARTITION BY instance_id
+SELECT instance_id, test, greatest(n - 50, 0) AS dropped FROM (
+  SELECT *, count(*) OVER (PARTITION BY instance_id) AS n, row_number() OVER (PARTITION BY instance_id
             ORDER BY md5('0:' || CAST(instance_id AS VARCHAR(20)) || ':' || test), test) AS r
   FROM passing) WHERE r <= 50"""),
     "batch_and_stride": _st("SELECT * FROM batched"),
@@ -345,37 +429,17 @@ SELECT instance_id, batch, count(*) AS n_items,
 FROM (SELECT *, min(pos) OVER (PARTITION BY instance_id, batch) AS p0 FROM batched)
 GROUP BY instance_id, batch"""),
     "union_batches": _st("""
-SELECT instance_id, batch, test FROM batched WHERE pos - batch * 20 < 5
+SELECT instance_id, batch, test FROM batched
 UNION ALL
 SELECT instance_id, batch, test FROM (
   SELECT *, row_number() OVER (PARTITION BY instance_id, batch
             ORDER BY md5('s:' || CAST(instance_id AS VARCHAR(20)) || ':' || CAST(batch AS VARCHAR(20)) || ':' || test), test) AS r
   FROM batched) WHERE r <= 3"""),
-    "select_regression_tests": _st("""
-, rep AS (SELECT DISTINCT instance_id, batch,
-                 CASE WHEN (instance_id + batch) % 5 = 0 THEN 'no idea'
-                      ELSE '[' || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', '
-                           || CAST((instance_id + batch) % 20 AS VARCHAR) || ', '
-                           || CAST((instance_id * 7 + batch * 3) % 25 AS VARCHAR) || ', 99999999999999' END AS reply
-          FROM batched),
-b AS (SELECT *, pos - min(pos) OVER (PARTITION BY instance_id, batch) AS li,
-             count(*) OVER (PARTITION BY instance_id, batch) AS n FROM batched),
-ints AS (SELECT r.instance_id, r.batch, s.n,
-                list_transform(regexp_extract_all(r.reply, '(\\d+)', 1), lambda t: TRY_CAST(t AS INTEGER)) AS xs
-         FROM rep r JOIN (SELECT DISTINCT instance_id, batch, n FROM b) s USING (instance_id, batch)),
-idx AS (SELECT instance_id, batch,
-               list_filter(xs, lambda x, i: x IS NOT NULL AND x >= 0 AND x < n AND list_position(xs, x) = i) AS ix
-        FROM ints),
-picks AS (SELECT instance_id, batch, unnest(ix) AS li FROM idx),
-picked AS (SELECT b.instance_id, b.batch, b.test, 'reply' AS source FROM b JOIN picks p USING (instance_id, batch, li)),
-fallback AS (SELECT instance_id, batch, test, 'fallback' AS source FROM (
-               SELECT b.*, row_number() OVER (PARTITION BY b.instance_id, b.batch
-                         ORDER BY md5('batch:' || CAST(b.instance_id AS VARCHAR) || ':' || CAST(b.batch AS VARCHAR)
-                                      || ':' || b.test), b.test) AS r
-               FROM b JOIN idx i USING (instance_id, batch) WHERE len(i.ix) = 0) WHERE r <= 5),
-chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM fallback)
-SELECT instance_id, batch, test, source FROM (
-  SELECT *, row_number() OVER (PARTITION BY instance_id
+    "select_regression_tests": _st(_CHOSEN + """
+SELECT instance_id, batch, test, source FROM chosen""").replace("\n, rep AS", ",\nrep AS"),
+    "select_regression_tests_capped": _st(_CHOSEN + """
+SELECT instance_id, batch, test, source, greatest(cn - 12, 0) AS dropped FROM (
+  SELECT *, count(*) OVER (PARTITION BY instance_id) AS cn, row_number() OVER (PARTITION BY instance_id
               ORDER BY md5('cap:' || CAST(instance_id AS VARCHAR) || ':' || test), test) AS r FROM chosen)
 WHERE r <= 12""").replace("\n, rep AS", ",\nrep AS"),
     "parse_grouped_log": with_fx(_W04_SQL.format(src="fx_log"), "fx_log"),
@@ -388,9 +452,9 @@ SELECT DISTINCT 'test', split_part(test, '::', 2) FROM ({_W04_SQL.format(src='fx
     "parse_docstring_log": "WITH " + _DJ_LOG_SQL.strip() + ",\n" + _W05_CTES.format(src="dj_log").strip()
     + "\n" + _W05_SQL,
     "parse_logs": fx_prefix("fx_log") + ",\n" + _STATUS_LOG_SQL.strip() + ",\n" + _DJ_LOG_SQL.strip() + ",\n"
-    + _W05_CTES.format(src="(SELECT * FROM dj_log WHERE log_id % 3 = 1)").strip() + "\n"
-    + _W04_SQL.format(src="(SELECT * FROM fx_log WHERE log_id % 3 = 0)") + "\nUNION ALL\n" + _W05_SQL
-    + "\nUNION ALL\n" + _F04_SQL.format(src="(SELECT * FROM status_log WHERE log_id % 3 = 2)"),
+    + _W05_CTES.format(src="(SELECT log_id * 3 + 1 AS log_id, line_no, line FROM dj_log)").strip() + "\n"
+    + _W04_SQL.format(src="(SELECT log_id * 3 AS log_id, line_no, line FROM fx_log)") + "\nUNION ALL\n" + _W05_SQL
+    + "\nUNION ALL\n" + _F04_SQL.format(src="(SELECT log_id * 3 + 2 AS log_id, line_no, line FROM status_log)"),
     "addressable_tests": "WITH " + _NAMES_SQL.strip() + f"""
 SELECT instance_id, repo,
   count(*) FILTER (WHERE repo <> 'django/django' OR regexp_matches({_STRIP.format(x='name')}, {_NAME})) AS kept,

@@ -42,12 +42,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when it is unset (local tests) a fresh
-    scratch folder is created and registered with the SparkContext (core
-    settings cannot be changed through ``spark.conf`` at runtime)."""
+    ``spark.checkpoint.dir``.  Only when it is unset and all runs in one
+    process (local tests) a fresh scratch folder is created; on a cluster that
+    raises, since executors and driver do not share their own folders.  (Core
+    settings cannot be changed through ``spark.conf`` at runtime, so the folder
+    is set on the SparkContext.)"""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -67,6 +72,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a data file (at any depth).  Readers ask this
+    instead of catching read errors, which then always reach the caller."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        name = files.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return True
+    return False
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,8 +4,10 @@ Streams read files as they land (status lines, usage records, votes,
 candidate sets).  Aggregates keep their state in the state store and run in
 ``update`` mode: each micro-batch emits only the keys it changed.  Those rows
 go out through ``foreachBatch`` into a change log, one ``epoch=<id>`` folder
-per micro-batch under the shared ``spark.checkpoint.dir``; the current
-result is the newest row per key (:func:`latest_view`, a partial
+per micro-batch under the output, partitioned by a hash of the keys; a batch
+reads the buckets it touches only, and old epochs are folded into one now and
+then.  A stream's checkpoint, under the shared ``spark.checkpoint.dir``,
+belongs to its name and output.  The current result is the newest row per key (:func:`latest_view`, a partial
 aggregate).  Nothing is collected to the driver, no trigger rewrites the
 whole result, and a retried micro-batch overwrites its own epoch folder, so
 the sinks are idempotent; the query checkpoint makes restarts resume
@@ -14,49 +16,121 @@ without double counting.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.testlogs import STATUS_LINE_RE
-from ..session import checkpoint_path, path_exists
+from ..session import checkpoint_path, has_data
+
+
+BUCKETS = 64
+COMPACT_EVERY = 50
 
 
 def _epoch_dir(out: str, epoch: int) -> str:
     return f"{out.rstrip('/')}/epoch={epoch}"
 
 
-def _read_log(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
-    """The change log written so far (optionally only epochs < ``before``)."""
-    if not path_exists(spark, out):
-        return None
-    try:
-        df = spark.read.parquet(out)
-    except AnalysisException:  # folder without data files yet
+def _bucket(keys: Sequence[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _write_epoch(batch: DataFrame, out: str, epoch: int, keys: Sequence[str]) -> None:
+    """One epoch of a change log, partitioned by a hash of its keys, so that a
+    later batch reads the buckets it touches and no others."""
+    rows = batch.withColumn("bucket", _bucket(keys))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_epoch_dir(out, epoch))
+    # a file without rows keeps the schema of a log that has none
+    batch.where(F.lit(False)).coalesce(1).write.mode("overwrite").parquet(f"{_epoch_dir(out, epoch)}/bucket=-1")
+
+
+def _read_log(spark: SparkSession, out: str, before: int | None = None, touched: DataFrame | None = None,
+              keys: Sequence[str] = ()) -> DataFrame | None:
+    """The change log written so far (optionally only epochs < ``before``, and
+    only the buckets that the rows of ``touched`` fall into)."""
+    if not has_data(spark, out):
         return None
-    return df if before is None else df.where(F.col("epoch") < before)
+    df = spark.read.parquet(out)
+    if before is not None:
+        df = df.where(F.col("epoch") < before)
+    if touched is not None:  # at most BUCKETS numbers
+        hit = [r["b"] for r in touched.select(_bucket(keys).alias("b")).distinct().collect()]
+        df = df.where(F.col("bucket").isin(hit) if hit else F.lit(False))
+    return df.drop("bucket")
 
 
 def latest_view(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     """Current result of an update-mode stream: the newest row per key."""
-    log = spark.read.parquet(out)
+    return _newest(_read_log(spark, out), keys)
+
+
+def _newest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     vals = [c for c in log.columns if c not in keys and c != "epoch"]
     return (log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("_v"))
             .select(*keys, "_v.*"))
 
 
-def _log_writer(out: str):
+def compact(spark: SparkSession, out: str, epoch: int, keys: Sequence[str], newest: bool = True,
+            bucket_keys: Sequence[str] | None = None) -> None:
+    """Fold all epochs up to ``epoch`` into that one, so that a log is read in
+    a bounded number of folders however old the stream is.  ``epoch`` must be
+    one that is never written again (an earlier one than the running one).  The
+    fold is written beside the log first; :func:`finish_compaction` moves it in,
+    also after a crash half way."""
+    log = _read_log(spark, out, before=epoch + 1)
+    if log is None:
+        return
+    folded = _newest(log, keys) if newest else log.drop("epoch").distinct()
+    _write_epoch(folded, _beside(out), epoch, bucket_keys or keys)
+    finish_compaction(spark, out)
+
+
+def _beside(out: str) -> str:
+    return f"{out.rstrip('/')}.compact"
+
+
+def finish_compaction(spark: SparkSession, out: str) -> None:
+    """Move a completely written fold into its place and remove the epochs it
+    holds.  Every step can be repeated."""
+    path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = _beside(out)
+    if not fs.exists(path(beside)):
+        return
+    for fold in [s.getPath() for s in fs.listStatus(path(beside))]:
+        if fs.exists(path(f"{fold}/_SUCCESS")):
+            epoch = int(fold.getName().split("=")[1])
+            fs.delete(path(_epoch_dir(out, epoch)), True)
+            fs.rename(fold, path(_epoch_dir(out, epoch)))
+            for p in [s.getPath() for s in fs.listStatus(path(out))]:
+                if p.getName().startswith("epoch=") and int(p.getName().split("=")[1]) < epoch:
+                    fs.delete(p, True)
+    fs.delete(path(beside), True)
+
+
+def _compact_now(epoch: int) -> bool:
+    return epoch % COMPACT_EVERY == COMPACT_EVERY - 1
+
+
+def _log_writer(out: str, keys: Sequence[str]):
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(_epoch_dir(out, epoch))
+        finish_compaction(batch.sparkSession, out)
+        _write_epoch(batch, out, epoch, keys)
+        if _compact_now(epoch):
+            compact(batch.sparkSession, out, epoch - 1, keys)
     return write
 
 
-def _start(df: DataFrame, name: str, mode: str, fn, available_now: bool) -> StreamingQuery:
-    w = (df.writeStream.outputMode(mode).foreachBatch(fn).queryName(name)
-         .option("checkpointLocation", checkpoint_path(df.sparkSession, f"stream-{name}")))
+def _start(df: DataFrame, name: str, mode: str, fn, available_now: bool, out: str) -> StreamingQuery:
+    """The checkpoint belongs to the output: two streams of one name with two
+    outputs do not share what they have seen."""
+    where = hashlib.sha256(out.rstrip("/").encode()).hexdigest()[:16]
+    w = (df.writeStream.outputMode(mode).foreachBatch(fn).queryName(f"{name}-{where}")
+         .option("checkpointLocation", checkpoint_path(df.sparkSession, f"stream-{name}-{where}")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -74,7 +148,7 @@ def stream_test_status(spark: SparkSession, stream: DataFrame, out: str, name: s
     ``seq``; a run killed half way still yields its passes so far.  Read
     the result with ``latest_view(spark, out, keys)``."""
     agg = stream.groupBy(*keys).agg(F.max_by("status", "seq").alias("status"))
-    return _start(agg, name, "update", _log_writer(out), available_now)
+    return _start(agg, name, "update", _log_writer(out, list(keys)), available_now, out)
 
 
 # -- R02 ---------------------------------------------------------------------
@@ -83,7 +157,7 @@ def stream_token_totals(spark: SparkSession, stream: DataFrame, out: str, run: s
                         available_now: bool = True) -> StreamingQuery:
     """Running token totals per run (read with ``latest_view(spark, out, [run])``)."""
     agg = stream.groupBy(run).agg(*[F.sum(f).cast("bigint").alias(f) for f in fields])
-    return _start(agg, name, "update", _log_writer(out), available_now)
+    return _start(agg, name, "update", _log_writer(out, [run]), available_now, out)
 
 
 # -- R03 ---------------------------------------------------------------------
@@ -117,16 +191,24 @@ def stream_majority_vote(spark: SparkSession, votes: DataFrame, ballots: DataFra
 
     def write(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
-        batch.write.mode("overwrite").parquet(_epoch_dir(count_log, epoch))
+        for log in (count_log, decision_log):
+            finish_compaction(s, log)
+        _write_epoch(batch, count_log, epoch, ["ballot"])
         touched = batch.select("ballot").distinct()
-        full = latest_view(s, count_log, ["ballot", "voted"]).join(touched, "ballot", "left_semi")
+        log = _read_log(s, count_log, touched=touched, keys=["ballot"])
+        if log is None:
+            return
+        full = _newest(log, ["ballot", "voted"]).join(touched, "ballot", "left_semi")
         dec = decide_winners(full, ballots.join(touched, "ballot", "left_semi"))
-        done = _read_log(s, decision_log, before=epoch)
+        done = _read_log(s, decision_log, epoch, touched, ["ballot"])
         if done is not None:
             dec = dec.join(done.select("ballot"), "ballot", "left_anti")
-        dec.write.mode("overwrite").parquet(_epoch_dir(decision_log, epoch))
+        _write_epoch(dec, decision_log, epoch, ["ballot"])
+        if _compact_now(epoch):
+            compact(s, count_log, epoch - 1, ["ballot", "voted"], bucket_keys=["ballot"])
+            compact(s, decision_log, epoch - 1, ["ballot"], newest=False)
 
-    return _start(counts, name, "update", write, available_now)
+    return _start(counts, name, "update", write, available_now, out)
 
 
 def vote_decisions(spark: SparkSession, out: str) -> DataFrame:
@@ -142,9 +224,12 @@ def stream_pending(spark: SparkSession, stream: DataFrame, out: str, key: str =
     d = stream.dropDuplicates([key])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        seen = _read_log(batch.sparkSession, out, before=epoch)
+        finish_compaction(batch.sparkSession, out)
+        seen = _read_log(batch.sparkSession, out, epoch, batch, [key])
         if seen is not None:
             batch = batch.join(seen.select(key), key, "left_anti")
-        batch.write.mode("overwrite").parquet(_epoch_dir(out, epoch))
+        _write_epoch(batch, out, epoch, [key])
+        if _compact_now(epoch):
+            compact(batch.sparkSession, out, epoch - 1, [key], newest=False)
 
-    return _start(d, name, "append", write, available_now)
+    return _start(d, name, "append", write, available_now, out)
