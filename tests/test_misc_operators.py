@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import candidates as C
@@ -110,8 +111,8 @@ def test_checkpoint_dir_fallback_and_cluster_setting():
             return self.v
 
     class Ctx:
-        def __init__(self):
-            self.d = None
+        def __init__(self, master="local[2]"):
+            self.d, self.master = None, master
 
         def getCheckpointDir(self):
             return self.d
@@ -129,6 +130,10 @@ def test_checkpoint_dir_fallback_and_cluster_setting():
     local = Fake(None)
     d = ensure_checkpoint_dir(local)
     assert d.endswith("/uuid") and ensure_checkpoint_dir(local) == d
+    cluster = Fake(None)
+    cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
 
 
 def test_refresh_index_and_sorted_writer(spark, tmp):

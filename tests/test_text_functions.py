@@ -246,14 +246,25 @@ def test_step_text_with_tool_calls(spark):
 def test_budget_report_clips(spark):
     rows = [("k", i, "x" * 30) for i in range(1, 8)] + [("j", 1, "short")]
     df = spark.createDataFrame(rows, "key string, i0 long, body string")
-    text = lambda i: F.concat(i.cast("string"), F.lit(". "), F.col("body"), F.lit("\n"))
+    entry = F.concat(F.col("body"), F.lit("\n"))
     header = lambda n: F.concat(F.lit("Found "), n.cast("string"), F.lit(":\n"))
-    got = {r.key: r for r in E.budget_report(df, "key", ["i0"], text, header, budget=100,
-                                             min_entry_len=4).collect()}
+    got = {r.key: r for r in E.budget_report(df, "key", ["i0"], entry, header, budget=100,
+                                             min_entry_len=4, payload=["body"]).collect()}
     full = "Found 7:\n" + "".join(f"{i}. {'x' * 30}\n" for i in range(1, 8))
     # entries 1..3 end at 9 + 3*34 = 111 > 100: the third is the crossing one, 4 remain
     assert got["k"].output == full[:100] + "\n<response clipped> 4 more entries not shown"
     assert got["k"].remaining == 4 and got["j"].output == "Found 1:\n1. short\n"
+    assert got["k"].report_chars == 111  # up to and with the crossing entry
+
+
+def test_budget_numbers_without_texts_and_without_a_window_over_the_key(spark):
+    df = spark.createDataFrame([("k", 1, "x")], "key string, i0 long, body string")
+    out = E.char_budget(df, "key", ["i0"], F.col("body"), lambda n: F.lit("h"), budget=100, payload=["body"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [ln for ln in plan.splitlines() if "Window [" in ln]
+    assert windows and all("body#" not in ln for ln in windows)
+    numbering = [ln for ln in windows if "row_number" in ln]
+    assert numbering and all("_range" in ln for ln in numbering)
 
 
 def test_json_view_prints_like_the_tool(spark):
