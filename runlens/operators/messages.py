@@ -130,17 +130,17 @@ def to_chat_messages(msgs: DataFrame, provider: str) -> DataFrame:
         return out
     # Tool-call rows carry the arguments as the client serialised them
     # (json.dumps spacing).  Which rows are calls follows each client's
-    # precedence; only those rows cross into Python.
+    # precedence; the UDF gets nulls for all other rows, and the table is read
+    # once.
     if p == "compatible":
         is_call = tc.isNotNull()
     elif p == "openai":
         is_call = tc.isNotNull() & tr.isNull()
     else:
         is_call = (role != "system") & tr.isNull() & tc.isNotNull()
-    x = out.withColumn("_call", F.coalesce(is_call, F.lit(False)))
-    calls = x.where("_call").withColumn(
-        "chat_content", _dump_call_udf(p == "compatible")(tc["name"], tc["arguments"]))
-    return x.where(~F.col("_call")).unionByName(calls).drop("_call")
+    call = F.coalesce(is_call, F.lit(False))
+    x = out.withColumn("_dumped", _dump_call_udf(p == "compatible")(F.when(call, tc["name"]), F.when(call, tc["arguments"])))
+    return x.withColumn("chat_content", F.when(call, F.col("_dumped")).otherwise(F.col("chat_content"))).drop("_dumped")
 
 
 def _dump_call(name: str | None, arguments: str | None, with_name: bool) -> str | None:
@@ -254,14 +254,11 @@ def _tool_call_lines(calls: pd.Series) -> pd.Series:
 def with_step_text(steps: DataFrame, content: str = "content", tool_calls: str = "tool_calls",
                    out: str = "step_text") -> DataFrame:
     """F09 step text with tool-call arguments printed exactly as the agent
-    did.  Only steps that have tool calls cross into Python (the rows are
-    split before the UDF, which would otherwise see every row)."""
-    calls = F.col(tool_calls)
-    plain = steps.where(calls.isNull()).withColumn(out, strip(F.coalesce(F.col(content), F.lit(""))))
-    lines = strip(F.array_join(_tool_call_lines(calls), "\n"))
-    with_calls = steps.where(calls.isNotNull()).withColumn(
-        out, F.concat(strip(F.coalesce(F.col(content), F.lit(""))), F.lit("\n\nTool calls:\n"), lines))
-    return plain.unionByName(with_calls)
+    did; for steps without tool calls the UDF gets a null."""
+    text = strip(F.coalesce(F.col(content), F.lit("")))
+    x = steps.withColumn("_calls", _tool_call_lines(F.col(tool_calls)))
+    lines = F.concat(text, F.lit("\n\nTool calls:\n"), strip(F.array_join("_calls", "\n")))
+    return x.withColumn(out, F.when(F.col(tool_calls).isNull(), text).otherwise(lines)).drop("_calls")
 
 
 # -- F10 ---------------------------------------------------------------------

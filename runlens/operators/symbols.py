@@ -9,7 +9,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # File extension -> language of the symbol extractor.
@@ -45,7 +45,12 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     if rule == "none":
         return fn.select(*keep, F.lit(None).cast("string").alias("parent_function"),
                          F.lit(None).cast("string").alias("parent_class"))
-    parents = spans.select(
+    # of containers that cover the same lines the two of the lowest ids do for
+    # every function (one of them may be the function itself), so equal spans,
+    # however many, are not paired with each other
+    same = Window.partitionBy("file_path", "kind", "start_line", "end_line").orderBy("sid")
+    distinct = spans.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= 2)
+    parents = distinct.select(
         "file_path", F.col("sid").alias("p_sid"), F.col("name").alias("p_name"),
         F.col("kind").alias("p_kind"), F.col("start_line").alias("p_start"),
         F.col("end_line").alias("p_end"),
@@ -55,9 +60,10 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
                              F.greatest(F.floor(F.col("start_line") / bucket),
                                         F.floor(F.col("end_line") / bucket)).cast("bigint"))).alias("bucket"))
     kids = fn.select(*keep, F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
-    # Each function also pairs with itself (it contains itself), so functions
-    # without a container still come out of the aggregate: no second pass
-    # over the functions, no join back.  Self pairs never count as parents.
+    # Each function also pairs with itself (it contains itself) or with two
+    # others of its lines, so functions without a container still come out of
+    # the aggregate: no second pass over the functions, no join back.  Self
+    # pairs never count as parents.
     pairs = kids.join(parents, ["file_path", "bucket"]).where(
         (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line")))
     other = F.col("p_sid") != F.col("sid")

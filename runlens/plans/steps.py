@@ -117,6 +117,31 @@ def q_to_chat_messages_google(spark, d):
         "run_id", "step", "chat_role", "chat_content", "is_system", "error")
 
 
+def _with_tools(spark, d):
+    """Messages of which every second carries a tool call or its result."""
+    m, step = fx_messages(spark, d), F.col("step")
+    call = F.struct(F.lit("c").alias("call_id"), F.lit("bash").alias("name"),
+                    F.concat(F.lit('{"k":'), F.col("run_id").cast("string"), F.lit("}")).alias("arguments"))
+    result = F.struct(F.lit("c").alias("call_id"), (step % 8 == 3).alias("success"), F.col("content").alias("result"),
+                      F.when(step % 8 == 7, "boom").alias("error"))
+    return m.withColumn("tool_call", F.when(step % 4 == 1, call)).withColumn("tool_result", F.when(step % 4 == 3, result))
+
+
+def _chat_with_tools(style):
+    def query(spark, d):
+        return M.to_chat_messages(_with_tools(spark, d), style).select("run_id", "step", "chat_role", "chat_content", "is_system", "error")
+    query.__doc__ = f"P13 in the {style} style, tool calls and results included."
+    return query
+
+
+def q_step_text(spark, d):
+    """the text of a step with its tool-call lines, in full."""
+    m = fx_messages(spark, d)
+    calls = F.when(F.col("step") % 2 == 1, F.array(*[F.struct(F.lit(n).alias("name"), a.alias("arguments")) for n, a in (
+        ("bash", F.concat(F.lit('{"k":'), F.col("run_id").cast("string"), F.lit(',"ok":true}'))), ("done", F.lit("not json")))]))
+    return M.with_step_text(m.withColumn("tool_calls", calls)).select("run_id", "step", "step_text")
+
+
 def q_previous_step(spark, d):
     return M.previous_step(fx_messages(spark, d)).select("run_id", "step", "previous")
 
@@ -134,10 +159,11 @@ def q_assemble_step_text(spark, d):
 
 
 def q_completion_flags(spark, d):
-    m = fx_messages(spark, d)
+    m, step = fx_messages(spark, d), F.col("step")
+    names = F.when(step % 3 == 0, F.array(F.lit("bash"), F.lit("task_done"))).when(step % 3 == 1, F.array(F.lit("bash")))
+    calls = F.transform(names, lambda n: F.struct(n.alias("name")))
     return m.select("run_id", "step", M.completion_default(F.col("content")).alias("completed"),
-                    M.completion_task_done(F.lit(None).cast("array<struct<name:string>>"))
-                    .alias("task_done"))
+                    M.completion_task_done(calls).alias("task_done"))
 
 
 QUERIES = {
@@ -153,6 +179,8 @@ QUERIES = {
     "to_chat_messages": q_to_chat_messages,
     "to_chat_messages_google": q_to_chat_messages_google,
     "previous_step": q_previous_step,
+    **{f"to_chat_messages_{s}_tools": _chat_with_tools(s) for s in ("openai", "compatible", "anthropic", "google")},
+    "step_text": q_step_text,
     "prompt_prefix": q_prompt_prefix,
     "assemble_step_text": q_assemble_step_text,
     "completion_flags": q_completion_flags,
@@ -160,6 +188,22 @@ QUERIES = {
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
+_ARGS = "'{\"k\": ' || CAST(run_id AS VARCHAR) || '}'"
+_NO_CONTENT = "content IS NULL OR content = ''"
+_CHAT_ERROR = "CASE WHEN step % 8 = 7 THEN chr(10) || 'Tool call failed with error:' || chr(10) || 'boom' ELSE '' END"
+# style, role of a call, of a result, of other rows; a call as text; what
+# follows a result; other texts; system rows; error
+_TOOL_STYLES = [
+    ("openai", "'function_call'", "'function_call_output'", "role", _ARGS, "CASE WHEN step % 8 = 7 THEN chr(10) || 'Error: boom' ELSE '' END", "content", "false",
+     f"CASE WHEN step % 2 = 0 AND ({_NO_CONTENT}) THEN 'Message content is required' END"),
+    ("compatible", "'function'", "'tool'", "role", "'{\"name\": \"bash\", \"arguments\": ' || " + _ARGS + " || '}'", _CHAT_ERROR, "content", "false",
+     f"CASE WHEN step % 2 = 0 AND ({_NO_CONTENT}) THEN upper(left(role, 1)) || substr(role, 2) || ' message content is required' END"),
+    ("anthropic", "CASE WHEN role = 'system' THEN 'system' ELSE 'assistant' END", "CASE WHEN role = 'system' THEN 'system' ELSE 'user' END", "role", _ARGS, _CHAT_ERROR,
+     "content", "role = 'system'", f"CASE WHEN role <> 'system' AND step % 2 = 0 AND ({_NO_CONTENT}) THEN 'Message content is required' END"),
+    ("google", "CASE WHEN role = 'system' THEN 'system' ELSE 'model' END", "CASE WHEN role = 'system' THEN 'system' ELSE 'tool' END",
+     "CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'user' ELSE 'model' END", _ARGS, _CHAT_ERROR, "coalesce(content, '')", "role = 'system'", "CAST(NULL AS VARCHAR)"),
+]
+
 _USAGE_SQL = """
 SELECT run_id, step_number, style,
   CASE WHEN has THEN input_tokens ELSE 0 END AS input_tokens,
@@ -245,6 +289,16 @@ SELECT run_id, step,
        CASE WHEN role = 'system' THEN 'system' WHEN role = 'user' THEN 'user' ELSE 'model' END AS chat_role,
        CASE WHEN role = 'system' THEN content ELSE coalesce(content, '') END AS chat_content,
        role = 'system' AS is_system, CAST(NULL AS VARCHAR) AS error
+FROM fx_messages""", "fx_messages"),
+    **{f"to_chat_messages_{style}_tools": with_fx(f"""
+SELECT run_id, step, CASE step % 4 WHEN 1 THEN {call} WHEN 3 THEN {result} ELSE {plain} END AS chat_role,
+  CASE WHEN {sys} THEN content WHEN step % 4 = 1 THEN {dumped}
+       WHEN step % 4 = 3 THEN {_STRIP.format(x="coalesce(content, '') || " + tail)} ELSE {text} END AS chat_content,
+  {sys} AS is_system, {error} AS error
+FROM fx_messages""", "fx_messages") for style, call, result, plain, dumped, tail, text, sys, error in _TOOL_STYLES},
+    "step_text": with_fx(f"""
+SELECT run_id, step, {_STRIP.format(x="coalesce(content, '')")} || CASE WHEN step % 2 = 1 THEN chr(10) || chr(10) || 'Tool calls:' || chr(10)
+       || '[`bash`] `{{''k'': ' || CAST(run_id AS VARCHAR) || ', ''ok'': True}}`' || chr(10) || '[`done`] `not json`' ELSE '' END AS step_text
 FROM fx_messages""", "fx_messages"),
     "previous_step": with_fx("""
 SELECT run_id, step, coalesce(lag(content) OVER (PARTITION BY run_id ORDER BY step), '(none)') AS previous
@@ -272,6 +326,6 @@ SELECT run_id, step,
        contains(lower(coalesce(content, '')), 'task completed') OR contains(lower(coalesce(content, '')), 'task finished')
        OR contains(lower(coalesce(content, '')), 'done') OR contains(lower(coalesce(content, '')), 'completed successfully')
        OR contains(lower(coalesce(content, '')), 'finished successfully') AS completed,
-       false AS task_done
+       step % 3 = 0 AS task_done
 FROM fx_messages""", "fx_messages"),
 }

@@ -207,3 +207,12 @@ def test_a_batch_reads_the_buckets_it_touches(spark, tmp):
     part = L._read_log(spark, f"{tmp}/log", touched=touched, keys=["k"])
     assert part.count() < 50 and part.where("k = '7'").count() == 1
     assert "PartitionFilters: [" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_spans_are_not_paired(spark):
+    spans = spark.range(6000).select(F.lit("min.js").alias("file_path"), F.col("id").alias("sid"), F.concat(F.lit("f"), "id").alias("name"),
+                                     F.when(F.col("id") == 7, "class").otherwise("function").alias("kind"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    got = Y.enclosing_symbol(spans)
+    assert got.count() == 5999
+    by = {r.sid: (r.parent_function, r.parent_class) for r in got.where("sid < 3").collect()}
+    assert by == {0: ("f1", None), 1: ("f0", None), 2: ("f0", None)}
