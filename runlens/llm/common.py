@@ -39,6 +39,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(each):
+    """A worker function that gives memory back: Arrow allocates from the
+    system, and every few seconds and at the end free pages return to it.
+    Workers live on between tasks, and what one keeps the next one lacks."""
+    def run(batches):
+        import ctypes
+        import gc
+        import time
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+        last = time.monotonic()
+        for out in each(batches):
+            yield out
+            if time.monotonic() > last + 2:
+                trim(0)
+                last = time.monotonic()
+        gc.collect()
+        trim(0)
+    return run
+
+
 def free_name(taken, base: str) -> str:
     """``base``, or ``base`` with underscores appended until no column of
     ``taken`` has that name (Spark compares without case)."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, free_name, read, utf8
+from .common import bounded_batches, cut, free_name, lean, read, utf8
 
 # Bytes outside words become spaces, A-Z lower case; words are [0-9a-z] and
 # whatever is not ASCII.
@@ -190,7 +190,7 @@ def shards(benchmark: DataFrame, id: str, text: str, window: int, shard_bytes: i
     """The benchmark's pieces, at most about ``shard_bytes`` at a time; equal
     pieces of one item come once."""
     pieces = cut(benchmark.select(F.col(f"`{id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
-                 .where("item is not null").mapInArrow(_pieces(window), "item string, piece long, words string, whole boolean")
+                 .where("item is not null").mapInArrow(lean(_pieces(window)), "item string, piece long, words string, whole boolean")
                  .groupBy("item", "words", "whole").agg(F.min("piece").alias("piece")), "benchmark")
     total = pieces.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
     n = -(-total // shard_bytes)
@@ -243,8 +243,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     found, first = docs, True
     for items in shards(benchmark, item_id, item_text, window, shard_bytes):
         shared = docs.sparkSession.sparkContext.broadcast((items, window))
-        found, first = found.mapInArrow(scan(shared, first), out), False
-    return (docs.mapInArrow(scan(None, True), out) if first else found), names
+        found, first = found.mapInArrow(lean(scan(shared, first)), out), False
+    return (docs.mapInArrow(lean(scan(None, True)), out) if first else found), names
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -292,7 +292,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=own)
 
-    return stay.mapInArrow(each, docs.schema)
+    return stay.mapInArrow(lean(each), docs.schema)
 
 
 def q_op7(spark, sf_dir: str) -> DataFrame:

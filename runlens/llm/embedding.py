@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, read, runs, stars
+from .common import bounded_batches, cut, lean, read, runs, stars
 from .components import components
 
 COSINE = 0.95
@@ -195,14 +195,14 @@ def near_embeddings(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     nodes = cut(rows.where(sound).groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vectors")
-    placed = cut(nodes.select("node", "embedding").mapInArrow(_place, "cell long, node long, own boolean"), "cells")
+    placed = cut(nodes.select("node", "embedding").mapInArrow(lean(_place), "cell long, node long, own boolean"), "cells")
     size = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("lies")).where("size > 1 and lies").select("cell", "size")
     spread = (placed.join(size, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .select("cell", "node", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .select("cell", "node", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     dealt = spread.join(nodes, "node").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = cut(dealt.select("cell", "i", "j", "block", "own", "node", "n", "embedding").mapInArrow(_verify(least), "node long, links long, root long"), "verified")
+    found = cut(dealt.select("cell", "i", "j", "block", "own", "node", "n", "embedding").mapInArrow(lean(_verify(least)), "node long, links long, root long"), "verified")
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found, "node", "root").withColumnRenamed("node", "in_class")
     known = (nodes.join(total, "node", "left").join(classes, F.col("node") == F.col("in_class"), "left")

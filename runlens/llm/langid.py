@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, parts, read
+from .common import bounded_batches, free_name, lean, parts, read
 
 SPAN = 512
 LETTERS = 62  # most frequent letters of the sample, each a symbol of its own
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", to: str
             sure = pa.array(np.concatenate([s for _, s in found]) if found else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, langs, sure], names=names)
 
-    return docs.mapInArrow(each, out)
+    return docs.mapInArrow(lean(each), out)
 
 
 def held_out(id: str):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PART_BYTES, bounded_batches, cut, parts, read
+from .common import PART_BYTES, bounded_batches, cut, lean, parts, read
 
 CAPACITY = 1024
 END_ID = 0
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: s
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(rest[4], pa.list_(pa.int32()))] if ids else []), names=names)
         model.forget()  # the worker may go on to other work
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(lean(each), schema)
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:

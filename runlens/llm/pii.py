@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, parts, read
+from .common import bounded_batches, free_name, lean, parts, read
 from .pii_patterns import KINDS, NOT_DIGIT, base_spans, luhn
 
 # The labelled table: [kind:span] marks personal data, all else is outside.
@@ -384,7 +384,7 @@ def find_pii(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in sorted(spans)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], names=names)
 
-    return docs.mapInArrow(each, out)
+    return docs.mapInArrow(lean(each), out)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, free_name, read, runs, stars, utf8
+from .common import bounded_batches, cut, free_name, lean, read, runs, stars, utf8
 from .components import components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, to: str
             got = np.array([fingerprint(bytes(data[a:b]), shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(got.view(np.int64))], names=[*keep, to])
 
-    return docs.mapInArrow(each, out)
+    return docs.mapInArrow(lean(each), out)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def links(nodes: DataFrame, node: str, radius: int = 2, block: int = 512) -> Dat
               .select("t", "key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .select("t", "key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     dealt = spread.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return dealt.mapInArrow(_compare(radius), "a long, b long")
+    return dealt.mapInArrow(lean(_compare(radius)), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

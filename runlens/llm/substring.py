@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, read, utf8
+from .common import bounded_batches, cut, lean, read, utf8
 
 LENGTH = 100
 BLOCK = 20_000
@@ -296,22 +296,22 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", le
     copies = cut(whole.join(first, ["tie", "h"]).where(F.col("id") > F.col("first")).select("d").distinct(), "copies")
     own = rows.join(copies, "d", "left_anti").select("d", "row_id", "id", "tie", "text")
     # buckets of two segments or more
-    found = own.select("d", "text").mapInArrow(_segments(length), "v long, d long, at long")
+    found = own.select("d", "text").mapInArrow(lean(_segments(length)), "v long, d long, at long")
     shared = cut(found.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v", (F.col("n") > block).alias("big")), "buckets")
     some_big = bool(shared.where("big").limit(1).count())
     wanted = found.join(shared, "v").groupBy("d").agg(F.collect_list(F.struct("v", "big", "at")).alias("segments"))
-    held = own.join(wanted, "d").select("d", "id", "tie", "text", "segments").mapInArrow(_contexts(length), "v long, big boolean, d long, id long, tie long, at long, bytes binary")
+    held = own.join(wanted, "d").select("d", "id", "tie", "text", "segments").mapInArrow(lean(_contexts(length)), "v long, big boolean, d long, id long, tie long, at long, bytes binary")
     held = cut(held, "contexts") if some_big else held
     small = held.where("not big").repartition("v").sortWithinPartitions("v")
-    covered = small.select("v", "d", "id", "tie", "at", "bytes").mapInArrow(_refine(length), "d long, id long, tie long, start long, end long")
+    covered = small.select("v", "d", "id", "tie", "at", "bytes").mapInArrow(lean(_refine(length)), "d long, id long, tie long, start long, end long")
     if some_big:
-        each = held.where("big").select("d", "id", "tie", "at", "bytes").mapInArrow(_windows(length), "key binary, d long, id long, tie long, start long")
+        each = held.where("big").select("d", "id", "tie", "at", "bytes").mapInArrow(lean(_windows(length)), "key binary, d long, id long, tie long, start long")
         least = each.groupBy("key").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = each.join(least, "key").where(F.struct("id", "tie", "start") > F.col("first"))
         covered = covered.unionByName(later.select("d", "id", "tie", "start", (F.col("start") + length).alias("end")))
     spans = covered.groupBy("d").agg(F.collect_list(F.struct("id", "tie", "start", "end")).alias("covered"))
     kind = "row_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-    rest = own.join(spans, "d", "left").select("row_id", "id", "tie", "text", "covered").mapInArrow(_cut_out(length), kind)
+    rest = own.join(spans, "d", "left").select("row_id", "id", "tie", "text", "covered").mapInArrow(lean(_cut_out(length)), kind)
     size = F.octet_length("text").cast("long")
     gone = (rows.join(copies, "d", "left_semi")
             .select("row_id", size.alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))).alias("removed"), F.lit(b"").alias("kept")))
