@@ -73,7 +73,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: str =
 def _transitions(symbols: list[int]) -> tuple[np.ndarray, int]:
     """The suffix automaton of a symbol sequence as a parsing table.  Entry
     (state, symbol) is twice the offset of the next state's row, plus one
-    where a new phrase starts at that symbol."""
+    where a new phrase starts at that symbol.  The last row is where no phrase
+    is open."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -99,15 +100,16 @@ def _transitions(symbols: list[int]) -> tuple[np.ndarray, int]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(go), SYMBOLS), -1, np.int32)
+    between = len(go)  # after a symbol that the sample lacks, and at the start
+    table = np.full((between + 1, SYMBOLS), -1, np.int32)
     for s, out in enumerate(go):
         for c, t in out.items():
             table[s, c] = t * SYMBOLS * 2
-    fresh = np.where(table[0] >= 0, table[0], 0) + 1
+    fresh = np.where(table[0] >= 0, table[0], between * SYMBOLS * 2) + 1
     return np.where(table >= 0, table, fresh[None, :]).astype(np.int32).ravel(), len(symbols)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parsers(model: LanguageModel):
     """(symbol of each code point, [(parsing table, sample size)])."""
     code = np.zeros(0x110000, np.uint8)
@@ -157,8 +159,8 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     active = np.searchsorted(-length, -np.arange(SPAN), side="left") if len(length) else np.zeros(SPAN, np.int64)
     bits = np.zeros((len(tables), len(texts)))
     for k, (table, n) in enumerate(tables):
-        state = np.zeros(len(start), np.int32)
-        phrases = np.ones(len(start), np.int32)
+        state = np.full(len(start), len(table) - SYMBOLS, np.int32)
+        phrases = np.zeros(len(start), np.int32)
         for step in range(int(length[0]) if len(length) else 0):
             m = active[step]
             got = table[state[:m] + symbols[start[:m] + step]]

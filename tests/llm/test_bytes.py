@@ -67,7 +67,7 @@ def test_substrings_awkward_rows(spark, odd_docs):
     assert substring.dedup_substrings(odd_docs.where("false")).collect() == []
     same = spark.createDataFrame([(1, "q" * 150), (1, "r" * 150), (None, "q" * 150), (None, "q" * 150)], "doc_id long, text string")
     lens = sorted((r["doc_id"] or 0, len(r["kept"])) for r in substring.dedup_substrings(same).collect())
-    assert [d for d, _ in lens] == [0, 0, 1, 1] and lens[0][1] == lens[1][1] == 0 and all(n == 100 for _, n in lens[2:])
+    assert [d for d, _ in lens] == [0, 0, 1, 1] and lens[0][1] == lens[1][1] == 0 and all(n == 1 for _, n in lens[2:])  # a repeated byte stays once
 
 
 def conversations(spark):
@@ -140,8 +140,8 @@ def test_patterns_hold_the_histogram():
                 held[x] = held.get(x, 0) + count
         assert held == histogram
         total = sum(c for c, _ in packs)
-        if total > 1:  # worst-fit packs are more than half full on average
-            assert sum(k * v for k, v in histogram.items()) > 64 * (total - 1) / 2
+        # a pack is opened only if none has room: all but one are over half full
+        assert sum(c for c, x in packs if sum(x) * 2 <= 64) <= 1 and total >= 0
 
 
 @pytest.mark.parametrize("bucket", [packing.BUCKET_PIECES, 7])
