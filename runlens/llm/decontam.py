@@ -164,7 +164,7 @@ class Automaton:
         return [(a, b) for a, b in found], items
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple, window: int) -> Automaton:
     return Automaton(items, window)
 
@@ -201,8 +201,9 @@ def shards(benchmark: DataFrame, id: str, text: str, window: int, shard_bytes: i
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = 10, shard_bytes: int = 1 << 20) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with ``n_words`` long, ``hits`` array<struct<start,end>> (word
-    spans inside occurrences of windows, maximal, in order) and ``items``
+    """``docs`` with ``n_words`` long, ``hits``
+    array<struct<start,end,char_start,char_end>> (spans inside occurrences of
+    windows, in words and in code points, maximal, in order) and ``items``
     array<string> (ids of items with an occurring window, sorted); and the
     names these columns got (underscores are appended where ``docs`` has the
     names already).
@@ -215,8 +216,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     names = {k: free_name(docs.columns, k) for k in ("n_words", "hits", "items")}
     columns = [*docs.columns, *names.values()]
     at = docs.columns.index(text)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select("*", F.lit(0).cast("long").alias(names["n_words"]), F.lit(None).cast("array<struct<start:long,end:long>>").alias(names["hits"]),
+    fields = ("start", "end", "char_start", "char_end")
+    span = pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
+    out = docs.select("*", F.lit(0).cast("long").alias(names["n_words"]), F.lit(None).cast("array<struct<start:long,end:long,char_start:long,char_end:long>>").alias(names["hits"]),
                       F.lit(None).cast("array<string>").alias(names["items"])).schema
 
     def scan(shared, first: bool):
@@ -234,7 +236,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                         got = merged([*got, *((h["start"], h["end"]) for h in had[0])])
                         names_ |= set(had[1])
                     sizes.append(len(words))
-                    hits.append([{"start": x, "end": y} for x, y in got])
+                    chars = in_code_points(bytes(data[a:b]), got) if got else []
+                    hits.append([dict(zip(fields, (*g, *c))) for g, c in zip(got, chars)])
                     items.append(sorted(names_))
                 own = batch.columns if first else batch.columns[:-3]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], names=columns)
@@ -257,16 +260,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """``text`` without the words of the spans and what stands between them."""
+def in_code_points(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where spans of words begin and end in the text."""
     flags = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 0x20
     edges = np.flatnonzero(np.diff(np.r_[False, flags, False]))
     starts, ends = edges[::2], edges[1::2]
-    kept, last = [], 0
-    for a, b in spans:
-        kept.append(text[last:starts[a]])
-        last = int(ends[b - 1])
-    return b"".join([*kept, text[last:]])
+    before = np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]
+    return [(int(before[starts[a]]), int(before[ends[b - 1]])) for a, b in spans]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -279,20 +279,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     hits = F.col(names["hits"])
     covered = F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     stay = found.where(covered <= F.col(names["n_words"]) * max_coverage)
-    own = docs.columns
-    at, extra = own.index(text), len(own)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for k, spans in enumerate(batch.column(extra + 1).to_pylist()):
-                if spans:
-                    texts[k] = without_words(texts[k].encode(), [(s["start"], s["end"]) for s in spans]).decode()
-            columns = batch.columns[:extra]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=own)
-
-    return stay.mapInArrow(lean(each), docs.schema)
+    body = F.col(f"`{text}`")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept"))
+    folded = F.aggregate(hits, start, lambda x, h: F.struct(
+        h["char_end"].alias("at"), F.concat(x["kept"], body.substr((x["at"] + 1).cast("int"), (h["char_start"] - x["at"]).cast("int"))).alias("kept")))
+    left = F.concat(folded["kept"], body.substr((folded["at"] + 1).cast("int"), F.length(body)))
+    return stay.select(*[F.when(F.size(hits) > 0, left).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def q_op7(spark, sf_dir: str) -> DataFrame:

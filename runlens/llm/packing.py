@@ -26,7 +26,7 @@ from .common import PART_BYTES, bounded_batches, cut, lean, parts, read
 CAPACITY = 1024
 END_ID = 0
 MEMORY_WORDS = 400_000
-LINE_WORDS = 500
+LINE_WORDS, LINES = 500, 16
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 BUCKET_PIECES = 50_000
 SLOT_ROWS = 200_000  # slots of at most this many kinds are sent to every executor
@@ -60,8 +60,11 @@ class SpacedEncoder:
         """Remember the ids of words behind a space.  They are encoded many at
         a time, as one text, in which a word begins at every id that begins
         with a space."""
-        lines = [" " + " ".join(words[i:i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)]
-        ids = np.array([i for line in self._encode(lines) for i in line], np.int32)
+        found = []
+        for i in range(0, len(words), LINES * LINE_WORDS):  # what the tokenizer returns takes a hundred bytes an id
+            lines = [" " + " ".join(words[j:j + LINE_WORDS]) for j in range(i, min(i + LINES * LINE_WORDS, len(words)), LINE_WORDS)]
+            found += [np.array(line, np.int32) for line in self._encode(lines)]
+        ids = np.concatenate(found)
         begins = np.flatnonzero(self.spaced[ids])
         if len(begins) != len(words):
             raise ValueError("the tokenizer joins words over spaces")
@@ -105,9 +108,8 @@ class SpacedEncoder:
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.starts[at] - (ends - sizes).astype(np.int32), sizes)]
         cuts = np.r_[0, ends][np.r_[first, len(at)]].tolist()
         opening = self._encode(words.take(pa.array(first)).to_pylist())
-        other = iter(self._encode(texts.filter(pa.array(whole)).to_pylist()))
         for k, alone in enumerate(whole.tolist()):
-            yield np.array(next(other), np.int32) if alone else np.concatenate([np.array(opening[k], np.int32), ids[cuts[k]:cuts[k + 1]]])
+            yield np.array(self._encode([texts[k].as_py()])[0], np.int32) if alone else np.concatenate([np.array(opening[k], np.int32), ids[cuts[k]:cuts[k + 1]]])
 
 
 _ENCODERS: dict[str, SpacedEncoder] = {}
@@ -160,13 +162,19 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
         left = histogram[length]
         while left:
             room = max((r for r in open_ if r >= length), default=None)
-            count, pack = open_[room].pop() if room else (left, ())
-            if room and not open_[room]:
+            if room is None:  # a new pack is the shortest one until it is full
+                each = capacity // length
+                for count, pieces_ in ((left // each, each), (1, left % each)):
+                    if count and pieces_:
+                        open_.setdefault(capacity - pieces_ * length, []).append((count, (length,) * pieces_))
+                break
+            count, pack = open_[room].pop()
+            if not open_[room]:
                 del open_[room]
             take = min(left, count)
             if count > take:
                 open_.setdefault(room, []).append((count - take, pack))
-            open_.setdefault((room or capacity) - length, []).append((take, (*pack, length)))
+            open_.setdefault(room - length, []).append((take, (*pack, length)))
             left -= take
     return [p for room in sorted(open_) for p in open_[room]]
 
