@@ -180,16 +180,18 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group.  Rows that are
     alike in every column count as one document; rows with a null id stay.
-    Texts are dealt once, by id, and only where an id is dropped or repeated
-    is anything looked up."""
+    Texts are dealt once, by id, whatever the size of either side, so that a
+    run costs in proportion to its input."""
+    known = free_name(docs.columns, "known_id")
+    least = free_name([*docs.columns, known], "least_id")
+    times = free_name([*docs.columns, known, least], "times")
     groups = cut(simhash_groups(docs.where(F.col(f"`{id}`").isNotNull()), id, text, shingle, radius)
-                 .groupBy(F.col(id).alias("known_id")).agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "groups")
-    key = free_name(docs.columns, "known_id")
-    groups = groups.withColumnRenamed("known_id", key)
-    same = F.col(f"`{id}`") == F.col(key)
-    single = docs.join(groups.where((F.col("n") > 1) | (F.col(key) != F.col("least"))).select(key), same, "left_anti")
-    repeated = docs.join(groups.where((F.col("n") > 1) & (F.col(key) == F.col("least"))).select(key), same, "left_semi")
-    return single.unionByName(repeated.dropDuplicates())
+                 .groupBy(F.col(id).alias(known)).agg(F.min("component_id").alias(least), F.count("*").alias(times)), "groups")
+    joined = docs.join(groups.hint("merge"), F.col(f"`{id}`") == F.col(known), "left")
+    stay = joined.where(F.col(known).isNull() | (F.col(known) == F.col(least)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = stay.where(F.coalesce(F.col(times), F.lit(1)) == 1).select(*own)
+    return once.unionByName(stay.where(F.col(times) > 1).select(*own).dropDuplicates())
 
 
 def q_op2(spark, sf_dir: str) -> DataFrame:
