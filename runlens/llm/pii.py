@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, lean, parts, read
+from .common import PART_BYTES, bounded_batches, free_name, lean, parts, read
 from .pii_patterns import KINDS, NOT_DIGIT, base_spans, luhn
 
 # The labelled table: [kind:span] marks personal data, all else is outside.
@@ -104,6 +104,8 @@ x = 10; y = 20.5; z = x * y
 0x1f4 0xdeadbeef 1e-5 3.14159
 """
 
+PLAIN_FORMS = ("a", "A")
+EDGE_OF_LINE, OTHER = 2, 3
 LABELS = ("O", *[f"{b}-{k}" for k in KINDS for b in "BI"])
 # A spelled-out address: a sign for @, then names with signs for dots.
 SPELLED = re.compile(r"[\w.%+-]+(?:\s*(?:@|\[at\]|\(at\))\s*[\w-]+(?:\s*(?:\.|\[dot\]|\(dot\)|\sdot\s)\s*[\w-]+)+|\s+at\s+[\w-]+(?:\s*(?:\[dot\]|\(dot\)|\sdot\s)\s*[\w-]+)+)")
@@ -277,6 +279,16 @@ def trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def forms(words: pa.Array) -> pa.Array:
+    """Each word, but ``A`` or ``a`` for one that is all letters between
+    punctuation and not on the lists of :func:`features`: those differ in
+    nothing but the case of the first letter."""
+    core = pc.utf8_trim(words, EDGE)
+    letters = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.is_in(pc.utf8_lower(core), pa.array([*CUES, *CALLS], core.type))))
+    first = pc.utf8_is_upper(pc.utf8_slice_codeunits(core, 0, 1))
+    return pc.if_else(letters, pc.if_else(first, pa.scalar("A", core.type), pa.scalar("a", core.type)), words)
+
+
 def added_spans(field: Field, texts: list[str], pool: pa.Array) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds in each text (``pool`` holds the same
     texts)."""
@@ -288,11 +300,12 @@ def added_spans(field: Field, texts: list[str], pool: pa.Array) -> list[list[tup
     line_of = np.repeat(np.arange(len(line_text)), np.asarray(split.value_lengths()))
     full = np.asarray(pc.binary_length(words)) > 0
     coded = words.dictionary_encode()
-    code, line_of = np.asarray(coded.indices)[full], line_of[full]
+    form = forms(coded.dictionary).dictionary_encode()  # words of one form have the same features
+    code, line_of = np.asarray(form.indices)[np.asarray(coded.indices)[full]], line_of[full]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not len(code):
         return out
-    own, after, before = (x.astype(np.float32) for x in field.emissions(coded.dictionary.to_pylist()))
+    own, after, before = (x.astype(np.float32) for x in field.emissions(form.dictionary.to_pylist()))
 
     def scores(at: np.ndarray) -> np.ndarray:
         """Emissions of the words at these places of the batch."""
@@ -311,6 +324,22 @@ def added_spans(field: Field, texts: list[str], pool: pa.Array) -> list[list[tup
     same = line_of[1:] == line_of[:-1]
     gain[1:] += np.where(same, after_lead[code[:-1]], 0)
     gain[:-1] += np.where(same, before_lead[code[1:]], 0)
+    # among plain words the gain is known exactly, not only bounded
+    place = {w: k for k, w in enumerate(form.dictionary.to_pylist()) if w in PLAIN_FORMS}
+    kind = np.full(len(form.dictionary), OTHER, np.int8)
+    for w, k in place.items():
+        kind[k] = PLAIN_FORMS.index(w)
+    now = kind[code]
+    back = np.r_[np.int8(EDGE_OF_LINE), np.where(same, now[:-1], EDGE_OF_LINE)]
+    ahead = np.r_[np.where(same, now[1:], EDGE_OF_LINE), np.int8(EDGE_OF_LINE)]
+    exact = np.full((4, 4, 4), np.inf)
+    ends = [(n, k) for n, k in enumerate(map(place.get, PLAIN_FORMS)) if k is not None]
+    for b, kb in [*ends, (EDGE_OF_LINE, None)]:
+        for n, kn in ends:
+            for a, ka in [*ends, (EDGE_OF_LINE, None)]:
+                e = own[kn] + (0 if kb is None else after[kb]) + (0 if ka is None else before[ka])
+                exact[b, n, a] = (e[1:] - e[0]).max() + step
+    gain = np.minimum(gain, exact[back, now, ahead])
     wanted = np.unique(line_of[gain > 0])
     if not len(wanted):
         return out
@@ -377,7 +406,7 @@ def find_pii(docs: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, more in ((t, more) for part in parts(batch.column(at)) for t, more in both(part)):
+            for t, more in ((t, more) for part in parts(batch.column(at), 2 * PART_BYTES) for t, more in both(part)):
                 base = base_spans(t)
                 new = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
                 spans = [(KINDS.index(k), a, b, True) for k, a, b in base] + [(KINDS.index(k), a, b, False) for k, a, b in new]
