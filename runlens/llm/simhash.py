@@ -190,6 +190,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     joined = docs.join(groups.hint("merge"), F.col(f"`{id}`") == F.col(known), "left")
     stay = joined.where(F.col(known).isNull() | (F.col(known) == F.col(least)))
     own = [F.col(f"`{c}`") for c in docs.columns]
+    if not groups.where(F.col(times) > 1).limit(1).count():  # else texts would be dealt twice
+        return stay.select(*own)
     once = stay.where(F.coalesce(F.col(times), F.lit(1)) == 1).select(*own)
     return once.unionByName(stay.where(F.col(times) > 1).select(*own).dropDuplicates())
 
