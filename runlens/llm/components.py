@@ -1,8 +1,7 @@
 """Connected components over a table of links, by alternating large and small
 stars (Kiveris et al. 2014).  Every round is joins and map-side combined
-minima over (node, node) rows; a hub's rows are a skewed join side, which
-adaptive execution splits.  Nothing is gathered on the driver but one count
-and one checksum a round."""
+minima over (node, node) rows.  Nothing is gathered on the driver but one
+count and one checksum a round."""
 
 from __future__ import annotations
 
@@ -13,8 +12,11 @@ from .common import cut
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each row of ``edges`` with the least v of its u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, v, m): each row of ``edges`` with the least v of its u.  The minima
+    are written first: joined straight to the aggregate, a hub's rows would
+    have to stay together; so both sides are plain shuffles, of which adaptive
+    execution splits the hub's, or the minima are small enough to be sent."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
     return edges.join(least, "u")
 
 
