@@ -145,3 +145,9 @@ def test_groups_are_not_expanded(spark):
     df = spark.range(500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("embedding"))
     got = embedding.near_embeddings(df).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(499, 0)} and sum(r["kept"] for r in got) == 1
+
+
+def test_negative_zero_is_zero(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_embeddings(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1)}

@@ -238,3 +238,9 @@ def test_query_digests(spark):
     from .conftest import SF
     got = decontam.q_op7(spark, SF).where("n_items = 0").first()
     assert got["items_sha256"] == hashlib.sha256(b"").hexdigest() and got["n_hit"] == 0 and got["contaminated"] is False
+
+
+def test_words_of_one_form_have_the_same_features():
+    words = ["the", "The", "THE!!", "at", "(at)", "Call", "x1", "a.b", "!!", "", "Été", "ß", "中文", "ʰ", "_x_", "²", "Ⅷ", "1999", "ǅx", "don't"]
+    for w, form in zip(words, pii.forms(pa.array(words)).to_pylist()):
+        assert pii.features(w) == pii.features(form), w
