@@ -25,7 +25,7 @@ from .common import PART_BYTES, bounded_batches, cut, lean, parts, read
 
 CAPACITY = 1024
 END_ID = 0
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
 LINE_WORDS, LINES = 500, 16
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 BUCKET_PIECES = 50_000
@@ -56,10 +56,12 @@ class SpacedEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words behind a space.  They are encoded many at
-        a time, as one text, in which a word begins at every id that begins
-        with a space."""
+    def _learn(self, words: list[str], at: int) -> None:
+        """Put the ids of words behind a space at the places from ``at`` on.
+        They are encoded many at a time, as one text, in which a word begins
+        at every id that begins with a space."""
+        if not words:
+            return
         found = []
         for i in range(0, len(words), LINES * LINE_WORDS):  # what the tokenizer returns takes a hundred bytes an id
             lines = [" " + " ".join(words[j:j + LINE_WORDS]) for j in range(i, min(i + LINES * LINE_WORDS, len(words)), LINE_WORDS)]
@@ -70,12 +72,10 @@ class SpacedEncoder:
             raise ValueError("the tokenizer joins words over spaces")
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        k = len(self.place)
-        while k + len(words) > len(self.starts):
+        while at + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.place.update(zip(words, range(k, k + len(words))))
-        self.sizes[k:k + len(words)] = np.diff(np.r_[begins, len(ids)])
-        self.starts[k:k + len(words)] = self.used + begins
+        self.sizes[at:at + len(words)] = np.diff(np.r_[begins, len(ids)])
+        self.starts[at:at + len(words)] = self.used + begins
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
 
@@ -97,15 +97,22 @@ class SpacedEncoder:
         whole = np.logical_or.reduceat(odd_at, first) if len(first) else odd_at
         kinds = kinds.to_pylist()
         at = np.fromiter(map(self.place.get, kinds, repeat(-1)), np.int32, len(kinds))
+        # words that come again are remembered, the others only for now
+        again = np.bincount(code, minlength=len(kinds)) > 1
         new = np.flatnonzero((at < 0) & ~odd)
-        if len(new):
-            at[new] = np.arange(len(self.place), len(self.place) + len(new))
-            self._learn([kinds[i] for i in new.tolist()])
+        new = np.r_[new[again[new]], new[~again[new]]]
+        at[new] = np.arange(len(self.place), len(self.place) + len(new))
+        kept = [kinds[i] for i in new[again[new]].tolist()]
+        self._learn(kept, len(self.place))
+        self.place.update(zip(kept, range(len(self.place), len(self.place) + len(kept))))
+        used = self.used
+        self._learn([kinds[i] for i in new[len(kept):].tolist()], len(self.place))
         at = at[code]
         sizes = self.sizes[at]
         sizes[first] = 0
         ends = np.cumsum(sizes)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.starts[at] - (ends - sizes).astype(np.int32), sizes)]
+        self.used = used
         cuts = np.r_[0, ends][np.r_[first, len(at)]].tolist()
         opening = self._encode(words.take(pa.array(first)).to_pylist())
         for k, alone in enumerate(whole.tolist()):
@@ -148,7 +155,6 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: s
             k, *rest = zip(*found) if found else [()] * 6
             columns = [batch.column(0).take(pa.array(k, pa.int64())), *[pa.array(c, pa.int64()) for c in rest[:4]]]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(rest[4], pa.list_(pa.int32()))] if ids else []), names=names)
-        model.forget()  # the worker may go on to other work
 
     return rows.mapInArrow(lean(each), schema)
 
