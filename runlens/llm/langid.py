@@ -176,8 +176,10 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     return [model.samples[b][0] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist())], np.clip(score, 0, 1)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its confidence.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", to: str = "lang_pred", score: str = "score", letter: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its confidence, and, if
+    ``letter`` is given, a column of that name that tells whether the text has
+    a letter, whatever the model has learned.
 
     Only the text is looked at, and all of it.  A null text or one without a
     letter is ``und`` with score 0; so is every text if the model has learned
@@ -186,17 +188,26 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", to: str
     underscores appended."""
     bounded_batches(docs.sparkSession)
     to, score = free_name(docs.columns, to), free_name(docs.columns, score)
-    out = docs.withColumn(to, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    out = docs.withColumn(to, F.lit("")).withColumn(score, F.lit(0.0))
+    if letter:
+        letter = free_name(out.columns, letter)
+        out = out.withColumn(letter, F.lit(True))
+    out = out.schema
     at = docs.columns.index(text)
-    names = [*docs.columns, to, score]
+    names = out.names
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score_texts(shipped.value, part.to_pylist()) for part in parts(batch.column(at))]
+            found, lettered = [], []
+            for part in parts(batch.column(at)):
+                texts = part.to_pylist()
+                found.append(score_texts(shipped.value, texts))
+                lettered += [any(map(str.isalpha, t or "")) for t in texts] if letter else []
             langs = pa.array([x for langs, _ in found for x in langs], pa.string())
             sure = pa.array(np.concatenate([s for _, s in found]) if found else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs, sure], names=names)
+            has = [pa.array(lettered, pa.bool_())] if letter else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, sure, *has], names=names)
 
     return docs.mapInArrow(lean(each), out)
 
@@ -207,10 +218,11 @@ def held_out(id: str):
 
 def accepted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language: texts that are null or
-    have no letter go, all others stay as they are."""
+    have no letter go, all others stay as they are, also where no row has a
+    label or ``und`` is one of the labels."""
     model = train(docs, lang, text, id)
-    to = free_name(docs.columns, "lang_pred")
-    return identify(docs, model, text).where(F.col(to) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    letter = free_name(docs.columns, "has_letter")
+    return identify(docs, model, text, letter=letter).where(F.col(letter)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def q_op3(spark, sf_dir: str) -> DataFrame:

@@ -244,3 +244,12 @@ def test_words_of_one_form_have_the_same_features():
     words = ["the", "The", "THE!!", "at", "(at)", "Call", "x1", "a.b", "!!", "", "Été", "ß", "中文", "ʰ", "_x_", "²", "Ⅷ", "1999", "ǅx", "don't"]
     for w, form in zip(words, pii.forms(pa.array(words)).to_pylist()):
         assert pii.features(w) == pii.features(form), w
+
+
+def test_language_stage_without_labels(spark):
+    data = [(1, "ein Text", None), (2, None, None), (3, "12 --", None), (4, "漢字", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.accepted(docs).collect()) == [1, 4]
+    docs = docs.withColumn("lang", F.lit("und")).withColumn("has_letter", F.lit(False))
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
