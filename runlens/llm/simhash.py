@@ -156,6 +156,14 @@ def links(nodes: DataFrame, node: str, radius: int = 2, block: int = 512) -> Dat
     return dealt.mapInArrow(lean(_compare(radius)), "a long, b long")
 
 
+def rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (fingerprint, least) with the least fingerprint of each one's
+    component."""
+    classes = components(links(nodes, "fingerprint", radius), "a", "b")
+    return nodes.join(classes, nodes.fingerprint == classes.node, "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fingerprint, component_id), one row for each row of ``docs``.
 
@@ -168,29 +176,35 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     has none (then null).  Other columns are ignored, whatever their names;
     an empty table gives an empty table."""
     rows = cut(fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), shingle=shingle), "fingerprints")
-    nodes = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
-    classes = components(links(nodes, "fingerprint", radius), "a", "b")
-    grouped = nodes.join(classes, nodes.fingerprint == classes.node, "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    grouped = rooted(cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes"), radius)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return (rows.join(grouped.join(least, "root").select("fingerprint", "component_id"), "fingerprint")
             .select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group.  Rows that are
+    """One row of ``docs`` for each group: that of the least id, of several
+    with this id the one whose columns have the least hash, so that an id
+    may stand for several texts, each judged by its own group.  Rows that are
     alike in every column count as one document; rows with a null id stay.
-    Texts are dealt once, by id, whatever the size of either side, so that a
-    run costs in proportion to its input."""
-    known = free_name(docs.columns, "known_id")
-    least = free_name([*docs.columns, known], "least_id")
-    times = free_name([*docs.columns, known, least], "times")
-    groups = cut(simhash_groups(docs.where(F.col(f"`{id}`").isNotNull()), id, text, shingle, radius)
-                 .groupBy(F.col(id).alias(known)).agg(F.min("component_id").alias(least), F.count("*").alias(times)), "groups")
-    joined = docs.join(groups.hint("merge"), F.col(f"`{id}`") == F.col(known), "left")
-    stay = joined.where(F.col(known).isNull() | (F.col(known) == F.col(least)))
+    Texts are dealt once, by id and hash, whatever the size of either side, so
+    that a run costs in proportion to its input."""
+    names = []
+    for base in ("row_hash", "known_id", "known_hash", "times"):
+        names.append(free_name([*docs.columns, *names], base))
+    hash_, known, known_hash, times = names
     own = [F.col(f"`{c}`") for c in docs.columns]
-    if not groups.where(F.col(times) > 1).limit(1).count():  # else texts would be dealt twice
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumn(hash_, F.xxhash64(*hashed, *[c.isNull() for c in hashed]))  # nulls alone leave a hash as it was
+    rows = fingerprints(keyed.where(F.col(f"`{id}`").isNotNull()).select(
+        F.col(f"`{id}`").alias("id"), F.col(hash_).alias("hash"), F.col(f"`{text}`").cast("string").alias("text")), shingle=shingle)
+    nodes = cut(rows.groupBy("fingerprint", "id", "hash").agg(F.count("*").alias("times"))
+                .groupBy("fingerprint").agg(F.min(F.struct("id", "hash", "times")).alias("least")), "nodes")
+    first = cut(rooted(nodes, radius).groupBy("root").agg(F.min("least").alias("least")).select(
+        F.col("least.id").alias(known), F.col("least.hash").alias(known_hash), F.col("least.times").alias(times)), "first")
+    joined = keyed.join(first.hint("merge"), (F.col(f"`{id}`") == F.col(known)) & (F.col(hash_) == F.col(known_hash)), "left")
+    stay = joined.where(F.col(f"`{id}`").isNull() | F.col(known).isNotNull())
+    if not first.where(F.col(times) > 1).limit(1).count():  # else texts would be dealt twice
         return stay.select(*own)
     once = stay.where(F.coalesce(F.col(times), F.lit(1)) == 1).select(*own)
     return once.unionByName(stay.where(F.col(times) > 1).select(*own).dropDuplicates())

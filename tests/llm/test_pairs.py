@@ -151,3 +151,15 @@ def test_negative_zero_is_zero(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_embeddings(df).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1)}
+
+
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    """An id with several texts: each row is judged by its own group."""
+    text = {k: " ".join(f"{k}{i * i % 101}" for i in range(80)) for k in "abc"}
+    data = [(1, text["a"], "x"), (5, text["a"], "x"), (5, text["b"], "x"), (6, text["b"], "x"),  # b's group has ids 5 and 6
+            (3, text["c"], "x"), (3, text["c"], "y"), (3, text["c"], None), (3, text["c"], "x"), (4, text["c"], "x"), (None, text["c"], "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert [r for r in got if r[0] is None] == [data[-1]]
+    assert sorted((r[0], r[1][0]) for r in got if r[0] is not None) == [(1, "a"), (3, "c"), (5, "b")]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in simhash.keep_one(docs.repartition(5)).collect())
