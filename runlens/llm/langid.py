@@ -8,6 +8,11 @@ the language with the fewest bits a character wins.
 Texts are read as lower-case letters with every run of other characters as
 one space, and cut at fixed steps of ``SPAN`` characters, so that many pieces
 of many texts advance through one transition table at once in numpy.
+
+Every letter of the samples is a symbol of its own.  A language's table has
+the symbols of its own sample and one for all it lacks, on which no phrase
+goes on.  With more than ``DENSE`` symbols (Chinese, Japanese, Korean) only
+the transitions there are stand in the table, in order of state and symbol.
 """
 
 from __future__ import annotations
@@ -24,9 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free_name, lean, parts, read
 
 SPAN = 512
-LETTERS = 62  # most frequent letters of the sample, each a symbol of its own
-OTHER = LETTERS + 1
-SYMBOLS = OTHER + 1
+DENSE = 64  # symbols of a sample up to which its transitions are a full table
 UNKNOWN = "und"
 
 
@@ -70,11 +73,38 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", order: str =
     return LanguageModel(samples)
 
 
-def _transitions(symbols: list[int]) -> tuple[np.ndarray, int]:
-    """The suffix automaton of a symbol sequence as a parsing table.  Entry
-    (state, symbol) is twice the offset of the next state's row, plus one
-    where a new phrase starts at that symbol.  The last row is where no phrase
-    is open."""
+@dataclass(frozen=True)
+class _Parser:
+    """The suffix automaton of a sample.  ``local`` has the sample's own number
+    of each symbol, ``width`` - 1 for those it lacks; a state is ``width``
+    times its number, and ``start`` is where no phrase is open.  An entry is
+    twice the next state, plus one where a new phrase starts.  If ``keys`` is
+    None ``entries`` has one for every state + symbol; else ``keys`` has the
+    sums from which a phrase goes on, in order, and ``fresh`` the entry of
+    each symbol for all others."""
+    local: np.ndarray
+    width: int
+    start: int
+    size: int
+    entries: np.ndarray
+    keys: np.ndarray | None
+    fresh: np.ndarray
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = state + symbols
+        if self.keys is None:
+            return self.entries[key]
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.entries[at], self.fresh[symbols])
+
+
+def _parser(symbols: list[int], n_symbols: int) -> _Parser:
+    """The parser of a sample of symbols under ``n_symbols``."""
+    own = sorted(set(symbols))
+    width = len(own) + 1
+    local = np.full(n_symbols, len(own), np.int64)
+    local[own] = np.arange(len(own))
+    symbols = local[symbols].tolist()
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -101,28 +131,28 @@ def _transitions(symbols: list[int]) -> tuple[np.ndarray, int]:
                 link[q] = link[new] = copy
         last = new
     between = len(go)  # after a symbol that the sample lacks, and at the start
-    table = np.full((between + 1, SYMBOLS), -1, np.int32)
-    for s, out in enumerate(go):
-        for c, t in out.items():
-            table[s, c] = t * SYMBOLS * 2
-    fresh = np.where(table[0] >= 0, table[0], between * SYMBOLS * 2) + 1
-    return np.where(table >= 0, table, fresh[None, :]).astype(np.int32).ravel(), len(symbols)
+    keys = np.array([s * width + c for s, out in enumerate(go) for c in sorted(out)], np.int64)
+    entries = np.array([out[c] * width * 2 for out in go for c in sorted(out)], np.int64)
+    fresh = np.full(width, between * width * 2, np.int64)
+    fresh[keys[keys < width]] = entries[keys < width]
+    fresh += 1
+    if width > DENSE:  # the last key is larger than any state + symbol
+        return _Parser(local, width, between * width, len(symbols), np.r_[entries, 0], np.r_[keys, (between + 1) * width], fresh)
+    table = np.tile(fresh.astype(np.int32), between + 1)
+    table[keys] = entries
+    return _Parser(local.astype(np.int32), width, between * width, len(symbols), table, None, fresh)
 
 
 @lru_cache(maxsize=1)
 def _parsers(model: LanguageModel):
-    """(symbol of each code point, [(parsing table, sample size)])."""
-    code = np.zeros(0x110000, np.uint8)
+    """(symbol of each code point, parser of each language).  Symbol 0 is all
+    that is no letter, 1 every letter that no sample has."""
+    code = np.zeros(0x110000, np.int32)
     for start in range(0, 0x110000, 0x10000):
-        code[start:start + 0x10000] = [OTHER if chr(c).isalpha() else 0 for c in range(start, start + 0x10000)]
-    count: dict[str, int] = {}
-    for _, sample in model.samples:
-        for c in sample.lower():
-            if c.isalpha():
-                count[c] = count.get(c, 0) + 1
-    for i, c in enumerate(sorted(count, key=lambda c: (-count[c], c))[:LETTERS]):
-        code[ord(c)] = i + 1
-    return code, [_transitions(_symbols(code, [sample])[0].tolist()) for _, sample in model.samples]
+        code[start:start + 0x10000] = [1 if chr(c).isalpha() else 0 for c in range(start, start + 0x10000)]
+    letters = sorted({c for _, sample in model.samples for c in sample.lower() if c.isalpha()})
+    code[list(map(ord, letters))] = np.arange(len(letters)) + 2
+    return code, [_parser(_symbols(code, [sample])[0].tolist(), len(letters) + 2) for _, sample in model.samples]
 
 
 def _symbols(code: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +160,7 @@ def _symbols(code: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     each text ends."""
     flat = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     ends = np.cumsum([len(x) for x in flat])
-    all_ = code[np.concatenate(flat)] if flat else np.zeros(0, np.uint8)
+    all_ = code[np.concatenate(flat)] if flat else np.zeros(0, np.int32)
     keep = all_ > 0
     keep[1:] |= all_[:-1] > 0
     starts = np.r_[0, ends[:-1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
@@ -146,7 +176,7 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     language was learned).  Ties go to the first language by name."""
     if not model.samples or not texts:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    code, tables = _parsers(model)
+    code, parsers = _parsers(model)
     symbols, ends = _symbols(code, [t or "" for t in texts])
     size = np.diff(np.r_[0, ends])
     pieces = -(-size // SPAN)
@@ -157,20 +187,21 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     by = np.argsort(-length, kind="stable")
     owner, start, length = owner[by], start[by], length[by]
     active = np.searchsorted(-length, -np.arange(SPAN), side="left") if len(length) else np.zeros(SPAN, np.int64)
-    bits = np.zeros((len(tables), len(texts)))
-    for k, (table, n) in enumerate(tables):
-        state = np.full(len(start), len(table) - SYMBOLS, np.int32)
+    bits = np.zeros((len(parsers), len(texts)))
+    for k, parser in enumerate(parsers):
+        own = parser.local[symbols]
+        state = np.full(len(start), parser.start, own.dtype)
         phrases = np.zeros(len(start), np.int32)
         for step in range(int(length[0]) if len(length) else 0):
             m = active[step]
-            got = table[state[:m] + symbols[start[:m] + step]]
-            phrases[:m] += got & 1
+            got = parser.step(state[:m], own[start[:m] + step])
+            phrases[:m] += (got & 1).astype(np.int32)
             state[:m] = got >> 1
-        bits[k] = np.bincount(owner, phrases, len(texts)) * np.log2(max(n, 2))
+        bits[k] = np.bincount(owner, phrases, len(texts)) * np.log2(max(parser.size, 2))
     known = np.bincount(owner, minlength=len(texts)) > 0
     best = bits.argmin(0)
     ranked = np.sort(bits, axis=0)
-    second = ranked[1] if len(tables) > 1 else np.full(len(texts), np.inf)
+    second = ranked[1] if len(parsers) > 1 else np.full(len(texts), np.inf)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(known, 1 - ranked[0] / second, 0.0)
     return [model.samples[b][0] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist())], np.clip(score, 0, 1)

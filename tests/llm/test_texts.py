@@ -253,3 +253,22 @@ def test_language_stage_without_labels(spark):
     docs = docs.withColumn("lang", F.lit("und")).withColumn("has_letter", F.lit(False))
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_every_letter_of_the_samples_counts():
+    """Scripts of thousands of letters, with small alphabets beside them."""
+    rng = np.random.default_rng(5)
+    made = [("greek", 0x3B1, 24), ("han", 0x4E00, 3000), ("hangul", 0xAC00, 2000), ("han2", 0x4E00, 3000), ("latin", 97, 26)]
+    lexicons = {name: ["".join(chr(first + c) for c in rng.integers(0, n, 3)) for _ in range(400)] for name, first, n in made}
+
+    def text(name, words):
+        return " ".join(lexicons[name][i] for i in rng.integers(0, 400, words))
+    samples = tuple(sorted((name, text(name, 900)) for name in lexicons))
+    model = langid.LanguageModel(samples)
+    assert {p.keys is None for p in langid._parsers(model)[1]} == {True, False}
+    texts = [text(name, 12) for name in lexicons] + ["ж жж", text("han", 3) + " " + text("latin", 4) + "\u00df"]
+    langs, score = langid.score_texts(model, texts)
+    assert langs[:5] == list(lexicons)
+    for t, lang, s in zip(texts, langs, score):
+        cost = sorted((longest_parse(t.lower(), sample.lower()) * math.log2(len(sample)), name) for name, sample in samples)
+        assert lang == cost[0][1] and abs(s - (1 - cost[0][0] / cost[1][0])) < 1e-9
