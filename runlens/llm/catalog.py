@@ -6,7 +6,7 @@ import importlib
 
 from ..session import ship_package
 
-SUBJECTS = ["embedding", "simhash", "langid", "lm", "pii", "linededup", "decontam", "substring", "chat", "packing"]
+SUBJECTS = ["embedding", "simhash", "langid", "lm", "pii", "linededup", "decontam", "substring", "chat", "packing", "toxicity", "fim", "divergence"]
 
 
 def _shipped(fn):
