@@ -24,7 +24,7 @@ from .words import flat, pieces, terms
 
 MIN_DOCUMENTS, TOP = 30, 50
 UNIT, PRIOR = 1_000_000_000, 5  # shares are in parts of UNIT, counts are raised by PRIOR
-CELLS = 1 << 22  # counts (rows x sources) of a block
+BLOCK, LEAST, CELLS = 4096, 512, 1 << 22  # rows of a block: at most, at least, and times its sources
 
 
 def _long(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -130,7 +130,7 @@ def _block(lang, vectors: pa.Table, groups: pa.Table) -> pa.Table:
 
 
 def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
-               min_documents: int = MIN_DOCUMENTS, top: int = TOP, cells: int = CELLS) -> DataFrame:
+               min_documents: int = MIN_DOCUMENTS, top: int = TOP, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): for every source of a language
     its distance to each other source of it (part ``pair``) and the ``top``
     terms it uses beyond the language as a whole (part ``term``).
@@ -146,7 +146,8 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     Null lang, source and text are empty strings; repeated rows are documents
     of their own; a source alone in its language has no pairs; an empty table
     gives an empty table.  Other columns of ``docs`` are not looked at.
-    ``cells`` bounds the counts a task holds at a time, not what is counted."""
+    ``block`` bounds the rows a task holds at a time (less where a language has
+    many sources), not what is counted."""
     as_text = lambda c, to: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(to)
     rows = docs.select(as_text(lang, "lang"), as_text(source, "source"), as_text(text, "text"))
     found = term_counts(rows).groupBy("lang", "term").agg(
@@ -160,7 +161,8 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
 
     vectors = cut(vocabulary.groupBy("lang", "cells").agg(F.count("*").alias("length")), "vectors")
     sizes = groups.groupBy("lang").agg(F.count("*").alias("columns")).join(vectors.groupBy("lang").agg(F.count("*").alias("rows")), "lang", "left")
-    blocks = cut(sizes.select("lang", F.greatest(F.ceil(F.coalesce("rows", F.lit(0)) * F.col("columns") / cells), F.lit(1)).cast("long").alias("blocks")), "blocks")
+    held = F.least(F.lit(block), F.greatest(F.lit(CELLS) / F.col("columns"), F.lit(LEAST)))
+    blocks = cut(sizes.select("lang", F.greatest(F.ceil(F.coalesce("rows", F.lit(0)) / held), F.lit(1)).cast("long").alias("blocks")), "blocks")
     dealt = vectors.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("cells"), F.col("blocks")).alias("block"), "cells", "length")
     held = groups.join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "total", "kept")
     added = (dealt.groupBy("lang", "block").cogroup(held.groupBy("lang", "block"))

@@ -104,11 +104,11 @@ def plain_divergence(docs, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cells", [divergence.CELLS, 40])
-def test_divergence_matches_brute_force(spark, rows, cells):
+@pytest.mark.parametrize("block", [divergence.BLOCK, 3])
+def test_divergence_matches_brute_force(spark, rows, block):
     data = rows("documents", "lang, source, text", "doc_id")
     docs = spark.createDataFrame(data, "lang string, source string, text string")
-    got = sorted(map(tuple, divergence.divergence(docs, min_documents=8, cells=cells).collect()))
+    got = sorted(map(tuple, divergence.divergence(docs, min_documents=8, block=block).collect()))
     assert got == plain_divergence(data, 8) and {r[2] for r in got} == {"pair", "term"}
 
 
