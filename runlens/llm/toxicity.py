@@ -82,7 +82,7 @@ def present(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarra
         sieve = np.zeros(1 << 20, bool)
         sieve[known.view(np.uint64) >> np.uint64(44)] = True
     rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in pieces(data, 2 * PART_BYTES):
+    for a, b in pieces(data, PART_BYTES):
         words, row = terms(data[a:b], np.clip(offsets - a, 0, b - a))
         codes = words.dictionary_encode()
         count = max(len(codes.dictionary), 1)
