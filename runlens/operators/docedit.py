@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import positions
-
 # Snippet context, output truncation limit and notice, and the
 # edit tool's messages (printf-style formats, in the order the checks run).
 SNIPPET_LINES = 4
@@ -47,6 +45,7 @@ MSG = {
     "undone": "Last edit to %s undone successfully. ",
     "clipped": "\n<response clipped> %d more entries not shown",
 }
+DEALS = 256
 
 
 def expand_tabs(c: Column, size: int = 8) -> Column:
@@ -77,6 +76,14 @@ def numbered(c: Column, init_line: Column | int = 1) -> Column:
     return F.array_join(F.transform(lines, lambda ln, i: F.format_string(MSG["line_number"], i + i0, ln)), "\n")
 
 
+def with_numbered(df: DataFrame, text: str, init_line: Column | int, out: str) -> DataFrame:
+    """``df`` with ``out`` as :func:`numbered` of the column ``text``, in steps:
+    what is used more than once is a column first, so it is computed once."""
+    i0 = F.lit(init_line) if isinstance(init_line, int) else init_line
+    return (df.withColumn(out, truncate(F.col(text))).withColumn(out, F.split(expand_tabs(F.col(out)), "\n", -1))
+            .withColumn(out, F.array_join(F.transform(out, lambda ln, i: F.format_string(MSG["line_number"], i + i0, ln)), "\n")))
+
+
 def make_output(text: Column, descriptor: Column, init_line: Column | int = 1) -> Column:
     """The ``cat -n`` block the tool prints: header, numbered lines, newline."""
     return F.concat(F.format_string(MSG["cat_n"], descriptor), numbered(text, init_line), F.lit("\n"))
@@ -94,56 +101,44 @@ def _count(content: Column, old: Column) -> Column:
 def replace_unique(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """Replace ``old`` by ``new`` only where it occurs exactly once (after tab
     expansion).  Output: path, content (new or unchanged), error, snippet."""
-    j = docs.join(edits, "path")
-    content = expand_tabs(F.col("content"))
-    old = expand_tabs(F.col("old"))
-    new = F.coalesce(expand_tabs(F.col("new")), F.lit(""))
-    x = j.select("path", content.alias("c"), old.alias("o"), new.alias("n"))
-    n_occ = _count(F.col("c"), F.col("o"))
-    lines = F.split(F.col("c"), "\n", -1)
-    hit_lines = F.filter(F.transform(lines, lambda ln, i: F.when(F.contains(ln, F.col("o")), i + 1)),
-                         lambda v: v.isNotNull())
-    err = (F.when(n_occ == 0, F.format_string(MSG["not_found"], F.col("o"), F.col("path")))
-           .when(n_occ > 1, F.format_string(
-               MSG["not_unique"], F.col("o"),
-               F.array_join(F.transform(hit_lines, lambda v: v.cast("string")), ", "))))
-    x = x.withColumn("error", err).withColumn(
-        "new_content", F.when(F.col("error").isNull(), F.replace("c", "o", "n")).otherwise(F.col("c")))
-    rl = F.size(F.split(F.expr("substring_index(c, o, 1)"), "\n", -1)) - 1
-    start = F.greatest(F.lit(0), rl - SNIPPET_LINES)
-    end = rl + SNIPPET_LINES + F.size(F.split(F.col("n"), "\n", -1)) - 1
-    snippet = F.array_join(F.slice(F.split(F.col("new_content"), "\n", -1), start + 1, end - start + 1), "\n")
-    msg = F.concat(F.format_string(MSG["edited"], F.col("path")),
-                   make_output(snippet, F.format_string(MSG["snippet_of"], F.col("path")), start + 1),
-                   F.lit(MSG["review"]))
-    return x.select("path", F.col("new_content").alias("content"), "error",
-                    F.when(F.col("error").isNull(), numbered(snippet, start + 1)).alias("snippet"),
-                    F.when(F.col("error").isNull(), msg).alias("message"))
+    x = docs.join(edits, "path").select("path", expand_tabs(F.col("content")).alias("c"), expand_tabs(F.col("old")).alias("o"),
+                                        F.coalesce(expand_tabs(F.col("new")), F.lit("")).alias("n"))
+    # each step is a column before the next one uses it, so it is computed once
+    x = x.withColumn("occ", _count(F.col("c"), F.col("o")))
+    once, many = F.col("occ") == 1, F.col("occ") > 1
+    hits = F.filter(F.transform(F.split("c", "\n", -1), lambda ln, i: F.when(F.contains(ln, F.col("o")), i + 1)), lambda v: v.isNotNull())
+    x = x.withColumn("error", F.when(F.col("occ") == 0, F.format_string(MSG["not_found"], F.col("o"), F.col("path")))
+                     .when(many, F.format_string(MSG["not_unique"], F.col("o"), F.array_join(F.transform(hits, lambda v: v.cast("string")), ", "))))
+    x = x.withColumn("rl", F.when(once, F.size(F.split(F.expr("substring_index(c, o, 1)"), "\n", -1)) - 1))
+    x = x.withColumn("content", F.when(once, F.replace("c", "o", "n")).otherwise(F.col("c")))
+    x = x.withColumn("start", F.greatest(F.lit(0), F.col("rl") - SNIPPET_LINES) + 1)
+    upto = F.col("rl") + SNIPPET_LINES + F.size(F.split("n", "\n", -1))
+    x = x.withColumn("shown", F.when(once, F.array_join(F.slice(F.split("content", "\n", -1), F.col("start"), upto - F.col("start") + 1), "\n")))
+    x = with_numbered(x, "shown", F.col("start"), "snippet")
+    msg = F.concat(F.format_string(MSG["edited"], F.col("path")), F.format_string(MSG["cat_n"], F.format_string(MSG["snippet_of"], F.col("path"))),
+                   F.col("snippet"), F.lit("\n"), F.lit(MSG["review"]))
+    return x.select("path", "content", "error", "snippet", F.when(once, msg).alias("message"))
 
 
 # -- F12 ---------------------------------------------------------------------
 def insert_lines(docs: DataFrame, inserts: DataFrame) -> DataFrame:
     """Insert ``text`` after line ``line`` (0 = top); valid 0..line count."""
-    j = docs.join(inserts, "path")
-    lines = F.split(expand_tabs(F.col("content")), "\n", -1)
-    new = F.split(expand_tabs(F.col("text")), "\n", -1)
-    x = j.select("path", "line", lines.alias("l"), new.alias("t"), F.col("content"))
+    x = docs.join(inserts, "path").select("path", "line", F.split(expand_tabs(F.col("content")), "\n", -1).alias("l"),
+                                          F.split(expand_tabs(F.col("text")), "\n", -1).alias("t"), "content")
     n = F.size("l")
     ok = (F.col("line") >= 0) & (F.col("line") <= n)
     body = F.concat(F.expr("slice(l, 1, line)"), F.col("t"),
                     F.expr("slice(l, line + 1, greatest(size(l) - line, 0))"))
-    lo = F.greatest(F.lit(0), F.col("line") - SNIPPET_LINES)
     snip = F.concat(F.expr(f"slice(l, greatest(line - {SNIPPET_LINES}, 0) + 1, line - greatest(line - {SNIPPET_LINES}, 0))"),
                     F.col("t"), F.expr(f"slice(l, line + 1, {SNIPPET_LINES})"))
-    return x.select(
-        "path",
-        F.when(ok, F.array_join(body, "\n")).otherwise(F.col("content")).alias("content"),
-        F.when(~ok, F.format_string(MSG["bad_insert"], F.col("line"), n)).alias("error"),
-        F.when(ok, numbered(F.array_join(snip, "\n"), F.greatest(F.lit(1), lo + 1))).alias("snippet"),
-        F.when(ok, F.concat(F.format_string(MSG["edited"], F.col("path")),
-                            make_output(F.array_join(snip, "\n"), F.lit(MSG["snippet_edited"]),
-                                        F.greatest(F.lit(1), lo + 1)),
-                            F.lit(MSG["review_insert"]))).alias("message"))
+    x = x.select("path", F.when(ok, F.array_join(body, "\n")).otherwise(F.col("content")).alias("content"),
+                 F.when(~ok, F.format_string(MSG["bad_insert"], F.col("line"), n)).alias("error"),
+                 F.when(ok, F.array_join(snip, "\n")).alias("shown"),
+                 F.greatest(F.lit(1), F.col("line") - SNIPPET_LINES + 1).alias("start"))
+    x = with_numbered(x, "shown", F.col("start"), "snippet")
+    msg = F.concat(F.format_string(MSG["edited"], F.col("path")), F.format_string(MSG["cat_n"], F.lit(MSG["snippet_edited"])),
+                   F.col("snippet"), F.lit("\n"), F.lit(MSG["review_insert"]))
+    return x.select("path", "content", "error", "snippet", F.when(F.col("error").isNull(), msg).alias("message"))
 
 
 # -- F13 ---------------------------------------------------------------------
@@ -189,18 +184,27 @@ def char_budget(entries: DataFrame, key: str, order: list[str], body: Column, he
     included, and the entries after it are counted in ``remaining``.
 
     Lengths are taken first and the ``payload`` columns (the long texts) left
-    behind: what is numbered and summed is (key, order, length) and the short
-    columns.  Entries get their number without a window over the key
-    (``scan.positions``); an entry has at least ``min_entry_len`` characters, so
-    only the first ``budget // min_entry_len + 1`` of a key can be shown, and
-    the running sum is over those.  The payload of the shown entries is joined
-    back on (key, order), which must tell entries apart if there is one."""
+    behind.  A key's entries are dealt into ``DEALS`` parts by a hash of their
+    order, and summed up in order within each part.  What comes before an entry
+    in its part comes before it in the report too, so an entry with more than
+    the budget before it in its part cannot be shown, nor can one that follows
+    it; the others of all parts, a few for each part whatever the key's size,
+    are the only ones that meet in one window of the key.  (All shown entries
+    are among them; whatever follows the first one left out has more than the
+    budget before it in this window as well.)  The payload of the shown entries
+    is joined back on (key, order), which must tell entries apart if there is
+    one."""
     k_max = budget // max(1, min_entry_len) + 1
-    light = entries.withColumn("_body", F.length(body)).drop(*payload)
+    light = entries.withColumn("_body", F.length(body).cast("bigint")).drop(*payload)
     totals = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = positions(light, key, list(order), out="i").withColumn("i", F.col("i") + 1).where(F.col("i") <= k_max)
-    top = (top.join(totals, key)
-           .withColumn("_len", (F.length(F.col("i").cast("string")) + 2 + F.col("_body")).cast("bigint"))
+    part = Window.partitionBy(key, "_deal").orderBy(*order)
+    least = F.col("_body") + 3  # a number has a digit, a point and a space at least
+    near = (light.withColumn("_deal", F.pmod(F.xxhash64(*order), F.lit(DEALS)))
+            .withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= k_max)
+            .withColumn("_spent", F.sum(least).over(part.rowsBetween(Window.unboundedPreceding, 0)) - least)
+            .where(F.col("_spent") <= budget).drop("_deal", "_nth", "_spent"))
+    top = near.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")).where(F.col("i") <= k_max).join(totals, key)
+    top = (top.withColumn("_len", (F.length(F.col("i").cast("string")) + 2 + F.col("_body")).cast("bigint"))
            .withColumn("_hdr", F.length(header(F.col("n"))).cast("bigint")))
     wr = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     top = top.withColumn("cum_chars", F.col("_hdr") + F.sum("_len").over(wr))

@@ -22,6 +22,27 @@ LINE_BUCKET = 64
 
 
 # -- J10 ---------------------------------------------------------------------
+def dyadic_ranges(low: Column, high: Column) -> Column:
+    """The fewest ranges [index * 2^level, (index + 1) * 2^level) that make up
+    ``low`` .. ``high`` (longs, both included), as array<struct<level, index>>:
+    at most two of a level, 2 log2 of the length in all."""
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        first = F.call_function("shiftright", low + size - 1, level)
+        end = F.call_function("shiftright", high + 1, level)
+        node = lambda index: F.struct(level.alias("level"), index.alias("index"))
+        own = F.array(F.when((first < end) & (first % 2 == 1), node(first)), F.when((first < end) & (end % 2 == 1), node(end - 1)))
+        return F.filter(own, lambda x: x.isNotNull())
+
+    one = F.array(F.struct(F.lit(0).alias("level"), low.alias("index")))
+    return F.when(low == high, one).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), _top_level(low, high)), at)))
+
+
+def _top_level(low: Column, high: Column) -> Column:
+    """No larger dyadic range lies in ``low`` .. ``high``."""
+    return F.floor(F.log2((high - low).cast("double") + 1.5)).cast("int")
+
+
 def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_BUCKET,
                      functions: DataFrame | None = None) -> DataFrame:
     """Parent of every function span by containment inside its file.
@@ -35,11 +56,14 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     with one of them, that one.  ``rule="nearest_class"`` (Java, C++,
     TS, JS methods): innermost class only.  ``rule="none"`` (C): no parent.
 
-    Join plan: equi-join on (file_path, line bucket) with the range test as
-    residual.  A container is replicated to every bucket it covers, a child
-    probes the bucket of its first line, so even one huge file is spread over
-    many join keys instead of one.  ``functions`` limits the work to some of
-    the functions of ``spans``."""
+    Join plan: lines are taken ``bucket`` at a time.  A container's buckets
+    are made up of dyadic ranges (:func:`dyadic_ranges`), at most 2 log2 of
+    them however long it is; the bucket of a child's first line lies in one
+    range of each level, and it probes the levels its file's containers have.
+    The equi-join is on (file_path, level, index) with the range test as
+    residual, so a container meets a child once, and even one huge file is
+    spread over many join keys.  ``functions`` limits the work to some of the
+    functions of ``spans``."""
     fn = spans.where(F.col("kind") == "function") if functions is None else functions
     keep = ["file_path", "sid", "name", "start_line", "end_line"]
     if rule == "none":
@@ -50,21 +74,22 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     # however many, are not paired with each other
     same = Window.partitionBy("file_path", "kind", "start_line", "end_line").orderBy("sid")
     distinct = spans.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= 2)
+    # a malformed span (end before start) must not fail the job: it covers the
+    # bucket of its start, and still contains nothing but itself
+    low = F.floor(F.col("start_line") / bucket).cast("bigint")
+    high = F.greatest(low, F.floor(F.col("end_line") / bucket).cast("bigint"))
     parents = distinct.select(
         "file_path", F.col("sid").alias("p_sid"), F.col("name").alias("p_name"),
         F.col("kind").alias("p_kind"), F.col("start_line").alias("p_start"),
-        F.col("end_line").alias("p_end"),
-        # a malformed span (end before start) must not fail the job: its
-        # bucket range is clamped, and it still contains nothing but itself
-        F.explode(F.sequence(F.floor(F.col("start_line") / bucket).cast("bigint"),
-                             F.greatest(F.floor(F.col("start_line") / bucket),
-                                        F.floor(F.col("end_line") / bucket)).cast("bigint"))).alias("bucket"))
-    kids = fn.select(*keep, F.floor(F.col("start_line") / bucket).cast("bigint").alias("bucket"))
+        F.col("end_line").alias("p_end"), F.explode(dyadic_ranges(low, high)).alias("r")).select("*", "r.level", "r.index").drop("r")
+    levels = spans.groupBy("file_path").agg(F.max(_top_level(low, high)).alias("levels"))
+    kids = fn.join(levels, "file_path").select(*keep, F.explode(F.sequence(F.lit(0), "levels")).alias("level"), low.alias("_bucket"))
+    kids = kids.withColumn("index", F.call_function("shiftright", F.col("_bucket"), F.col("level"))).drop("_bucket")
     # Each function also pairs with itself (it contains itself) or with two
     # others of its lines, so functions without a container still come out of
     # the aggregate: no second pass over the functions, no join back.  Self
     # pairs never count as parents.
-    pairs = kids.join(parents, ["file_path", "bucket"]).where(
+    pairs = kids.join(parents, ["file_path", "level", "index"]).where(
         (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line")))
     other = F.col("p_sid") != F.col("sid")
     rank = F.struct(F.col("p_start"), -F.col("p_end"), -F.col("p_sid"))

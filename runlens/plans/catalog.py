@@ -9,7 +9,7 @@ from ..session import ship_package
 
 # Subject modules, each exporting QUERIES (key -> fn(spark, sf_dir)) and
 # ORACLE (key -> DuckDB SQL; absent for keys checked by golden tests only).
-SUBJECTS = ["selection", "steps", "testruns", "patches", "replies", "documents", "symbols", "instances", "files", "live"]
+SUBJECTS = ["selection", "steps", "testruns", "patches", "replies", "documents", "edits", "symbols", "instances", "files", "live"]
 
 
 def _modules():
