@@ -6,7 +6,7 @@ Catalyst prunes the nested columns each table does not use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,77 @@ def flatten_trajectories(traj: DataFrame) -> dict[str, DataFrame]:
             "step_tool_calls": step_calls, "step_tool_results": step_results}
 
 
+TABLES = ("runs", "interactions", "messages", "response_tool_calls", "steps", "step_tool_calls", "step_tool_results")
+
+
+def flatten_once(traj: DataFrame) -> DataFrame:
+    """The seven tables in one pass: a row for each of their rows, with
+    ``table`` its name, ``run_id``, and a struct column for each table that is
+    null but for its own.  Each trajectory is parsed once and exploded once;
+    nothing is shuffled.  Unreadable trajectories (``_bad``) have no rows; a
+    null array has none either."""
+    t = traj.where(F.col("_bad").isNull() & (F.length(F.coalesce(F.col("task"), F.lit(""))) >= 0)) if "_bad" in traj.columns else traj
+    none = lambda a: F.coalesce(a, F.array())
+    at = lambda pos, name: pos.alias(name)
+
+    def calls(of, name):
+        return lambda x, *where: F.transform(of(x), lambda c, k: F.struct(*where, at(k, name), c["call_id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), c["id"].alias("id")))
+
+    run = F.struct("task", "start_time", F.expr("try_cast(nullif(end_time, '') AS TIMESTAMP_NTZ)").alias("end_time"), "provider", "model", "max_steps", "success", "final_result",
+                   "execution_time", F.size("agent_steps").alias("n_steps"), F.size("llm_interactions").alias("n_interactions"))
+    usage = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "reasoning_tokens")
+
+    def interaction(i, k):
+        return F.struct(at(k, "interaction_pos"), *[i[c].alias(c) for c in ("timestamp", "latency_s", "provider", "model")],
+                        *[i["response"][c].alias(c) for c in ("response_id", "content", "finish_reason")], *[i["response"]["usage"][c].alias(c) for c in usage],
+                        i["tools_available"].alias("tools_available"), F.when(i["wire_request"]["body"].isNotNull(), i["wire_request"]).alias("wire_request"))
+
+    def message(i, k):
+        return F.transform(i["input_messages"], lambda m, n: F.struct(at(k, "interaction_pos"), at(n, "message_pos"), *[m[c].alias(c) for c in ("role", "content", "tool_call", "tool_result")]))
+
+    def step(s, k):
+        return F.struct(at(k, "step_pos"), *[s[c].alias(c) for c in ("step_number", "timestamp", "state")], s["llm_response"]["content"].alias("content"),
+                        *[s["llm_response"]["usage"][c].alias(c) for c in ("input_tokens", "output_tokens")], *[s[c].alias(c) for c in ("reflection", "error", "lakeview_summary")])
+
+    def result(s, k):
+        fields = ("call_id", "success", "result", "error", "id", "exit_code", "executed_command", "executor", "started_at_ns", "ended_at_ns")
+        return F.transform(s["tool_results"], lambda r, n: F.struct(at(k, "step_pos"), s["step_number"].alias("step_number"), at(n, "result_pos"), *[r[c].alias(c) for c in fields],
+                                                                    ((r["ended_at_ns"] - r["started_at_ns"]) / 1e9).alias("duration_s")))
+
+    def nested(rows, each):
+        return F.flatten(F.filter(F.transform(rows, each), lambda a: a.isNotNull()))
+
+    inter, steps = none(F.col("llm_interactions")), none(F.col("agent_steps"))
+    found = {
+        "runs": F.array(run),
+        "interactions": F.transform(inter, interaction),
+        "messages": nested(inter, message),
+        "response_tool_calls": nested(inter, lambda i, k: calls(lambda x: x["response"]["tool_calls"], "call_pos")(i, at(k, "interaction_pos"))),
+        "steps": F.transform(steps, step),
+        "step_tool_calls": nested(steps, lambda s, k: calls(lambda x: x["tool_calls"], "call_pos")(s, at(k, "step_pos"), s["step_number"].alias("step_number"))),
+        "step_tool_results": nested(steps, result),
+    }
+    t = t.select("run_id", *[rows.alias(name) for name, rows in found.items()])
+    kinds = {f.name: f.dataType.elementType for f in t.schema.fields if f.name != "run_id"}
+
+    def tagged(own):
+        return F.transform(own, lambda r: F.struct(F.lit(own).alias("table"), *[r.alias(n) if n == own else F.lit(None).cast(kinds[n]).alias(n) for n in TABLES]))
+
+    return t.select("run_id", F.explode(F.concat(*map(tagged, TABLES))).alias("r")).select("r.table", "run_id", *[f"r.{n}" for n in TABLES])
+
+
+def write_flat(traj: DataFrame, path: str) -> None:
+    """All seven tables under ``path`` in one job, a folder each."""
+    flatten_once(traj).write.mode("overwrite").partitionBy("table").parquet(path)
+
+
+def read_flat(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The seven tables that :func:`write_flat` wrote; reading one opens its
+    folder and its columns only."""
+    flat = spark.read.parquet(path)
+    return {t: flat.where(F.col("table") == t).select("run_id", f"{t}.*") for t in TABLES}
+
+
 def trajectory_reports(flat: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The reports read off flattened trajectories: per-run summary (task
     preview, success, steps, execution time, total tokens), token totals per
