@@ -67,12 +67,16 @@ JSON_FIELDS = ("messages array<struct<role:string,content:string>>, conversation
 
 
 def layout_of(schema: T.StructType) -> tuple[str, str | None]:
-    """(layout, expression) of a schema; fields that no layout has count for
-    nothing.  Raises ValueError if no layout fits."""
-    found = BY_FINGERPRINT.get(fingerprint(p for p in field_paths(schema) if p in KNOWN_PATHS))
-    if found is None:
-        raise ValueError(f"no layout for the fields {sorted(field_paths(schema))}")
-    return found
+    """(layout, expression) of a schema: of the layouts whose paths are all
+    there the one with the most paths, rows of turns before others, then in the
+    order listed.  Whatever else the schema has counts for nothing.  Raises
+    ValueError if no layout fits."""
+    have = set(field_paths(schema))
+    fitting = [(paths, expression) for _, paths, expression in LAYOUTS if set(paths) <= have]
+    if not fitting:
+        raise ValueError(f"no layout for the fields {sorted(have)}")
+    best, _ = max(fitting, key=lambda x: (len(x[0]), x[1] is None))
+    return BY_FINGERPRINT[fingerprint(best)]
 
 
 def _role(role: Column) -> Column:

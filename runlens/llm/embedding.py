@@ -188,13 +188,16 @@ def near_embeddings(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     components, and rows with a null id link with nothing (n_links 0,
     component_id the own id, kept true, or null for a null id).  Vectors of
     different lengths don't link.  Repeated rows are vectors of their own that
-    link with each other.  Other columns are ignored; an empty table gives an
-    empty table."""
+    link with each other, and an id that several vectors have names each of
+    them: every row has the links of its own vector.  Other columns are
+    ignored; an empty table gives an empty table."""
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    nodes = cut(rows.where(sound).groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vectors")
+    # a node is a vector, whatever ids it has: its number is given as the table is written
+    nodes = cut(rows.where(sound).groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+                .withColumn("node", F.monotonically_increasing_id()), "vectors")
     placed = cut(nodes.select("node", "embedding").mapInArrow(lean(_place), "cell long, node long, own boolean"), "cells")
     size = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("lies")).where("size > 1 and lies").select("cell", "size")
     spread = (placed.join(size, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
@@ -205,9 +208,10 @@ def near_embeddings(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     found = cut(dealt.select("cell", "i", "j", "block", "own", "node", "n", "embedding").mapInArrow(lean(_verify(least)), "node long, links long, root long"), "verified")
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found, "node", "root").withColumnRenamed("node", "in_class")
-    known = (nodes.join(total, "node", "left").join(classes, F.col("node") == F.col("in_class"), "left")
-             .select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"),
-                     F.xxhash64("embedding").alias("h")))
+    rooted = cut(nodes.join(total, "node", "left").join(classes, F.col("node") == F.col("in_class"), "left")
+                 .select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"), "least"), "rooted")
+    smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    known = rooted.join(smallest, "root").select("embedding", "n_links", "component_id", F.xxhash64("embedding").alias("h"))
     probe = rows.withColumn("key", F.when(sound, F.xxhash64("embedding"))).alias("r")
     joined = probe.join(known.alias("k"), F.expr("r.key = k.h and r.embedding = k.embedding"), "left")
     own = F.coalesce(F.col("component_id"), F.col("id"))

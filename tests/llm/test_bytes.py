@@ -247,3 +247,19 @@ def test_substring_query_digest(spark):
         assert got[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest() and got[i]["n_spans"] == len(spans)
         assert got[i]["n_removed"] == got[i]["n_bytes"] - len(kept) and isinstance(got[i]["n_spans"], int)
     assert F.col is not None
+
+
+def test_chat_extra_columns_of_other_layouts(spark):
+    """Turn rows stay turn rows whatever columns of other layouts come along,
+    alone, in pairs, and all at once."""
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn int, role string, text string")
+    want = [tuple(r) for r in chat.format_chat([(rows, "conv_id")]).collect()]
+    listed = F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"), F.lit("y").alias("from"), F.lit("z").alias("value")))
+    names = ["input", "output", "prompt", "completion", "question", "answer", "instruction", "messages", "conversations"]
+    for some in [[n] for n in names] + [["prompt", "completion"], ["instruction", "input", "output"], names]:
+        wide = rows.select("*", *[(listed if n in ("messages", "conversations") else F.lit("x")).alias(n) for n in some])
+        assert [tuple(r) for r in chat.format_chat([(wide, "conv_id")]).collect()] == want, some
+    both = spark.createDataFrame([(1, "do", "this", "done", "q")], "id long, instruction string, input string, output string, prompt string")
+    assert chat.layout_of(both.schema)[0] == "instruction"
+    with pytest.raises(ValueError):
+        chat.layout_of(spark.createDataFrame([(1, "x")], "id long, prompt string").schema)

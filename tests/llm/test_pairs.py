@@ -163,3 +163,17 @@ def test_one_row_of_each_group_where_ids_repeat(spark):
     assert [r for r in got if r[0] is None] == [data[-1]]
     assert sorted((r[0], r[1][0]) for r in got if r[0] is not None) == [(1, "a"), (3, "c"), (5, "b")]
     assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in simhash.keep_one(docs.repartition(5)).collect())
+
+
+def test_an_id_with_two_vectors(spark):
+    """Each row has the links of its own vector, and both vectors' classes
+    stay apart."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    data = [(5, a), (5, b), (7, near(a)), (9, near(b)), (3, near(b)), (5, a)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, n_links string")
+    got = sorted(tuple(r) for r in embedding.near_embeddings(df).select("vec_id", "n_links", "component_id").collect())
+    # of a there are two rows, of b one, and one and two near vectors
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (7, 2, 5), (5, 2, 3), (9, 2, 3), (3, 2, 3)])
+    again = sorted(tuple(r) for r in embedding.near_embeddings(df.repartition(4)).select("vec_id", "n_links", "component_id").collect())
+    assert again == got
