@@ -12,6 +12,7 @@ from ..operators import stats as S
 from ..operators import testlogs as T
 from ..operators.flatten import flatten_trajectories, read_flat, write_flat
 from ..session import checkpoint_path
+from ..sinks import manifest as M
 from ..sinks import writers as W
 from ..sources import readers as R
 from ..sources.named import write_named_files
@@ -197,6 +198,21 @@ def q_write_predictions(spark, d):
     return spark.read.schema(o.schema).json(path)
 
 
+def q_append_attempts(spark, d):
+    """Four attempts of one resumable output: half of the orders, some of them
+    unfinished; an attempt that dies before it is visible; all orders; and the
+    first attempt once more with other rows."""
+    path = _place(spark, "attempts")
+    schema = "instance_id string, regression_done boolean, price double"
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("instance_id"), (F.col("o_orderstatus") != "O").alias("regression_done"), F.col("o_totalprice").alias("price"))
+    finished = F.col("regression_done")
+    M.append_attempt(spark, o.where(F.col("instance_id").cast("long") % 2 == 0), path, schema, "a", complete=finished)
+    o.withColumn("price", F.lit(-1.0)).write.json(f"{path}/{M.ROWS}/dead")
+    M.append_attempt(spark, o, path, schema, "b", complete=finished)
+    M.append_attempt(spark, o.withColumn("price", F.lit(-2.0)), path, schema, "a", complete=finished)
+    return M.read_committed(spark, path, schema)
+
+
 def q_write_group_report(spark, d):
     path = _place(spark, "report")
     W.write_group_report(S.best_group(S.group_statistics(fx_stats(spark, d))), path)
@@ -221,6 +237,7 @@ QUERIES = {
     "read_log_lines": q_read_log_lines,
     "collect_patches": q_collect_patches,
     "selected_patches": q_selected_patches,
+    "append_attempts": q_append_attempts,
     "write_predictions": q_write_predictions,
     "write_group_report": q_write_group_report,
 }
@@ -281,6 +298,9 @@ SELECT CAST(doc_id AS VARCHAR) AS instance_id, 'm' AS model_name_or_path, md5(te
 SELECT CAST(instance_id % 5 AS VARCHAR) AS group_id, 'i_' || CAST(instance_id AS VARCHAR) AS instance_id,
        row_number() OVER (PARTITION BY instance_id ORDER BY idx % 2, idx) AS trial, md5(patch) AS patch_md5
 FROM fx_candidates""", "fx_candidates"),
+    "append_attempts": """
+SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, o_orderstatus <> 'O' AS regression_done, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderstatus <> 'O', o_totalprice FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderstatus <> 'O')""",
     "write_predictions": """
 SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, 'm' AS model_name_or_path, '--- a' || chr(10) || '+++ "' || o_orderpriority AS model_patch FROM orders""",
     "write_group_report": with_fx("SELECT group_id, total, success_selection FROM (" + _GROUP_STATS_SQL.format(src="fx_stats") + ")", "fx_stats"),

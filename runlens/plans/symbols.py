@@ -3,11 +3,15 @@ fx_thoughts)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import docedit as E
 from ..operators import symbols as Y
 from ..operators import thoughts as H
+from ..session import checkpoint_path
+from ..sources import symbol_index as I
 from ..sources.fixtures import fx_files, fx_spans, fx_thoughts, with_fx
 from ..sources.tables import table
 
@@ -34,6 +38,13 @@ def q_symbol_lookup(spark, d):
     return Y.lookup_in_spans(_members(fx_spans(spark, d)), _lookups(spark, d))
 
 
+def q_symbol_index_lookup(spark, d):
+    """The same lookups, answered from the stored index."""
+    path = checkpoint_path(spark, f"symbol-index-{uuid.uuid4().hex[:12]}")
+    I.write_index(_members(fx_spans(spark, d)), path)
+    return I.lookup(spark, path, _lookups(spark, d))
+
+
 # Report nouns per entry type, as the code-search tool prints them.
 _NOUN = {"function": "functions", "class": "classes", "class_method": "class methods"}
 
@@ -99,6 +110,7 @@ QUERIES = {
     "enclosing_symbol": q_enclosing_symbol,
     "enclosing_class": q_enclosing_class,
     "symbol_lookup": q_symbol_lookup,
+    "symbol_index_lookup": q_symbol_index_lookup,
     "symbol_search_report": q_symbol_search_report,
     "visible_files": q_visible_files,
     "snapshot_fingerprint": q_snapshot_fingerprint,
@@ -226,3 +238,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY session_id, CASE WHEN is_br THEN
             FROM ({_VALID}) WHERE error IS NULL))
 WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "fx_thoughts"),
 }
+ORACLE["symbol_index_lookup"] = ORACLE["symbol_lookup"]
