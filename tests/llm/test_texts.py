@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from runlens.llm import decontam, langid, linededup, lm, pii, pii_patterns
@@ -79,8 +81,8 @@ def test_lm_probabilities_sum_to_one():
     """Over all known words and the unknown word of each class, and the end."""
     rng = np.random.default_rng(0)
     words = pa.array(["one", "two", "three", "four"])
-    model = lm.Model({"ne": 1, "wo": 2}, np.array([3.0, 5, 4, *[0] * 28, 6]), np.array([1.0, 1, 1, *[0] * 28, 2]), rng.normal(size=32).astype(np.float32),
-                     rng.normal(size=(lm.ROWS, 32)).astype(np.float32), 18, 5, 3)
+    model = lm.Model({"ne": 1, "wo": 2}, np.array([3.0, 5, 4, *[0] * (lm.CLASSES - 4), 6]), np.array([1.0, 1, 1, *[0] * (lm.CLASSES - 4), 2]),
+                     rng.normal(size=lm.CLASSES).astype(np.float32), rng.normal(size=(1 << 12, lm.CLASSES)).astype(np.float32), 18, 5, 3)
     count = np.array([5, 4, 2, 4])
 
     def p(*text):
@@ -90,16 +92,111 @@ def test_lm_probabilities_sum_to_one():
     # texts "w end" and "w x end" share the step to w: compare "w" steps through
     # the classes of their unknown words
     classes, hashes = lm._coded(words, model.endings)
-    rows = lm._features([np.array([5]), np.array([5]), np.array([5])], classes, hashes)
+    rows = lm._features([np.array([5]), np.array([5]), np.array([5])], classes, hashes, 1 << 12)
     x = lm._logits(model.bias, model.weights, rows)[0].astype(float)
     share = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
     of = classes[:5].astype(int)
-    inside = np.bincount(of, (np.r_[count, 3] + 1) / (model.class_words[of] + model.class_known[of] + 1), 32)
+    inside = np.bincount(of, (np.r_[count, 3] + 1) / (model.class_words[of] + model.class_known[of] + 1), lm.CLASSES)
     unknown = 1 / (model.class_words + model.class_known + 1)
     assert abs((share * (inside + np.where(model.class_known > 0, unknown, unknown))).sum() - 1) < 1e-6
     assert 0 < p("one") < 1 and p("one", "two") < p("one") * 10
 
 
+def plain_rows(history, n, endings):
+    """Rows of the features after the words of ``history``, last one first
+    (None before the text), by the definition of the hash."""
+    def code(w):
+        return (lm.CLASSES, 2) if w is None else (endings.get(w[-2:], lm.CLASSES - 1), xxhash.xxh32_intdigest(w))
+
+    def mix(salt, *parts):
+        h = salt * 0x9E3779B1 % 2**32
+        for p in parts:
+            h = (h ^ p) * 0x85EBCA6B % 2**32
+            h ^= h >> 15
+        return h >> 5 & n - 1
+    (c1, h1), (c2, h2), (c3, _) = map(code, history)
+    return [mix(1, h1), mix(2, h1, h2), mix(3, h2, c1), mix(4, c2, c3, c1)]
+
+
+def plain_maxent(texts, train, n_rows, rounds):
+    """Scores of all texts by loops over their words: counts, weights and
+    probabilities straight from the definition."""
+    count = Counter(w for t, k in zip(texts, train) if k for w in t)
+    ends = sum(train)
+    by = Counter()
+    for w, n in count.items():
+        by[w[-2:]] += n
+    endings = {e: k + 1 for k, (e, _) in enumerate(sorted(by.items(), key=lambda x: (-x[1], x[0]))[:lm.CLASSES - 2])}
+    class_of = lambda w: 0 if w is None else endings.get(w[-2:], lm.CLASSES - 1)
+    words, known = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    words[0], known[0] = ends, ends > 0
+    for w, n in count.items():
+        words[class_of(w)] += n
+        known[class_of(w)] += 1
+    total = words.sum()
+    bias = np.log((words + 1) / (total + lm.CLASSES))
+    weights = np.zeros((n_rows, lm.CLASSES))
+
+    def steps(text):
+        past = [None, None, None]
+        for w in [*text, None]:
+            yield w, plain_rows(past, n_rows, endings)
+            past = [w, *past[:2]]
+
+    def chances(rows):
+        x = bias + sum(weights[r] for r in rows)
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for _ in range(rounds + 1):
+        seen, expected = np.zeros_like(weights), np.zeros_like(weights)
+        for t, k in zip(texts, train):
+            for w, rows in steps(t) if k else []:
+                p = np.exp(bias) if not weights.any() else chances(rows)
+                for r in rows:
+                    seen[r, class_of(w)] += 1
+                    expected[r] += p
+        weights += lm.RELAX * np.log((seen + lm.SMOOTH) / (expected + lm.SMOOTH))
+    out = []
+    for t in texts:
+        s = 0
+        for w, rows in steps(t):
+            c = class_of(w)
+            s += math.log10(chances(rows)[c] * ((ends if w is None else count[w]) + 1) / (words[c] + known[c] + 1))
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_lm_scores_match_a_plain_computation(spark, rows, rounds):
+    docs = [(i, t) for i, t in rows("documents", "doc_id, text", "doc_id") if len(t) < 900][:60] + [(10**6, ""), (10**6 + 1, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, training=~lm.held_out("doc_id"), rounds=rounds, max_rows=256).collect()}
+    want = plain_maxent([brute.words(t) for _, t in docs], [brute.crc(i) % 7 != 2 for i, _ in docs], 256, rounds)
+    assert [got[i] for i, _ in docs] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_scores_do_not_depend_on_dealing(spark, monkeypatch):
+    """The same table in 1, 4 and 16 partitions, in another order, and summed
+    by few or many workers."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = None
+    for n, workers in ((1, 4096), (4, 4096), (16, 4096), (16, 1), (16, 3)):
+        monkeypatch.setattr(lm, "MOST_WORKERS", workers)
+        got = {r["doc_id"]: r for r in lm.score(docs.repartition(n), training=~lm.held_out("doc_id")).collect()}
+        first = first or got
+        assert all(got[i]["score"] == pytest.approx(r["score"], rel=1e-9) and got[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-12) for i, r in first.items())
+    held = [r for i, r in first.items() if brute.crc(i) % 7 == 2]
+    assert 1 - sum(r["score"] for r in held) / sum(r["base_score"] for r in held) > 0.025
+
+
+def test_lm_weights_grow_with_the_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sizes = []
+    for part in (docs.where("doc_id % 8 = 0"), docs):
+        model, _ = lm.train(lm.blocks(part, "doc_id", "text", F.lit(True)), 0)
+        sizes.append((model.train_tokens // lm.ROW_WORDS, len(model.weights)))
+    assert all(lm.LEAST_ROWS <= n and (n == lm.LEAST_ROWS or words <= n <= 2 * words + 1) for words, n in sizes) and sizes[1][1] > sizes[0][1]
+
+
 def test_lm_awkward_rows(spark, odd_docs):
     got = lm.score(odd_docs).collect()
     assert len(got) == odd_docs.count()
