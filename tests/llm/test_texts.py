@@ -185,7 +185,7 @@ def test_lm_scores_do_not_depend_on_dealing(spark, monkeypatch):
         first = first or got
         assert all(got[i]["score"] == pytest.approx(r["score"], rel=1e-9) and got[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-12) for i, r in first.items())
     held = [r for i, r in first.items() if brute.crc(i) % 7 == 2]
-    assert 1 - sum(r["score"] for r in held) / sum(r["base_score"] for r in held) > 0.025
+    assert 1 - sum(r["score"] for r in held) / sum(r["base_score"] for r in held) > 0.035
 
 
 def test_lm_weights_grow_with_the_words(spark):
