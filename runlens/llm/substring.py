@@ -306,7 +306,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", le
     covered = small.select("v", "d", "id", "tie", "at", "bytes").mapInArrow(lean(_refine(length)), "d long, id long, tie long, start long, end long")
     if some_big:
         each = held.where("big").select("d", "id", "tie", "at", "bytes").mapInArrow(lean(_windows(length)), "key binary, d long, id long, tie long, start long")
-        least = each.groupBy("key").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        # written first: joined straight to the aggregate, a hot window's rows would have to stay together
+        least = cut(each.groupBy("key").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "least")
         later = each.join(least, "key").where(F.struct("id", "tie", "start") > F.col("first"))
         covered = covered.unionByName(later.select("d", "id", "tie", "start", (F.col("start") + length).alias("end")))
     spans = covered.groupBy("d").agg(F.collect_list(F.struct("id", "tie", "start", "end")).alias("covered"))
