@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 # Path fragments that mark a test file in a diff target.
 HUNK_RE = r"\A@@ -\d+(?:,(\d+))? \+\d+(?:,\d+)? @@"
+PLAIN_STRING = r"""'[^'\\{]*'|"[^"\\{]*\""""
 NEXT_FILE_RE = r"\n--- [^\n]*\n\+\+\+ [^\n]*\n?\z"
 TEST_PATH_PATTERNS = ["/test/", "/tests/", "/testing/", "test_", "tox.ini"]
 
@@ -138,16 +139,23 @@ def _cut_at_hash(line: Column) -> Column:
 
 
 def _needs_tokenizer(line: Column) -> Column:
-    """Only a quote before the first ``#`` can put that ``#`` in a string."""
-    return F.contains(line, F.lit("#")) & F.substring_index(line, "#", 1).rlike("['\"]")
+    """Whether the first ``#`` may be in a string: a quote is open before it,
+    or a triple quote, a backslash or a replacement field (``{`` in a string)
+    makes what a quote does there a matter for the tokenizer.  With closed
+    plain strings before it the ``#`` begins a comment, and a line that does
+    not tokenize is cut at the same place."""
+    head = F.substring_index(line, "#", 1)
+    rest = F.regexp_replace(head, PLAIN_STRING, "")
+    unclear = rest.rlike(r"""['"\\]""") | F.contains(head, F.lit('''"""''')) | F.contains(head, F.lit("'''"))
+    return F.contains(line, F.lit("#")) & unclear
 
 
 def with_clean_patch(df, patch: str = "patch", out: str = "cleaned"):
     """DataFrame form of :func:`clean_patch`; null where the text has content
-    but no hunk (such a patch is a class of its own, see W01).  A ``#`` with no
-    quote before it starts a comment, so such lines are cut in Spark.  Rows
-    with a line where a quote precedes the first ``#`` take the tokenizer's
-    answer; for all other rows the UDF gets a null.  The table is read once."""
+    but no hunk (such a patch is a class of its own, see W01).  A ``#`` with
+    none but closed plain strings before it starts a comment, so such lines
+    are cut in Spark.  Rows with a line where the first ``#`` may be in a string
+    take the tokenizer's answer; for all other rows the UDF gets a null.  The table is read once."""
     x = df.withColumn("_lines", change_lines(F.col(patch)))
     tokenized = strip_comments_udf(F.when(F.exists("_lines", _needs_tokenizer), F.col("_lines")))
     x = x.withColumn("_tok", tokenized)

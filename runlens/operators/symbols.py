@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.named import list_files, read_listed
+
 # File extension -> language of the symbol extractor.
 EXTENSION_LANGUAGE = {
     ".py": "python", ".java": "java", ".cpp": "cpp", ".hpp": "cpp", ".c++": "cpp", ".cxx": "cpp",
@@ -228,11 +230,19 @@ def visible_files(files: DataFrame, path: str = "path") -> DataFrame:
             .where(visible(F.col(path)) & F.col("language").isNotNull()))
 
 
-def scan_source_files(spark, root: str, max_bytes: int = 1 << 30) -> DataFrame:
+def scan_source_files(spark, root: str, max_bytes: int = 1 << 30, listing: str = "spark") -> DataFrame:
     """Recursive scan of a source tree as (path, mtime, size, content).
     Files without a known extension are left out of the listing and files over
     ``max_bytes`` are skipped by their length, so neither is ever opened
-    (:func:`oversized_files` lists the latter)."""
+    (:func:`oversized_files` lists the latter).
+
+    Spark's own listing passes over names that begin with ``_``, so it has no
+    ``__init__.py``; ``listing="tasks"`` (:mod:`runlens.sources.named`) has them,
+    and deals the files to tasks by size."""
+    if listing == "tasks":
+        listed = visible_files(list_files(spark, root).where(F.col("size") <= max_bytes))
+        read = read_listed(listed.select("path", "size", "mtime"))
+        return visible_files(read.select("path", F.unix_timestamp("mtime").cast("bigint").alias("mtime"), "size", F.col("content").cast("string").alias("content")))
     raw = _source_listing(spark, root).where(F.col("length") <= max_bytes)
     df = raw.select(F.col("path"), F.unix_timestamp("modificationTime").cast("bigint").alias("mtime"),
                     F.col("length").alias("size"),

@@ -12,6 +12,7 @@ from ..operators import symbols as Y
 from ..operators import thoughts as H
 from ..session import checkpoint_path
 from ..sources import symbol_index as I
+from ..sources.named import write_named_files
 from ..sources.fixtures import fx_files, fx_spans, fx_thoughts, with_fx
 from ..sources.tables import table
 
@@ -81,6 +82,18 @@ def q_symbol_search_report(spark, d):
     return found.select("identifier", "entry_type", F.coalesce("output", msg).alias("output"))
 
 
+def q_scan_source_files(spark, d):
+    """A source tree with a file for each document, package files, hidden
+    files and folders and other kinds of text among them, scanned."""
+    path = checkpoint_path(spark, f"tree-{uuid.uuid4().hex[:12]}")
+    t = table(spark, d, "documents")
+    id = F.col("doc_id").cast("string")
+    end = F.element_at(F.array(*[F.lit(x) for x in ("/__init__.py", "/_own.py", "/Main.java", "/.hidden.py", "/notes.txt", "/.git/x.py")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    write_named_files(t.select(F.concat("source", F.lit("/p"), id, end).alias("name"), F.col("text").alias("content")), path)
+    found = Y.scan_source_files(spark, path, listing="tasks")
+    return found.select(F.regexp_extract("path", r"/tree-[0-9a-f]+/(.*)$", 1).alias("path"), "size", "language", F.md5("content").alias("content_md5"))
+
+
 def q_visible_files(spark, d):
     return Y.visible_files(fx_files(spark, d)).select("doc_id", "path", "language")
 
@@ -112,6 +125,7 @@ QUERIES = {
     "symbol_lookup": q_symbol_lookup,
     "symbol_index_lookup": q_symbol_index_lookup,
     "symbol_search_report": q_symbol_search_report,
+    "scan_source_files": q_scan_source_files,
     "visible_files": q_visible_files,
     "snapshot_fingerprint": q_snapshot_fingerprint,
     "validate_thoughts": q_validate_thoughts,
@@ -239,3 +253,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY session_id, CASE WHEN is_br THEN
 WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "fx_thoughts"),
 }
 ORACLE["symbol_index_lookup"] = ORACLE["symbol_lookup"]
+ORACLE["scan_source_files"] = """
+SELECT source || '/p' || doc_id || CASE doc_id % 6 WHEN 0 THEN '/__init__.py' WHEN 1 THEN '/_own.py' ELSE '/Main.java' END AS path,
+       octet_length(encode(text)) AS size, CASE doc_id % 6 WHEN 2 THEN 'java' ELSE 'python' END AS language, md5(text) AS content_md5
+FROM documents WHERE doc_id % 6 < 3"""

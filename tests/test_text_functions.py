@@ -341,3 +341,21 @@ def test_tool_call_rows_serialised_like_the_clients(spark):
     assert compat["user"] == "hi"
     anth = {r.role: r.chat_content for r in M.to_chat_messages(df, "anthropic").collect()}
     assert anth["assistant"] == '{"cmd": "ls", "n": 1}'
+
+
+def test_lines_cut_in_spark_are_cut_where_the_tokenizer_does(spark):
+    """Random lines of quotes, marks, braces and backslashes: a line that is
+    not left to the tokenizer gives what the tokenizer gives, and most lines
+    with closed strings are not left to it."""
+    import random
+    rng = random.Random(11)
+    parts = ["'", '"', "#", "\\", "{", "}", "a", " ", "=", "(", ")", "f", "r", "b", "$", "1_", "'s'", '"t u"', "'#'", '"#"', "'''", '"""', "x['k']", "é"]
+    lines = ["".join(rng.choices(parts, k=rng.randint(1, 9))).rstrip() for _ in range(6000)] + ["x = " + "'a' " * 20_000 + "# c", "'" * 50_001 + "# c"]
+    lines = sorted({x for x in lines if "#" in x})
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", P._needs_tokenizer(F.col("line")).alias("left"), P._cut_at_hash(F.col("line")).alias("cut"))
+    rows = df.collect()
+    for r in rows:
+        assert r["left"] or r["cut"] == P.strip_comment(r["line"]), r["line"]
+    assert not next(r["left"] for r in rows if r["line"].startswith("x = 'a' 'a'")) and sum(not r["left"] for r in rows) > 500
+    one = spark.createDataFrame([("s = 'b' # c",), ('d["k"] = "v"  # c',), ("s = '#' # c",), ("u = f'{a}' # c",)], "line string").select(P._needs_tokenizer(F.col("line"))).collect()
+    assert [r[0] for r in one] == [False, False, True, True]
