@@ -45,7 +45,6 @@ MSG = {
     "undone": "Last edit to %s undone successfully. ",
     "clipped": "\n<response clipped> %d more entries not shown",
 }
-DEALS = 256
 
 
 def expand_tabs(c: Column, size: int = 8) -> Column:
@@ -184,8 +183,8 @@ def char_budget(entries: DataFrame, key: str, order: list[str], body: Column, he
     included, and the entries after it are counted in ``remaining``.
 
     Lengths are taken first and the ``payload`` columns (the long texts) left
-    behind.  A key's entries are dealt into ``DEALS`` parts by a hash of their
-    order, and summed up in order within each part.  What comes before an entry
+    behind.  A key's entries are dealt into 256 parts, ranges of a hash of their
+    order, and numbered and summed up in order within each part.  What comes before an entry
     in its part comes before it in the report too, so an entry with more than
     the budget before it in its part cannot be shown, nor can one that follows
     it; the others of all parts, a few for each part whatever the key's size,
@@ -197,13 +196,14 @@ def char_budget(entries: DataFrame, key: str, order: list[str], body: Column, he
     k_max = budget // max(1, min_entry_len) + 1
     light = entries.withColumn("_body", F.length(body).cast("bigint")).drop(*payload)
     totals = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(key, "_deal").orderBy(*order)
+    part = Window.partitionBy(key, "_range").orderBy(*order)
     least = F.col("_body") + 3  # a number has a digit, a point and a space at least
-    near = (light.withColumn("_deal", F.pmod(F.xxhash64(*order), F.lit(DEALS)))
+    near = (light.withColumn("_range", F.shiftrightunsigned(F.xxhash64(*order), 56))
             .withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= k_max)
             .withColumn("_spent", F.sum(least).over(part.rowsBetween(Window.unboundedPreceding, 0)) - least)
-            .where(F.col("_spent") <= budget).drop("_deal", "_nth", "_spent"))
-    top = near.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")).where(F.col("i") <= k_max).join(totals, key)
+            .where(F.col("_spent") <= budget).drop("_range", "_nth", "_spent"))
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    top = near.withColumn("i", F.count(F.lit(1)).over(upto)).where(F.col("i") <= k_max).join(totals, key)
     top = (top.withColumn("_len", (F.length(F.col("i").cast("string")) + 2 + F.col("_body")).cast("bigint"))
            .withColumn("_hdr", F.length(header(F.col("n"))).cast("bigint")))
     wr = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
