@@ -1,17 +1,23 @@
 """Live versions of the main aggregates on Structured Streaming.
 
 Streams read files as they land (status lines, usage records, votes,
-candidate sets).  Aggregates keep their state in the state store and run in
-``update`` mode: each micro-batch emits only the keys it changed.  Those rows
-go out through ``foreachBatch`` into a change log, one ``epoch=<id>`` folder
-per micro-batch under the output, partitioned by a hash of the keys; a batch
-reads the buckets it touches only, and old epochs are folded into one now and
-then.  A stream's checkpoint, under the shared ``spark.checkpoint.dir``,
-belongs to its name and output.  The current result is the newest row per key (:func:`latest_view`, a partial
-aggregate).  Nothing is collected to the driver, no trigger rewrites the
-whole result, and a retried micro-batch overwrites its own epoch folder, so
-the sinks are idempotent; the query checkpoint makes restarts resume
-without double counting.
+candidate sets).  Each micro-batch writes only the keys it changed, through
+``foreachBatch``, into a change log: one ``epoch=<id>`` folder per micro-batch
+under the output, partitioned by a hash of the keys; a batch reads the buckets
+it touches only, and old epochs are folded into one now and then.  A stream's
+checkpoint, under the shared ``spark.checkpoint.dir``, belongs to its name and
+output.
+
+What a key's earlier rows say is kept in one place.  Results that may be
+merged twice without harm (latest status R01, keys done R04) live in the log
+alone: a batch adds its own partial result, the view merges them, and the
+state store is empty however old the stream is, with no limit on late rows.
+Sums and counts (R02, R03) would be doubled by a fold seen half way, so they
+stay in the state store and run in ``update`` mode; of their log the newest
+row per key counts (:func:`latest_view`, a partial aggregate).  No result is
+collected to the driver, no trigger rewrites the whole result, and a retried
+micro-batch overwrites its own epoch folder, so the sinks are idempotent; the
+query checkpoint makes restarts resume without double counting.
 """
 
 from __future__ import annotations
@@ -68,27 +74,42 @@ def latest_view(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame
     return _newest(_read_log(spark, out), keys)
 
 
+def status_view(spark: SparkSession, out: str, keys: Sequence[str] = ("instance_id", "phase", "test")) -> DataFrame:
+    """Current result of :func:`stream_test_status`: the status of the
+    greatest ``seq`` per key, whatever batch it came with."""
+    return _latest_status(_read_log(spark, out), keys).drop("seq")
+
+
 def _newest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     vals = [c for c in log.columns if c not in keys and c != "epoch"]
     return (log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("_v"))
             .select(*keys, "_v.*"))
 
 
-def compact(spark: SparkSession, out: str, epoch: int, keys: Sequence[str], newest: bool = True,
+def _latest_status(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Merging merged rows again changes nothing; of equal ``seq`` the
+    greatest status counts, a null ``seq`` is the least."""
+    return rows.groupBy(*keys).agg(F.max(F.struct("seq", "status")).alias("_v")).select(*keys, "_v.*")
+
+
+def compact(spark: SparkSession, out: str, epoch: int, keys: Sequence[str], merge=_newest,
             bucket_keys: Sequence[str] | None = None) -> None:
     """Fold all epochs up to ``epoch`` into that one, so that a log is read in
     a bounded number of folders however old the stream is.  ``epoch`` must be
     one that is never written again (an earlier one than the running one).  The
-    fold is written beside the log first; :func:`finish_compaction` moves it in,
+    fold (``merge`` of the log and ``keys``) is written beside the log first; :func:`finish_compaction` moves it in,
     also after a crash half way."""
     log = _read_log(spark, out, before=epoch + 1)
     if log is None:
         return
-    folded = _newest(log, keys) if newest else log.drop("epoch").distinct()
-    _write_epoch(folded, _beside(out), epoch, bucket_keys or keys)
+    _write_epoch(merge(log, keys), _beside(out), epoch, bucket_keys or keys)
     finish_compaction(spark, out)
 
 
+def _distinct(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return log.drop("epoch").distinct()
+
+
 def _beside(out: str) -> str:
     return f"{out.rstrip('/')}.compact"
 
@@ -146,9 +167,20 @@ def stream_test_status(spark: SparkSession, stream: DataFrame, out: str, name: s
                        keys=("instance_id", "phase", "test"), available_now: bool = True) -> StreamingQuery:
     """Latest status per (instance, phase, test) from status rows carrying a
     ``seq``; a run killed half way still yields its passes so far.  Read
-    the result with ``latest_view(spark, out, keys)``."""
-    agg = stream.groupBy(*keys).agg(F.max_by("status", "seq").alias("status"))
-    return _start(agg, name, "update", _log_writer(out, list(keys)), available_now, out)
+    the result with ``status_view(spark, out, keys)``.
+
+    A batch logs the latest status of each key among its own rows.  Nothing is
+    held between batches, so rows may come as late as they like, and state
+    does not grow with the keys.  Null keys are keys like any other."""
+    keys = list(keys)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        finish_compaction(batch.sparkSession, out)
+        _write_epoch(_latest_status(batch, keys), out, epoch, keys)
+        if _compact_now(epoch):
+            compact(batch.sparkSession, out, epoch - 1, keys, merge=_latest_status)
+
+    return _start(stream, name, "append", write, available_now, out)
 
 
 # -- R02 ---------------------------------------------------------------------
@@ -206,7 +238,7 @@ def stream_majority_vote(spark: SparkSession, votes: DataFrame, ballots: DataFra
         _write_epoch(dec, decision_log, epoch, ["ballot"])
         if _compact_now(epoch):
             compact(s, count_log, epoch - 1, ["ballot", "voted"], bucket_keys=["ballot"])
-            compact(s, decision_log, epoch - 1, ["ballot"], newest=False)
+            compact(s, decision_log, epoch - 1, ["ballot"], merge=_distinct)
 
     return _start(counts, name, "update", write, available_now, out)
 
@@ -217,19 +249,41 @@ def vote_decisions(spark: SparkSession, out: str) -> DataFrame:
 
 # -- R04 ---------------------------------------------------------------------
 def stream_pending(spark: SparkSession, stream: DataFrame, out: str, key: str = "instance_id",
-                   name: str = "pending", available_now: bool = True) -> StreamingQuery:
-    """Process each instance once across restarts: streaming dedup on the
-    key (state in the checkpoint) plus an anti-join against keys written by
-    earlier epochs, so the output holds every key exactly once."""
-    d = stream.dropDuplicates([key])
+                   name: str = "pending", available_now: bool = True, event_time: str | None = None,
+                   lateness: str | None = None) -> StreamingQuery:
+    """Process each instance once across restarts: a batch writes the keys
+    that no earlier epoch holds, one row each, so the output holds every key
+    exactly once (a null key too).  The log answers for all earlier keys, at
+    any age; no key is kept in state.
+
+    With ``event_time`` and ``lateness`` (an interval such as ``"1 hour"``)
+    repeats are dropped in the state store first while their key is that
+    recent, and only the others are looked up in the log.  State then holds
+    the keys of the last ``lateness`` of event time.  Rows further behind the
+    newest event time of earlier batches than ``lateness`` are late to Spark
+    and not processed; without the two parameters there are no such rows."""
+    if (event_time is None) != (lateness is None):
+        raise ValueError("event_time and lateness belong together")
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        finish_compaction(batch.sparkSession, out)
-        seen = _read_log(batch.sparkSession, out, epoch, batch, [key])
-        if seen is not None:
-            batch = batch.join(seen.select(key), key, "left_anti")
-        _write_epoch(batch, out, epoch, [key])
+        s = batch.sparkSession
+        finish_compaction(s, out)
+        batch = batch.dropDuplicates([key]).persist()
+        try:
+            fresh, seen = batch, _read_log(s, out, epoch, batch, [key])
+            if seen is not None:
+                # the log's rows of this batch's keys first: the small side is
+                # the batch there, which an anti join could not broadcast
+                mine = batch.select(F.col(key).alias("_key"))
+                seen = seen.select(F.col(key).alias("_seen"))
+                seen = seen.join(mine, F.col("_seen").eqNullSafe(F.col("_key")), "left_semi")
+                fresh = batch.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+            _write_epoch(fresh, out, epoch, [key])
+        finally:
+            batch.unpersist()
         if _compact_now(epoch):
-            compact(batch.sparkSession, out, epoch - 1, [key], newest=False)
+            compact(s, out, epoch - 1, [key], merge=_distinct)
 
-    return _start(d, name, "append", write, available_now, out)
+    return _start(stream, name, "append", write, available_now, out)
