@@ -7,8 +7,11 @@ words ends there, and the state says which items hold it.
 
 The benchmark is dealt in shards of at most ``shard_bytes`` of words (items
 are cut into overlapping pieces first, so that one long item is no exception).
-Each shard's automaton is small enough to hold in every worker; shards are
-passed over the documents one after another, each adding its spans."""
+``shards_a_pass`` automata at a time are small enough to hold in every worker.
+One pass over the documents splits each text once and streams it through all of
+them; with more shards the documents, with the spans found so far, are written
+between passes and the shards of the pass before are given up.  So the driver,
+a worker and a stage hold one pass's shards however large the benchmark is."""
 
 from __future__ import annotations
 
@@ -26,6 +29,7 @@ from .common import bounded_batches, cut, free_name, lean, read, utf8
 # whatever is not ASCII.
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 PIECE = 4096
+SHARDS_A_PASS = 4
 
 
 class Automaton:
@@ -65,7 +69,8 @@ class Automaton:
                 for state, n in self.steps(seq):
                     if n >= window:
                         held.setdefault(self.up(state), set()).add(place[item])
-        self.held = held
+        same: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.held = {s: same.setdefault(t, t) for s, t in ((s, tuple(sorted(i))) for s, i in held.items())}
         self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
         if short:
             for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
@@ -147,7 +152,7 @@ class Automaton:
                 if n >= self.window:
                     at_window = self.held.get(self.up(state))
                     if at_window:
-                        items |= at_window
+                        items.update(at_window)
                         size = self.window
                 for k, item in self.short[state]:
                     if k <= n:
@@ -165,8 +170,9 @@ class Automaton:
 
 
 @lru_cache(maxsize=1)
-def _automaton(items: tuple, window: int) -> Automaton:
-    return Automaton(items, window)
+def _automata(shards: tuple, window: int) -> list[Automaton]:
+    """The automata of a pass; a worker keeps those of the last one."""
+    return [Automaton(items, window) for items in shards]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -186,21 +192,25 @@ def _pieces(window: int):
     return each
 
 
-def shards(benchmark: DataFrame, id: str, text: str, window: int, shard_bytes: int) -> Iterator[tuple]:
-    """The benchmark's pieces, at most about ``shard_bytes`` at a time; equal
-    pieces of one item come once."""
+def passes(benchmark: DataFrame, id: str, text: str, window: int, shard_bytes: int, shards_a_pass: int) -> Iterator[tuple]:
+    """The benchmark's pieces in shards of about ``shard_bytes``, at most
+    ``shards_a_pass`` shards at a time; equal pieces of one item come once."""
     pieces = cut(benchmark.select(F.col(f"`{id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
                  .where("item is not null").mapInArrow(lean(_pieces(window)), "item string, piece long, words string, whole boolean")
                  .groupBy("item", "words", "whole").agg(F.min("piece").alias("piece")), "benchmark")
     total = pieces.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
     n = -(-total // shard_bytes)
-    for k in range(n):
-        rows = pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == k).collect()
-        yield tuple(sorted((r["item"], tuple(r["words"].encode().split()), r["whole"]) for r in rows))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "piece"), F.lit(n)))
+    for k in range(0, n, shards_a_pass):
+        held: dict[int, list[tuple]] = {}
+        for r in dealt.where(F.col("shard").between(k, k + shards_a_pass - 1)).collect():
+            held.setdefault(r["shard"], []).append((r["item"], tuple(r["words"].encode().split()), r["whole"]))
+        if held:
+            yield tuple(tuple(sorted(held[shard])) for shard in sorted(held))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = 10, shard_bytes: int = 1 << 20) -> tuple[DataFrame, dict[str, str]]:
+         window: int = 10, shard_bytes: int = 1 << 20, shards_a_pass: int = SHARDS_A_PASS) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with ``n_words`` long, ``hits``
     array<struct<start,end,char_start,char_end>> (spans inside occurrences of
     windows, in words and in code points, maximal, in order) and ``items``
@@ -223,18 +233,19 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     def scan(shared, first: bool):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(*shared.value) if shared else None
+            machines = _automata(*shared.value) if shared else []
             for batch in batches:
                 offsets, data = utf8(batch.column(at))
                 old = [None] * batch.num_rows if first else list(zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist()))
                 sizes, hits, items = [], [], []
                 for a, b, had in zip(offsets[:-1].tolist(), offsets[1:].tolist(), old):
                     words = words_of(bytes(data[a:b]))
-                    got, found = machine.spans(words) if machine else ([], set())
-                    names_ = {machine.items[i] for i in found} if found else set()
-                    if had:
-                        got = merged([*got, *((h["start"], h["end"]) for h in had[0])])
-                        names_ |= set(had[1])
+                    got = [(h["start"], h["end"]) for h in had[0]] if had else []
+                    names_ = set(had[1]) if had else set()
+                    for machine in machines:
+                        more, found = machine.spans(words)
+                        got = merged([*got, *more]) if got and more else got or more
+                        names_.update(machine.items[i] for i in found)
                     sizes.append(len(words))
                     chars = in_code_points(bytes(data[a:b]), got) if got else []
                     hits.append([dict(zip(fields, (*g, *c))) for g, c in zip(got, chars)])
@@ -243,11 +254,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], names=columns)
         return each
 
-    found, first = docs, True
-    for items in shards(benchmark, item_id, item_text, window, shard_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast((items, window))
-        found, first = found.mapInArrow(lean(scan(shared, first)), out), False
-    return (docs.mapInArrow(lean(scan(None, True)), out) if first else found), names
+    found, shared = docs, None
+    for group in passes(benchmark, item_id, item_text, window, shard_bytes, shards_a_pass):
+        first = shared is None
+        if not first:
+            found = cut(found, "decontaminated")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast((group, window))
+        found = found.mapInArrow(lean(scan(shared, first)), out)
+    return (docs.mapInArrow(lean(scan(None, True)), out) if shared is None else found), names
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -381,6 +381,35 @@ def test_decontamination_against_brute_force(spark, rows):
             assert (r["n_words"], flags, r["items"]) == (len(w), hit, ids)
 
 
+def test_a_benchmark_of_a_hundred_shards(spark, monkeypatch):
+    """Passes over the documents, each written before the next, find what one
+    pass finds; no more than one pass's shards are broadcast at a time."""
+    word = lambda i: f"w{i * 7919 % 1009}"
+    items = [(i, " ".join(word(13 * i + k) for k in range(24))) for i in range(400)]
+    docs = [(i, " ".join(word(13 * (5 * i) + k) for k in range(-3, 12 + i % 90)), "x") for i in range(80)] + [(900, None, "x"), (901, "", "x"), (902, "clean text", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, hits string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, names = decontam.find(df, bench)
+    live, most, sizes = set(), [0], []
+    send = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        b = send(self, value)
+        live.add(b)
+        most[0] = max(most[0], len(live))
+        sizes.append(len(value[0]))
+        gone = b.destroy
+        b.destroy = lambda *a: (live.discard(b), gone(*a))
+        return b
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    parts, _ = decontam.find(df, bench, shard_bytes=400, shards_a_pass=16)
+    assert sum(sizes) >= 100 and max(sizes) <= 16 and most[0] == 1
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    key = lambda r: (r["doc_id"], r["n_words"], r[names["hits"]], r["items"], r["hits"])
+    got = sorted(map(key, parts.collect()), key=lambda r: r[0])
+    assert got == sorted(map(key, whole.collect()), key=lambda r: r[0]) and sum(bool(r[3]) for r in got) > 50
+
+
 def test_passages_are_cut_and_clean_documents_stay(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     docs = [(1, f"Before, {item.upper()}! after it, " + "x y " * 10), (2, "clean text"), (3, item), (4, None)]
