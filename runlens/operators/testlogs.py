@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.named import list_files, read_pieces
 from .candidates import with_dropped
 from .messages import strip
 from .scan import positions, running
@@ -26,6 +27,7 @@ DJANGO_NAME_RE = r"(?U)^(\S+)\s+\(([\w.]+)\)$"
 DJANGO_TAIL_ID_RE = r"(?U)(\S+ \([\w.]+\))$"
 # What ends a line (\r\n is one end).
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+LINE_END_BYTES = rb"\r\n|[\n\r\x0B\x0C\x1C-\x1E]|\xC2\x85|\xE2\x80[\xA8\xA9]"  # the same in UTF-8
 STATUS_LINE_RE = r"^(PASSED|FAILED|ERROR|SKIPPED) (.+)$"
 # Django status suffixes, in the order they are tried.
 DJANGO_SUFFIXES = [(" ... ok", "PASSED"), (" ... OK", "PASSED"), (" ...  OK", "PASSED"),
@@ -47,13 +49,20 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
 
 
-def read_log_lines(spark, path: str, whole_text: bool = False) -> DataFrame:
+def read_log_lines(spark, path: str, whole_text: bool = False, listing: str = "spark") -> DataFrame:
     """One log per file, ``log_id`` = file path, contiguous 1-based
     ``line_no``.  Lines are read split by split, ordered by (file, row id) and
     numbered with a chunked running count, so no file is ever held by one task;
     a row that holds further line ends (the reader ends rows at line feeds) is
     split again, so both modes number the same lines.  ``whole_text`` reads each
-    file as one row instead (for many small files)."""
+    file as one row instead (for many small files).  With ``listing="tasks"`` the
+    files are listed by tasks and dealt to them by size
+    (:mod:`runlens.sources.named`), for very many of them: a log is streamed by
+    one task, which counts its lines, and no row is numbered by a shuffle."""
+    if listing == "tasks":
+        pieces = read_pieces(list_files(spark, path), LINE_END_BYTES)
+        return (pieces.select("path", "before", F.posexplode(split_lines(F.col("piece").cast("string"))).alias("pos", "line"))
+                .select(F.col("path").alias("log_id"), (F.col("before") + F.col("pos") + 1).cast("bigint").alias("line_no"), "line"))
     if whole_text:
         raw = spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("log_id"), "value")
