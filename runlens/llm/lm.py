@@ -17,8 +17,8 @@ expects it to be, E - M; both are sums over all training words.  Every update
 moves each weight along its own part of the gradient on a logarithmic scale,
 by ``RELAX`` (log(E + a) - log(M + a)), as iterative scaling does.  For the
 first update M is known from E alone, since without weights the model expects
-the classes' shares; each further one of ``rounds`` is a pass in which tasks
-add up M (none by default: such a pass costs several times what scoring does).
+the classes' shares; each further one of ``rounds`` (one by default) is a pass in
+which tasks add up what the model with the weights so far expects.
 All sums are of integers (M in units of 2^-20), so the weights are the same
 however the documents are dealt and whatever machines there are.  Rows of
 weights grow with the training words, up to ``max_rows``.  Documents are scored
@@ -44,8 +44,8 @@ LEAST_ROWS, MAX_ROWS, ROW_WORDS = 1 << 10, 1 << 16, 64  # rows of hashed weights
 RELAX, SMOOTH = 0.6, 2.0
 UNIT = 1 << 20  # expectations are counted in units of 1 / UNIT
 PART_ROWS = 1 << 10  # rows of weights that are summed as one value
-BATCH = 1 << 14
-WORKER_WORDS = 4_000_000  # words of a worker's share of a pass, at least
+BATCH, PLACES = 1 << 14, 1 << 16  # places whose classes are computed, and added up, at a time
+WORKER_WORDS = 16_000_000  # words of a worker's share of a pass, at least: each writes sums of all rows
 MOST_WORKERS, LANES = 4096, 32
 PLACE_BITS = 28  # a block's distinct words; its number has 20 bits of partition and 15 of batch
 
@@ -205,15 +205,16 @@ def _seen(total: np.ndarray, features: list[np.ndarray], gold: np.ndarray) -> No
 
 
 def _expected(total: np.ndarray, features: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> None:
-    """Add to ``total`` how often the model expects it, in units."""
-    for a in range(0, len(features[0]), BATCH):
-        rows = [f[a:a + BATCH] for f in features]
-        p = np.rint(_probabilities(bias, weights, rows) * np.float32(UNIT)).astype(np.int64)
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            row = r[order]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            total[row[first]] += np.add.reduceat(p[order], first, axis=0)
+    """Add to ``total`` (class by row) how often the model expects it, in
+    units: whole numbers, which doubles add up exactly below 2^53."""
+    for a in range(0, len(features[0]), PLACES):
+        rows = [f[a:a + PLACES] for f in features]
+        p = np.empty((CLASSES, len(rows[0])))
+        for b in range(0, len(rows[0]), BATCH):
+            p[:, b:b + BATCH] = np.rint(_probabilities(bias, weights, [r[b:b + BATCH] for r in rows]) * np.float32(UNIT)).T
+        cells = np.concatenate(rows)
+        for c in range(CLASSES):
+            total[c] += np.bincount(cells, np.tile(p[c], len(rows)), len(weights))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -243,15 +244,17 @@ def _worker(shared):
                 classes, hashes = _coded(words, endings)
                 stream = _stream(codes, sizes, len(words))
                 features = _features(_histories(stream, sizes, len(words)), classes, hashes, n_rows)
-                total = np.zeros((n_rows, CLASSES), np.int64) if total is None else total
                 if weights is None:
+                    total = np.zeros((n_rows, CLASSES), np.int64) if total is None else total
                     _seen(total, features, classes[stream].astype(np.int64))
                 else:
+                    total = np.zeros((CLASSES, n_rows)) if total is None else total
                     _expected(total, features, bias, weights)
         if total is not None:
+            total = total if weights is None else total.T
             lane = TaskContext.get().partitionId() % LANES
             for part in range(0, n_rows, PART_ROWS):
-                rows = total[part:part + PART_ROWS]
+                rows = total[part:part + PART_ROWS].astype(np.int64)
                 if rows.any():
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([packed(rows.ravel())], pa.binary())], names=["part", "lane", "data"])
     return each
@@ -267,10 +270,12 @@ def _added(group: pa.Table) -> pa.Table:
 
 # --- training -------------------------------------------------------------------
 
-def _summed(share: DataFrame, shared, n_rows: int) -> np.ndarray:
-    """The sums of all tasks, added up in two steps."""
+def _summed(share: DataFrame, shared, n_rows: int, workers: int) -> np.ndarray:
+    """The sums of all tasks, added up in two steps where they are many."""
     schema = "part int, lane int, data binary"
-    lanes = share.mapInArrow(lean(_worker(shared)), schema).groupBy("part", "lane").applyInArrow(_added, schema)
+    lanes = share.mapInArrow(lean(_worker(shared)), schema)
+    if workers > LANES:
+        lanes = lanes.groupBy("part", "lane").applyInArrow(_added, schema)
     got = lanes.groupBy("part").applyInArrow(_added, schema).toArrow()  # one value for PART_ROWS rows
     total = np.zeros((n_rows, CLASSES), np.int64)
     for part, data in zip(got["part"].to_pylist(), got["data"].to_pylist()):
@@ -279,7 +284,7 @@ def _summed(share: DataFrame, shared, n_rows: int) -> np.ndarray:
     return total
 
 
-def train(parts: DataFrame, rounds: int = 0, max_rows: int = MAX_ROWS) -> tuple[Model, DataFrame]:
+def train(parts: DataFrame, rounds: int = 1, max_rows: int = MAX_ROWS) -> tuple[Model, DataFrame]:
     """The model after one update and ``rounds`` more, and the counts (word, n)
     of all words of training documents."""
     spark = parts.sparkSession
@@ -303,12 +308,12 @@ def train(parts: DataFrame, rounds: int = 0, max_rows: int = MAX_ROWS) -> tuple[
     workers = min(max(spark.sparkContext.defaultParallelism, total // WORKER_WORDS), MOST_WORKERS)
     share = parts.select("train", "sizes", "codes", "words").coalesce(workers)
     if total:
-        seen = _summed(share, spark.sparkContext.broadcast((place, n_rows, None, None)), n_rows)
+        seen = _summed(share, spark.sparkContext.broadcast((place, n_rows, None, None)), n_rows, workers)
         expected = seen.sum(1, keepdims=True) * prior
         for k in range(rounds + 1):
             weights += RELAX * (np.log(seen + SMOOTH) - np.log(expected + SMOOTH))
             if k < rounds:
-                expected = _summed(share, spark.sparkContext.broadcast((place, n_rows, bias, weights.astype(np.float32))), n_rows) / UNIT
+                expected = _summed(share, spark.sparkContext.broadcast((place, n_rows, bias, weights.astype(np.float32))), n_rows, workers) / UNIT
     return Model(place, words, known, bias, weights.astype(np.float32), total, int(known.sum()), int(ends)), counts
 
 
@@ -338,7 +343,7 @@ def score_block(model: Model, codes: np.ndarray, sizes: np.ndarray, words: pa.Ar
             "base_score": total(base[stream]), "score": total(within[stream] + chosen / np.log(10))}
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", training=None, rounds: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", training=None, rounds: int = 1, max_rows: int = MAX_ROWS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row
     of ``docs``, learned from the rows where ``training`` (a boolean column;
     default: all) is true.  The scores depend on the table alone, not on how it
