@@ -19,10 +19,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or null) go; the others stay
-    as they are."""
+    """Documents without a language (no letter, or null) go; the others get the
+    predicted one as their ``lang``, by which they are packed."""
     ship_package(spark)
-    return langid.accepted(docs)
+    return langid.accepted(docs, relabel=True)
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised and packed into sequences of 1024."""
+    """What is left, tokenised and packed into sequences of 1024, each of one
+    language."""
     ship_package(spark)
-    return packing.pack(docs, ids=False)
+    return packing.pack(docs, ids=False, by="lang")
 
 
 STAGES = [("language ID", language), ("line dedup", site_lines), ("SimHash near-dedup", near_duplicates),

@@ -247,13 +247,16 @@ def held_out(id: str):
     return F.crc32(F.col(id).cast("string")) % 4 == 2
 
 
-def accepted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def accepted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", relabel: bool = False) -> DataFrame:
     """The rows of ``docs`` whose text has a language: texts that are null or
     have no letter go, all others stay as they are, also where no row has a
-    label or ``und`` is one of the labels."""
+    label or ``und`` is one of the labels.  With ``relabel`` their ``lang`` is the
+    predicted language."""
     model = train(docs, lang, text, id)
-    letter = free_name(docs.columns, "has_letter")
-    return identify(docs, model, text, letter=letter).where(F.col(letter)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    letter, found = free_name(docs.columns, "has_letter"), free_name(docs.columns, "lang_pred")
+    kept = identify(docs, model, text, to=found, letter=letter).where(F.col(letter))
+    new = F.col(found).cast(docs.schema[lang].dataType).alias(lang)
+    return kept.select(*[new if relabel and c == lang else F.col(f"`{c}`") for c in docs.columns])
 
 
 def q_op3(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PART_BYTES, bounded_batches, cut, lean, parts, read
+from .common import PART_BYTES, bounded_batches, cut, free_name, lean, parts, read
 
 CAPACITY = 1024
 END_ID = 0
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
 MEMORY_WORDS = 300_000
 LINE_WORDS, LINES = 500, 16
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
@@ -133,14 +136,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's
-    ids, with the end id, cut every ``capacity`` ids.  ``ids_crc32`` is over
-    the ids as little-endian 32-bit numbers."""
+def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, ids: bool = True, by: str | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids][, ``by``]): each
+    document's ids, with the end id, cut every ``capacity`` ids.  ``ids_crc32`` is
+    over the ids as little-endian 32-bit numbers."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    group = [F.col(f"`{by}`")] if by else []
+    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *group)
     schema = rows.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens")],
-                         *([F.lit(None).cast("array<int>").alias("ids")] if ids else [])).schema
+                         *([F.lit(None).cast("array<int>").alias("ids")] if ids else []), *group).schema
     names = schema.names
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +157,9 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: s
                     piece = got[start:start + capacity]
                     found.append((k, start, len(piece), zlib.crc32(piece), len(got), piece.astype(np.int32) if ids else None))
             k, *rest = zip(*found) if found else [()] * 6
-            columns = [batch.column(0).take(pa.array(k, pa.int64())), *[pa.array(c, pa.int64()) for c in rest[:4]]]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(rest[4], pa.list_(pa.int32()))] if ids else []), names=names)
+            k = pa.array(k, pa.int64())
+            columns = [batch.column(0).take(k), *[pa.array(c, pa.int64()) for c in rest[:4]], *([pa.array(rest[4], pa.list_(pa.int32()))] if ids else [])]
+            yield pa.RecordBatch.from_arrays(columns + ([batch.column(2).take(k)] if by else []), names=names)
 
     return rows.mapInArrow(lean(each), schema)
 
@@ -185,45 +190,59 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return [p for room in sorted(open_) for p in open_[room]]
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``rank``, from 0 among the pieces of its length.  Pieces
-    are numbered within buckets of a hash; a bucket's first number is the sum
-    of the buckets before it."""
+def ranked(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """``rows`` with ``rank``, from 0 among the pieces of its length (and of its
+    ``by``).  Pieces are numbered within buckets of a hash; a bucket's first
+    number is the sum of the buckets before it."""
+    keys = ["length", *([by] if by else [])]
     total = rows.count()
     buckets = max(1, -(-total // BUCKET_PIECES))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    return dealt.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within")).drop("bucket", "within", "before")
+    sizes = dealt.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select(*keys, "bucket", (F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
+    same = reduce(and_, [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "bucket")])
+    return dealt.withColumn("within", within).alias("d").join(before.alias("b"), same).select(
+        *[F.col(f"d.{c}") for c in rows.columns], (F.col("b.before") + F.col("d.within")).alias("rank"))
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, ids: bool = True,
+         by: str | None = None) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``: every id of
     every document, and its end id, lies in one piece; pieces of a sequence
-    follow each other from offset 0 and hold at most ``capacity`` ids.
+    follow each other from offset 0 and hold at most ``capacity`` ids.  With
+    ``by``, a column of few values, a sequence holds documents of one value of
+    it (null is one), which follows as a column.
 
     A null or empty text is its end id alone.  Repeated rows are documents of
     their own; a null id is kept; other columns are ignored; an empty table
     gives an empty table.  ``ids=False`` leaves the ids out (their checksum
     stays)."""
     spark = docs.sparkSession
-    cut_pieces = cut(pieces(docs, id, text, tokenizer, capacity, ids), "pieces")
-    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots: list[tuple[int, int, int, int, int]] = []
-    first, taken = 0, dict.fromkeys(histogram, 0)
-    for count, pack_ in patterns(histogram, capacity):
-        offset = 0
-        for length in pack_:
-            slots.append((length, taken[length], taken[length] + count, first, offset))
-            taken[length] += count
-            offset += length
-        first += count
-    table = spark.createDataFrame(slots, "length long, low long, high long, first long, offset long")
+    own = free_name((*PIECE, "sequence_id", "offset", "bucket", "within", "rank"), by) if by else None
+    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{by}`").cast("string").alias(own)) if by else docs
+    cut_pieces = cut(pieces(rows, "doc_id" if by else id, "text" if by else text, tokenizer, capacity, ids, own), "pieces")
+    histograms: dict[str | None, dict[int, int]] = {}
+    for r in cut_pieces.groupBy("length", (F.col(own) if own else F.lit(None).cast("string")).alias("group")).agg(F.count("*").alias("n")).collect():
+        histograms.setdefault(r["group"], {})[r["length"]] = r["n"]
+    slots: list[tuple[str | None, int, int, int, int, int]] = []
+    first = 0
+    for group in sorted(histograms, key=lambda g: (g is not None, g)):
+        taken = dict.fromkeys(histograms[group], 0)
+        for count, pack_ in patterns(histograms[group], capacity):
+            offset = 0
+            for length in pack_:
+                slots.append((group, length, taken[length], taken[length] + count, first, offset))
+                taken[length] += count
+                offset += length
+            first += count
+    table = spark.createDataFrame(slots, "group string, length long, low long, high long, first long, offset long")
     if len(slots) <= SLOT_ROWS:
         table = F.broadcast(table)
-    placed = ranked(cut_pieces).alias("p").join(table.alias("s"), F.expr("p.length = s.length and p.rank >= s.low and p.rank < s.high"))
-    return placed.select(*[F.col(f"p.{c}") for c in cut_pieces.columns], F.expr("s.first + p.rank - s.low").alias("sequence_id"), F.col("s.offset"))
+    of = f" and p.`{own}` <=> s.group" if own else ""
+    placed = ranked(cut_pieces, own).alias("p").join(table.alias("s"), F.expr("p.length = s.length and p.rank >= s.low and p.rank < s.high" + of))
+    last = [F.col(f"p.`{own}`")] if own else []
+    return placed.select(*[F.col(f"p.{c}") for c in cut_pieces.columns if c != own], F.expr("s.first + p.rank - s.low").alias("sequence_id"), F.col("s.offset"), *last)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
