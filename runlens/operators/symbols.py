@@ -8,10 +8,15 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut, ship_package
 from ..sources.named import list_files, read_listed
 
 # File extension -> language of the symbol extractor.
@@ -21,6 +26,10 @@ EXTENSION_LANGUAGE = {
     ".js": "javascript", ".jsx": "javascript",
 }
 LINE_BUCKET = 64
+BLOCK = 16  # buckets of lines whose spans are solved together
+BLOCK_ROWS = 1 << 15  # rows of whole blocks that are solved at a time
+FOUND = T.StructType([T.StructField(f"{k}_{n}", t) for k in "fc" for n, t in (("name", T.StringType()), ("start", T.LongType()), ("end", T.LongType()))])
+FILE_SLOTS = 1 << 16  # files with containers over several blocks are told by a hash of so many values
 
 
 # -- J10 ---------------------------------------------------------------------
@@ -58,58 +67,181 @@ def enclosing_symbol(spans: DataFrame, rule: str = "python", bucket: int = LINE_
     with one of them, that one.  ``rule="nearest_class"`` (Java, C++,
     TS, JS methods): innermost class only.  ``rule="none"`` (C): no parent.
 
-    Join plan: lines are taken ``bucket`` at a time.  A container's buckets
-    are made up of dyadic ranges (:func:`dyadic_ranges`), at most 2 log2 of
-    them however long it is; the bucket of a child's first line lies in one
-    range of each level, and it probes the levels its file's containers have.
-    The equi-join is on (file_path, level, index) with the range test as
-    residual, so a container meets a child once, and even one huge file is
-    spread over many join keys.  ``functions`` limits the work to some of the
-    functions of ``spans``."""
-    fn = spans.where(F.col("kind") == "function") if functions is None else functions
+    ``functions`` limits the work to some of the functions of ``spans``; the
+    plan is that of :func:`with_parents`."""
     keep = ["file_path", "sid", "name", "start_line", "end_line"]
     if rule == "none":
+        fn = spans.where(F.col("kind") == "function") if functions is None else functions
         return fn.select(*keep, F.lit(None).cast("string").alias("parent_function"),
                          F.lit(None).cast("string").alias("parent_class"))
-    # of containers that cover the same lines the two of the lowest ids do for
-    # every function (one of them may be the function itself), so equal spans,
-    # however many, are not paired with each other
-    same = Window.partitionBy("file_path", "kind", "start_line", "end_line").orderBy("sid")
-    distinct = spans.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= 2)
-    # a malformed span (end before start) must not fail the job: it covers the
-    # bucket of its start, and still contains nothing but itself
-    low = F.floor(F.col("start_line") / bucket).cast("bigint")
-    high = F.greatest(low, F.floor(F.col("end_line") / bucket).cast("bigint"))
-    parents = distinct.select(
-        "file_path", F.col("sid").alias("p_sid"), F.col("name").alias("p_name"),
-        F.col("kind").alias("p_kind"), F.col("start_line").alias("p_start"),
-        F.col("end_line").alias("p_end"), F.explode(dyadic_ranges(low, high)).alias("r")).select("*", "r.level", "r.index").drop("r")
-    levels = spans.groupBy("file_path").agg(F.max(_top_level(low, high)).alias("levels"))
-    kids = fn.join(levels, "file_path").select(*keep, F.explode(F.sequence(F.lit(0), "levels")).alias("level"), low.alias("_bucket"))
-    kids = kids.withColumn("index", F.call_function("shiftright", F.col("_bucket"), F.col("level"))).drop("_bucket")
-    # Each function also pairs with itself (it contains itself) or with two
-    # others of its lines, so functions without a container still come out of
-    # the aggregate: no second pass over the functions, no join back.  Self
-    # pairs never count as parents.
-    pairs = kids.join(parents, ["file_path", "level", "index"]).where(
-        (F.col("p_start") <= F.col("start_line")) & (F.col("p_end") >= F.col("end_line")))
-    other = F.col("p_sid") != F.col("sid")
-    rank = F.struct(F.col("p_start"), -F.col("p_end"), -F.col("p_sid"))
-    info = F.struct(F.col("p_name").alias("name"), F.col("p_start").alias("s"), F.col("p_end").alias("e"))
-    is_f, is_c = other & (F.col("p_kind") == "function"), other & (F.col("p_kind") == "class")
-    best = pairs.groupBy("file_path", "sid").agg(
-        F.first("name").alias("name"), F.first("start_line").alias("start_line"),
-        F.first("end_line").alias("end_line"),
-        F.max_by(F.when(is_f, info), F.when(is_f, rank)).alias("f"),
-        F.max_by(F.when(is_c, info), F.when(is_c, rank)).alias("c"))
-    f, c = F.col("f"), F.col("c")
+    seen = ["file_path", "sid", "name", "kind", "start_line", "end_line"]
+    spans = spans.select(*seen)
+    if functions is None:
+        rows = with_parents(spans, rule, bucket).where(F.col("kind") == "function")
+    else:
+        wanted = functions.select(*[F.lit("function").alias(c) if c == "kind" else F.col(c) for c in seen])
+        both = spans.withColumn("_asks", F.lit(False)).unionByName(wanted.withColumn("_asks", F.lit(True))).withColumn("_holds_", ~F.col("_asks"))
+        rows = with_parents(both, rule, bucket, "_asks", "_holds_", "_asks").where("_asks")
+    whole = F.col("file_path").isNotNull() & F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
+    return rows.where(whole).select(*keep, "parent_function", "parent_class")
+
+
+def with_parents(spans: DataFrame, rule: str = "python", bucket: int = LINE_BUCKET, asks: str | None = None,
+                 holds: str | None = None, kept: str | None = None) -> DataFrame:
+    """``spans`` with parent_function and parent_class, null for what does not
+    ask.  Boolean columns tell which rows ask for their parents (default: the
+    functions), which are containers and which are wanted back (default: all);
+    some of the containers come back besides.
+
+    Spans are dealt once, by file and block of ``BLOCK`` buckets of lines, and
+    each block is solved by itself (:func:`_innermost`): a container that starts
+    in a function's block starts after all that come into it from earlier
+    blocks.  The spans with their parents are written once.  Only where some
+    container goes over the end of its block, functions that miss a parent are
+    joined with these containers, on (file_path, level, index): a container's
+    further blocks are made up of dyadic ranges (:func:`dyadic_ranges`), at most
+    2 log2 of them however long it is, and a function probes the levels there
+    are.  So even one huge file is spread over many tasks and join keys."""
+    spark = spans.sparkSession
+    ship_package(spark)
+    size = BLOCK * bucket
+    block = F.floor(F.col("start_line") / size).cast("bigint")
+    last = F.greatest(block, F.floor(F.col("end_line") / size).cast("bigint"))
+    kid = (F.col("kind") == "function") if asks is None else F.col(asks)
+    rows = (spans.withColumn("_block", block).withColumn("_kid", F.coalesce(kid, F.lit(False)))
+            .withColumn("_holds", F.coalesce(F.col(holds), F.lit(False)) if holds else F.lit(True)))
+    schema = T.StructType([*rows.schema.fields, *FOUND.fields])
+    rows = rows.repartition("file_path", "_block").sortWithinPartitions("file_path", "_block").mapInArrow(_innermost(bucket), schema)
+    over = F.coalesce(F.col("_holds") & (last > F.col("_block")), F.lit(False))
+    rows = cut(rows.where(F.col(kept) | over) if kept else rows, "spans")
+    crossing = rows.where(over & F.col("sid").isNotNull() & F.col("file_path").isNotNull() & F.col("kind").isin("function", "class"))
+    if not crossing.isEmpty():
+        rows = _across(rows, crossing, block, last, bucket)
+    f, c = F.col("f_start").isNotNull(), F.col("c_start").isNotNull()
     if rule == "nearest_class":
-        pf, pc = F.lit(None).cast("string"), c["name"]
+        pf, pc = F.lit(None).cast("string"), F.col("c_name")
     else:
-        f_in_c = (f["s"] >= c["s"]) & (f["e"] <= c["e"])
-        pf = F.when(f.isNotNull() & c.isNotNull(), F.when(f_in_c, f["name"])).otherwise(f["name"])
-        pc = F.when(f.isNotNull() & c.isNotNull(), F.when(~f_in_c, c["name"])).otherwise(c["name"])
-    return best.select(*keep, pf.alias("parent_function"), pc.alias("parent_class"))
+        f_in_c = (F.col("f_start") >= F.col("c_start")) & (F.col("f_end") <= F.col("c_end"))
+        pf = F.when(f & c, F.when(f_in_c, F.col("f_name"))).otherwise(F.col("f_name"))
+        pc = F.when(f & c, F.when(~f_in_c, F.col("c_name"))).otherwise(F.col("c_name"))
+    return rows.select(*spans.columns, pf.alias("parent_function"), pc.alias("parent_class"))
+
+
+def _across(rows: DataFrame, crossing: DataFrame, block: Column, last: Column, bucket: int) -> DataFrame:
+    """``rows`` with the parents that start in an earlier block filled in.  Of
+    equal containers the one of the lowest id does; a table of at most
+    ``FILE_SLOTS`` levels tells which files have any."""
+    equal = Window.partitionBy("file_path", "kind", "start_line", "end_line").orderBy("sid")
+    slot = F.pmod(F.xxhash64("file_path"), F.lit(FILE_SLOTS)).alias("_slot")
+    levels = crossing.groupBy(slot).agg(F.max(_top_level(block + 1, last)).alias("_levels"))
+    rows = rows.select("*", slot).join(F.broadcast(levels), "_slot", "left").drop("_slot")
+    misses = F.coalesce(F.col("_kid") & F.col("_levels").isNotNull() & F.col("sid").isNotNull() & F.col("end_line").isNotNull() & (F.col("f_start").isNull() | F.col("c_start").isNull()), F.lit(False))
+    open_ = rows.where(misses)
+    parents = (crossing.withColumn("_nth", F.row_number().over(equal)).where("_nth = 1")
+               .select("file_path", F.col("name").alias("p_name"), F.col("kind").alias("p_kind"), F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"),
+                       F.col("sid").alias("p_sid"), F.explode(dyadic_ranges(block + 1, last)).alias("r")).select("*", "r.level", "r.index").drop("r"))
+    kids = (open_.select("file_path", "sid", "start_line", "end_line", "_block", F.explode(F.sequence(F.lit(0), "_levels")).alias("level"))
+            .withColumn("index", F.call_function("shiftright", F.col("_block"), F.col("level"))))
+    same_bucket = F.floor(F.col("start_line") / bucket) <= F.floor(F.col("p_end") / bucket)
+    pairs = kids.join(parents, ["file_path", "level", "index"]).where((F.col("p_end") >= F.col("end_line")) & ((F.col("end_line") >= F.col("start_line")) | same_bucket))
+    rank = F.struct(F.col("p_start"), -F.col("p_end"), -F.col("p_sid"))
+    info = F.struct(F.col("p_name").alias("name"), F.col("p_start").alias("s"), F.col("p_end").alias("e"))
+    is_f, is_c = F.col("p_kind") == "function", F.col("p_kind") == "class"
+    best = pairs.groupBy("file_path", "sid", "start_line", "end_line").agg(
+        F.max_by(F.when(is_f, info), F.when(is_f, rank)).alias("_f"), F.max_by(F.when(is_c, info), F.when(is_c, rank)).alias("_c"))
+    got = open_.join(best, ["file_path", "sid", "start_line", "end_line"], "left")
+    for k in "fc":
+        own = F.col(f"{k}_start").isNotNull()
+        got = got.withColumns({f"{k}_{x}": F.when(own, F.col(f"{k}_{x}")).otherwise(F.col(f"_{k}")[y]) for x, y in (("name", "name"), ("start", "s"), ("end", "e"))})
+    return rows.where(~misses).drop("_levels").unionByName(got.drop("_levels", "_f", "_c"))
+
+
+def _innermost(bucket: int):
+    """Spans sorted by file and block -> the same rows with the innermost
+    function and class of their block that contain them, for rows with ``_kid``."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, BLOCK_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            cut_at = int(np.flatnonzero(_starts(table))[-1])  # the last block may go on
+            if cut_at:
+                yield from _solved(table.slice(0, cut_at), bucket).to_batches()
+            held, n = table.slice(cut_at).to_batches(), n - cut_at
+            enough = max(BLOCK_ROWS, 2 * n)
+        if n:
+            yield from _solved(pa.Table.from_batches(held), bucket).to_batches()
+    return each
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where a file or block begins."""
+    file = np.asarray(table.column("file_path").combine_chunks().dictionary_encode().indices.fill_null(-1))
+    block = np.asarray(table.column("_block").fill_null(0))
+    return np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]
+
+
+def _solved(table: pa.Table, bucket: int) -> pa.Table:
+    """Rows are ranked by start, then by end from the last, then by id from the
+    largest, as containers are preferred; equal spans make up one run.  A row's
+    parent is the lowest other id of its run, or else the nearest run before it
+    that ends no earlier."""
+    group = np.cumsum(_starts(table))
+    numbers = lambda c: np.asarray(table.column(c).cast(pa.int64()).fill_null(0))
+    flags = lambda c: np.asarray(table.column(c).fill_null(False))
+    start, end, sid = numbers("start_line"), numbers("end_line"), numbers("sid")
+    whole = np.logical_and.reduce([np.asarray(table.column(c).is_valid()) for c in ("file_path", "start_line", "end_line", "sid")])
+    kid, holds = flags("_kid") & whole, flags("_holds") & whole
+    order = np.lexsort((-sid, -end, start, group))
+    g, s, e = group[order], start[order], end[order]
+    first = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1])]
+    run = np.cumsum(first) - 1
+    at = np.flatnonzero(first)
+    g, s, e = g[at], s[at], e[at]
+    kids = np.flatnonzero(kid[order])
+    asked, own = np.unique(run[kids]), sid[order][kids]
+    out = table
+    for k, kind in (("f", "function"), ("c", "class")):
+        is_kind = np.asarray(pc.equal(table.column("kind"), kind).fill_null(False)) & holds
+        rows = np.flatnonzero(is_kind[order])
+        lowest, second = np.full(len(at), -1), np.full(len(at), -1)
+        lowest[run[rows]] = rows  # the last of a run stays
+        twin = np.flatnonzero(run[rows[1:]] == run[rows[:-1]]) if len(rows) else rows
+        second[run[rows[twin]]] = rows[twin]
+        behind = _nearest(np.unique(run[rows]), asked, g, s, e, bucket)
+        parent = np.full(table.num_rows, -1)
+        if len(rows):
+            up = np.full(len(at), -1)
+            up[asked] = np.where(behind >= 0, lowest[behind], -1)
+            ids = sid[order]
+            a, b = lowest[run[kids]], second[run[kids]]
+            pick = np.where((a >= 0) & (ids[a] != own), a, np.where((b >= 0) & (ids[b] != own), b, up[run[kids]]))
+            parent[order[kids]] = np.where(pick >= 0, order[pick], -1)
+        taken = pa.array(parent, mask=parent < 0)
+        for name, column, kind_of in (("name", "name", pa.string()), ("start", "start_line", pa.int64()), ("end", "end_line", pa.int64())):
+            out = out.append_column(f"{k}_{name}", table.column(column).take(taken).cast(kind_of))
+    return out
+
+
+def _nearest(holders: np.ndarray, asked: np.ndarray, g: np.ndarray, s: np.ndarray, e: np.ndarray, bucket: int) -> np.ndarray:
+    """For each run of ``asked`` the nearest run of ``holders`` before it, of its
+    block, that ends no earlier, or -1.  A malformed span (end before start)
+    covers the bucket of its start, and is covered by what reaches its bucket."""
+    out = np.full(len(asked), -1)
+    todo, step = np.arange(len(asked)), np.searchsorted(holders, asked) - 1
+    while len(todo):
+        ok = step >= 0
+        todo, step = todo[ok], step[ok]
+        r, h = asked[todo], holders[step]
+        ok = g[r] == g[h]
+        todo, step, r, h = todo[ok], step[ok], r[ok], h[ok]
+        hit = (e[h] >= e[r]) & ((e[r] >= s[r]) | (s[r] // bucket <= np.maximum(s[h], e[h]) // bucket))
+        out[todo[hit]] = h[hit]
+        todo, step = todo[~hit], step[~hit] - 1
+    return out
 
 
 # -- P11 ---------------------------------------------------------------------
@@ -132,11 +264,10 @@ def symbol_lookup(functions: DataFrame, classes: DataFrame, lookups: DataFrame)
 
 def lookup_in_spans(spans: DataFrame, lookups: DataFrame, rule: str = "python") -> DataFrame:
     """:func:`symbol_lookup` straight from spans: only functions that some
-    lookup names get their parents, and only from the spans of their files."""
+    lookup names get their parents."""
     names = lookups.where(F.col("entry_type").isin("function", "class_method")).select(F.col("identifier").alias("name")).distinct()
     wanted = spans.where(F.col("kind") == "function").join(names, "name", "left_semi")
-    around = spans.join(wanted.select("file_path").distinct(), "file_path", "left_semi")
-    found = enclosing_symbol(around, rule, functions=wanted)
+    found = enclosing_symbol(spans, rule, functions=wanted)
     return symbol_lookup(found, spans.where(F.col("kind") == "class"), lookups)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.symbols import enclosing_symbol
+from ..operators.symbols import with_parents
 
 BUCKETS, ROW_GROUP_BYTES = 32, 1 << 20
 MEMBERS = ("fields", "methods")
@@ -28,13 +28,16 @@ def index_entries(spans: DataFrame, rule: str = "python") -> DataFrame:
     parent_function, fields, methods) of all symbols: classes, functions
     without and with (``class_method``) a parent class."""
     none = F.lit(None).cast("string")
-    f = enclosing_symbol(spans, rule).select(
-        F.col("name").alias("identifier"), F.when(F.col("parent_class").isNull(), "function").otherwise("class_method").alias("entry_type"),
-        "file_path", "start_line", "end_line", "parent_class", "parent_function", *[none.alias(m) for m in MEMBERS])
-    c = spans.where(F.col("kind") == "class").select(
-        F.col("name").alias("identifier"), F.lit("class").alias("entry_type"), "file_path", "start_line", "end_line", none.alias("parent_class"),
-        none.alias("parent_function"), *[(F.col(m) if m in spans.columns else none).alias(m) for m in MEMBERS])
-    return f.unionByName(c)
+    kind = F.col("kind")
+    if rule == "none":
+        rows = spans.select("*", none.alias("parent_function"), none.alias("parent_class"))
+    else:
+        rows = with_parents(spans, rule)
+    entry = (F.when(kind == "class", "class").when(F.col("parent_class").isNull(), "function").otherwise("class_method"))
+    whole = F.col("file_path").isNotNull() & F.col("start_line").isNotNull() & F.col("end_line").isNotNull() | F.lit(rule == "none")
+    return rows.where((kind == "class") | ((kind == "function") & whole)).select(
+        F.col("name").alias("identifier"), entry.alias("entry_type"), "file_path", "start_line", "end_line", "parent_class", "parent_function",
+        *[(F.when(kind == "class", F.col(m)) if m in spans.columns else none).alias(m) for m in MEMBERS])
 
 
 def write_index(spans: DataFrame, path: str, rule: str = "python", buckets: int = BUCKETS, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
