@@ -37,14 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, lean, read
+from .common import bounded_batches, cut, lean, read, utf8
 
 CLASSES = 64  # the end, CLASSES - 2 word endings, and all other words
 LEAST_ROWS, MAX_ROWS, ROW_WORDS = 1 << 10, 1 << 16, 64  # rows of hashed weights: at least, at most, training words a row
 RELAX, SMOOTH = 0.6, 2.0
 UNIT = 1 << 20  # expectations are counted in units of 1 / UNIT
 PART_ROWS = 1 << 10  # rows of weights that are summed as one value
-BATCH, PLACES = 1 << 14, 1 << 16  # places whose classes are computed, and added up, at a time
+BATCH, SOFT, PLACES = 1 << 14, 1 << 11, 1 << 16  # places that are scored, whose classes are expected, and added up, at a time
+FEW = 64  # lines of a row that are added with those of other rows, at most
 WORKER_WORDS = 16_000_000  # words of a worker's share of a pass, at least: each writes sums of all rows
 MOST_WORKERS, LANES = 4096, 32
 PLACE_BITS = 28  # a block's distinct words; its number has 20 bits of partition and 15 of batch
@@ -72,7 +73,7 @@ def blocks(docs: DataFrame, id: str, text: str, training) -> DataFrame:
     later pass sees the same blocks."""
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = f"block long, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words array<string>, seen binary"
+    out = f"block long, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words binary, seen binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
@@ -91,7 +92,7 @@ def blocks(docs: DataFrame, id: str, text: str, training) -> DataFrame:
             listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
             yield pa.RecordBatch.from_arrays([
                 one(TaskContext.get().partitionId() << 15 | k, pa.int64()), listed(batch.column(0)), listed(batch.column(2)), listed(pa.array(sizes)),
-                one(squeezed(code), pa.binary()), listed(coded.dictionary.cast(pa.string())), one(squeezed(seen), pa.binary())],
+                one(squeezed(code), pa.binary()), one(folded(coded.dictionary), pa.binary()), one(squeezed(seen), pa.binary())],
                 names=["block", "ids", "train", "sizes", "codes", "words", "seen"])
 
     bounded_batches(docs.sparkSession)
@@ -109,13 +110,27 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
+def folded(words: pa.Array) -> bytes:
+    """Words as compressed bytes: how long the first part is, lengths, letters."""
+    offsets, letters = utf8(words)
+    lengths = squeezed(np.diff(offsets))
+    return len(lengths).to_bytes(8, "little") + lengths + zstandard.ZstdCompressor(1).compress(letters[int(offsets[0]):int(offsets[-1])])
+
+
+def unfolded(data: bytes) -> pa.Array:
+    n = 8 + int.from_bytes(data[:8], "little")
+    lengths = unsqueezed(data[8:n])
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.ZstdDecompressor().decompress(data[n:]))])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, seen): words of training documents, a row for each block."""
     for batch in batches:
         for k in range(batch.num_rows):
             seen = unsqueezed(batch.column("seen")[k].as_py())
             on = pa.array(seen > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("words").slice(k, 1).flatten().filter(on), pa.array(seen.astype(np.int64)).filter(on)], names=["word", "seen"])
+            yield pa.RecordBatch.from_arrays([unfolded(batch.column("words")[k].as_py()).filter(on), pa.array(seen.astype(np.int64)).filter(on)], names=["word", "seen"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +138,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the place of the word in it, in one number."""
     for batch in batches:
         for k in range(batch.num_rows):
-            words = batch.column("words").slice(k, 1).flatten()
+            words = unfolded(batch.column("words")[k].as_py())
             yield pa.RecordBatch.from_arrays([pa.array((batch.column("block")[k].as_py() << PLACE_BITS) + np.arange(len(words))), words], names=["spot", "word"])
 
 
@@ -199,22 +214,50 @@ def _probabilities(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]
 def _seen(total: np.ndarray, features: list[np.ndarray], gold: np.ndarray) -> None:
     """Add to ``total`` how often each class follows each feature."""
     for f in features:
-        cell = np.sort(f.astype(np.int64) * CLASSES + gold)
+        cell = f.astype(np.int64) * CLASSES + gold
+        if len(cell) > total.size // 8:
+            total += np.bincount(cell, minlength=total.size).reshape(total.shape)
+            continue
+        cell.sort()
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         total.ravel()[cell[first]] += np.diff(np.r_[first, len(cell)])
 
 
 def _expected(total: np.ndarray, features: list[np.ndarray], bias: np.ndarray, weights: np.ndarray) -> None:
-    """Add to ``total`` (class by row) how often the model expects it, in
+    """Add to ``total`` (row by class) how often the model expects it, in
     units: whole numbers, which doubles add up exactly below 2^53."""
     for a in range(0, len(features[0]), PLACES):
         rows = [f[a:a + PLACES] for f in features]
-        p = np.empty((CLASSES, len(rows[0])))
-        for b in range(0, len(rows[0]), BATCH):
-            p[:, b:b + BATCH] = np.rint(_probabilities(bias, weights, [r[b:b + BATCH] for r in rows]) * np.float32(UNIT)).T
-        cells = np.concatenate(rows)
-        for c in range(CLASSES):
-            total[c] += np.bincount(cells, np.tile(p[c], len(rows)), len(weights))
+        p = np.empty((len(rows[0]), CLASSES), np.float32)
+        for b in range(0, len(p), SOFT):
+            p[b:b + SOFT] = np.rint(_probabilities(bias, weights, [r[b:b + SOFT] for r in rows]) * np.float32(UNIT))
+        _add_rows(total, rows, p)
+
+
+def _add_rows(total: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
+    """Add each line of ``p`` to the rows of ``total`` that ``rows`` name for it.
+    Rows are taken by how many lines they get, the most first: the first lines of
+    some rows are taken at once, then the second ones are added, and so on; rows
+    with more than ``FEW`` lines are sums of their own."""
+    cells = np.concatenate(rows)
+    order = np.argsort(cells.astype(np.uint16) if len(total) <= 1 << 16 else cells, kind="stable")
+    cells = cells[order]
+    line = order % len(p)
+    start = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    n = np.diff(np.r_[start, len(cells)])
+    by = np.argsort(-n, kind="stable")
+    start, n = start[by], n[by]
+    row = cells[start]
+    many = int((n > FEW).sum())
+    for i in range(many):
+        total[row[i]] += p[line[start[i]:start[i] + n[i]]].sum(0, dtype=np.float64)
+    for a in range(many, len(start), SOFT):
+        at, left = start[a:a + SOFT], n[a:a + SOFT]
+        sums = p[line[at]].astype(np.float64)
+        for k in range(1, int(left[0])):
+            m = int(np.searchsorted(-left, -k))  # rows with more than k lines
+            sums[:m] += p[line[at[:m] + k]]
+        total[row[a:a + SOFT]] += sums
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -240,7 +283,7 @@ def _worker(shared):
                 if not train.any():
                     continue
                 codes = unsqueezed(batch.column("codes")[k].as_py())[np.repeat(train, sizes)]
-                words, sizes = batch.column("words").slice(k, 1).flatten(), sizes[train]
+                words, sizes = unfolded(batch.column("words")[k].as_py()), sizes[train]
                 classes, hashes = _coded(words, endings)
                 stream = _stream(codes, sizes, len(words))
                 features = _features(_histories(stream, sizes, len(words)), classes, hashes, n_rows)
@@ -248,10 +291,9 @@ def _worker(shared):
                     total = np.zeros((n_rows, CLASSES), np.int64) if total is None else total
                     _seen(total, features, classes[stream].astype(np.int64))
                 else:
-                    total = np.zeros((CLASSES, n_rows)) if total is None else total
+                    total = np.zeros((n_rows, CLASSES)) if total is None else total
                     _expected(total, features, bias, weights)
         if total is not None:
-            total = total if weights is None else total.T
             lane = TaskContext.get().partitionId() % LANES
             for part in range(0, n_rows, PART_ROWS):
                 rows = total[part:part + PART_ROWS].astype(np.int64)
@@ -368,7 +410,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", training=None
         tables = []
         for k in range(left.num_rows):
             row = left.slice(k, 1).combine_chunks()
-            words = row.column("words").combine_chunks().flatten()
+            words = unfolded(row.column("words")[0].as_py())
             sizes = np.asarray(row.column("sizes").combine_chunks().flatten()).astype(np.int64)
             count = np.zeros(len(words), np.int64)
             count[np.asarray(right.column("place"))] = np.asarray(right.column("n"))

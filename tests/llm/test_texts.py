@@ -477,3 +477,33 @@ def test_lm_default_uses_what_the_model_expects(spark, rows):
     got = {r["doc_id"]: r["score"] for r in lm.score(df, training=~lm.held_out("doc_id"), max_rows=256).collect()}
     want = plain_maxent([brute.words(t) for _, t in docs], [brute.crc(i) % 7 != 2 for i, _ in docs], 256, 1)
     assert [got[i] for i, _ in docs] == pytest.approx(want, rel=1e-4)
+
+
+@pytest.mark.parametrize("n_rows", [1 << 10, 1 << 17])
+def test_lm_expectations_are_added_row_by_row(monkeypatch, n_rows):
+    """The sums are those of a plain loop, whatever is added at a time (rows
+    named often, seldom and never), and do not take an array by class."""
+    rng = np.random.default_rng(4)
+    rows = [np.minimum(rng.zipf(1.3, 3000), n_rows).astype(np.uint32) - 1 for _ in range(4)]
+    weights, bias = rng.normal(size=(n_rows, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
+    want = np.zeros((n_rows, lm.CLASSES))
+    p = np.rint(lm._probabilities(bias, weights, rows) * np.float32(lm.UNIT))
+    for r in rows:
+        for i, x in enumerate(r):
+            want[x] += p[i]
+    for places in (700, 1 << 16):
+        monkeypatch.setattr(lm, "PLACES", places)
+        got = np.zeros((n_rows, lm.CLASSES))
+        lm._expected(got, rows, bias, weights)
+        assert (got == want).all()
+
+
+def test_lm_words_are_stored_as_bytes(spark, odd_docs):
+    """Blocks hold their words compressed: they take far less of the two
+    shuffles than lists of strings, and come back as they were."""
+    for words in ([], ["a"], ["é漢", "b" * 3000, "x", "漢"], [f"word{i}" for i in range(50_000)]):
+        for array in (pa.array(words, pa.string()), pa.array(["cut", *words], pa.large_string()).slice(1)):
+            data = lm.folded(array)
+            assert lm.unfolded(data).to_pylist() == words
+    assert len(data) < sum(map(len, words)) / 2
+    assert dict(lm.blocks(odd_docs, "doc_id", "text", F.lit(True)).dtypes)["words"] == "binary"
