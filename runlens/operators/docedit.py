@@ -194,18 +194,19 @@ def char_budget(entries: DataFrame, key: str, order: list[str], body: Column, he
     is joined back on (key, order), which must tell entries apart if there is
     one."""
     k_max = budget // max(1, min_entry_len) + 1
-    light = entries.withColumn("_body", F.length(body).cast("bigint")).drop(*payload)
+    light = entries.where(F.col(key).isNotNull()).withColumn("_body", F.length(body).cast("bigint")).drop(*payload)
     part = Window.partitionBy(key, "_range").orderBy(*order)
     least = F.col("_body") + 3  # a number has a digit, a point and a space at least
     near = (light.withColumn("_range", F.shiftrightunsigned(F.xxhash64(*order), 56))
             .withColumn("_nth", F.row_number().over(part)).withColumn("_all", F.count(F.lit(1)).over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
             .where(F.col("_nth") <= k_max)
             .withColumn("_spent", F.sum(least).over(part.rowsBetween(Window.unboundedPreceding, 0)) - least)
-            .where(F.col("_spent") <= budget)  # the first of a part always stays, and has the part's count
+            # the first of a part stays for the part's count, even if it has no text to show
+            .withColumn("_in", F.coalesce(F.col("_spent") <= budget, F.lit(False))).where(F.col("_in") | (F.col("_nth") == 1))
             .withColumn("_all", F.when(F.col("_nth") == 1, F.col("_all"))).drop("_range", "_nth", "_spent"))
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    top = (near.withColumn("i", F.count(F.lit(1)).over(upto)).withColumn("n", F.sum("_all").over(Window.partitionBy(key)))
-           .where(F.col("i") <= k_max).drop("_all"))
+    top = (near.withColumn("i", F.count(F.when(F.col("_in"), 1)).over(upto)).withColumn("n", F.sum("_all").over(Window.partitionBy(key)))
+           .where(F.col("_in") & (F.col("i") <= k_max)).drop("_all", "_in"))
     top = (top.withColumn("_len", (F.length(F.col("i").cast("string")) + 2 + F.col("_body")).cast("bigint"))
            .withColumn("_hdr", F.length(header(F.col("n"))).cast("bigint")))
     wr = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
