@@ -349,7 +349,7 @@ def _many(docs: DataFrame, asked: DataFrame) -> DataFrame:
     text and all that is added to it as there are edits."""
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("double")
     parts = asked.select(F.col("path").alias("many"), F.lit(1).alias("n"), (size("new") + size("text")).alias("size")).unionByName(
-        docs.select(F.col("path").cast("string").alias("many"), F.lit(0).alias("n"), size("content").alias("size")))
+        docs.select(F.col("path").alias("many"), F.lit(0).alias("n"), size("content").alias("size")))
     return parts.groupBy("many").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).where(F.col("n") * F.col("size") > MANY_BYTES).select("many")
 
 
@@ -376,13 +376,14 @@ def edit_sequence(docs: DataFrame, edits: DataFrame, versions: bool = False, dig
         if name not in edits.columns:
             edits = edits.withColumn(name, F.lit(None).cast(kind))
     asked = edits.select(F.col("path").cast("string").alias("path"), *[F.col(c).cast(t).alias(c) for c, t in EDIT_COLUMNS.items()])
+    docs = docs.select(F.col("path").cast("string").alias("path"), "content")  # nothing else, whatever its name
     order = list(EDIT_COLUMNS)
     by = ["path", "is_edit", *order, "content"]
     cores, least = docs.sparkSession.sparkContext.defaultParallelism, (SEGMENT_BYTES, SEGMENT_VERSIONS)
 
     def in_order(docs: DataFrame, asked: DataFrame, *tasks: int) -> DataFrame:
         rows = asked.select("path", F.lit(True).alias("is_edit"), F.lit(None).cast("string").alias("content"), *order)
-        own = docs.select(F.col("path").cast("string").alias("path"), "content").join(asked.select("path").distinct(), "path", "left_semi")
+        own = docs.join(asked.select("path").distinct(), "path", "left_semi")
         held = own.select("path", F.lit(False).alias("is_edit"), F.coalesce("content", F.lit("")).alias("content"),
                           *[F.lit(None).cast(EDIT_COLUMNS[c]).alias(c) for c in order])
         return rows.unionByName(held).repartition(*tasks, "path").sortWithinPartitions(*by)
@@ -394,7 +395,7 @@ def edit_sequence(docs: DataFrame, edits: DataFrame, versions: bool = False, dig
     if many is None or many.isEmpty():
         found = folded(in_order(docs, asked))
     else:
-        of = lambda df, how: df.join(many, F.col("path").cast("string").eqNullSafe(F.col("many")), how)
+        of = lambda df, how: df.join(many, F.col("path").eqNullSafe(F.col("many")), how)
         # by number, which adaptive execution keeps: the rows are few bytes
         segments = (in_order(of(docs, "left_semi"), of(asked, "left_semi"), min(MOST_TASKS, FOLDERS * cores))
                     .mapInArrow(lambda batches: _segments(batches, *least), SEGMENTS))

@@ -148,7 +148,7 @@ def test_segments_have_what_one_pass_has(spark, monkeypatch):
     docs = [(f"p{k}", "".join(word() for _ in range(6))) for k in range(12)] + [("p1", "a"), ("none", None)]
     rows = [(rng.choice([None, "none", *[f"p{k}" for k in range(16)]]), k, rng.choice(["create", "str_replace", "insert", "insert", "undo_edit", "view", None]), rng.choice("ab\t\n \u00e9"),
              rng.choice([None, word()]), rng.randrange(-1, 6), rng.choice([None, word()])) for k in range(700)]
-    docs, edits = spark.createDataFrame(docs, "path string, content string"), spark.createDataFrame(rows, EDITS).repartition(3)
+    docs, edits = spark.createDataFrame(docs, "path string, content string").withColumn("many", F.lit("p1")), spark.createDataFrame(rows, EDITS).repartition(3)
     monkeypatch.setattr(edit_chain, "SEGMENT_BYTES", 40 << 10)
     monkeypatch.setattr(edit_chain, "SEGMENT_VERSIONS", 1)
     got = {}
